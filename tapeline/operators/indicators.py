@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ewm import ewm, span_alpha
 from ..functions.span import BARS as S
-from ..functions.span import ratio
+from ..functions.span import UP, ratio
 
 C = F.col
 
@@ -119,7 +119,7 @@ def with_vwap(df: DataFrame) -> DataFrame:
     df = df.withColumn("_wt", F.when(C("_hv"), F.coalesce("volume", F.lit(0.0))).otherwise(1.0))
     df = df.withColumn("_rep", F.coalesce(S.lag("_day") == C("_day"), F.lit(False)))
     df = df.withColumn("_intra", F.bool_or("_rep").over(S.whole) & (S.size() > 2))
-    day = S.w.partitionBy("symbol", F.when(C("_intra"), C("_day"))).orderBy("ts").rowsBetween(-(1 << 31), 0)
+    day = S.w.partitionBy("symbol", F.when(C("_intra"), C("_day"))).orderBy("ts").rowsBetween(UP, 0)
     return df.withColumn("vwap", ratio(F.sum(C("_tp") * C("_wt")).over(day), F.sum("_wt").over(day))).drop(
         "_day", "_hv", "_tp", "_wt", "_rep", "_intra")
 

@@ -178,7 +178,7 @@ def _(t):
     return ind.with_adx(t.bars)
 
 
-CCI = f"""SELECT symbol, ts, CASE WHEN m IS NOT NULL THEN (tp - m) / nullif(0.015e0 * list_sum(list_transform(l, x -> abs(x - m))) / 20, 0) END AS cci FROM (
+CCI = f"""SELECT symbol, ts, CASE WHEN m IS NOT NULL THEN (tp - m) / nullif(0.015e0 * list_sum(list_transform(l, lambda x: abs(x - m))) / 20, 0) END AS cci FROM (
   SELECT symbol, ts, tp, {full(20, 'avg(tp)', 'tp')} AS m, list(tp) OVER {fr(20)} AS l FROM (SELECT symbol, ts, (high + low + close) / 3 AS tp FROM bars))"""
 
 
@@ -219,7 +219,7 @@ PANEL_SQL = f"""WITH {ANNUAL_CTE}, {PANEL_EMAS}, {', '.join(rsi_ctes(n) for n in
     {full(20, 'skewness(ret)', 'ret')} AS return_skew_20, {full(20, 'kurtosis(ret)', 'ret')} AS return_kurt_20,
     close / m20 - 1 AS drawdown_20, close / m60 - 1 AS drawdown_60, (close / vwap - 1) * 100 AS close_to_vwap_pct,
     coalesce(close > sma_20, false) AS above_sma20, coalesce(close > sma_50, false) AS above_sma50, coalesce(sma_50 > sma_200, false) AS golden_cross
-  FROM base b {' '.join(f'LEFT JOIN {t} USING (symbol, ts)' for t in ['ema10', 'ema20', 'ema50', 'ema100', 'rsi7', 'rsi14', 'rsi21', 'macd', 'atr', 'adx', 'stoch', 'obv', 'vw', 'cmf', 'mfi', 'cci', 'vol'])}""".replace("PARTITION BY symbol", "PARTITION BY symbol")
+  FROM base b {' '.join(f'LEFT JOIN {t} USING (symbol, ts)' for t in ['ema10', 'ema20', 'ema50', 'ema100', 'rsi7', 'rsi14', 'rsi21', 'macd', 'atr', 'adx', 'stoch', 'obv', 'vw', 'cmf', 'mfi', 'cci', 'vol'])}"""
 PANEL_COLS = """symbol:s ts:d sma_10:f sma_20:f sma_50:f sma_100:f sma_200:f ema_10:f ema_20:f ema_50:f ema_100:f rsi_7:f rsi_14:f rsi_21:f macd:f
  macd_signal:f macd_histogram:f bb_upper:f bb_lower:f bb_width:f atr:f atr_pct:f roc_12:f obv:f2 stoch_k:f stoch_d:f vwap:f cmf:f mfi:f adx:f plus_di:f
  minus_di:f cci:f williams_r:f donchian_upper:f donchian_middle:f donchian_lower:f donchian_position:f daily_return:f return_2:f return_5:f return_10:f

@@ -25,6 +25,10 @@ class Query:
     uses: tuple[str, ...]
 
 
+# Prices here are short decimals, so exact rounding ties are common and the two engines
+# break them differently; both sides move off the tie by the same small amount.
+TIE_SHIFT = 0.0137174211
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -48,7 +52,8 @@ def conform(df: DataFrame, cols: list[tuple[str, str]]) -> DataFrame:
     for name, kind in cols:
         c = F.col(name)
         if kind[0] == "f":
-            c = F.round(c.cast("double"), int(kind[1:] or 4)) + F.lit(0.0)
+            n = int(kind[1:] or 4)
+            c = F.round(c.cast("double") + F.lit(TIE_SHIFT * 10.0**-n), n) + F.lit(0.0)
         else:
             c = c.cast({"s": "string", "i": "bigint", "b": "boolean", "d": "date", "t": "timestamp_ntz"}[kind])
         out.append(c.alias(name))
@@ -59,7 +64,8 @@ def conform_sql(body: str, cols: list[tuple[str, str]], uses: tuple[str, ...]) -
     out = []
     for name, kind in cols:
         if kind[0] == "f":
-            out.append(f"round(CAST({name} AS DOUBLE), {int(kind[1:] or 4)}) + 0e0 AS {name}")
+            n = int(kind[1:] or 4)
+            out.append(f"round(CAST({name} AS DOUBLE) + {TIE_SHIFT * 10.0**-n!r}, {n}) + 0e0 AS {name}")
         else:
             t = {"s": "VARCHAR", "i": "BIGINT", "b": "BOOLEAN", "d": "DATE", "t": "TIMESTAMP"}[kind]
             out.append(f"CAST({name} AS {t}) AS {name}")
