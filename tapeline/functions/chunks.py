@@ -52,71 +52,90 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], agg
     return joined.select(*keep, *[merge(o, k).alias(o) for o, (k, _) in aggs.items()])
 
 
-def greedy_anchors(df: DataFrame, keys: list[str], ts: str, gap_seconds: float, inclusive: bool, every: str = "day") -> DataFrame:
+def three_pass(df: DataFrame, keys: list[str], chunk: Column, cols: list[str], summarise, summary: str, step, state: str, walk, out: str) -> DataFrame:
+    """Sequential state machine over chunked keys.
+
+    summarise(rows) describes a chunk as a function of its incoming state; step(state, summary)
+    folds those along the key (state is a tuple, None at the start); walk(rows, state) then
+    produces the output of each chunk on its own.
+    """
+    kd = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    base = df.select(*keys, chunk.alias("_chunk"), *cols)
+    cd = f"_chunk {base.schema['_chunk'].dataType.simpleString()}"
+    names = [c.strip().split(" ")[0] for c in state.split(",")]
+    g = [*keys, "_chunk"]
+
+    def tag(key, pdf):
+        for name, value in zip(g, key):
+            pdf[name] = [value] * len(pdf)
+        return pdf
+
+    def order_key(v):
+        return tuple(v.values()) if isinstance(v, dict) else v
+
+    maps = base.groupBy(*g).applyInPandas(lambda key, pdf: tag(key, summarise(pdf)), f"{summary}, {kd}, {cd}")
+
+    def fold(key, pdf):
+        parts, rows, s = {}, [], None
+        for i, c in enumerate(pdf["_chunk"]):
+            parts.setdefault(order_key(c), []).append(i)
+        for ck in sorted(parts):
+            part = pdf.iloc[parts[ck]]
+            rows.append((*key, part["_chunk"].iloc[0], s is not None, *(s or [0] * len(names))))
+            s = step(s, part)
+        return pd.DataFrame(rows, columns=[*g, "_started", *names])
+
+    incoming = maps.groupBy(*keys).applyInPandas(fold, f"{kd}, {cd}, _started boolean, {state}")
+
+    def finish(key, pdf):
+        s = tuple(pdf[n].iloc[0] for n in names) if pdf["_started"].iloc[0] else None
+        return tag(key, walk(pdf, s))
+
+    return base.join(incoming, g).groupBy(*g).applyInPandas(finish, f"{out}, {kd}, {cd}").drop("_chunk")
+
+
+def greedy_anchors(df: DataFrame, keys: list[str], ts: str, gap_seconds: float, every: str = "day") -> DataFrame:
     """Assign every row the anchor of its greedy window.
 
-    The first row of a key is an anchor; a row becomes the next anchor once it lies more
-    than `gap_seconds` (or exactly that far, if `inclusive`) after the current one. Three
-    passes: per chunk, map any incoming anchor to the outgoing one (compressed to runs);
-    fold those maps along each key; walk each chunk with its incoming anchor known.
-    Rows are read as distinct timestamps, so equal timestamps share an anchor.
+    The first row of a key is an anchor; a row becomes the next anchor once it lies more than
+    `gap_seconds` after the current one. Rows with equal timestamps share an anchor.
     """
-    side = "left" if inclusive else "right"
+    import numpy as np
     gap = int(gap_seconds * 1_000_000)
-    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_chunk", F.date_trunc(every, F.col(ts)).cast("timestamp"))
-    stamps = base.select(*keys, "_chunk", "_us").distinct()
+    stamps = df.select(*keys, F.col(ts).cast("timestamp").alias("_ts")).distinct().withColumn("_us", F.unix_micros("_ts"))
 
-    def transitions(key, pdf):
-        import numpy as np
+    def summarise(pdf):
         t = np.sort(pdf["_us"].to_numpy())
-        nxt = np.searchsorted(t, t + gap, side=side)
+        nxt = np.searchsorted(t, t + gap, side="right")
         out = t.copy()
         for i in range(len(t) - 1, -1, -1):
             if nxt[i] < len(t):
                 out[i] = out[nxt[i]]
-        # Only rows within one gap of the chunk start can be entered from outside.
+        # Only rows within one gap of the chunk start can be entered from outside; equal exits are merged.
         reach = np.searchsorted(t, t[0] + gap, side="right") + 1
         ent, ext = t[:reach], out[:reach]
         last = np.append(ext[1:] != ext[:-1], True)
-        rows = pd.DataFrame({"_upto": ent[last], "_exit": ext[last]})
-        for name, value in zip([*keys, "_chunk"], key):
-            rows[name] = value
-        return rows[[*keys, "_chunk", "_upto", "_exit"]]
+        return pd.DataFrame({"upto": ent[last], "leave": ext[last]})
 
-    maps = stamps.groupBy(*keys, "_chunk").applyInPandas(transitions, f"{key_schema}, _chunk timestamp, _upto long, _exit long")
+    def step(s, part):
+        part = part.sort_values("upto")
+        upto = part["upto"].to_numpy()
+        i = 0 if s is None else int(np.searchsorted(upto, s[0] + gap, side="right"))
+        return (int(part["leave"].iloc[i]),) if i < len(upto) else s
 
-    def fold(key, pdf):
-        import numpy as np
-        rows, anchor = [], None
-        for chunk, part in pdf.sort_values(["_chunk", "_upto"]).groupby("_chunk", sort=True):
-            rows.append((*key, chunk, -1 if anchor is None else anchor))
-            upto = part["_upto"].to_numpy()
-            i = 0 if anchor is None else int(np.searchsorted(upto, anchor + gap, side=side))
-            if i < len(upto):
-                anchor = int(part["_exit"].iloc[i])
-        return pd.DataFrame(rows, columns=[*keys, "_chunk", "_in"])
-
-    incoming = maps.groupBy(*keys).applyInPandas(fold, f"{key_schema}, _chunk timestamp, _in long")
-
-    def walk(key, pdf):
-        import numpy as np
+    def walk(pdf, s):
         t = np.sort(pdf["_us"].to_numpy())
-        anchor, i = int(pdf["_in"].iloc[0]), 0
-        out = np.empty(len(t), dtype="int64")
+        out, i = np.empty(len(t), dtype="int64"), 0
+        if s is not None:
+            i = int(np.searchsorted(t, s[0] + gap, side="right"))
+            out[:i] = s[0]
         while i < len(t):
-            stop = int(np.searchsorted(t, anchor + gap, side=side)) if anchor >= 0 else 0
-            if stop <= i:
-                anchor = int(t[i])
-                stop = int(np.searchsorted(t, anchor + gap, side=side))
-            out[i:stop] = anchor
+            stop = int(np.searchsorted(t, t[i] + gap, side="right"))
+            out[i:stop] = t[i]
             i = stop
-        rows = pd.DataFrame({"_us": t, "_anchor": out})
-        for name, value in zip([*keys, "_chunk"], key):
-            rows[name] = value
-        return rows[[*keys, "_chunk", "_us", "_anchor"]]
-
-    walked = stamps.join(incoming, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
-        walk, f"{key_schema}, _chunk timestamp, _us long, _anchor long")
-    out = base.join(walked, [*keys, "_chunk", "_us"])
+        return pd.DataFrame({"_us": t, "_anchor": out})
+
+    walked = three_pass(stamps, keys, F.date_trunc(every, F.col("_ts")), ["_us"], summarise, "upto long, leave long", step, "at long", walk, "_us long, _anchor long")
+    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    out = base.join(walked, [*keys, "_us"])
     return out.select(*df.columns, F.timestamp_micros("_anchor").alias("anchor"), (F.col("_us") == F.col("_anchor")).alias("is_anchor"))

@@ -355,7 +355,7 @@ def failed_event_burst(events: DataFrame, key: str, window_minutes: int, limit:
 
     Counts come from per-chunk counters, so a key with a large share of events stays split.
     """
-    a = chunks.greedy_anchors(events, [key], "ts", window_minutes * 60, inclusive=False, every=every)
+    a = chunks.greedy_anchors(events, [key], "ts", window_minutes * 60, every=every)
     d = chunks.running(a.withColumn("_one", F.lit(1)), [key, "anchor"], F.date_trunc("minute", "ts"), ["ts", "event_id"], {"failures": ("sum", C("_one"))})
     return d.drop("_one").withColumn("locked", C("failures") >= limit)
 

@@ -59,7 +59,7 @@ def target_intraday(rows: DataFrame, calendar: DataFrame, local: str, timeframe:
     off = (C(local).cast("double") - F.to_timestamp("_day").cast("double")) / 60 - OPEN_MIN
     fresh = ~C("is_session") | (off < 0)
     # First step: opening bar of this or the next session, next bar of the day, or next session.
-    d = d.withColumn("_fresh", fresh).withColumn("_room", F.floor((length - off) / m))
+    d = d.withColumn("_fresh", fresh).withColumn("_room", F.greatest(F.lit(0), F.floor((length - off) / m)))
     stay = F.lit(steps) <= C("_room")
     left = F.when(C("_fresh"), F.lit(steps)).otherwise(F.lit(steps) - C("_room"))
     ahead = F.when(C("_fresh") & C("is_session"), F.ceil(left / per_day) - 1).otherwise(F.ceil(left / per_day))

@@ -40,8 +40,8 @@ def _(t):
 
 
 @query("target_session", "kind:s rowid:s origin:t target:t",
-       f"""WITH {cal_sql('lineitem', 'l_shipdate', [1996])}, s AS (SELECT ts AS sts, session_no AS sno FROM cal WHERE is_session) SELECT '1D' AS kind, symbol AS rowid, b.ts AS origin, s1.sts AS target FROM bars b JOIN cal c USING (ts) LEFT JOIN s s1 ON s1.sno = c.session_no + 1
-       UNION ALL SELECT '1W', symbol, b.ts, s1.sts FROM bars b JOIN cal c USING (ts) LEFT JOIN s s1 ON s1.sno = c.session_no + 5
+       f"""WITH {cal_sql('lineitem', 'l_shipdate', [1996])}, s AS (SELECT ts AS sts, session_no AS sno FROM cal WHERE is_session) SELECT '1D' AS kind, symbol AS rowid, CAST(b.ts AS TIMESTAMP) AS origin, CAST(s1.sts AS TIMESTAMP) AS target FROM bars b JOIN cal c USING (ts) LEFT JOIN s s1 ON s1.sno = c.session_no + 1
+       UNION ALL SELECT '1W', symbol, CAST(b.ts AS TIMESTAMP), CAST(s1.sts AS TIMESTAMP) FROM bars b JOIN cal c USING (ts) LEFT JOIN s s1 ON s1.sno = c.session_no + 5
        UNION ALL SELECT '1h', CAST(event_id AS VARCHAR), local, target FROM (WITH RECURSIVE {cal_sql('events', 'ts', [2024])}, ss AS (SELECT ts AS sts, session_no AS sno FROM cal WHERE is_session),
          st AS (SELECT event_id, ts + INTERVAL 330 MINUTE AS local, ts + INTERVAL 330 MINUTE AS target, 0 AS k FROM events UNION ALL
            SELECT event_id, local, CASE WHEN c.is_session AND target - date_trunc('day', target) < INTERVAL 555 MINUTE THEN date_trunc('day', target) + INTERVAL 615 MINUTE
