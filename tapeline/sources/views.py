@@ -126,6 +126,17 @@ class Tables:
             F.col("close").alias("forecast_median"), (F.col("close") * 1.4).alias("forecast_high"),
             F.lit(0.8).alias("confidence_level"), BARS.lead("close").alias("actual_price"))
 
+    @cached_property
+    def settled(self) -> DataFrame:
+        """Settled forecasts with a shifted median, a tier and a regime label."""
+        i = F.col("id")
+        d = self.ledger.where("actual_price is not null").withColumn("forecast_median", F.col("forecast_median") * (0.9 + 0.02 * (i % 11)))
+        a, lo, hi = F.col("actual_price"), F.col("forecast_low"), F.col("forecast_high")
+        miss = F.when(a < lo, lo - a).when(a > hi, a - hi).otherwise(0.0)
+        return d.select("*", a.between(lo, hi).alias("coverage_hit"), (hi - lo + 2 / (1 - F.col("confidence_level")) * miss).alias("winkler"),
+                        F.concat(F.lit("T"), (i % 5).cast("string")).alias("tier"),
+                        F.when(i % 3 == 0, "calm").when(i % 3 == 1, "normal").otherwise("stressed").alias("regime"))
+
     @cached_property
     def headlines(self) -> DataFrame:
         return self.raw("documents").select(
@@ -187,6 +198,9 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "ledger": ("""SELECT symbol, '1D' AS timeframe, 1 AS horizon, row_number() OVER w AS id, ts AS origin_date,
   lead(ts) OVER w AS target_date, close * 0.6e0 AS forecast_low, close AS forecast_median, close * 1.4e0 AS forecast_high,
   0.8e0 AS confidence_level, lead(close) OVER w AS actual_price FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)""", ("bars",)),
+    "settled": ("""SELECT *, actual_price BETWEEN forecast_low AND forecast_high AS coverage_hit, forecast_high - forecast_low + 2 / (1 - confidence_level) * CASE WHEN actual_price < forecast_low THEN forecast_low - actual_price WHEN actual_price > forecast_high THEN actual_price - forecast_high ELSE 0 END AS winkler,
+  concat('T', CAST(id % 5 AS VARCHAR)) AS tier, CASE id % 3 WHEN 0 THEN 'calm' WHEN 1 THEN 'normal' ELSE 'stressed' END AS regime FROM
+  (SELECT * REPLACE (forecast_median * (0.9e0 + 0.02e0 * (id % 11)) AS forecast_median) FROM ledger WHERE actual_price IS NOT NULL)""", ("ledger",)),
     "headlines": ("""SELECT doc_id, concat('Brand#', CAST(doc_id % 25 + 1 AS VARCHAR)) AS symbol, source AS publisher, text AS title
   FROM documents""", ()),
     "quotes": ("""SELECT symbol, provider, price FROM (SELECT symbol, concat('S', CAST(suppkey % 3 AS VARCHAR)) AS provider, px AS price,
