@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mathx import norm_cdf, norm_cdf_sql, norm_pdf
@@ -30,6 +30,25 @@ def price(*args, **kw) -> Column:
     return greeks(*args, **kw)["price"]
 
 
+def with_greeks(df: DataFrame, spot: Column, strike: Column, days: Column, vol: Column, call: Column, rate=RATE, names=("price",)) -> DataFrame:
+    """Add greeks in stages, so each intermediate (d1, the two CDF values) is computed once per row.
+
+    One nested expression would repeat d1 some dozens of times and outgrow generated code.
+    """
+    keep = df.columns
+    c = F.col
+    r = rate if isinstance(rate, Column) else F.lit(rate)
+    d = df.select("*", spot.alias("_gs"), strike.alias("_gk"), (days.cast("double") / 365.0).alias("_gt"), vol.alias("_gv"), F.when(call, 1.0).otherwise(-1.0).alias("_gg"), r.alias("_gr"))
+    d = d.select("*", ((F.log(c("_gs") / c("_gk")) + (c("_gr") + 0.5 * c("_gv") * c("_gv")) * c("_gt")) / (c("_gv") * F.sqrt("_gt"))).alias("_gd"))
+    d = d.select("*", (c("_gg") * c("_gd")).alias("_ga"), (c("_gg") * (c("_gd") - c("_gv") * F.sqrt("_gt"))).alias("_gb"))
+    d = d.select("*", norm_cdf(c("_ga")).alias("_n1"), norm_cdf(c("_gb")).alias("_n2"), norm_pdf(c("_gd")).alias("_np"), F.exp(-c("_gr") * c("_gt")).alias("_df"))
+    g, rt = c("_gg"), F.sqrt("_gt")
+    out = {"price": g * (c("_gs") * c("_n1") - c("_gk") * c("_df") * c("_n2")), "delta": g * c("_n1"), "gamma": c("_np") / (c("_gs") * c("_gv") * rt),
+           "theta": (-(c("_gs") * c("_np") * c("_gv")) / (2 * rt) - g * c("_gr") * c("_gk") * c("_df") * c("_n2")) / 365.0,
+           "vega": c("_gs") * c("_np") * rt / 100.0, "rho": g * c("_gk") * c("_gt") * c("_df") * c("_n2") / 100.0}
+    return d.select(*keep, *[out[n].alias(n) for n in names])
+
+
 def greeks_sql(spot: str, strike: str, days: str, vol: str, call: str, rate: str = repr(RATE)) -> dict[str, str]:
     t = f"({days}/365e0)"
     d1 = f"((ln({spot}/{strike})+({rate}+0.5e0*{vol}*{vol})*{t})/({vol}*sqrt({t})))"

@@ -371,6 +371,34 @@ def leave_instrument_out(panel: DataFrame, features: list[str], target: str, rid
     return d.mapInPandas(solve, "symbol string, rows long, rmse double, skill double")
 
 
+def forward_time_validation(panel: DataFrame, features: list[str], target: str, fractions: tuple[float, ...], embargo: int, ridge: float = 1.0) -> DataFrame:
+    """Rolling cuts of the distinct origins with an embargo; moments per origin date serve every cut."""
+    k = len(features)
+    by_day = gram(panel, features, target, ["ts"])
+    names = [c for c in by_day.columns if c != "ts"]
+    d = by_day.withColumn("_g", F.lit(0))
+    pos = (F.row_number().over(Window.partitionBy("_g").orderBy("ts")) - 1).alias("pos")
+    d = d.select("*", pos, F.count("*").over(Window.partitionBy("_g")).alias("days"))
+    d = d.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("cut", F.floor(C("days") * C("fraction") + 1e-9))
+    train, test = C("pos") <= F.greatest(F.lit(0), C("cut") - embargo), C("pos") > C("cut")
+    g = d.groupBy("fraction").agg(*[F.sum(F.when(train, C(c))).alias(f"t_{c}") for c in names], *[F.sum(F.when(test, C(c))).alias(c) for c in names])
+    g = g.where("t_n >= 30 and n > 0")
+
+    def solve(batches):
+        import numpy as np
+        for p in batches:
+            out = []
+            for _, r in p.iterrows():
+                raw, icpt, _ = _fit({c: r[f"t_{c}"] for c in names}, k, ridge)
+                q = np.array([[r[f"q_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+                s = np.array([r[f"s_{i}"] for i in range(k + 1)])
+                sse = q[k, k] - 2 * (raw @ q[:k, k] + icpt * s[k]) + raw @ q[:k, :k] @ raw + 2 * icpt * raw @ s[:k] + r["n"] * icpt**2
+                out.append((r["fraction"], int(r["t_n"]), int(r["n"]), float(np.sqrt(max(sse, 0) / r["n"])), float(1 - np.sqrt(max(sse, 0) / q[k, k]))))
+            yield pd.DataFrame(out, columns=["fraction", "train_rows", "test_rows", "rmse", "skill"])
+
+    return g.mapInPandas(solve, "fraction double, train_rows long, test_rows long, rmse double, skill double")
+
+
 def shrinkage_weights(rows: DataFrame, half: float = 250.0) -> DataFrame:
     """rows(symbol, stock, sector, cap, pooled, n_stock, n_sector, n_cap): evidence-weighted blend of levels."""
     w1, w2, w3 = [C(f"n_{x}") / (C(f"n_{x}") + half) for x in ("stock", "sector", "cap")]

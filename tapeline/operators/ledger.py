@@ -298,6 +298,20 @@ def sentiment_history(snapshots: DataFrame, now: Column, lookback_days: int, sta
     return d.join(last, "symbol").select("symbol", "snapshot_at", "avg_score", sentiment_label(C("avg_score")).alias("label"), (C("_m") < now - F.expr(f"INTERVAL {stale_days} DAYS")).alias("stale"))
 
 
+def horizon_consistency(runs: DataFrame, tol: float = 0.25) -> DataFrame:
+    """runs(key, horizon, median, width_pct, price): direction, path and width conflicts across released horizons."""
+    s = Span(("key",), ("horizon",))
+    d = runs.where(C("price") > 0).withColumn("ret", (C("median") / C("price") - 1) * 100)
+    sign = lambda x: F.when(x > tol, 1).when(x < -tol, -1).otherwise(0)
+    d = d.select("*", sign(C("ret")).alias("sg"), s.lag("ret").alias("pr"), s.lag("width_pct").alias("pw"), F.last("ret").over(s.w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("far"))
+    want = sign(C("far"))
+    rev = ((want > 0) & (C("ret") < C("pr") - tol)) | ((want < 0) & (C("ret") > C("pr") + tol))
+    g = d.groupBy("key").agg(F.count("*").alias("horizons"), F.max((C("sg") == 1).cast("int")).alias("up"), F.max((C("sg") == -1).cast("int")).alias("dn"), F.count_if(rev).alias("path_reversals"), F.count_if(C("width_pct") < C("pw") * 0.95).alias("narrowings")).where("horizons >= 2")
+    g = g.withColumn("direction_conflict", C("up") + C("dn") > 1)
+    score = F.greatest(F.lit(0), 100 - F.when(C("direction_conflict"), 40).otherwise(0) - F.least(F.lit(30), 15 * C("path_reversals")) - F.least(F.lit(20), 10 * C("narrowings")))
+    return g.withColumn("score", score).withColumn("level", F.when(C("score") >= 80, "high").when(C("score") >= 55, "moderate").otherwise("low"))
+
+
 # Weights of the confidence score.
 CONFIDENCE = {"evidence": 40.0, "calibration": 25.0, "skill": 15.0, "agreement": 10.0, "data_quality": 10.0}
 GRADE_POINTS = {"A": 40.0, "B": 28.0, "C": 22.0, "none": 0.0}

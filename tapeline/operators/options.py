@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunks
-from ..functions.pricing import RATE, greeks, price
+from ..functions.pricing import RATE, price, with_greeks
 from ..functions.span import UP, Span, ratio
 from ..sources.ohlcv import finite
 
@@ -112,8 +112,7 @@ def expected_move(rows: DataFrame) -> DataFrame:
 
 def chain_reprice(rows: DataFrame) -> DataFrame:
     """rows(spot, strike, days, vol, option_type): theoretical price and greeks."""
-    g = greeks(C("spot"), C("strike"), C("days"), C("vol"), C("option_type") == CALL)
-    return rows.select("*", *[c.alias(n) for n, c in g.items()])
+    return with_greeks(rows, C("spot"), C("strike"), C("days"), C("vol"), C("option_type") == CALL, names=("price", "delta", "gamma", "theta", "vega", "rho"))
 
 
 def chain_implied_vol(rows: DataFrame, steps: int = 60) -> DataFrame:
@@ -135,11 +134,11 @@ def chain_implied_vol(rows: DataFrame, steps: int = 60) -> DataFrame:
 
 def scenario_reprice(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Each row under the (small, fixed-size) scenario list."""
-    d = rows.crossJoin(F.broadcast(scenarios))
-    base = price(C("spot"), C("strike"), C("days"), C("vol"), C("option_type") == CALL)
-    days = F.greatest(F.lit(1), C("days") - C("days_passed"))
-    p = price(C("spot") * (1 + C("spot_shock")), C("strike"), days, F.greatest(F.lit(1e-4), C("vol") + C("vol_shock")), C("option_type") == CALL, rate=F.lit(RATE) + C("rate_shock"))
-    return d.withColumn("scenario_price", p).withColumn("change", p - base)
+    call = C("option_type") == CALL
+    base = with_greeks(rows, C("spot"), C("strike"), C("days"), C("vol"), call).withColumnRenamed("price", "_base")
+    d = base.crossJoin(F.broadcast(scenarios))
+    d = with_greeks(d, C("spot") * (1 + C("spot_shock")), C("strike"), F.greatest(F.lit(1), C("days") - C("days_passed")), F.greatest(F.lit(1e-4), C("vol") + C("vol_shock")), call, rate=F.lit(RATE) + C("rate_shock"))
+    return d.withColumnRenamed("price", "scenario_price").withColumn("change", C("scenario_price") - C("_base")).drop("_base")
 
 
 def atm_straddle_move(quotes: DataFrame, origin: Column, max_age_minutes: int = 15) -> DataFrame:
@@ -208,8 +207,8 @@ def _book_curve(legs: DataFrame, points: int, span_pct: float, value) -> DataFra
     """P&L per (book, grid point): each leg expands to the fixed grid and is summed straight back (map-side combined)."""
     c = legs.groupBy("book_id").agg(F.avg("strike").alias("centre"))
     d = legs.join(c, "book_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    d = d.withColumn("x", C("centre") * (1 - span_pct + 2 * span_pct * C("i") / (points - 1)))
-    return d.groupBy("book_id", "i").agg(F.first("x").alias("x"), F.sum(value(C("x"))).alias("pnl"))
+    d = value(d.withColumn("x", C("centre") * (1 - span_pct + 2 * span_pct * C("i") / (points - 1))))
+    return d.groupBy("book_id", "i").agg(F.first("x").alias("x"), F.sum("_pnl").alias("pnl"))
 
 
 def _curve_summary(curve: DataFrame) -> DataFrame:
@@ -224,17 +223,18 @@ def payoff_grid(legs: DataFrame, points: int = 41, span_pct: float = 0.5) -> Dat
     """Expiry payoff curve summary with break-evens, extremes and tail slopes for every book."""
     sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
     tails = legs.groupBy("book_id").agg(F.sum(F.when(C("type") == "put", 0.0).otherwise(sign)).alias("up_slope"), F.sum(F.when(C("type") == "put", -sign).when(C("type") == "call", 0.0).otherwise(sign)).alias("down_slope"))
-    return _curve_summary(_book_curve(legs, points, span_pct, leg_payoff)).join(tails, "book_id")
+    return _curve_summary(_book_curve(legs, points, span_pct, lambda d: d.withColumn("_pnl", leg_payoff(C("x"))))).join(tails, "book_id")
 
 
 def calendar_spread_grid(legs: DataFrame, near_days: int, far_days: int, vol: float, points: int = 41) -> DataFrame:
     """Near legs at intrinsic, far legs at model value over a +-20% grid, for every calendar book."""
-    def value(x):
-        sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
+    def value(d):
         call = C("type") == "call"
-        intrinsic = F.greatest(F.lit(0.0), F.when(call, x - C("strike")).otherwise(C("strike") - x))
-        model = price(x, C("strike"), F.lit(far_days - near_days), F.lit(vol), call)
-        return sign * (F.when(C("leg") == "near", intrinsic).otherwise(model) - C("premium"))
+        intrinsic = F.greatest(F.lit(0.0), F.when(call, C("x") - C("strike")).otherwise(C("strike") - C("x")))
+        near = d.where("leg = 'near'").withColumn("price", intrinsic)
+        far = with_greeks(d.where("leg <> 'near'"), C("x"), C("strike"), F.lit(far_days - near_days), F.lit(vol), call)
+        sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
+        return near.unionByName(far).withColumn("_pnl", sign * (C("price") - C("premium")))
     return _curve_summary(_book_curve(legs, points, 0.2, value))
 
 
@@ -247,12 +247,12 @@ def strategy_legs(spots: DataFrame, template: DataFrame, step: float, days: int,
 def scenario_margin(legs: DataFrame, spots: DataFrame, vol: float, days: int) -> DataFrame:
     """Worst loss of every book over the spot x vol scan, floored by short premium."""
     sh = F.explode(F.array(*[F.struct(F.lit(s).alias("shock"), F.lit(v).alias("vrel")) for s in SPOT_SHOCKS for v in VOL_SHOCKS]))
-    d = legs.join(spots, "book_id").withColumn("sc", sh)
-    sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
-    s = C("spot") * (1 + C("sc.shock") / 100)
     opt = C("type").isin("call", "put")
-    v = F.when(opt, price(s, C("strike"), F.lit(days), F.greatest(F.lit(1e-4), vol * (1 + C("sc.vrel"))), C("type") == CALL)).otherwise(s)
-    p = d.groupBy("book_id", "sc").agg(F.sum(sign * (v - C("premium"))).alias("value"))
+    d = legs.withColumnRenamed("premium", "paid").join(spots, "book_id").withColumn("sc", sh).withColumn("s", C("spot") * (1 + C("sc.shock") / 100))
+    o = with_greeks(d.where(opt), C("s"), C("strike"), F.lit(days), F.greatest(F.lit(1e-4), vol * (1 + C("sc.vrel"))), C("type") == CALL)
+    d = o.unionByName(d.where(~opt).withColumn("price", C("s")))
+    sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
+    p = d.groupBy("book_id", "sc").agg(F.sum(sign * (C("price") - C("paid"))).alias("value"))
     g = p.groupBy("book_id").agg(F.max(F.when((C("sc.shock") == 0) & (C("sc.vrel") == 0), C("value"))).alias("base_value"), F.min("value").alias("worst"))
     short = legs.groupBy("book_id").agg(F.sum(F.when((C("side") == "sell") & opt, C("premium") * C("contracts")).otherwise(0.0)).alias("short_premium"))
     return g.join(short, "book_id").withColumn("total_margin", F.greatest(C("base_value") - C("worst"), C("short_premium"), F.lit(0.0)))

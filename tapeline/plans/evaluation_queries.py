@@ -266,6 +266,15 @@ def _(t):
     return ev.leave_instrument_out(panel(t), TWO, "target")
 
 
+@query("forward_time_validation", "fraction:f6 train_rows:i test_rows:i rmse:f6 skill:f6",
+       f"""WITH {FEAT}, p AS (SELECT *, dense_rank() OVER (ORDER BY ts) - 1 AS pos FROM feat), m AS (SELECT max(pos) + 1 AS days FROM p), c AS (SELECT fr, CAST(floor(days * fr + 1e-9) AS BIGINT) AS cut FROM m CROSS JOIN (SELECT unnest([0.55e0, 0.725e0, 0.9e0]) AS fr)),
+       mo AS (SELECT fr, count(*) AS n, avg(momentum_5) AS m1, avg(volatility_20) AS m2, avg(target) AS my, var_pop(momentum_5) AS a, var_pop(volatility_20) AS b, covar_pop(momentum_5, volatility_20) AS cc, covar_pop(momentum_5, target) AS y1, covar_pop(volatility_20, target) AS y2 FROM p JOIN c ON pos <= cut - 5 GROUP BY fr),
+       sd AS (SELECT *, 1 + 1e0 / n AS d, cc / sqrt(a * b) AS r, y1 / sqrt(a) AS b1, y2 / sqrt(b) AS b2 FROM mo), be AS (SELECT *, (b1 * d - r * b2) / (d * d - r * r) / sqrt(a) AS w1, (d * b2 - r * b1) / (d * d - r * r) / sqrt(b) AS w2 FROM sd), co AS (SELECT *, my - w1 * m1 - w2 * m2 AS ic FROM be)
+       SELECT fr AS fraction, any_value(co.n) AS train_rows, count(*) AS test_rows, sqrt(avg(pow(target - w1 * momentum_5 - w2 * volatility_20 - ic, 2))) AS rmse, 1 - sqrt(sum(pow(target - w1 * momentum_5 - w2 * volatility_20 - ic, 2)) / sum(target * target)) AS skill FROM p JOIN c ON pos > cut JOIN co USING (fr) GROUP BY fr""", "bars index_bars")
+def _(t):
+    return ev.forward_time_validation(panel(t), TWO, "target", (0.55, 0.725, 0.9), 5)
+
+
 @query("shrinkage_blend", "symbol:s w_stock:f6 w_sector:f6 w_cap:f6 w_pooled:f6 blend:f",
        """WITH x AS (SELECT symbol, coalesce(sector, 'none') AS sec, cap_bucket AS cap, avg(close) AS stock, count(*) AS ns FROM bars JOIN instruments USING (symbol) GROUP BY ALL), y AS (SELECT *, avg(stock) OVER (PARTITION BY sec) AS sector, sum(ns) OVER (PARTITION BY sec) AS nse, avg(stock) OVER (PARTITION BY cap) AS capm, sum(ns) OVER (PARTITION BY cap) AS nc, avg(stock) OVER () AS pooled FROM x),
        z AS (SELECT *, ns / (ns + 2500e0) AS a, nse / (nse + 2500e0) AS b, nc / (nc + 2500e0) AS c FROM y), w AS (SELECT *, a AS w_stock, (1 - a) * b AS w_sector, (1 - a) * (1 - b) * c AS w_cap FROM z) SELECT symbol, w_stock, w_sector, w_cap, 1 - w_stock - w_sector - w_cap AS w_pooled, w_stock * stock + w_sector * sector + w_cap * capm + (1 - w_stock - w_sector - w_cap) * pooled AS blend FROM w""", "bars instruments")

@@ -215,3 +215,16 @@ def _(t):
     r = t.bars.select("symbol", "ts", C("close").alias("reference"), F.array(C("close") * 1.01, BARS.mean("close", 5), BARS.mean("close", 10)).alias("members"), F.when(d % 4 == 0, "A").when(d % 4 == 1, "B").when(d % 4 == 2, "C").otherwise("none").alias("evidence_grade"),
                       (0.8 + d / 1000.0).alias("coverage"), F.lit(0.8).alias("nominal"), (d - 10).cast("double").alias("improvement_pct"), F.lit(20.0).alias("expected_vol_pct"), (d % 7 == 0).alias("drift"), F.lit(0.9).alias("data_quality"), (d % 9 == 0).alias("blocked"), ((d - 15) / 100.0).alias("skill"))
     return lg.confidence_score(r)
+
+
+@query("horizon_consistency", "key:s horizons:i direction_conflict:b path_reversals:i narrowings:i score:i level:s",
+       f"""WITH b AS (SELECT symbol || '@' || CAST(ts AS VARCHAR) AS key, close AS price, {full(5, 'avg(close)')} AS m1, {full(10, 'avg(close)')} AS m2, {full(20, 'avg(close)')} AS m3, {full(5, 'stddev_pop(close)')} AS s1, {full(10, 'stddev_pop(close)')} AS s2, {full(20, 'stddev_pop(close)')} AS s3 FROM bars),
+       u AS (SELECT key, price, unnest([1, 5, 20]) AS h, unnest([m1, m2, m3]) AS m, unnest([s1, s2, s3]) AS s FROM b WHERE m3 IS NOT NULL), r AS (SELECT *, (m / price - 1) * 100 AS ret, s / price * 100 AS wd FROM u),
+       x AS (SELECT *, lag(ret) OVER w AS pr, lag(wd) OVER w AS pw, max(CASE WHEN h = 20 THEN ret END) OVER (PARTITION BY key) AS far FROM r WINDOW w AS (PARTITION BY key ORDER BY h)),
+       g AS (SELECT key, count(*) AS horizons, max(CAST(ret > 0.25 AS INT)) + max(CAST(ret < -0.25 AS INT)) > 1 AS direction_conflict, count(*) FILTER (WHERE (far > 0.25 AND ret < pr - 0.25) OR (far < -0.25 AND ret > pr + 0.25)) AS path_reversals, count(*) FILTER (WHERE wd < pw * 0.95) AS narrowings FROM x GROUP BY key),
+       z AS (SELECT *, greatest(0, 100 - CASE WHEN direction_conflict THEN 40 ELSE 0 END - least(30, 15 * path_reversals) - least(20, 10 * narrowings)) AS score FROM g) SELECT *, CASE WHEN score >= 80 THEN 'high' WHEN score >= 55 THEN 'moderate' ELSE 'low' END AS level FROM z""")
+def _(t):
+    B = BARS
+    d = t.bars.select(F.concat_ws("@", "symbol", C("ts").cast("string")).alias("key"), C("close").alias("price"), *[B.mean("close", n).alias(f"m{n}") for n in (5, 10, 20)], *[B.full(n, F.stddev_pop("close"), "close").alias(f"s{n}") for n in (5, 10, 20)]).where("m20 is not null")
+    r = d.withColumn("x", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), C(f"m{n}").alias("median"), (C(f"s{n}") / C("price") * 100).alias("width_pct")) for h, n in ((1, 5), (5, 10), (20, 20))])))
+    return lg.horizon_consistency(r.select("key", "price", "x.*"))
