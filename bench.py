@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from tapeline.plans import catalogue
@@ -23,6 +24,7 @@ def main():
         t0 = time.time()
         catalogue.run(name, spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        print(f"# {name} {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf).replace("sf", "")}))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .span import UP
 
 
@@ -20,7 +21,7 @@ def _carry_join(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 
 def previous(df: DataFrame, keys: list[str], chunk: Column, order: list[str], values: dict[str, str]) -> DataFrame:
     """Add `out: column` with the value of the preceding row of the key."""
-    df = df.withColumn("_chunk", chunk)
+    df = cut(df.withColumn("_chunk", chunk))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     packed = F.struct(*[F.col(c).alias(o) for o, c in values.items()])
     ends = df.groupBy(*keys, "_chunk").agg(F.max_by(packed, F.struct(*order)).alias("_end"))
@@ -35,7 +36,7 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], agg
     """Add inclusive running aggregates `out: (sum|min|max, expression)` in key order."""
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
     keep = df.columns
-    df = df.select("*", chunk.alias("_chunk"), *[e.alias(f"_x_{o}") for o, (_, e) in aggs.items()])
+    df = cut(df.select("*", chunk.alias("_chunk"), *[e.alias(f"_x_{o}") for o, (_, e) in aggs.items()]))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(UP, 0)
     local = df.select("*", *[fn[k](f"_x_{o}").over(w).alias(f"_l_{o}") for o, (k, _) in aggs.items()])
     totals = df.groupBy(*keys, "_chunk").agg(*[fn[k](f"_x_{o}").alias(f"_t_{o}") for o, (k, _) in aggs.items()])
@@ -60,7 +61,7 @@ def three_pass(df: DataFrame, keys: list[str], chunk: Column, cols: list[str], s
     produces the output of each chunk on its own.
     """
     kd = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    base = df.select(*keys, chunk.alias("_chunk"), *cols)
+    base = cut(df.select(*keys, chunk.alias("_chunk"), *cols))
     cd = f"_chunk {base.schema['_chunk'].dataType.simpleString()}"
     names = [c.strip().split(" ")[0] for c in state.split(",")]
     g = [*keys, "_chunk"]

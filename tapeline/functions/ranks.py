@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .span import UP
 
 C = F.col
@@ -16,7 +17,7 @@ def order_stat(df: DataFrame, keys: list[str], value: str, rank: Column, levels:
     Histograms narrow the range around the rank `levels` times; only the last narrow slice is
     ranked, with equal values collapsed to counts first. No group is sorted or collected whole.
     """
-    v = df.where(C(value).isNotNull()).select(*keys, C(value).alias("v"))
+    v = cut(df.where(C(value).isNotNull()).select(*keys, C(value).alias("v")))
     g = v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     g = g.select("*", F.greatest(F.lit(1), F.least(C("n"), rank)).cast("bigint").alias("k")).withColumn("below", F.lit(0).cast("bigint"))
     width = (C("hi") - C("lo")) / fan

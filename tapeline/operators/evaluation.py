@@ -12,6 +12,7 @@ from ..functions.mathx import norm_cdf, norm_pdf
 from ..functions.ranks import conformal_rank, conformal_width
 from ..functions.span import BARS as S
 from ..functions.span import UP, Span, ratio
+from ..session import cut
 from .ledger import winkler
 
 C = F.col
@@ -51,7 +52,7 @@ def calibrate_symbol(bars: DataFrame, horizon: int, confidence: float, model: st
     r = r.select("*", S.rn().alias("k"), S.size().alias("m"))
     split = F.greatest(F.floor(C("m") * 0.6), F.lit(1))
     split = F.when(C("m") - split < 5, F.greatest(C("m") - 5, F.lit(1))).otherwise(split)
-    r = r.withColumn("split", split)
+    r = cut(r.withColumn("split", split))
     cal = r.where((C("k") <= C("split")) & (C("k") > C("split") - CALIBRATION_CAP))
     w = conformal_width(cal, ["symbol"], "lr", confidence)
     cov = measured_coverage(r.where(C("k") > C("split")), w, ["symbol"], "lr")

@@ -13,6 +13,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Bars are few bytes but many window frames each; do not merge them into one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,6 +28,7 @@ def get_spark(cpus: str | int = "*", shuffle: int = 8, app: str = "tapeline") ->
         builder.config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -34,3 +37,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's own, a scratch one only where unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     return root or tempfile.mkdtemp(prefix="tapeline-ckpt-")
+
+
+def cut(df):
+    """Write once to the shared folder and read back: later steps reuse the rows instead of recomputing them.
+
+    Survives executor loss, since the table lives outside the executors.
+    """
+    import uuid
+    root = checkpoint_root(df.sparkSession)
+    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
