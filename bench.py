@@ -8,8 +8,8 @@ import time
 from tapeline.plans import catalogue
 from tapeline.session import get_spark
 
-HEADLINE = ["run_screen", "ema", "rsi", "macd", "indicator_panel", "strategy_metrics", "backtest_strategy", "performance_metrics", "fifo_realized_gains",
-            "average_cost_positions", "adjust_all_actions", "regime_label", "settle_forward_asof", "interval_quality", "calibrate_symbol", "instrument_features",
+HEADLINE = ["run_screen", "ema", "rsi", "macd", "strategy_metrics", "backtest_strategy", "performance_metrics", "fifo_realized_gains",
+            "average_cost_positions", "adjust_all_actions", "settle_forward_asof", "interval_quality", "calibrate_symbol", "instrument_features",
             "chain_reprice", "scenario_margin", "payoff_grid", "resample_bars", "redact_text", "headline_sentiment"]
 
 

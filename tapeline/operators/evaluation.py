@@ -18,7 +18,7 @@ from .ledger import winkler
 C = F.col
 
 # Drift look-back, minimum sessions and scored points, calibration cap, coverage tolerance, online step.
-DRIFT_WINDOW, MIN_SESSIONS, MIN_SCORED, CALIBRATION_CAP, COVERAGE_TOL, ONLINE_STEP = 20, 180, 40, 240, 0.05, 0.05
+DRIFT_WINDOW, MIN_SESSIONS, MIN_SCORED, CALIBRATION_CAP, COVERAGE_TOL, ONLINE_STEP = 20, 180, 40, 240, 0.05, 0.1
 # Price-band limits, tick and minimum widths.
 CIRCUIT = {"default": 0.20, "derivative": 0.10, "surveillance": 0.05}
 TICK = 0.05
