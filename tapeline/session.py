@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
+import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Static settings an application should start with. Shuffle partition counts
 # are left to AQE on a cluster; `get_spark` pins a small number for local runs.
@@ -34,18 +39,39 @@ def get_spark(cpus: str | int = "*", shuffle: int = 8, app: str = "tapeline") ->
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's own, a scratch one only where unset."""
+    """The folder for intermediate tables: the one the cluster shares; a scratch one only in local mode, where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or tempfile.mkdtemp(prefix="tapeline-ckpt-")
+    if root:
+        return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if spark not in _SCRATCH:
+        _SCRATCH[spark] = tempfile.mkdtemp(prefix="tapeline-")
+        weakref.finalize(spark, shutil.rmtree, _SCRATCH[spark], True)
+        atexit.register(shutil.rmtree, _SCRATCH[spark], True)
+    return "file://" + _SCRATCH[spark]
 
 
-def cut(df):
+_SCRATCH: weakref.WeakKeyDictionary[SparkSession, str] = weakref.WeakKeyDictionary()
+_TABLES: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
+
+
+def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: later steps reuse the rows instead of recomputing them.
 
-    Survives executor loss, since the table lives outside the executors.
+    The table lives outside the executors, so a lost one costs only the task it ran. `release` deletes the tables.
     """
-    import uuid
-    root = checkpoint_root(df.sparkSession)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark, []).append(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that `cut` wrote in this session; call it when results that read them are stored."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _TABLES.pop(spark, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
