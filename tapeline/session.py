@@ -56,14 +56,20 @@ _SCRATCH: weakref.WeakKeyDictionary[SparkSession, str] = weakref.WeakKeyDictiona
 _TABLES: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; `release` deletes what is there."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark, []).append(path)
+    return path
+
+
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: later steps reuse the rows instead of recomputing them.
 
     The table lives outside the executors, so a lost one costs only the task it ran. `release` deletes the tables.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
-    _TABLES.setdefault(spark, []).append(path)
+    path = shared_path(spark, "cut")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
