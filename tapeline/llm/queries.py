@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from . import bpe, packing
+from ..session import shared_path
+from . import bpe, packing, simhash, tokenfile
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,9 +17,17 @@ def op5_bpe(spark, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_token_file(spark, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, shared_path(spark, "tokens"))
+
+
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op5_bpe, op6_simhash, op9_token_file, op10_packing)}
 ORACLES: dict[str, str] = {}
