@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import bpe, packing, simhash, tokenfile
+from . import backoff_lm, bpe, packing, simhash, tokenfile, topk, vecjoin
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+MU = 300.0
+
+
+def op3_vector_join(spark, sf_dir: str) -> DataFrame:
+    return vecjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_backoff_lm(spark, sf_dir: str) -> DataFrame:
+    scored = backoff_lm.score(table(spark, sf_dir, "documents"), mu=MU)
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -21,6 +34,10 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_file(spark, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, shared_path(spark, "tokens"))
 
@@ -29,5 +46,5 @@ def op10_packing(spark, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op6_simhash, op9_token_file, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_vector_join, op4_backoff_lm, op5_bpe, op6_simhash, op8_topk, op9_token_file, op10_packing)}
+ORACLES = {"op3_vector_join": vecjoin.ORACLE, "op4_backoff_lm": backoff_lm.ORACLE.format(mu=MU), "op8_topk": topk.ORACLE}
