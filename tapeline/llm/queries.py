@@ -7,14 +7,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import backoff_lm, bpe, packing, simhash, tokenfile, topk, vecjoin
+from . import backoff_lm, bpe, langid, packing, simhash, tokenfile, topk, toxicity, vecjoin, wordpiece
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
-MU = 300.0
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+MU = 100.0
+
+
+def op1_langid(spark, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op3_vector_join(spark, sf_dir: str) -> DataFrame:
@@ -34,6 +43,10 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_topk(spark, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -46,5 +59,5 @@ def op10_packing(spark, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op3_vector_join, op4_backoff_lm, op5_bpe, op6_simhash, op8_topk, op9_token_file, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_token_counts, op3_vector_join, op4_backoff_lm, op5_bpe, op6_simhash, op7_toxicity, op8_topk, op9_token_file, op10_packing)}
 ORACLES = {"op3_vector_join": vecjoin.ORACLE, "op4_backoff_lm": backoff_lm.ORACLE.format(mu=MU), "op8_topk": topk.ORACLE}
