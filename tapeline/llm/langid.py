@@ -180,7 +180,7 @@ def identify(docs: DataFrame, parts: int = 3, held_part: int = 1, **bounds) -> D
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.4, **bounds) -> DataFrame:
+def drop_unknown(docs: DataFrame, least: float = 0.3, **bounds) -> DataFrame:
     """The documents with a language of a score of at least `least`, with the columns they came with."""
     p = prediction_column(docs, train(docs, **bounds))(C("text").cast("string"))
     return docs.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
