@@ -37,25 +37,34 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[w] for w in sorted(found)), -30, 30))))
 
 
-def fit(rows: list[list[int]], positive: np.ndarray, features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-3):
-    """Weights and bias by Adam on the non-negative risk with logistic loss; rows hold the features present in a text."""
+def fit(rows: list[list[int]], positive: np.ndarray, features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-5):
+    """Weights and bias by Adam on the non-negative risk; rows hold the features present in a text.
+
+    The loss of a margin is the sigmoid one. As it has no scale of its own, the bias is then set so that the mean score
+    of the unlabelled texts is the prior.
+    """
     size = np.array([len(r) for r in rows], np.int64)
     column = np.fromiter((x for r in rows for x in r), np.int64, int(size.sum()))
     row = np.repeat(np.arange(len(rows)), size)
     theta, m, v = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     theta[-1] = np.log(prior / (1 - prior))
     n_pos, n_unl = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
     for t in range(1, steps + 1):
-        g = theta[-1] + np.bincount(row, weights=theta[column], minlength=len(rows))
-        p = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        loss = np.logaddexp(0, g)  # of calling a text toxic that is not
-        clean = loss[~positive].sum() / n_unl - prior * loss[positive].sum() / n_pos
-        slope = np.where(positive, prior * (p - 1) / n_pos, 0.0)
-        slope += (1 if clean >= 0 else -1) * np.where(positive, -prior * p / n_pos, p / n_unl)  # below zero: step back
+        p = sigmoid(theta[-1] + np.bincount(row, weights=theta[column], minlength=len(rows)))
+        clean = p[~positive].sum() / n_unl - prior * p[positive].sum() / n_pos
+        slope = p * (1 - p) * np.where(positive, -prior / n_pos, 0.0)
+        if clean >= 0:
+            slope += p * (1 - p) * np.where(positive, -prior / n_pos, 1 / n_unl)
         grad = np.append(np.bincount(column, weights=slope[row], minlength=features), slope.sum())
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    margin = np.bincount(row, weights=theta[column], minlength=len(rows))[~positive]
+    low, high = -30.0, 30.0
+    for _ in range(60):
+        theta[-1] = (low + high) / 2
+        low, high = (low, theta[-1]) if len(margin) and sigmoid(margin + theta[-1]).mean() > prior else (theta[-1], high)
     return theta[:-1], float(theta[-1])
 
 
