@@ -135,7 +135,7 @@ class TrieTokenizer:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.known: dict[bytes, bytes] = {}  # words encoded lately; a bounded cache
-        self.chunks = ChunkEncoder(self._encode_new, self._encode_whole, keep_space=True, special=special)
+        self.chunks = ChunkEncoder(self._encode_new, self._encode_whole, keep_space=True, special=special, limit=400_000)
 
     def _pieces(self, text: str):
         """Words as bytes and special tokens as ids, in order."""

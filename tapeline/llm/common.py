@@ -48,50 +48,52 @@ def spans(texts, limit: int = 1 << 21):
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk, cutting at spaces and asking `encode_new` once for each chunk not seen lately.
+    """Encodes texts chunk by chunk, asking `encode_new` once for each chunk not seen lately.
 
-    `encode_new(list of chunks) -> list of bytes`. With `keep_space`, a chunk after the first carries the space before
-    it, and a text in which a space is followed by more white space (where a cut would part a run of white space) goes
-    whole to `encode_whole(text) -> bytes`. The cache is cleared when it passes `limit` chunks or `limit_bytes`.
+    `encode_new(list of chunks) -> list of bytes`. With `keep_space`, texts are cut before spaces and a chunk after the
+    first is encoded with its space; a text in which a space is followed by more white space or a special token (where a
+    cut would part what belongs together) goes whole to `encode_whole(text) -> bytes`. Without, texts are cut at white
+    space, which is dropped; `lower` says that the tokenizer ignores the case of A-Z. The cache is cleared when it passes
+    `limit` chunks or `limit_bytes`.
     """
 
-    def __init__(self, encode_new, encode_whole=None, keep_space=False, special=(), limit=400_000, limit_bytes=64 << 20):
+    def __init__(self, encode_new, encode_whole=None, keep_space=False, special=(), lower=False, limit=1_000_000, limit_bytes=64 << 20):
         self.encode_new, self.encode_whole, self.keep_space = encode_new, encode_whole, keep_space
-        self.special, self.limit, self.limit_bytes = tuple(special), limit, limit_bytes
-        self.cache: dict[str, bytes] = {}
+        self.special, self.lower, self.limit, self.limit_bytes = tuple(special), lower, limit, limit_bytes
+        self.cache: dict[str | bytes, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.held = 0
 
-    def _learn(self, cache, new, prefix):
+    def _learn(self, cache, new, prefix=""):
         new = list(new)
-        for chunk, ids in zip(new, self.encode_new([prefix + c for c in new]), strict=True):
+        for chunk, ids in zip(new, self.encode_new([prefix + c for c in new] if prefix else new), strict=True):
             cache[chunk] = ids
             self.held += len(chunk) + len(ids)
 
     def _split(self, text):
-        chunks = text.split(" ")
-        if self.keep_space and any(not c or c[0].isspace() or c.startswith(self.special) for c in chunks[1:] if not c or not c[0].isalnum()):
-            return None
-        return chunks
+        if self.keep_space:
+            return text.split(" ")
+        data = text.encode()
+        return (data.lower() if self.lower else data).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
         if len(self.cache) + len(self.heads) > self.limit or self.held > self.limit_bytes:
             self.cache, self.heads, self.held = {}, {}, 0
-        rest = 1 if self.keep_space else 0
-        seen: set[str] = set()
+        seen: set = set()
         for c in split:
-            if c is not None:
-                seen.update(c)
-        self._learn(self.cache, seen - self.cache.keys(), " " if self.keep_space else "")
-        if rest:
-            self._learn(self.heads, {c[0] for c in split if c} - self.heads.keys(), "")
+            seen.update(c[1:] if self.keep_space else c)
+        new = seen - self.cache.keys()
+        if not self.keep_space:
+            self._learn(self.cache, new)
+            return [b"".join(map(self.cache.__getitem__, c)) for c in split]
+        # chunks before which a text can't be cut stay out of the cache, so that their texts are found below
+        self._learn(self.cache, [c for c in new if c and not c[0].isspace() and not c.startswith(self.special)], " ")
+        self._learn(self.heads, {c[0] for c in split} - self.heads.keys())
         get, out = self.cache.__getitem__, []
         for text, c in zip(texts, split, strict=True):
-            if c is None:
-                out.append(self.encode_whole(text))
-            elif rest:
+            try:
                 out.append(self.heads[c[0]] + b"".join(map(get, c[1:])))
-            else:
-                out.append(b"".join(map(get, c)))
+            except KeyError:
+                out.append(self.encode_whole(text))
         return out

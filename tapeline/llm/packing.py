@@ -11,7 +11,9 @@ its sequence and offset, so every piece is placed on its own, wherever it lies.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,15 +37,18 @@ def encoder_of(path: str, keep_space: bool) -> ChunkEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    as_bytes = lambda e: np.array(e.ids, "<u4").tobytes()
+    with open(path, encoding="utf-8") as f:
+        lower = "Lowercase" in [n.get("type") for n in ((json.load(f).get("normalizer") or {}).get("normalizers") or [])]
 
     def new(chunks):
         out = []
         for i in range(0, len(chunks), 20_000):
-            out += [as_bytes(e) for e in tokenizer.encode_batch_fast(chunks[i : i + 20_000], add_special_tokens=False)]
+            part = chunks[i : i + 20_000]
+            found = tokenizer.encode_batch_fast(part if keep_space else [c.decode() for c in part], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
         return out
 
-    return ChunkEncoder(new, lambda t: new([t])[0], keep_space, special)
+    return ChunkEncoder(new, lambda t: new([t])[0], keep_space, special, lower)
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFrame:
