@@ -17,8 +17,8 @@ from .ledger import winkler
 
 C = F.col
 
-# Drift look-back, minimum sessions and scored points, calibration cap, coverage tolerance, online step.
-DRIFT_WINDOW, MIN_SESSIONS, MIN_SCORED, CALIBRATION_CAP, COVERAGE_TOL, ONLINE_STEP = 20, 180, 40, 240, 0.05, 0.1
+# Drift look-back, minimum sessions and scored points, coverage tolerance, online step.
+DRIFT_WINDOW, MIN_SESSIONS, MIN_SCORED, COVERAGE_TOL, ONLINE_STEP = 20, 180, 40, 0.05, 0.1
 # Price-band limits, tick and minimum widths.
 CIRCUIT = {"default": 0.20, "derivative": 0.10, "surveillance": 0.05}
 TICK = 0.05
@@ -44,8 +44,8 @@ def measured_coverage(residuals: DataFrame, widths: DataFrame, keys: list[str],
     return residuals.join(widths.select(*keys, "half_width"), keys).groupBy(*keys).agg(F.avg((F.abs(value) <= C("half_width") + 1e-12).cast("double")).alias("coverage"), F.count("*").alias("scored"))
 
 
-def calibrate_symbol(bars: DataFrame, horizon: int, confidence: float, model: str = "damped_drift") -> DataFrame:
-    """60/40 split conformal calibration per symbol with the evidence state."""
+def calibrate_symbol(bars: DataFrame, horizon: int, confidence: float, model: str = "damped_drift", newest: int | None = None) -> DataFrame:
+    """60/40 split conformal calibration per symbol with the evidence state; `newest` calibrates on that many residuals only."""
     base = model == "persistence"
     lr, rs = ("base_log_residual", "base_residual") if base else ("log_residual", "residual")
     r = walk_forward_residuals(bars, horizon).select("symbol", "ts", C(lr).alias("lr"), C(rs).alias("rs"), C("base_residual").alias("br"))
@@ -53,7 +53,9 @@ def calibrate_symbol(bars: DataFrame, horizon: int, confidence: float, model: st
     split = F.greatest(F.floor(C("m") * 0.6), F.lit(1))
     split = F.when(C("m") - split < 5, F.greatest(C("m") - 5, F.lit(1))).otherwise(split)
     r = cut(r.withColumn("split", split))
-    cal = r.where((C("k") <= C("split")) & (C("k") > C("split") - CALIBRATION_CAP))
+    cal = r.where(C("k") <= C("split"))
+    if newest is not None:
+        cal = cal.where(C("k") > C("split") - newest)
     w = conformal_width(cal, ["symbol"], "lr", confidence)
     cov = measured_coverage(r.where(C("k") > C("split")), w, ["symbol"], "lr")
     err = r.groupBy("symbol").agg(F.avg(F.abs("rs")).alias("mae"), F.sqrt(F.avg(C("rs") * C("rs"))).alias("rmse"), F.avg(F.abs("br")).alias("baseline_mae"))
@@ -265,10 +267,9 @@ def w1():
     return Window.partitionBy(F.lit(0)).orderBy("ts")
 
 
-def walk_forward_origins(bars: DataFrame, horizon: int, max_origins: int = 24, min_train: int = 40) -> DataFrame:
-    """At most ~max_origins evenly stepped origins per symbol, the last always among them."""
+def walk_forward_origins(bars: DataFrame, horizon: int, step: int = 1, min_train: int = 40) -> DataFrame:
+    """Every `step`-th origin per symbol, the last always among them."""
     d = bars.select("symbol", "ts", "close", (S.rn() - 1).alias("i"), S.size().alias("n")).where((C("i") >= min_train) & (C("i") < C("n") - horizon))
-    step = F.greatest(F.lit(1), F.ceil((C("n") - horizon - min_train) / max_origins))
     return d.where(((C("i") - min_train) % step == 0) | (C("i") == C("n") - horizon - 1))
 
 

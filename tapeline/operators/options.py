@@ -155,7 +155,7 @@ def atm_straddle_move(quotes: DataFrame, origin: Column, max_age_minutes: int =
 def iv_rank(history: DataFrame, lookback_days: int, min_samples: int = 5) -> DataFrame:
     """history(underlying, ts, iv): rank in range and percentile (ties half) of the newest value; joins one row per key back."""
     last = history.groupBy("underlying").agg(F.max_by("iv", F.struct("ts", "event_id")).alias("cur"), F.max("ts").alias("mx"))
-    d = history.join(F.broadcast(last), "underlying").where(C("ts") >= C("mx") - F.expr(f"INTERVAL {lookback_days} DAYS"))
+    d = history.join(last, "underlying").where(C("ts") >= C("mx") - F.expr(f"INTERVAL {lookback_days} DAYS"))
     g = d.groupBy("underlying").agg(F.count("*").alias("samples"), F.first("cur").alias("current"), F.min("iv").alias("lo"), F.max("iv").alias("hi"), F.avg("iv").alias("mean"), F.count_if(C("iv") < C("cur")).alias("below"), F.count_if(C("iv") == C("cur")).alias("ties"))
     return g.where(C("samples") >= min_samples).select("underlying", "samples", "current", "lo", "hi", "mean", F.when(C("hi") > C("lo"), (C("current") - C("lo")) / (C("hi") - C("lo"))).alias("iv_rank"), ((C("below") + 0.5 * C("ties")) / C("samples")).alias("iv_percentile"))
 

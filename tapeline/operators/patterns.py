@@ -61,13 +61,14 @@ def triangle(bars: DataFrame, lookback: int = 40) -> DataFrame:
         "symbol", name.alias("pattern"), side.alias("direction"), (0.45 + 0.5 * contraction).alias("quality"), F.lit(False).alias("confirmed"), "ts", F.lit(None).cast("double").alias("level"))
 
 
-def fair_value_gaps(bars: DataFrame, limit: int = 5) -> DataFrame:
+def fair_value_gaps(bars: DataFrame) -> DataFrame:
+    """Every gap, numbered from the newest."""
     d = bars.select("symbol", "ts", "high", "low", S.lag("high", 2).alias("fh"), S.lag("low", 2).alias("fl"))
     up, dn = C("low") > C("fh"), C("high") < C("fl")
     d = d.where(up | dn).select("symbol", "ts", F.when(up, "Bullish Fair Value Gap").otherwise("Bearish Fair Value Gap").alias("pattern"), F.when(up, "Bullish").otherwise("Bearish").alias("direction"),
                                 F.least(F.lit(1.0), F.when(up, (C("low") - C("fh")) / C("fh")).otherwise((C("fl") - C("high")) / C("fl")) * 20).alias("quality"),
                                 F.when(up, C("fh")).otherwise(C("high")).alias("zone_low"), F.when(up, C("low")).otherwise(C("fl")).alias("zone_high"))
-    return d.withColumn("_r", S.rn_desc()).where(C("_r") <= limit).drop("_r")
+    return d.withColumn("rank", S.rn_desc())
 
 
 def breakout_levels(bars: DataFrame, lookback: int = 60) -> DataFrame:

@@ -52,8 +52,9 @@ def split_candidates(bars: DataFrame) -> DataFrame:
             .where(C("_b.gap") <= 0.035).select("symbol", "ts", "ratio", C("_b.known").alias("known_ratio")))
 
 
-def split_suspects(bars: DataFrame, limit: int = 8) -> DataFrame:
-    return split_candidates(bars).withColumn("_r", S.rn()).where(C("_r") <= limit).drop("_r")
+def split_suspects(bars: DataFrame) -> DataFrame:
+    """Every suspect, numbered from the oldest."""
+    return split_candidates(bars).withColumn("rank", S.rn())
 
 
 def data_quality_score(raw: DataFrame, valid: Column, sequence: list[str]) -> DataFrame:
@@ -221,7 +222,7 @@ def freshness(bars: DataFrame, now: Column, stale_after: int = 3) -> DataFrame:
 
 
 def universe_reconcile(expected: DataFrame, resolved: DataFrame, sample: int = 25) -> DataFrame:
-    """Per exchange: missing, extra, keyed and covered members with bounded samples."""
+    """Per exchange: missing, extra, keyed and covered members; counts are complete, the lists name the first `sample` members."""
     e = expected.select("exchange", "symbol").distinct().withColumn("e", F.lit(1))
     r = resolved.groupBy("exchange", "symbol").agg(F.max(F.coalesce("instrument_key", F.lit("")) != "").alias("keyed")).withColumn("r", F.lit(1))
     j = e.join(r, ["exchange", "symbol"], "full_outer")
@@ -233,7 +234,8 @@ def universe_reconcile(expected: DataFrame, resolved: DataFrame, sample: int = 2
     agg = j.groupBy("exchange").agg(F.count("e").alias("expected"), F.count("r").alias("resolved"), F.count_if(C("state") == "missing").alias("missing"),
                                     F.count_if(C("state") == "extra").alias("extra"), F.count_if("keyed").alias("resolved_with_key"))
     cov = F.when(C("expected") > 0, 100 - F.round(C("missing") / C("expected") * 100, 2)).otherwise(0.0)
-    return agg.join(samples, "exchange", "left").select(
+    agg = agg.join(samples, "exchange", "left").withColumns({f"{s}_sample": F.coalesce(f"{s}_sample", F.lit("")) for s in ("missing", "extra")})
+    return agg.select(
         "*", cov.alias("covered_pct"), F.when(C("missing") + C("extra") > 0, "refresh").otherwise("in_sync").alias("action"))
 
 
@@ -384,7 +386,7 @@ def impossible_travel(logins: DataFrame, new_after_days: int = 30, max_kmh: floa
 
 
 # Secret-bearing key names and token patterns masked in text.
-MASK = "***REDACTED***"
+MASK = "[REDACTED]"
 KEY_VALUE_NAMES = ["access_token", "refresh_token", "id_token", "api_key", "apikey", "client_secret", "password", "passwd", "pwd", "token",
                    "secret", "authorization", "jwks", "jwt", "x_api_key"]
 ASSIGN_NAMES = ["access_token", "refresh_token", "id_token", "api_key", "apikey", "client_secret", "client_password", "password", "passwd",

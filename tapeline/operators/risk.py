@@ -324,7 +324,7 @@ def har_rv(bars: DataFrame, horizon: int = 1) -> DataFrame:
     aggs = [F.sum(F.when(C("fit"), C(f"x{i}") * C(f"x{j}"))).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)]
     aggs += [F.sum(F.when(C("fit"), C(f"x{i}") * C("y"))).alias(f"b{i}") for i in range(4)]
     g = d.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(C("fit") & (C("rv") <= 0)).alias("zeros"), F.max_by(F.struct("m0", "m1", "m2", "rv"), at).alias("last"), *aggs)
-    g = g.where("n >= 30").select("symbol", "zeros", "last.*", *[f"g{i}{j}" for i in range(4) for j in range(i, 4)], *[f"b{i}" for i in range(4)])
+    g = g.where("n >= 11").select("symbol", "n", "zeros", "last.*", *[f"g{i}{j}" for i in range(4) for j in range(i, 4)], *[f"b{i}" for i in range(4)])
 
     def solve(batches):
         import numpy as np
@@ -335,13 +335,13 @@ def har_rv(bars: DataFrame, horizon: int = 1) -> DataFrame:
                 for i in range(4):
                     for j in range(i, 4):
                         a[i, j] = a[j, i] = getattr(r, f"g{i}{j}") if getattr(r, f"g{i}{j}") is not None else 0.0
-                value = None
-                if r.zeros == 0 and np.isfinite(a).all():
+                value = r.rv * math.sqrt(DAYS) * 100  # too few rows, or no regression: the last one stands
+                if r.n >= 30 and r.zeros == 0 and np.isfinite(a).all():
                     try:
                         beta = np.linalg.solve(a, np.array([r.b0, r.b1, r.b2, r.b3]))
                         value = float(np.sqrt(np.exp(beta @ np.array([1.0, *np.log([r.m0, r.m1, r.m2])])) * horizon) * math.sqrt(DAYS) * 100)
                     except np.linalg.LinAlgError:
-                        value = None
+                        pass
                 out.append((r.symbol, value))
             yield pd.DataFrame(out, columns=["symbol", "har_rv"])
 

@@ -107,8 +107,8 @@ def intraday_session_summary(bars: DataFrame, bar_minutes: int) -> DataFrame:
                               "intraday_rv", (C("close") / (C("pv") / C("vol")) - 1).alias("vwap_distance"), "bars")
 
 
-def expiry_list(contracts: DataFrame, today: Column, limit: int = 16) -> DataFrame:
-    """Sorted expiries, nearest one and days to it, per underlying."""
+def expiry_list(contracts: DataFrame, today: Column) -> DataFrame:
+    """All sorted expiries, nearest one and days to it, per underlying."""
     d = contracts.where("expiry is not null").groupBy("underlying").agg(F.array_sort(F.collect_set("expiry")).alias("all"))
-    return d.select("underlying", F.concat_ws(",", F.transform(F.slice("all", 1, limit), lambda x: x.cast("string"))).alias("expiries"),
+    return d.select("underlying", F.concat_ws(",", F.transform("all", lambda x: x.cast("string"))).alias("expiries"),
                     C("all")[0].alias("nearest"), F.datediff(C("all")[0], today).alias("days_to_expiry"), F.size("all").alias("listed"))

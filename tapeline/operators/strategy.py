@@ -267,7 +267,7 @@ def rank_strategies(metrics: DataFrame) -> DataFrame:
 
 def forward_events(sig: DataFrame, tests: DataFrame, existing: DataFrame) -> DataFrame:
     """Signals on or after each test's start that are not recorded yet."""
-    new = sig.join(F.broadcast(tests), "symbol").where(C("ts") >= C("started"))
+    new = sig.join(tests, "symbol").where(C("ts") >= C("started"))
     return new.join(existing.select("test_id", "symbol", "ts", "action"), ["test_id", "symbol", "ts", "action"], "left_anti")
 
 

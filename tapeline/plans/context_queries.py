@@ -136,7 +136,7 @@ REG = f"""{ATR_CTES}, {ADX_CTES}, {MACD_CTES}, {rsi_ctes(14)}, e20 AS ({ewm_sql(
   rg2 AS (SELECT x.symbol, x.ts, s20, s50, stress, coalesce(adx >= 25, false) AS tg, rsi14.y AS rsi, CASE WHEN len(l) >= 5 AND ap IS NOT NULL THEN len(list_filter(l, lambda v: v < ap)) / len(l) END AS vp,
    CAST(coalesce(close > s20, false) AS INT) + CAST(coalesce(close > s50, false) AS INT) + CAST(coalesce(e20.y > e50.y, false) AS INT) + CAST(coalesce(macd_histogram > 0, false) AS INT) AS votes FROM rg1 x JOIN mdd USING (ts) LEFT JOIN adx USING (symbol, ts) LEFT JOIN rsi14 USING (symbol, ts) LEFT JOIN e20 USING (symbol, ts) LEFT JOIN e50 USING (symbol, ts) LEFT JOIN macd USING (symbol, ts)),
   rg3 AS (SELECT *, CASE WHEN votes >= 3 THEN CASE WHEN tg AND (rsi IS NULL OR rsi > 55) THEN 'strong_bullish' ELSE 'mild_bullish' END WHEN votes <= 1 THEN CASE WHEN tg AND (rsi IS NULL OR rsi < 45) THEN 'strong_bearish' ELSE 'mild_bearish' END ELSE 'sideways' END AS trend, CASE WHEN vp IS NULL THEN 'unknown' WHEN vp >= 0.8 THEN 'high' WHEN vp <= 0.2 THEN 'low' ELSE 'normal' END AS volatility FROM rg2),
-  rg4 AS (SELECT *, CASE WHEN s20 IS NULL AND s50 IS NULL THEN 'unclassified' WHEN stress = 'crisis' THEN 'crisis' WHEN volatility IN ('high', 'low') THEN CASE WHEN trend LIKE '%bullish' THEN 'bull' WHEN trend LIKE '%bearish' THEN 'bear' ELSE 'sideways' END || '_' || volatility || '_vol' ELSE 'unclassified' END AS regime FROM rg3),
+  rg4 AS (SELECT *, CASE WHEN s20 IS NULL AND s50 IS NULL THEN 'unclassified' WHEN stress = 'crisis' THEN 'crisis' WHEN volatility IN ('high', 'low') THEN CASE WHEN trend LIKE '%bullish' THEN 'bull_trend' WHEN trend LIKE '%bearish' THEN 'bear_trend' ELSE 'sideways' END || '_' || volatility || '_vol' ELSE 'unclassified' END AS regime FROM rg3),
   reg AS (SELECT symbol, ts, trend, volatility, stress, regime, CASE WHEN regime = 'unclassified' THEN 0.5 ELSE least(0.9, CASE WHEN tg THEN 0.7 ELSE 0.6 END + CASE WHEN stress IN ('elevated', 'crisis') THEN 0.2 ELSE 0 END) END AS probability FROM rg4)"""
 
 
@@ -145,19 +145,19 @@ def _(t):
     return cx.regime_label(t.bars, t.index_bars)
 
 
-RW = "rw AS (SELECT symbol, ts, CASE day(ts) % 4 WHEN 0 THEN 'crisis' WHEN 1 THEN 'bull_high_vol' WHEN 2 THEN 'sideways_low_vol' ELSE 'unclassified' END AS regime, 0.5e0 + month(ts) / 30e0 AS probability, close FROM bars)"
+RW = "rw AS (SELECT symbol, ts, CASE day(ts) % 4 WHEN 0 THEN 'crisis' WHEN 1 THEN 'bull_trend_high_vol' WHEN 2 THEN 'sideways_low_vol' ELSE 'unclassified' END AS regime, 0.5e0 + month(ts) / 30e0 AS probability, close FROM bars)"
 
 
 def regimes(t):
     k = F.dayofmonth("ts") % 4
-    return t.bars.select("symbol", "ts", F.when(k == 0, "crisis").when(k == 1, "bull_high_vol").when(k == 2, "sideways_low_vol").otherwise("unclassified").alias("regime"), (0.5 + F.month("ts") / 30.0).alias("probability"), "close")
+    return t.bars.select("symbol", "ts", F.when(k == 0, "crisis").when(k == 1, "bull_trend_high_vol").when(k == 2, "sideways_low_vol").otherwise("unclassified").alias("regime"), (0.5 + F.month("ts") / 30.0).alias("probability"), "close")
 
 
-@query("regime_weights", "symbol:s ts:d width_multiplier:f6 w_volatility:f6 w_quantile:f6 w_mean_reversion:f6",
-       f"""WITH {RW}, x AS (SELECT *, CASE regime WHEN 'crisis' THEN 1.4 WHEN 'bull_high_vol' THEN 1.18 WHEN 'sideways_low_vol' THEN 0.93 ELSE 1 END AS rawm, CASE regime WHEN 'crisis' THEN 1.5 WHEN 'bull_high_vol' THEN 1.3 WHEN 'sideways_low_vol' THEN 1.1 ELSE 1 END AS v, CASE regime WHEN 'crisis' THEN 0.5 ELSE 1 END AS q, CASE regime WHEN 'sideways_low_vol' THEN 1.3 ELSE 1 END AS m FROM rw)
-       SELECT symbol, ts, greatest(0.9, least(1.5, 1 + (rawm - 1) * least(1, probability))) AS width_multiplier, probability * v / (v + q + m) + (1 - probability) / 3 AS w_volatility, probability * q / (v + q + m) + (1 - probability) / 3 AS w_quantile, probability * m / (v + q + m) + (1 - probability) / 3 AS w_mean_reversion FROM x""")
+@query("regime_weights", "symbol:s ts:d width_multiplier:f6 w_volatility_model:f6 w_per_stock_cqr:f6 w_mean_reversion:f6",
+       f"""WITH {RW}, x AS (SELECT *, CASE regime WHEN 'crisis' THEN 1.4 WHEN 'bull_trend_high_vol' THEN 1.18 WHEN 'sideways_low_vol' THEN 0.93 ELSE 1 END AS rawm, CASE regime WHEN 'crisis' THEN 1.5 WHEN 'bull_trend_high_vol' THEN 1.3 WHEN 'sideways_low_vol' THEN 1.1 ELSE 1 END AS v, CASE regime WHEN 'crisis' THEN 0.5 ELSE 1 END AS q, CASE regime WHEN 'sideways_low_vol' THEN 1.3 ELSE 1 END AS m FROM rw)
+       SELECT symbol, ts, greatest(0.9, least(1.5, 1 + (rawm - 1) * least(1, probability))) AS width_multiplier, probability * v / (v + q + m) + (1 - probability) / 3 AS w_volatility_model, probability * q / (v + q + m) + (1 - probability) / 3 AS w_per_stock_cqr, probability * m / (v + q + m) + (1 - probability) / 3 AS w_mean_reversion FROM x""")
 def _(t):
-    return cx.regime_weights(regimes(t), ["volatility", "quantile", "mean_reversion"])
+    return cx.regime_weights(regimes(t), ["volatility_model", "per_stock_cqr", "mean_reversion"])
 
 
 @query("component_stack", "symbol:s ts:d stacked:f applied:b usable:i dropped:s",

@@ -51,7 +51,7 @@ def _(t):
 
 
 def cal(h, conf, lr, rs, p):
-    return f"""{p}r AS (SELECT symbol, k, m, {lr} AS lr, {rs} AS rs, act - ps AS br, CASE WHEN m - greatest(floor(m * 0.6), 1) < 5 THEN greatest(m - 5, 1) ELSE greatest(floor(m * 0.6), 1) END AS sp FROM wf), {p}c AS (SELECT * FROM {p}r WHERE k <= sp AND k > sp - 240), {cw(p + 'c', 'symbol', 'lr', conf, p + 'h')},
+    return f"""{p}r AS (SELECT symbol, k, m, {lr} AS lr, {rs} AS rs, act - ps AS br, CASE WHEN m - greatest(floor(m * 0.6), 1) < 5 THEN greatest(m - 5, 1) ELSE greatest(floor(m * 0.6), 1) END AS sp FROM wf), {p}c AS (SELECT * FROM {p}r WHERE k <= sp), {cw(p + 'c', 'symbol', 'lr', conf, p + 'h')},
   {p}v AS (SELECT symbol, avg(CASE WHEN abs(lr) <= half_width + 1e-12 THEN 1e0 ELSE 0 END) AS coverage, count(*) AS scored FROM {p}r JOIN {p}h USING (symbol) WHERE k > sp GROUP BY symbol), {p}e AS (SELECT symbol, avg(abs(rs)) AS mae, sqrt(avg(rs * rs)) AS rmse, avg(abs(br)) AS baseline_mae FROM {p}r GROUP BY symbol),
   {p}s AS (SELECT *, (baseline_mae - mae) / baseline_mae AS skill, exp(half_width) - 1 AS proportion FROM {p}e JOIN {p}h USING (symbol) JOIN {p}v USING (symbol)),
   {p}t AS (SELECT *, CASE WHEN scored < 40 THEN 'low_evidence' WHEN coverage + 0.05 < {conf} THEN 'abstained' WHEN skill <= 0 THEN 'baseline_only' ELSE 'model_supported' END AS state FROM {p}s),
@@ -84,7 +84,12 @@ def _(t):
     return ev.cqr_offsets(t.settled, ["tier"], 0.7).withColumnRenamed("offset", "width_offset")
 
 
-@query("adaptive_conformal", "symbol:s half_width:f gamma:f6 coverage:f6 steps:i", None)
+@query("adaptive_conformal", "symbol:s half_width:f gamma:f6 coverage:f6 steps:i",
+       f"""WITH RECURSIVE {base(1)}, l AS (SELECT symbol, list(abs(ln(act) - ln(dd)) ORDER BY ts) AS l FROM wf GROUP BY symbol),
+       s AS (SELECT symbol, 1 AS i, l[1] AS width, 0.1e0 * (1e0 - 0.8e0) AS gamma, 1 AS hit FROM l
+       UNION ALL SELECT symbol, i + 1, w, gamma + 0.1e0 * (CAST(r <= w AS DOUBLE) - 0.8e0), hit + CAST(r <= w AS INT) FROM (SELECT *, CASE WHEN k > i THEN v[i + 1] ELSE v[greatest(k, 1)] END AS w FROM (
+         SELECT s.symbol, i, gamma, hit, l[i + 1] AS r, list_sort(l[1 : i + 1]) AS v, CAST(ceil((i + 2) * least(0.99e0, greatest(0.5e0, 0.8e0 - gamma))) AS BIGINT) AS k FROM s JOIN l ON l.symbol = s.symbol WHERE i < len(l))))
+       SELECT s.symbol, width AS half_width, gamma, hit / i AS coverage, i AS steps FROM s JOIN l ON l.symbol = s.symbol WHERE i = len(l)""")
 def _(t):
     return ev.adaptive_conformal(ev.walk_forward_residuals(t.bars, 1).select("symbol", "ts", C("log_residual").alias("residual")), 0.8)
 
@@ -209,7 +214,7 @@ def _(t):
     return ev.purged_fold_sizes(t.bars.select("symbol", "ts"), 5)
 
 
-ORI = "ori AS (SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE i >= 40 AND i < n - 5 AND ((i - 40) % greatest(1, CAST(ceil((n - 45) / 24e0) AS BIGINT)) = 0 OR i = n - 6))"
+ORI = "ori AS (SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WHERE i >= 40 AND i < n - 5)"
 
 
 @query("walk_forward_origins", "symbol:s ts:d", f"WITH {ORI} SELECT * FROM ori")

@@ -53,8 +53,8 @@ def _(t):
     return q.data_quality_score(raw_bars(t), C("high") >= C("close"), SEQ)
 
 
-@query("split_suspects", "symbol:s ts:d ratio:f6 known_ratio:f6",
-       f"WITH {SUSPECT.format(src='bars')} SELECT symbol, ts, r AS ratio, k AS known_ratio FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM sus) WHERE n <= 8")
+@query("split_suspects", "symbol:s ts:d ratio:f6 known_ratio:f6 rank:i",
+       f"WITH {SUSPECT.format(src='bars')} SELECT symbol, ts, r AS ratio, k AS known_ratio, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rank FROM sus")
 def _(t):
     return q.split_suspects(t.bars)
 
@@ -155,15 +155,17 @@ def _(t):
 
 
 @query("universe_reconcile", "exchange:s expected:i resolved:i missing:i extra:i resolved_with_key:i covered_pct:f missing_sample:s extra_sample:s action:s",
-       """WITH e AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'X1' ELSE 'X2' END AS exchange, p_name AS symbol FROM part WHERE p_size < 20),
-       r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'X1' ELSE 'X2' END AS exchange, p_name AS symbol, bool_or(p_size % 3 = 0) AS keyed FROM part WHERE p_size > 15 GROUP BY ALL),
+       """WITH e AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'X1' ELSE 'X2' END AS exchange, concat(p_name, '#', CAST(p_partkey AS VARCHAR)) AS symbol FROM part),
+       r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'X1' ELSE 'X2' END AS exchange, concat(p_name, CASE WHEN p_size % 7 = 0 THEN '@' ELSE '#' END, CAST(p_partkey AS VARCHAR)) AS symbol, bool_or(p_size % 3 = 0) AS keyed FROM part GROUP BY ALL),
        j AS (SELECT coalesce(e.exchange, r.exchange) AS exchange, e.symbol AS es, r.symbol AS rs, keyed FROM e FULL JOIN r ON e.exchange = r.exchange AND e.symbol = r.symbol)
        SELECT exchange, count(es) AS expected, count(rs) AS resolved, count(*) FILTER (WHERE rs IS NULL) AS missing, count(*) FILTER (WHERE es IS NULL) AS extra, count(*) FILTER (WHERE keyed) AS resolved_with_key,
        100 - round(count(*) FILTER (WHERE rs IS NULL) / count(es) * 100, 2) AS covered_pct, coalesce(array_to_string(list_slice(list_sort(list(es) FILTER (WHERE rs IS NULL)), 1, 25), ','), '') AS missing_sample,
        coalesce(array_to_string(list_slice(list_sort(list(rs) FILTER (WHERE es IS NULL)), 1, 25), ','), '') AS extra_sample, CASE WHEN count(*) FILTER (WHERE rs IS NULL OR es IS NULL) > 0 THEN 'refresh' ELSE 'in_sync' END AS action FROM j GROUP BY exchange""", "part")
 def _(t):
-    p = t.raw("part").select(F.when(C("p_partkey") % 2 == 0, "X1").otherwise("X2").alias("exchange"), C("p_name").alias("symbol"), "p_size")
-    return q.universe_reconcile(p.where("p_size < 20"), p.where("p_size > 15").withColumn("instrument_key", F.when(C("p_size") % 3 == 0, "K")))
+    p = t.raw("part").select(F.when(C("p_partkey") % 2 == 0, "X1").otherwise("X2").alias("exchange"), "p_name", "p_partkey", "p_size")
+    named = lambda mark: F.concat("p_name", mark, C("p_partkey").cast("string"))
+    renamed = F.when(C("p_size") % 7 == 0, "@").otherwise("#")  # what the provider lists under another name
+    return q.universe_reconcile(p.withColumn("symbol", named(F.lit("#"))), p.withColumn("symbol", named(renamed)).withColumn("instrument_key", F.when(C("p_size") % 3 == 0, "K")))
 
 
 @query("provider_compare", "symbol:s S0:f S1:f S2:f", "SELECT symbol, max(price) FILTER (WHERE provider = 'S0') AS S0, max(price) FILTER (WHERE provider = 'S1') AS S1, max(price) FILTER (WHERE provider = 'S2') AS S2 FROM quotes GROUP BY symbol", "quotes")
@@ -216,10 +218,10 @@ def _(t):
 
 
 @query("error_groups", "fingerprint:s event_type:s scope:s failures:i first_seen:t last_seen:t recent_ids:s",
-       """WITH e AS (SELECT *, concat('S', CAST(user_id % 7 AS VARCHAR)) AS scope FROM events WHERE event_type IN ('error', 'click')), g AS (SELECT *, substr(sha256(concat_ws('|', scope, event_type)), 1, 16) AS fingerprint, row_number() OVER (PARTITION BY scope, event_type ORDER BY ts DESC, event_id DESC) AS r FROM e)
+       """WITH e AS (SELECT *, concat('S', CAST(user_id % 7 AS VARCHAR)) AS scope FROM events), g AS (SELECT *, substr(sha256(concat_ws('|', scope, event_type)), 1, 16) AS fingerprint, row_number() OVER (PARTITION BY scope, event_type ORDER BY ts DESC, event_id DESC) AS r FROM e)
        SELECT fingerprint, event_type, scope, count(*) AS failures, min(ts) AS first_seen, max(ts) AS last_seen, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r) FILTER (WHERE r <= 10) AS recent_ids FROM g GROUP BY ALL""", "events")
 def _(t):
-    e = t.raw("events").where(C("event_type").isin("error", "click")).select("event_id", "event_type", "ts", F.concat(F.lit("S"), (C("user_id") % 7).cast("string")).alias("scope"))
+    e = t.raw("events").select("event_id", "event_type", "ts", F.concat(F.lit("S"), (C("user_id") % 7).cast("string")).alias("scope"))
     return q.error_groups(e, ["scope", "event_type"])
 
 

@@ -62,15 +62,22 @@ def _(t):
     return rk.position_size(d)
 
 
-POS = "pos AS (SELECT user_id, symbol, sum(shares) AS quantity, sum(shares * price) / sum(shares) AS average_price FROM transactions WHERE side = 'BUY' GROUP BY user_id, symbol)"
+AVERAGE_COST = """ac_t AS (SELECT *, row_number() OVER (PARTITION BY user_id, symbol ORDER BY id) AS k FROM transactions), ac_r AS (
+  SELECT user_id, symbol, k, side = 'BUY' AS ok, CASE WHEN side = 'BUY' THEN shares ELSE 0e0 END AS q, CASE WHEN side = 'BUY' THEN price ELSE 0e0 END AS a FROM ac_t WHERE k = 1
+  UNION ALL SELECT t.user_id, t.symbol, t.k, t.side = 'BUY' OR r.q + 1e-9 >= t.shares, CASE WHEN t.side = 'BUY' THEN r.q + t.shares WHEN r.q + 1e-9 < t.shares THEN r.q WHEN r.q - t.shares <= 1e-9 THEN 0 ELSE r.q - t.shares END,
+   CASE WHEN t.side = 'BUY' THEN (r.q * r.a + t.shares * t.price) / (r.q + t.shares) WHEN r.q + 1e-9 >= t.shares AND r.q - t.shares <= 1e-9 THEN 0 ELSE r.a END FROM ac_r r JOIN ac_t t ON t.user_id = r.user_id AND t.symbol = r.symbol AND t.k = r.k + 1),
+  ac AS (SELECT user_id, symbol, count(*) AS fills, count(*) FILTER (WHERE ok) AS accepted, arg_max(q, k) AS quantity, arg_max(a, k) AS average_price FROM ac_r GROUP BY user_id, symbol)"""
+POS = AVERAGE_COST + ", pos AS (SELECT user_id, symbol, quantity, average_price FROM ac WHERE quantity > 0)"
 
 
 def positions(t):
-    return t.transactions.where("side = 'BUY'").groupBy("user_id", "symbol").agg(F.sum("shares").alias("quantity"), (F.sum(C("shares") * C("price")) / F.sum("shares")).alias("average_price"))
+    """What is still held after all fills, at average cost."""
+    held = rk.average_cost_positions(t.transactions, ["user_id", "symbol"], rk.FILL_ORDER, rk.fill_chunk())
+    return held.where("quantity > 0").select("user_id", "symbol", "quantity", "average_price")
 
 
 @query("portfolio_valuation", "user_id:i symbol:s market_value:f2 unrealized_pnl:f2 allocation_pct:f",
-       f"""WITH {POS}, v AS (SELECT pos.*, coalesce(c, average_price) AS price FROM pos LEFT JOIN (SELECT symbol, arg_max(close, ts) AS c FROM bars WHERE symbol <> 'Brand#7' GROUP BY symbol) USING (symbol))
+       f"""WITH RECURSIVE {POS}, v AS (SELECT pos.*, coalesce(c, average_price) AS price FROM pos LEFT JOIN (SELECT symbol, arg_max(close, ts) AS c FROM bars WHERE symbol <> 'Brand#7' GROUP BY symbol) USING (symbol))
        SELECT user_id, symbol, quantity * price AS market_value, (price - average_price) * quantity AS unrealized_pnl, quantity * price / sum(quantity * price) OVER (PARTITION BY user_id) * 100 AS allocation_pct FROM v""", "transactions bars")
 def _(t):
     last = t.bars.where("symbol <> 'Brand#7'").groupBy("symbol").agg(F.max_by("close", "ts").alias("price"))
@@ -78,11 +85,7 @@ def _(t):
 
 
 @query("average_cost_positions", "user_id:i symbol:s fills:i accepted:i quantity:f average_price:f",
-       """WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY user_id, symbol ORDER BY id) AS k FROM transactions), r AS (
-  SELECT user_id, symbol, k, side = 'BUY' AS ok, CASE WHEN side = 'BUY' THEN shares ELSE 0e0 END AS q, CASE WHEN side = 'BUY' THEN price ELSE 0e0 END AS a FROM t WHERE k = 1
-  UNION ALL SELECT t.user_id, t.symbol, t.k, t.side = 'BUY' OR r.q + 1e-9 >= t.shares, CASE WHEN t.side = 'BUY' THEN r.q + t.shares WHEN r.q + 1e-9 < t.shares THEN r.q WHEN r.q - t.shares <= 1e-9 THEN 0 ELSE r.q - t.shares END,
-   CASE WHEN t.side = 'BUY' THEN (r.q * r.a + t.shares * t.price) / (r.q + t.shares) WHEN r.q + 1e-9 >= t.shares AND r.q - t.shares <= 1e-9 THEN 0 ELSE r.a END FROM r JOIN t ON t.user_id = r.user_id AND t.symbol = r.symbol AND t.k = r.k + 1)
-  SELECT user_id, symbol, count(*) AS fills, count(*) FILTER (WHERE ok) AS accepted, arg_max(q, k) AS quantity, arg_max(a, k) AS average_price FROM r GROUP BY user_id, symbol""", "transactions")
+       f"WITH RECURSIVE {AVERAGE_COST} SELECT * FROM ac", "transactions")
 def _(t):
     return rk.average_cost_positions(t.transactions, ["user_id", "symbol"], rk.FILL_ORDER, rk.fill_chunk())
 
@@ -102,7 +105,7 @@ ACC = "acc AS (SELECT c_custkey AS user_id, 100000e0 AS initial, 100000 + c_acct
 
 
 @query("equity_leaderboard", "user_id:i equity:f2 return_pct:f",
-       f"WITH {POS}, {ACC} SELECT user_id, cash + coalesce(pc, 0) AS equity, ((cash + coalesce(pc, 0)) / initial - 1) * 100 AS return_pct FROM acc LEFT JOIN (SELECT user_id, sum(quantity * average_price) AS pc FROM pos GROUP BY user_id) USING (user_id) WHERE opted_in ORDER BY return_pct DESC, user_id LIMIT 25", "transactions customer")
+       f"WITH RECURSIVE {POS}, {ACC} SELECT user_id, cash + coalesce(pc, 0) AS equity, ((cash + coalesce(pc, 0)) / initial - 1) * 100 AS return_pct FROM acc LEFT JOIN (SELECT user_id, sum(quantity * average_price) AS pc FROM pos GROUP BY user_id) USING (user_id) WHERE opted_in ORDER BY return_pct DESC, user_id LIMIT 25", "transactions customer")
 def _(t):
     acc = t.raw("customer").select(C("c_custkey").alias("user_id"), F.lit(1e5).alias("initial"), (C("c_acctbal") + 1e5).alias("cash"), (C("c_nationkey") % 3 != 0).alias("opted_in"))
     return rk.equity_leaderboard(acc, positions(t).withColumn("lot", F.lit(1.0)), 25)
@@ -162,9 +165,9 @@ def har_sql():
     b3 = "(a11*(a22*c3-c2*a23) - a12*(a12*c3-c2*a13) + c1*(a12*a23-a22*a13))"
     return f"""h1 AS (SELECT symbol, ts, lr * lr AS rv FROM lr WHERE lr IS NOT NULL), h2 AS (SELECT symbol, ts, rv, {full(22, 'avg(rv)', 'rv')} AS m0, {full(66, 'avg(rv)', 'rv')} AS m1, {full(264, 'avg(rv)', 'rv')} AS m2 FROM h1),
   h3 AS (SELECT symbol, ts, m0, m1, m2, rv, CASE WHEN rv > 0 THEN ln(rv) END AS y, ln(lag(m0) OVER w) AS x1, ln(lag(m1) OVER w) AS x2, ln(lag(m2) OVER w) AS x3 FROM h2 WHERE m2 IS NOT NULL {W}),
-  h4 AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE rv <= 0 AND x1 IS NOT NULL) AS zeros, arg_max(ln(m0), ts) AS z1, arg_max(ln(m1), ts) AS z2, arg_max(ln(m2), ts) AS z3, avg(y) FILTER (WHERE x1 IS NOT NULL) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3,
-    covar_pop(x1, x1) AS a11, covar_pop(x1, x2) AS a12, covar_pop(x1, x3) AS a13, covar_pop(x2, x2) AS a22, covar_pop(x2, x3) AS a23, covar_pop(x3, x3) AS a33, covar_pop(y, x1) AS c1, covar_pop(y, x2) AS c2, covar_pop(y, x3) AS c3 FROM h3 GROUP BY symbol HAVING count(*) >= 30),
-  har AS (SELECT symbol, CASE WHEN zeros = 0 THEN sqrt(exp(my + ({b1} * (z1 - m1) + {b2} * (z2 - m2) + {b3} * (z3 - m3)) / {det})) * {ANN} END AS har_rv FROM h4)"""
+  h4 AS (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE rv <= 0 AND x1 IS NOT NULL) AS zeros, arg_max(rv, ts) AS rv, arg_max(ln(m0), ts) AS z1, arg_max(ln(m1), ts) AS z2, arg_max(ln(m2), ts) AS z3, avg(y) FILTER (WHERE x1 IS NOT NULL) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3,
+    covar_pop(x1, x1) AS a11, covar_pop(x1, x2) AS a12, covar_pop(x1, x3) AS a13, covar_pop(x2, x2) AS a22, covar_pop(x2, x3) AS a23, covar_pop(x3, x3) AS a33, covar_pop(y, x1) AS c1, covar_pop(y, x2) AS c2, covar_pop(y, x3) AS c3 FROM h3 GROUP BY symbol HAVING count(*) >= 11),
+  har AS (SELECT symbol, CASE WHEN zeros = 0 AND n >= 30 THEN sqrt(exp(my + ({b1} * (z1 - m1) + {b2} * (z2 - m2) + {b3} * (z3 - m3)) / {det})) * {ANN} ELSE rv * {ANN} END AS har_rv FROM h4)"""
 
 
 @query("har_rv", "symbol:s har_rv:f3", f"WITH {LR}, {har_sql()} SELECT * FROM har")
@@ -259,10 +262,10 @@ def _(t):
 
 
 FVG = f"""fvg AS (SELECT * FROM (SELECT symbol, ts, CASE WHEN low > fh THEN 'Bullish Fair Value Gap' ELSE 'Bearish Fair Value Gap' END AS pattern, CASE WHEN low > fh THEN 'Bullish' ELSE 'Bearish' END AS direction, least(1, CASE WHEN low > fh THEN (low - fh) / fh ELSE (fl - high) / fl END * 20) AS quality,
-  CASE WHEN low > fh THEN fh ELSE high END AS zone_low, CASE WHEN low > fh THEN low ELSE fl END AS zone_high, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM (SELECT *, lag(high, 2) OVER w AS fh, lag(low, 2) OVER w AS fl FROM bars {W}) WHERE low > fh OR high < fl) WHERE r <= 5)"""
+  CASE WHEN low > fh THEN fh ELSE high END AS zone_low, CASE WHEN low > fh THEN low ELSE fl END AS zone_high, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rank FROM (SELECT *, lag(high, 2) OVER w AS fh, lag(low, 2) OVER w AS fl FROM bars {W}) WHERE low > fh OR high < fl))"""
 
 
-@query("fair_value_gap", "symbol:s ts:d pattern:s direction:s quality:f6 zone_low:f zone_high:f", f"WITH {FVG} SELECT * FROM fvg")
+@query("fair_value_gap", "symbol:s ts:d pattern:s direction:s quality:f6 zone_low:f zone_high:f rank:i", f"WITH {FVG} SELECT * FROM fvg")
 def _(t):
     return pt.fair_value_gaps(t.bars)
 

@@ -84,7 +84,7 @@ def _(t):
 
 
 @query("expiry_list", "underlying:s expiries:s nearest:d days_to_expiry:i listed:i",
-       """SELECT symbol AS underlying, array_to_string(list_transform(list_slice(l, 1, 16), lambda x: CAST(x AS VARCHAR)), ',') AS expiries, l[1] AS nearest, l[1] - DATE '2001-12-01' AS days_to_expiry, len(l) AS listed FROM (SELECT symbol, list_sort(list(DISTINCT DATE '2001-12-01' + 30 * linenumber)) AS l FROM trades GROUP BY symbol)""", "trades")
+       """SELECT symbol AS underlying, array_to_string(list_transform(l, lambda x: CAST(x AS VARCHAR)), ',') AS expiries, l[1] AS nearest, l[1] - DATE '2001-12-01' AS days_to_expiry, len(l) AS listed FROM (SELECT symbol, list_sort(list(DISTINCT DATE '2001-12-01' + 30 * linenumber)) AS l FROM trades GROUP BY symbol)""", "trades")
 def _(t):
     d = F.date_add(F.lit("2001-12-01").cast("date"), C("linenumber") * 30)
     return se.expiry_list(t.trades.select(C("symbol").alias("underlying"), d.alias("expiry")), F.lit("2001-12-01").cast("date"))

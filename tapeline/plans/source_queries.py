@@ -1,11 +1,8 @@
 """Scan, load and sink queries."""
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import shared_path
 from ..sources import ohlcv as src
 from .registry import query
 
@@ -13,15 +10,6 @@ C = F.col
 SEQ = ["orderkey", "linenumber", "partkey", "suppkey"]
 
 
-def scratch(t, name):
-    """A fresh folder under the shared root for a round trip through a sink."""
-    root = checkpoint_root(t.spark)
-    if "://" in root:
-        import uuid
-        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix=name + "-", dir=root if os.path.isdir(root) else None), "data")
-
-
 SCAN_SQL = """SELECT symbol, ts, px AS open, px AS high, px AS low, px AS close, qty AS volume FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY orderkey DESC, linenumber DESC, partkey DESC, suppkey DESC) AS rn
   FROM trades WHERE linenumber % 7 <> 3) WHERE rn = 1"""
@@ -48,7 +36,7 @@ def _(t):
 @query("bar_cache_json", "symbol:s ts:d close:f volume:f provider:s is_stale:b timeframe:s",
        "SELECT symbol, ts, close, volume, 'main' AS provider, false AS is_stale, '1D' AS timeframe FROM bars")
 def _(t):
-    path = scratch(t, "barcache")
+    path = shared_path(t.spark, "barcache")
     src.write_bar_cache(t.bars, path, "1D", "main")
     return src.read_bar_cache(t.spark, path, "1D")
 
@@ -149,7 +137,7 @@ def _(t):
 @query("verified_csv_sink", "symbol:s available_at:t close:f volume:f",
        "SELECT symbol, CAST(ts AS TIMESTAMP) + INTERVAL 10 HOUR AS available_at, close, volume FROM bars")
 def _(t):
-    path = scratch(t, "verified")
+    path = shared_path(t.spark, "verified")
     src.write_verified_csv(t.bars, path)
     return t.spark.read.csv(path, header=True, schema="available_at timestamp, open double, high double, low double, close double, volume double, symbol string")
 

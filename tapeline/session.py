@@ -18,8 +18,6 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Bars are few bytes but many window frames each; do not merge them into one task.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,6 +29,7 @@ def get_spark(cpus: str | int = "*", shuffle: int = 8, app: str = "tapeline") ->
         builder = builder.config(key, value)
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")  # small local tables in all cores
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

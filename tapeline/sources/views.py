@@ -21,7 +21,6 @@ FILL_ORDER = ("shipdate", "orderkey", "linenumber", "partkey", "suppkey")
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         self.spark = spark
         self.dir = sf_dir
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import checkpoint_root
+from ..session import shared_path
 from ..sources.ohlcv import latest_by_key
 
 C = F.col
@@ -19,13 +15,6 @@ GRACE_SECONDS, GRACE_CAP = 21600, 172800
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    root = checkpoint_root(spark)
-    if "://" in root:
-        return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=name + "-", dir=root if os.path.isdir(root) else None)
-
-
 def tick_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Unbounded ticks from Parquet files: nested depth and a greeks map beside the flat fields."""
     r = spark.readStream.schema(EVENTS)
@@ -40,13 +29,13 @@ def tick_source(spark: SparkSession, path: str, files_per_trigger: int | None =
 def drain(stream: DataFrame, name: str, mode: str = "append", each=None) -> DataFrame:
     """Run a stream over what is available now into a Parquet folder and read it back."""
     spark = stream.sparkSession
-    base = scratch(spark, name)
+    base = shared_path(spark, name)
     out = f"{base}/out"
     w = stream.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
     if each is None and mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
-        fn = each or (lambda df, i: df.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(out))
+        fn = each or (lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch_id={i}"))  # a batch that runs again replaces its rows
         q = w.outputMode(mode).foreachBatch(fn if each is None else (lambda df, i: each(df, i, out))).start()
     q.awaitTermination()
     return spark.read.parquet(out)
@@ -78,7 +67,7 @@ def stale_symbols(ticks: DataFrame, limit_seconds: float) -> DataFrame:
         for v in ts:
             if last is not None and v - last > limit_seconds * 1e6:
                 rows.append((key[0], int(last), (v - last) / 1e6))
-            last = int(v)
+            last = int(v) if last is None else max(last, int(v))  # a late tick does not end a silence
         state.update((last,))
         yield pd.DataFrame(rows, columns=["symbol", "last_us", "silent_seconds"])
 
@@ -89,7 +78,7 @@ def stale_symbols(ticks: DataFrame, limit_seconds: float) -> DataFrame:
 def alert_stream(ticks: DataFrame, rules: DataFrame, cooldown: int = 900) -> DataFrame:
     """Threshold alerts; each alert remembers its last trigger and stays silent for the cooldown."""
     hit = F.when(C("condition") == "ABOVE", C("price") >= C("threshold")).otherwise(C("price") <= C("threshold"))
-    hits = ticks.join(F.broadcast(rules), "symbol").where(hit).select("alert_id", "event_id", "price", F.unix_micros("ts").alias("us"))
+    hits = ticks.join(rules, "symbol").where(hit).select("alert_id", "event_id", "price", F.unix_micros("ts").alias("us"))
 
     def step(key, pdfs, state: GroupState):
         last = state.get[0] if state.exists else None
