@@ -10,7 +10,7 @@ from tapeline.session import get_spark
 
 HEADLINE = ["run_screen", "ema", "rsi", "macd", "strategy_metrics", "backtest_strategy", "performance_metrics", "fifo_realized_gains",
             "average_cost_positions", "adjust_all_actions", "settle_forward_asof", "interval_quality", "calibrate_symbol", "instrument_features",
-            "chain_reprice", "scenario_margin", "payoff_grid", "resample_bars", "redact_text", "headline_sentiment"]
+            "chain_reprice", "scenario_margin", "payoff_grid", "resample_bars", "redact_text", "headline_sentiment", "indicator_panel", "regime_label"]
 
 
 def main():
