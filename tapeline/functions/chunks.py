@@ -53,6 +53,25 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], agg
     return joined.select(*keep, *[merge(o, k).alias(o) for o, (k, _) in aggs.items()])
 
 
+def lowest_level(df: DataFrame, keys: list[str], chunk: Column, order: list[str], change: Column) -> DataFrame:
+    """Add `level` (running sum of `change`), `low` (its minimum so far) and `low_before` (the same before the row).
+
+    A chunk is summed up by its total and the lowest point of its own running sum; both compose, so one carry per chunk
+    serves all three columns.
+    """
+    keep = df.columns
+    df = cut(df.select("*", chunk.alias("_chunk"), change.alias("_change")))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    so_far = w.rowsBetween(UP, 0)
+    local = df.withColumn("_level", F.sum("_change").over(so_far)).withColumn("_low", F.min("_level").over(so_far))
+    parts = local.groupBy(*keys, "_chunk").agg(F.sum("_change").alias("_total"), F.min("_level").alias("_least"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(UP, -1)
+    parts = parts.withColumn("_in", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
+    carry = parts.select(*keys, "_chunk", "_in", F.min(F.col("_in") + F.col("_least")).over(before).alias("_in_low"))
+    d = _carry_join(local.withColumn("_prev", F.lag("_low").over(w)), carry, keys)
+    return d.select(*keep, (F.col("_in") + F.col("_level")).alias("level"), F.least("_in_low", F.col("_in") + F.col("_low")).alias("low"), F.least("_in_low", F.col("_in") + F.col("_prev")).alias("low_before"))
+
+
 def three_pass(df: DataFrame, keys: list[str], chunk: Column, cols: list[str], summarise, summary: str, step, state: str, walk, out: str) -> DataFrame:
     """Sequential state machine over chunked keys.
 

@@ -210,11 +210,10 @@ def fifo_matches(fills: DataFrame, keys: list[str], order: list[str], chunk: Col
     """
     f = fills.where((C("shares") > 0) & (C("price") >= 0) & C("side").isin("BUY", "SELL"))
     buy = C("side") == "BUY"
-    f = chunks.running(f, keys, chunk, order, {"s": ("sum", F.when(buy, C("shares")).otherwise(-C("shares")))})
-    f = chunks.running(f, keys, chunk, order, {"m": ("min", C("s"))})
-    f = chunks.previous(f, keys, chunk, order, {"pm": "m"})
-    short = F.greatest(F.lit(0.0), -C("m")) - F.greatest(F.lit(0.0), -F.coalesce("pm", F.lit(0.0)))
-    f = f.withColumn("unmatched", F.when(buy, 0.0).otherwise(short)).withColumn("eff", F.when(buy, C("shares")).otherwise(C("shares") - C("unmatched")))
+    f = chunks.lowest_level(f, keys, chunk, order, F.when(buy, C("shares")).otherwise(-C("shares")))
+    short = F.greatest(F.lit(0.0), -C("low")) - F.greatest(F.lit(0.0), -F.coalesce("low_before", F.lit(0.0)))
+    f = f.withColumn("unmatched", F.when(buy, 0.0).otherwise(short)).drop("level", "low", "low_before")
+    f = f.withColumn("eff", F.when(buy, C("shares")).otherwise(C("shares") - C("unmatched")))
     f = chunks.running(f, [*keys, "side"], chunk, order, {"hi": ("sum", C("eff"))})
     f = f.withColumn("lo", C("hi") - C("eff")).where((C("eff") > 1e-12) | (C("side") == "SELL"))
 

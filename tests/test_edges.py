@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check import text
+from tapeline.functions import chunks
 from tapeline.operators import context, evaluation, patterns, quality, risk, sessions
 from tapeline.session import cut, release, shared_path
 from tapeline.streaming import ticks
@@ -89,3 +90,18 @@ def test_cut_tables_are_released(spark):
     release(spark)
     with pytest.raises(Exception):
         spark.read.parquet(d.inputFiles()[0]).count()
+
+
+def test_lowest_level_in_one_carry(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, float(rng.integers(-5, 6))) for i, k in enumerate(rng.choice([0, 0, 0, 0, 1, 2], 500))]
+    d = spark.createDataFrame(rows, "k int, i int, x double")
+    got = {(r["k"], r["i"]): (r["level"], r["low"], r["low_before"]) for r in chunks.lowest_level(d, ["k"], F.floor(F.col("i") / 7), ["i"], F.col("x")).collect()}
+    for k in range(3):
+        level, low, before = 0.0, None, None
+        for kk, i, x in rows:
+            if kk == k:
+                level += x
+                before, low = low, level if low is None else min(low, level)
+                assert got[k, i] == (level, low, before)
