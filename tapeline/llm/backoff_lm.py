@@ -16,15 +16,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import in_fold, spans
+from .common import in_fold, parts
 
-BLOCK_CHARS = 12 << 20
-BUCKET_TOKENS = 1_500_000
+BLOCK_CHARS = 6 << 20
+BUCKET_TOKENS = 1_000_000
 BLOCKS = "block bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, words binary, hashes binary"
 ASKED = "bucket bigint, block bigint, kind int, hashes binary, counts binary"
 TOLD = "block bigint, bucket bigint, kind int, totals binary, types bigint, mass bigint"
@@ -36,6 +37,24 @@ def _batch(schema: str, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+def small(numbers: np.ndarray) -> bytes:
+    """Small numbers take few bytes on their way."""
+    return zstandard.compress(np.ascontiguousarray(numbers, "<u4").tobytes(), 1)
+
+
+def packed_totals(totals: np.ndarray) -> bytes:
+    """Totals of any size."""
+    return zstandard.compress(np.ascontiguousarray(totals, "<i8").tobytes(), 1)
+
+
+def totals_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<i8")
+
+
+def numbers_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -47,16 +66,15 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         at = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, held, texts = batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist()
-            for i, j in spans(texts, BLOCK_CHARS):
-                numbers, words = _Numbers(), []
-                for t in texts[i:j]:
-                    split = t.encode().lower().split()
-                    words.append(np.fromiter(map(numbers.__getitem__, split), "<u4", len(split)))
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
-                yield _batch(BLOCKS, [[at], [ids[i:j]], [held[i:j]], [[len(w) for w in words]], [np.concatenate(words).tobytes()], [hashes.tobytes()]])
-                at += 1
+        for batch in parts(batches, BLOCK_CHARS):
+            numbers, words = _Numbers(), []
+            for text in batch.column("text"):
+                split = text.as_py().encode().lower().split()
+                words.append(np.fromiter(map(numbers.__getitem__, split), "<u4", len(split)))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))
+            ids, held = batch.column("doc_id").to_pylist(), batch.column("held").to_pylist()
+            yield _batch(BLOCKS, [[at], [ids], [held], [[len(w) for w in words]], [small(np.concatenate(words))], [hashes.tobytes()]])
+            at += 1
 
     return docs.mapInArrow(run, BLOCKS)
 
@@ -74,7 +92,7 @@ class Block:
         self.symbols = np.full(int(self.last[-1]) + 1, self.end, np.int64)
         inside = np.ones(len(self.symbols), bool)
         inside[self.last] = False
-        self.symbols[inside] = np.frombuffer(words, "<u4")
+        self.symbols[inside] = numbers_of(words)
         self.states = np.empty_like(self.symbols)
         self.states[1:] = self.symbols[:-1]
         self.states[self.first] = self.start
@@ -104,12 +122,13 @@ def dealt(hashes: np.ndarray, buckets: int):
 def ask(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a block is work enough at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 block = Block(row["sizes"], row["held"], row["words"], row["hashes"])
                 for kind, (hashes, counts) in enumerate(block.asked()):
-                    order, parts = dealt(hashes, buckets)
+                    order, spread = dealt(hashes, buckets)
                     hashes, counts = hashes[order], counts[order]
-                    yield _batch(ASKED, [[b for b, _, _ in parts], [row["block"]] * len(parts), [kind] * len(parts), [hashes[i:j].tobytes() for _, i, j in parts], [counts[i:j].tobytes() for _, i, j in parts]])
+                    yield _batch(ASKED, [[b for b, _, _ in spread], [row["block"]] * len(spread), [kind] * len(spread), [hashes[i:j].tobytes() for _, i, j in spread], [small(counts[i:j]) for _, i, j in spread]])
 
     return blocks.mapInArrow(run, ASKED)
 
@@ -121,12 +140,13 @@ def add_up(asked: pa.Table) -> pa.Table:
         rows = [r for r in asked.to_pylist() if r["kind"] == kind]
         if not rows:
             continue
-        hashes, counts = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("hashes", "<u8"), ("counts", "<u4")))
+        each = [numbers_of(r["counts"]) for r in rows]
+        hashes, counts = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows]), np.concatenate(each)
         own, where = np.unique(hashes, return_inverse=True)
-        totals = np.bincount(where, weights=counts, minlength=len(own)).astype("<u8")
-        told, ends = totals[where], np.cumsum([len(r["counts"]) // 4 for r in rows]).tolist()
+        totals = np.bincount(where, weights=counts, minlength=len(own)).astype(np.int64)
+        told, ends = totals[where], np.cumsum([len(e) for e in each]).tolist()
         for k, (r, i, j) in enumerate(zip(rows, [0, *ends], ends)):
-            out.append((r["block"], r["bucket"], kind, told[i:j].tobytes(), 0 if k else int((totals > 0).sum()), 0 if k else int(totals.sum())))
+            out.append((r["block"], r["bucket"], kind, packed_totals(told[i:j]), 0 if k else int((totals > 0).sum()), 0 if k else int(totals.sum())))
     return pa.Table.from_batches([_batch(TOLD, list(zip(*out, strict=True)))])
 
 
@@ -173,7 +193,7 @@ def score(docs: DataFrame, parts: int = 7, held_part: int = 2, mu: float = 300.0
             for kind, (hashes, _) in enumerate(block.asked()):
                 order, _ = dealt(hashes, buckets)
                 total = np.empty(len(order), np.int64)
-                total[order] = np.frombuffer(b"".join(a["totals"] for a in by_kind[kind]), "<u8")
+                total[order] = np.concatenate([totals_of(a["totals"]) for a in by_kind[kind]])
                 totals.append(total)
             model, base = Automaton(block, *totals, n, v, mu).walk(block)
             known = np.add.reduceat((totals[0][block.symbols] > 0).astype(np.int64), block.first)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,20 @@ def spans(texts, limit: int = 1 << 21):
         yield i, len(texts)
 
 
+def parts(batches, limit: int = 1 << 21, name: str = "text"):
+    """The batches cut into smaller ones of about `limit` bytes of text (a longer text is one of its own), before any becomes Python objects."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        i = held = 0
+        for j, n in enumerate(size.tolist()):
+            if held and held + n > limit:
+                yield batch.slice(i, j - i)
+                i, held = j, 0
+            held += n
+        if i < batch.num_rows:
+            yield batch.slice(i)
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk, asking `encode_new` once for each chunk not seen lately.
 

@@ -55,7 +55,7 @@ def test_language_model(spark, monkeypatch, chars, tokens):
 
 
 def test_model_sums_to_one():
-    block = backoff_lm.Block([3, 2], [False, False], np.array([0, 1, 0, 1, 2], "<u4").tobytes(), np.array([11, 12, 13], "<u8").tobytes())
+    block = backoff_lm.Block([3, 2], [False, False], backoff_lm.small(np.array([0, 1, 0, 1, 2])), np.array([11, 12, 13], "<u8").tobytes())
     words, pairs = (c.astype(np.int64) for _, c in block.asked())
     n, v, mu = int(words.sum()), int((words > 0).sum()), 5.0
     p0 = {t: (words[t] + 1) / (n + v + 1) for t in range(block.end + 1) if words[t]}
