@@ -232,9 +232,32 @@ def conditional_coverage(rows: DataFrame, min_n: int = 5) -> DataFrame:
     return g.where(C("n") >= min_n)
 
 
-def evaluate_tier(rows: DataFrame, min_n: int) -> DataFrame:
-    """Coverage, interval score, error, pinball and direction per tier with eligibility."""
-    p = published_metrics(rows, ["tier"])
+# Levels of the pinball set of a tier report.
+LEVELS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
+
+
+def interval_quantile(level: float, confidence: float) -> Column:
+    """A quantile read off the interval: between its lower end and median, or median and upper end."""
+    lo, mid, hi = C("forecast_low"), C("forecast_median"), C("forecast_high")
+    return lo + (mid - lo) * (level / (1 - confidence) * 2) if level <= 0.5 else mid + (hi - mid) * ((level - 0.5) / 0.5)
+
+
+def tier_distribution(rows: DataFrame, confidence: float, event: Column | None = None, min_n: int = 6) -> DataFrame:
+    """Per tier: pinball set, CRPS, PIT test, worst coverage of a regime, and coverage on event and other days."""
+    hit, count = C("coverage_hit").cast("double"), lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    event = F.lit(False) if event is None else event
+    parts = [F.avg(pinball_loss(C("actual_price"), interval_quantile(q, confidence), q)).alias(f"pinball_{round(q * 100):02d}") for q in LEVELS]
+    parts.append(F.avg(crps_gaussian(C("actual_price"), C("forecast_median"), (C("forecast_high") - C("forecast_low")) / 4)).alias("crps"))
+    parts += [F.when(count(cond) >= min_n, F.avg(F.when(cond, hit))).alias(name) for name, cond in (("event_coverage", event), ("non_event_coverage", ~event))]
+    by_regime = rows.groupBy("tier", "regime").agg(F.count("*").alias("n"), F.avg(hit).alias("c")).where(C("n") >= min_n)
+    worst = by_regime.groupBy("tier").agg(F.min("c").alias("worst_regime_coverage"))
+    pit = pit_ks(rows, ["tier"], Span(("tier",), ("id",))).select("tier", C("ks").alias("pit_ks"), C("p_value").alias("pit_p_value"))
+    return rows.groupBy("tier").agg(*parts).join(pit, "tier").join(worst, "tier", "left")
+
+
+def evaluate_tier(rows: DataFrame, min_n: int, confidence: float = 0.8, event: Column | None = None) -> DataFrame:
+    """Coverage, interval score, error, pinball, CRPS, PIT and direction per tier with eligibility."""
+    p = published_metrics(rows, ["tier"]).join(tier_distribution(rows, confidence, event), "tier")
     pb = rows.groupBy("tier").agg(F.avg((pinball_loss(C("actual_price"), C("forecast_low"), 0.1) + pinball_loss(C("actual_price"), C("forecast_high"), 0.9)) / 2).alias("pinball"),
                                   F.avg(F.abs(C("actual_price") - C("origin_price"))).alias("base"))
     return p.join(pb, "tier").withColumn("mase", ratio("mae", "base")).withColumn("eligible", C("n") >= min_n)

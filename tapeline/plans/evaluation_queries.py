@@ -196,13 +196,24 @@ def _(t):
     return ev.conditional_coverage(t.settled.withColumn("is_event", F.dayofmonth("target_date") == 15))
 
 
+Z4 = "((actual_price - forecast_median) / ((forecast_high - forecast_low) / 4e0))"
+
+
+def iq(q):
+    return f"(forecast_low + (forecast_median - forecast_low) * {q / (1 - 0.8) * 2!r}e0)" if q <= 0.5 else f"(forecast_median + (forecast_high - forecast_median) * {(q - 0.5) / 0.5!r}e0)"
+
+
 TIER = f"""{OP}, pm AS ({PUB.format(k='tier')}), tb AS (SELECT tier, avg((greatest(0.1 * (actual_price - forecast_low), -0.9 * (actual_price - forecast_low)) + greatest(0.9 * (actual_price - forecast_high), -0.1 * (actual_price - forecast_high))) / 2) AS pinball, avg(abs(actual_price - origin_price)) AS base FROM op GROUP BY tier),
-  te AS (SELECT pm.*, pinball, mae / base AS mase, n >= 7600 AS eligible FROM pm JOIN tb USING (tier))"""
+  tq AS (SELECT tier, {', '.join(f"avg(greatest({q} * (actual_price - {iq(q)}), ({q} - 1) * (actual_price - {iq(q)}))) AS pinball_{round(q * 100):02d}" for q in ev.LEVELS)}, avg((forecast_high - forecast_low) / 4e0 * ({Z4} * (2 * {norm_cdf_sql(Z4)} - 1) + 2 * exp(-{Z4} * {Z4} / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))) AS crps,
+    avg(CAST(coverage_hit AS DOUBLE)) FILTER (WHERE day(target_date) = 15) AS event_coverage, avg(CAST(coverage_hit AS DOUBLE)) FILTER (WHERE day(target_date) <> 15) AS non_event_coverage FROM op GROUP BY tier),
+  tg AS (SELECT tier, min(c) AS worst_regime_coverage FROM (SELECT tier, regime, avg(CAST(coverage_hit AS DOUBLE)) AS c FROM op GROUP BY tier, regime HAVING count(*) >= 6) GROUP BY tier),
+  tx AS (SELECT tier, greatest(0, least(1, (actual_price - forecast_low) / (forecast_high - forecast_low))) AS x FROM op), ty AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY x) AS i, count(*) OVER (PARTITION BY tier) AS n FROM tx), tk AS (SELECT tier, max(n) AS kn, max(greatest(i / n - x, x - (i - 1) / n)) AS pit_ks FROM ty GROUP BY tier),
+  te AS (SELECT pm.*, pinball, mae / base AS mase, n >= 7600 AS eligible, tq.* EXCLUDE (tier), worst_regime_coverage, pit_ks, greatest(0, least(1, {' + '.join(f'{2 * (-1) ** (k - 1)} * exp(-2.0 * {k * k} * pit_ks * pit_ks * kn)' for k in range(1, 21))})) AS pit_p_value FROM pm JOIN tb USING (tier) JOIN tq USING (tier) JOIN tg USING (tier) JOIN tk USING (tier))"""
 
 
-@query("evaluate_tier", "tier:s n:i coverage:f6 winkler:f2 mae:f2 pinball:f2 mase:f6 balanced_direction:f6 eligible:b", f"WITH {TIER} SELECT * FROM te", "settled")
+@query("evaluate_tier", "tier:s n:i coverage:f6 winkler:f2 mae:f2 pinball:f2 mase:f6 balanced_direction:f6 eligible:b " + " ".join(f"pinball_{round(q * 100):02d}:f2" for q in ev.LEVELS) + " crps:f2 event_coverage:f6 non_event_coverage:f6 worst_regime_coverage:f6 pit_ks:f6 pit_p_value:f6", f"WITH {TIER} SELECT * FROM te", "settled")
 def _(t):
-    return ev.evaluate_tier(scored(t), 7600)
+    return ev.evaluate_tier(scored(t), 7600, event=F.dayofmonth("target_date") == 15)
 
 
 @query("purged_folds", "symbol:s ts:d train_rows:i purged:i",
@@ -243,9 +254,8 @@ def _(t):
        SELECT tier, abs(coverage - 0.27) <= 0.05 AND winkler <= b AND w >= 0.12 AND eligible AS promoted, concat_ws(',', CASE WHEN abs(coverage - 0.27) > 0.05 THEN 'coverage' END, CASE WHEN winkler > b THEN 'winkler' END, CASE WHEN w < 0.12 THEN 'conditional' END, CASE WHEN NOT eligible THEN 'eligible' END) AS reasons FROM te JOIN wr USING (tier) CROSS JOIN bw""", "settled")
 def _(t):
     te = ev.evaluate_tier(scored(t), 7600)
-    w = t.settled.groupBy("tier", "regime").agg(F.avg(C("coverage_hit").cast("double")).alias("c")).groupBy("tier").agg(F.min("c").alias("worst_regime_coverage"))
     b = t.settled.agg(F.avg("winkler").alias("baseline_winkler"))
-    return ev.promotion_gate(te.join(w, "tier").crossJoin(F.broadcast(b)), 0.27, 1.0)
+    return ev.promotion_gate(te.crossJoin(F.broadcast(b)), 0.27, 1.0)
 
 
 def panel(t):
