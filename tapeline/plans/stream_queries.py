@@ -19,10 +19,11 @@ def stream(t):
     return st.tick_source(t.spark, f"{t.dir}/events*.parquet")
 
 
-@query("tick_stream_source", "symbol:s ticks:i price_sum:f2 delta_sum:f bid_sum:f2", "SELECT symbol, count(*) AS ticks, sum(price) AS price_sum, sum(least(1, price / 500)) AS delta_sum, sum(price - 0.05e0) AS bid_sum FROM ticks GROUP BY symbol", "ticks")
+@query("tick_stream_source", "symbol:s ticks:i price_sum:f2 delta_sum:f bid_sum:f2 range_sum:f2 change_sum:f2 oi_sum:i iv_sum:f", "SELECT symbol, count(*) AS ticks, sum(price) AS price_sum, sum(least(1, price / 500)) AS delta_sum, sum(price - 0.05e0) AS bid_sum, sum(price * 1.01e0 - price * 0.98e0) AS range_sum, sum(price - price * 0.985e0) AS change_sum, sum(event_id % 1000) AS oi_sum, sum(least(1, price / 1000)) AS iv_sum FROM ticks GROUP BY symbol", "ticks")
 def _(t):
     d = st.drain(stream(t), "ticks")
-    return d.groupBy("symbol").agg(F.count("*").alias("ticks"), F.sum("price").alias("price_sum"), F.sum(C("greeks")["delta"]).alias("delta_sum"), F.sum(C("depth")[0]["bid"]).alias("bid_sum"))
+    return d.groupBy("symbol").agg(F.count("*").alias("ticks"), F.sum("price").alias("price_sum"), F.sum(C("greeks")["delta"]).alias("delta_sum"), F.sum(C("depth")[0]["bid"]).alias("bid_sum"),
+                                   F.sum(C("high") - C("low")).alias("range_sum"), F.sum("change").alias("change_sum"), F.sum("open_interest").alias("oi_sum"), F.sum("implied_volatility").alias("iv_sum"))
 
 
 @query("latest_quote", "symbol:s ts:t price:f volume:i", "SELECT symbol, max(ts) AS ts, arg_max(price, (ts, event_id)) AS price, arg_max(volume, (ts, event_id)) AS volume FROM ticks GROUP BY symbol", "ticks")
@@ -76,11 +77,12 @@ def _(t):
 
 
 @query("settlement_stream", "id:i matches:i first_price:f",
-       """SELECT f.event_id AS id, count(*) AS matches, arg_min(k.price, k.ts) AS first_price FROM ticks f JOIN ticks k ON f.symbol = k.symbol AND k.ts >= f.ts + INTERVAL 1 HOUR AND k.ts <= f.ts + INTERVAL 3 HOUR GROUP BY f.event_id""", "ticks")
+       f"""SELECT f.event_id AS id, count(k.ts) AS matches, arg_min(k.price, k.ts) AS first_price FROM ticks f LEFT JOIN ticks k ON f.symbol = k.symbol AND k.ts >= f.ts + INTERVAL 1 HOUR AND k.ts <= f.ts + INTERVAL 3 HOUR
+       WHERE k.ts IS NOT NULL OR f.ts + INTERVAL 3 HOUR < {CLOSED} GROUP BY f.event_id""", "ticks")
 def _(t):
     f = stream(t).select("symbol", C("event_id").alias("id"), (C("ts") + F.expr("INTERVAL 1 HOUR")).alias("target"))
     d = st.drain(st.settlement_stream(f, stream(t), "2 HOURS", "1 hour"), "settle")
-    return d.where("tick_ts is not null").groupBy("id").agg(F.count("*").alias("matches"), F.min_by("tick_price", "tick_ts").alias("first_price"))
+    return d.groupBy("id").agg(F.count("tick_ts").alias("matches"), F.min_by("tick_price", "tick_ts").alias("first_price"))
 
 
 @query("sentiment_ingest", "symbol:s avg_score:f6 headlines:i", f"WITH {SENT} SELECT symbol, avg(score) AS avg_score, count(*) AS headlines FROM snt GROUP BY symbol", "headlines")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.span import ratio
 from ..session import shared_path
 from ..sources.ohlcv import latest_by_key
 
@@ -16,14 +17,17 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def tick_source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Unbounded ticks from Parquet files: nested depth and a greeks map beside the flat fields."""
+    """Unbounded ticks from Parquet files: session prices, open interest, implied volatility, nested depth and a greeks map."""
     r = spark.readStream.schema(EVENTS)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     d = r.parquet(path)
     depth = F.array(F.struct((C("value") - 0.05).alias("bid"), F.lit(1).alias("bid_qty"), (C("value") + 0.05).alias("ask"), F.lit(1).alias("ask_qty")))
     return d.select("event_id", C("event_type").alias("symbol"), C("ts").cast("timestamp").alias("ts"), C("value").alias("price"), (1 + C("event_id") % 100).alias("volume"), "user_id",
-                    depth.alias("depth"), F.create_map(F.lit("delta"), F.least(F.lit(1.0), C("value") / 500)).alias("greeks"))
+                    (C("value") * 0.99).alias("open"), (C("value") * 1.01).alias("high"), (C("value") * 0.98).alias("low"), (C("value") * 0.985).alias("previous_close"),
+                    depth.alias("depth"), (C("event_id") % 1000).cast("double").alias("open_interest"), F.least(F.lit(1.0), C("value") / 1000).alias("implied_volatility"),
+                    F.create_map(F.lit("delta"), F.least(F.lit(1.0), C("value") / 500)).alias("greeks")).withColumns(
+                        {"change": C("price") - C("previous_close"), "change_pct": ratio(C("price"), C("previous_close")) * 100 - 100})
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", each=None) -> DataFrame:
