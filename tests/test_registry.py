@@ -23,7 +23,12 @@ def test_entry(spark):
     assert "symbol" in entry(spark).columns
 
 
-@pytest.mark.parametrize("name", ["ohlcv_scan", "sma", "macd", "price_contract", "interval_quality", "max_pain", "stream_bars", "fifo_realized_gains"])
+# A spread of the registry; ALL_TWINS=1 compares every query, which takes some minutes.
+SPREAD = ["ohlcv_scan", "sma", "macd", "price_contract", "interval_quality", "max_pain", "stream_bars", "fifo_realized_gains", "universe_reconcile", "adaptive_conformal",
+          "redact_text", "regime_weights", "portfolio_valuation", "evaluate_tier", "walk_forward_origins", "settlement_stream", "har_rv"]
+
+
+@pytest.mark.parametrize("name", catalogue.names() if os.environ.get("ALL_TWINS") else SPREAD)
 def test_twin(spark, name):
     con = duckdb.connect()
     for t in TABLES:
