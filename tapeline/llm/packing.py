@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut
-from .common import ChunkEncoder, pick, spans, texts_of
+from .bpe import byte_names
+from .common import ChunkEncoder, parts, pick, texts_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
@@ -38,14 +39,36 @@ def encoder_of(path: str, keep_space: bool) -> ChunkEncoder:
     tokenizer.no_padding()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     with open(path, encoding="utf-8") as f:
-        lower = "Lowercase" in [n.get("type") for n in ((json.load(f).get("normalizer") or {}).get("normalizers") or [])]
+        data = json.load(f)
+    lower = "Lowercase" in [n.get("type") for n in ((data.get("normalizer") or {}).get("normalizers") or [])]
+    model, byte_name, tails = tokenizer.model, {b: c for c, b in byte_names().items()}, ".,;:!?"
+    ids_of = lambda word: array("I", [t.id for t in model.tokenize(word)]).tobytes()
+    tail_ids = {c: ids_of(c) for c in tails}
+
+    def letters(c: str) -> str | None:
+        """A chunk of Latin letters alone is one word to any of these tokenizers: it goes to the library's model as it is."""
+        body = c[1:] if keep_space else c
+        if not body.isalpha() or (lower and body.lower() != body):
+            return None
+        if body.isascii():
+            return name_of_space + body if keep_space else body
+        return c.encode().decode("latin-1").translate(byte_name) if max(body) < "\u0250" else None
+
+    name_of_space = byte_name[32]
 
     def new(chunks):
-        out = []
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
-            found = tokenizer.encode_batch_fast(part if keep_space else [c.decode() for c in part], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in found]
+        out, rest = [], []
+        for c in chunks:
+            c = c if keep_space else c.decode()
+            tail = tail_ids.get(c[-1:], b"")
+            word = letters(c[:-1] if tail else c) if c[:1] == " " or not keep_space else None
+            out.append(ids_of(word) + tail if word else None)
+            if not word:
+                rest.append((len(out) - 1, c))
+        for i in range(0, len(rest), 4_000):
+            part = rest[i : i + 4_000]
+            for (k, _), e in zip(part, tokenizer.encode_batch_fast([c for _, c in part], add_special_tokens=False), strict=True):
+                out[k] = array("I", e.ids).tobytes()
         return out
 
     return ChunkEncoder(new, lambda t: new([t])[0], keep_space, special, lower)
@@ -57,21 +80,19 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> Data
     def run(batches):
         encoder, part = encoder_of(vocabulary, True), TaskContext.get().partitionId()
         end, nth = end_id.to_bytes(4, "little"), np.zeros(size + 1, np.int64)
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for i, j in spans(texts):
-                rows = []
-                for doc, data in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True):
-                    data += end
-                    n, at, piece = len(data) // 4, 0, 0
-                    while at < n:
-                        length = (n - at) % size or size if at == 0 and n > size else min(size, n - at)
-                        rows.append((doc, piece, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), part, int(nth[length])))
-                        nth[length] += 1
-                        at, piece = at + length, piece + 1
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+        for batch in parts(batches):
+            rows = []
+            for doc, data in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch)), strict=True):
+                data += end
+                n, at, piece = len(data) // 4, 0, 0
+                while at < n:
+                    length = (n - at) % size or size if at == 0 and n > size else min(size, n - at)
+                    rows.append((doc, piece, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), part, int(nth[length])))
+                    nth[length] += 1
+                    at, piece = at + length, piece + 1
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, PIECES)
 

@@ -14,9 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ..session import cut
-from .common import pick, spans, texts_of
+from .common import parts, pick, texts_of
 from .packing import encoder_of
 
 STEP = 1024  # ids between checkpoints
@@ -25,26 +26,32 @@ LIMIT = 16  # bits of the longest code, or more where ids outnumber the codes
 BLOCKS = "shard int, seq bigint, start bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, checkpoints array<bigint>, payload binary"
 
 
+def kind_of(vocabulary: str) -> str:
+    """Two bytes an id where all ids of the vocabulary fit."""
+    return "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenise(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers), the end id last."""
-    end = end_id.to_bytes(4, "little")
+    """doc_id, ids (binary: little-endian unsigned integers of the kind of `kind_of`), the end id last."""
+    end, kind = end_id.to_bytes(4, "little"), kind_of(vocabulary)
 
     def run(batches):
         encoder = encoder_of(vocabulary, False)
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for i, j in spans(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([e + end for e in encoder.encode(texts[i:j])], pa.binary())], ["doc_id", "ids"])
+        for batch in parts(batches):
+            encoded = [np.frombuffer(e + end, "<u4").astype(kind).tobytes() for e in encoder.encode(texts_of(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoded, pa.binary())], ["doc_id", "ids"])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def counts_of(tokens: DataFrame) -> dict[int, int]:
+def counts_of(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often each id occurs: at most a row for each id of the vocabulary."""
 
     def run(batches):
         for batch in batches:
-            ids, n = np.unique(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"), return_counts=True)
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
+            ids = np.flatnonzero(n)
+            n = n[ids]
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n.astype(np.int64))], ["id", "n"])
 
     return {r["id"]: r["n"] for r in tokens.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()}
@@ -132,7 +139,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -
     """Tokenise `docs` and write them as a token file under `path`."""
     spark = docs.sparkSession
     tokens = cut(tokenise(docs, vocabulary, end_id))
-    lengths = code_lengths(counts_of(tokens))
+    kind = kind_of(vocabulary)
+    width, lengths = int(kind[-1]), code_lengths(counts_of(tokens, kind))
     if max(lengths.values(), default=1) > 24:
         raise ValueError("codes longer than 24 bits are not supported")
     spark.createDataFrame([(int(i), int(n)) for i, n in lengths.items()], "id bigint, bits int").coalesce(1).write.parquet(f"{path}/header")
@@ -143,16 +151,16 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -
         held, size = [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
             payload, at = code.value.encode(ids)
-            columns = [shard], [seq], [start], [len(ids)], [[d for d, _ in held]], [[len(x) // 4 for _, x in held]], [at.tolist()], [payload]
+            columns = [shard], [seq], [start], [len(ids)], [[d for d, _ in held]], [[len(x) // width for _, x in held]], [at.tolist()], [payload]
             kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append((doc, data))
-                size += len(data) // 4
+                size += len(data) // width
                 if size >= RECORD:
                     yield close()
                     held, seq, start, size = [], seq + 1, start + size, 0
@@ -167,7 +175,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary: little-endian unsigned 32-bit integers)."""
     code = spark.sparkContext.broadcast(Code({r["id"]: r["bits"] for r in spark.read.parquet(f"{path}/header").collect()}))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    ahead = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # one row for each shard
+    ahead = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))  # one row of two numbers for each file
     bases = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(ahead, F.lit(0)).alias("base"))
 
     def run(batches):
@@ -182,7 +190,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 out = [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids").flatten(), pa.array(start), pa.array(out, pa.binary())], ["doc_id", "start", "ids"])
 
-    return blocks.join(bases, "shard").mapInArrow(run, "doc_id bigint, start bigint, ids binary")
+    return blocks.join(F.broadcast(bases), "shard").mapInArrow(run, "doc_id bigint, start bigint, ids binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1) -> DataFrame:
