@@ -72,7 +72,7 @@ class ChunkEncoder:
     `limit` chunks or `limit_bytes`.
     """
 
-    def __init__(self, encode_new, encode_whole=None, keep_space=False, special=(), lower=False, limit=600_000, limit_bytes=64 << 20):
+    def __init__(self, encode_new, encode_whole=None, keep_space=False, special=(), lower=False, limit=800_000, limit_bytes=64 << 20):
         self.encode_new, self.encode_whole, self.keep_space = encode_new, encode_whole, keep_space
         self.special, self.lower, self.limit, self.limit_bytes = tuple(special), lower, limit, limit_bytes
         self.cache: dict[str | bytes, bytes] = {}

@@ -32,8 +32,8 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_of(path: str, keep_space: bool) -> ChunkEncoder:
-    """The library's encoder behind a cache of chunks, one per worker process."""
+def encoder_of(path: str, keep_space: bool, kind: str = "I") -> ChunkEncoder:
+    """The library's encoder behind a cache of chunks, one per worker process; ids as 32-bit integers or, with `kind` "H", 16-bit ones."""
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -42,33 +42,39 @@ def encoder_of(path: str, keep_space: bool) -> ChunkEncoder:
         data = json.load(f)
     lower = "Lowercase" in [n.get("type") for n in ((data.get("normalizer") or {}).get("normalizers") or [])]
     model, byte_name, tails = tokenizer.model, {b: c for c, b in byte_names().items()}, ".,;:!?"
-    ids_of = lambda word: array("I", [t.id for t in model.tokenize(word)]).tobytes()
+    tokens_of = model.tokenize
+    ids_of = lambda word: array(kind, [t.id for t in tokens_of(word)]).tobytes()
     tail_ids = {c: ids_of(c) for c in tails}
 
-    def letters(c: str) -> str | None:
-        """A chunk of Latin letters alone is one word to any of these tokenizers: it goes to the library's model as it is."""
-        body = c[1:] if keep_space else c
-        if not body.isalpha() or (lower and body.lower() != body):
-            return None
-        if body.isascii():
-            return name_of_space + body if keep_space else body
-        return c.encode().decode("latin-1").translate(byte_name) if max(body) < "\u0250" else None
-
-    name_of_space = byte_name[32]
+    lead = byte_name[32] if keep_space else ""
 
     def new(chunks):
+        """A chunk of Latin letters alone is one word to any of these tokenizers: it goes to the library's model as it is."""
         out, rest = [], []
         for c in chunks:
             c = c if keep_space else c.decode()
-            tail = tail_ids.get(c[-1:], b"")
-            word = letters(c[:-1] if tail else c) if c[:1] == " " or not keep_space else None
-            out.append(ids_of(word) + tail if word else None)
-            if not word:
-                rest.append((len(out) - 1, c))
+            tail = tail_ids.get(c[-1:])
+            body = c[1:] if keep_space else c
+            if tail:
+                body = body[:-1]
+            if not body.isalpha() or keep_space and c[0] != " ":
+                word = None
+            elif body.isascii():
+                word = lead + body if not lower or body.islower() else None
+            elif max(body) < "\u0250" and (not lower or body.lower() == body):
+                word = lead + body.encode().decode("latin-1").translate(byte_name)
+            else:
+                word = None
+            if word:
+                ids = array(kind, [t.id for t in tokens_of(word)]).tobytes()
+                out.append(ids + tail if tail else ids)
+            else:
+                rest.append((len(out), c))
+                out.append(None)
         for i in range(0, len(rest), 4_000):
             part = rest[i : i + 4_000]
             for (k, _), e in zip(part, tokenizer.encode_batch_fast([c for _, c in part], add_special_tokens=False), strict=True):
-                out[k] = array("I", e.ids).tobytes()
+                out[k] = array(kind, e.ids).tobytes()
         return out
 
     return ChunkEncoder(new, lambda t: new([t])[0], keep_space, special, lower)

@@ -1,8 +1,8 @@
 """Token ids in a binary format: canonical, length-limited Huffman codes in independent blocks.
 
 Layout of a token file (a folder): `header` holds the code length of every id that occurs, which determines the
-canonical code; `blocks` holds records of about a million ids: shard and place in it, document ids and lengths, the
-payload, and the bit offset of every 1024th id. A record is read without any other, and its checkpoints are decoded side
+canonical code; `blocks` holds records of about 260,000 ids: shard and place in it, document ids and lengths, the
+payload, and the bit offset of every 256th id. A record is read without any other, and its checkpoints are decoded side
 by side with one table lookup per id. Records are ordered by shard and place, and documents in them by doc_id.
 """
 
@@ -20,8 +20,8 @@ from ..session import cut
 from .common import parts, pick, texts_of
 from .packing import encoder_of
 
-STEP = 1024  # ids between checkpoints
-RECORD = 1 << 20  # ids after which a record is closed; a record holds whole documents
+STEP = 256  # ids between checkpoints
+RECORD = 1 << 18  # ids after which a record is closed; a record holds whole documents
 LIMIT = 16  # bits of the longest code, or more where ids outnumber the codes
 BLOCKS = "shard int, seq bigint, start bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, checkpoints array<bigint>, payload binary"
 
@@ -33,12 +33,13 @@ def kind_of(vocabulary: str) -> str:
 
 def tokenise(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned integers of the kind of `kind_of`), the end id last."""
-    end, kind = end_id.to_bytes(4, "little"), kind_of(vocabulary)
+    width = int(kind_of(vocabulary)[-1])
+    end = end_id.to_bytes(width, "little")
 
     def run(batches):
-        encoder = encoder_of(vocabulary, False)
+        encoder = encoder_of(vocabulary, False, "H" if width == 2 else "I")
         for batch in parts(batches):
-            encoded = [np.frombuffer(e + end, "<u4").astype(kind).tobytes() for e in encoder.encode(texts_of(batch))]
+            encoded = [e + end for e in encoder.encode(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoded, pa.binary())], ["doc_id", "ids"])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, ids binary")
@@ -86,8 +87,8 @@ class Code:
     def __init__(self, lengths: dict[int, int]):
         order = sorted(lengths, key=lambda i: (lengths[i], i))
         self.width = max(lengths.values(), default=1)
-        self.bits, self.codes = (np.zeros(max(order, default=0) + 1, np.uint64) for _ in range(2))
-        self.symbol, self.length = np.zeros(1 << self.width, "<u4"), np.ones(1 << self.width, np.int64)
+        self.bits, self.codes = (np.zeros(max(order, default=0) + 1, kind) for kind in (np.int64, np.uint64))
+        self.symbol, self.length = np.zeros(1 << self.width, "<u4"), np.ones(1 << self.width, np.uint8)
         code = before = 0
         for i in order:
             n = lengths[i]
@@ -100,22 +101,23 @@ class Code:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Payload, most significant bit first, and the bit offset of every STEP-th id."""
-        bits, codes = self.bits[ids], self.codes[ids]
+        bits = self.bits[ids]
         end = np.cumsum(bits)
         at = end - bits
-        word, room = (at >> np.uint64(6)).astype(np.int64), np.uint64(64) - (at & np.uint64(63))
-        over = bits > room  # the code goes on in the next word
-        high = np.where(over, codes >> np.where(over, bits - room, 0).astype(np.uint64), codes << np.where(over, 0, room - bits).astype(np.uint64))
-        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        word = at >> 5
+        # each code lies in the 64 bits that start at the 32-bit word of its first bit
+        placed = self.codes[ids] << (64 - (at & 31) - bits).astype(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        out[word[first]] = np.bitwise_or.reduceat(high, first)
-        rest = bits[over] - room[over]
-        out[word[over] + 1] |= codes[over] << (np.uint64(64) - rest)
-        return out.astype(">u8").tobytes()[: (int(end[-1]) + 7) // 8], at[::STEP].astype(np.int64)
+        both, word = np.bitwise_or.reduceat(placed, first), word[first]
+        out = np.zeros(int(word[-1]) + 2, np.uint32)
+        out[word] = both >> np.uint64(32)
+        out[word + 1] |= (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return out.astype(">u4").tobytes()[: (int(end[-1]) + 7) // 8], at[::STEP]
 
     def decode(self, payloads: list[bytes], checkpoints: list[np.ndarray], sizes: list[int]) -> np.ndarray:
         """The ids of several records one after the other; all checkpoints advance side by side."""
-        data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8).astype(np.uint32)
+        half = np.frombuffer(b"".join(payloads) + bytes(8 + sum(map(len, payloads)) % 2), ">u2").astype(np.uint64)
+        data = half[:-3] << np.uint64(48) | half[1:-2] << np.uint64(32) | half[2:-1] << np.uint64(16) | half[3:]  # the 64 bits from each second byte on
         base = np.cumsum([0, *map(len, payloads)])[:-1] * 8
         first = np.cumsum([0, *sizes])[:-1]
         at = np.concatenate([c + b for c, b in zip(checkpoints, base, strict=True)])
@@ -123,15 +125,13 @@ class Code:
         many = np.concatenate([np.minimum(STEP, n - np.arange(0, n, STEP)) for n in sizes])
         order = np.argsort(-many, kind="stable")
         at, to, many = at[order], to[order], many[order]
-        out, drop = np.zeros(int(sum(sizes)), "<u4"), np.uint32(32 - self.width)
-        for k in range(int(many[0])):
-            live = int(np.searchsorted(-many, -k, side="left"))
+        out, drop = np.zeros(int(sum(sizes)), "<u4"), np.uint64(64 - self.width)
+        lives = np.searchsorted(-many, -np.arange(int(many[0])), side="left").tolist()
+        for k, live in enumerate(lives):
             p = at[:live]
-            b = p >> 3
-            window = data[b] << np.uint32(24) | data[b + 1] << np.uint32(16) | data[b + 2] << np.uint32(8) | data[b + 3]
-            peek = (window << (p & 7).astype(np.uint32)) >> drop
+            peek = (data[p >> 4] << (p & 15).astype(np.uint64)) >> drop
             out[to[:live] + k] = self.symbol[peek]
-            at[:live] = p + self.length[peek]
+            p += self.length[peek]
         return out
 
 
