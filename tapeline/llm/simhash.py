@@ -93,15 +93,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     return prints.join(group(prints, radius), "fp").select("doc_id", hexadecimal(C("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
-    """The documents without all but the one with the smallest doc_id of each group, with the columns they came with.
-
-    Rows that share a doc_id are told apart by their fingerprints; of equal ones a single row stays.
-    """
-    of = fingerprint_column(width, seed)
-    prints = cut(pick(docs, doc_id="bigint", text="string").select("doc_id", of("text").alias("fp")))
+def rows_of(docs: DataFrame, prints: DataFrame, kept: DataFrame, of) -> DataFrame:
+    """The rows of documents that `kept` names by distinct (doc_id, fp); `prints` has both of every row, `of` makes a text's fp."""
     same = lambda *keys: [docs[k].eqNullSafe(C(f"kept.{k}")) for k in keys]
-    kept = cut(prints.join(group(prints, radius), "fp").where(C("doc_id").eqNullSafe(C("component_id"))).select("doc_id", "fp").distinct())
     repeated = cut(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     single = docs.join(kept.select("doc_id").distinct().alias("kept"), same("doc_id"), "left_semi")
     if repeated.isEmpty():
@@ -110,3 +104,14 @@ def keep_first(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42)
     again = docs.join(repeated.alias("kept"), same("doc_id"), "left_semi").withColumn(fp, of(C("text").cast("string")))
     again = again.join(kept.alias("kept"), [again["doc_id"].eqNullSafe(C("kept.doc_id")), again[fp] == C("kept.fp")], "left_semi")
     return single.join(repeated.alias("kept"), same("doc_id"), "left_anti").unionByName(again.dropDuplicates(["doc_id", fp]).drop(fp))
+
+
+def keep_first(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """The documents without all but the one with the smallest doc_id of each group, with the columns they came with.
+
+    Rows that share a doc_id are told apart by their fingerprints; of equal ones a single row stays.
+    """
+    of = fingerprint_column(width, seed)
+    prints = cut(pick(docs, doc_id="bigint", text="string").select("doc_id", of("text").alias("fp")))
+    kept = cut(prints.join(group(prints, radius), "fp").where(C("doc_id").eqNullSafe(C("component_id"))).select("doc_id", "fp").distinct())
+    return rows_of(docs, prints, kept, of)
