@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from helpers import SCHEMA, awkward, documents
 
-from tapeline.llm import nearcopies
+from tapeline.llm import nearcopies, simhash
 
 
 def shingle_set(text, width=5):
@@ -52,3 +52,12 @@ def test_awkward_rows(spark):
     assert got.columns == docs.columns
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(repr(rows[i]) for i in one_by_one(rows))
     assert stage(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_with_one_dominant_shingle_stay(spark):
+    """Their fingerprints are equal, since one shingle makes up most of each text; the rest of the texts differs."""
+    rng = random.Random(4)
+    texts = ["x " * 80 + " ".join(f"w{rng.randrange(2000)}" for _ in range(30)) for _ in range(20)]
+    assert len({simhash.fingerprint(t) for t in texts}) == 1
+    texts += [texts[3] + " more", "x " * 200 + texts[5]]
+    assert sorted(r["doc_id"] for r in stage(spark, documents(spark, texts)).collect()) == one_by_one(list(enumerate(texts))) == list(range(20))
