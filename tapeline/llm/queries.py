@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import backoff_lm, bpe, langid, packing, simhash, tokenfile, topk, toxicity, vecjoin, wordpiece
+from . import backoff_lm, bpe, divergence, langid, packing, quality, runs, simhash, tokenfile, topk, toxicity, vecjoin, wordpiece
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,5 +59,17 @@ def op10_packing(spark, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_token_counts, op3_vector_join, op4_backoff_lm, op5_bpe, op6_simhash, op7_toxicity, op8_topk, op9_token_file, op10_packing)}
-ORACLES = {"op3_vector_join": vecjoin.ORACLE, "op4_backoff_lm": backoff_lm.ORACLE.format(mu=MU), "op8_topk": topk.ORACLE}
+def op11_runs(spark, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_token_counts, op3_vector_join, op4_backoff_lm, op5_bpe, op6_simhash, op7_toxicity, op8_topk, op9_token_file, op10_packing, op11_runs, op12_quality, op13_divergence)}
+ORACLES = {"op3_vector_join": vecjoin.ORACLE, "op4_backoff_lm": backoff_lm.ORACLE.format(mu=MU), "op8_topk": topk.ORACLE, "op13_divergence": divergence.ORACLE.format(least=divergence.LEAST_DOCS, top=50)}
