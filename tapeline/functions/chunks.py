@@ -32,6 +32,29 @@ def previous(df: DataFrame, keys: list[str], chunk: Column, order: list[str], va
     return joined.select(*df.columns, *[prev[o].alias(o) for o in values]).drop("_chunk")
 
 
+def lags(df: DataFrame, keys: list[str], chunk: Column, order: list[str], values: dict[str, tuple[str, int]]) -> DataFrame:
+    """Add `out: (column, k)` with the value k rows earlier in the key.
+
+    Only the last rows of each chunk, as many as the greatest k, travel along the key.
+    """
+    keep, most = df.columns, max(k for _, k in values.values())
+    df = cut(df.withColumn("_chunk", chunk))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = df.select("*", F.row_number().over(w).alias("_k"), *[F.lag(c, k).over(w).alias(f"_l_{o}") for o, (c, k) in values.items()])
+    cols = sorted({c for c, _ in values.values()})
+    back = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(c) for c in order])
+    last = df.select(*keys, "_chunk", F.row_number().over(back).alias("_d"), F.struct(*cols).alias("_v")).where(F.col("_d") <= most)
+    tails = last.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(F.struct((-F.col("_d")).alias("at"), F.col("_v").alias("v")))).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-most, -1)
+    carry = tails.select(*keys, "_chunk", F.flatten(F.collect_list("_tail").over(before)).alias("_in"))
+    joined = _carry_join(local, carry, keys)
+
+    def earlier(o, c, k):
+        return F.when(F.col("_k") > k, F.col(f"_l_{o}")).otherwise(F.try_element_at("_in", (F.col("_k") - (k + 1)).cast("int"))["v"][c]).alias(o)
+
+    return joined.select(*keep, *[earlier(o, c, k) for o, (c, k) in values.items()])
+
+
 def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     """Add inclusive running aggregates `out: (sum|min|max, expression)` in key order."""
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -53,23 +76,25 @@ def running(df: DataFrame, keys: list[str], chunk: Column, order: list[str], agg
     return joined.select(*keep, *[merge(o, k).alias(o) for o, (k, _) in aggs.items()])
 
 
-def lowest_level(df: DataFrame, keys: list[str], chunk: Column, order: list[str], change: Column) -> DataFrame:
-    """Add `level` (running sum of `change`), `low` (its minimum so far) and `low_before` (the same before the row).
+def level_and_sides(df: DataFrame, keys: list[str], chunk: Column, order: list[str], up: Column, down: Column) -> DataFrame:
+    """Add the running sums `ups` and `downs`, `low` (the least of ups - downs so far) and `low_before` (the same before the row, null for the first).
 
-    A chunk is summed up by its total and the lowest point of its own running sum; both compose, so one carry per chunk
-    serves all three columns.
+    A chunk is summed up by its two totals and the lowest point of its own level; all compose, so one carry per chunk and
+    one scan of the rows serve every column.
     """
     keep = df.columns
-    df = cut(df.select("*", chunk.alias("_chunk"), change.alias("_change")))
+    df = cut(df.select("*", chunk.alias("_chunk"), up.alias("_up"), down.alias("_down")))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     so_far = w.rowsBetween(UP, 0)
-    local = df.withColumn("_level", F.sum("_change").over(so_far)).withColumn("_low", F.min("_level").over(so_far))
-    parts = local.groupBy(*keys, "_chunk").agg(F.sum("_change").alias("_total"), F.min("_level").alias("_least"))
+    local = df.withColumns({"_u": F.sum("_up").over(so_far), "_d": F.sum("_down").over(so_far)}).withColumn("_level", F.col("_u") - F.col("_d"))
+    local = local.withColumns({"_low": F.min("_level").over(so_far), "_prev": F.min("_level").over(w.rowsBetween(UP, -1))})
+    parts = local.groupBy(*keys, "_chunk").agg(F.sum("_up").alias("_tu"), F.sum("_down").alias("_td"), F.min("_level").alias("_least"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(UP, -1)
-    parts = parts.withColumn("_in", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
-    carry = parts.select(*keys, "_chunk", "_in", F.min(F.col("_in") + F.col("_least")).over(before).alias("_in_low"))
-    d = _carry_join(local.withColumn("_prev", F.lag("_low").over(w)), carry, keys)
-    return d.select(*keep, (F.col("_in") + F.col("_level")).alias("level"), F.least("_in_low", F.col("_in") + F.col("_low")).alias("low"), F.least("_in_low", F.col("_in") + F.col("_prev")).alias("low_before"))
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    parts = parts.withColumns({"_iu": zero("_tu"), "_id": zero("_td")})
+    carry = parts.select(*keys, "_chunk", "_iu", "_id", F.min(F.col("_iu") - F.col("_id") + F.col("_least")).over(before).alias("_in_low"))
+    d, base = _carry_join(local, carry, keys), F.col("_iu") - F.col("_id")
+    return d.select(*keep, (F.col("_iu") + F.col("_u")).alias("ups"), (F.col("_id") + F.col("_d")).alias("downs"), F.least("_in_low", base + F.col("_low")).alias("low"), F.least("_in_low", base + F.col("_prev")).alias("low_before"))
 
 
 def three_pass(df: DataFrame, keys: list[str], chunk: Column, cols: list[str], summarise, summary: str, step, state: str, walk, out: str) -> DataFrame:

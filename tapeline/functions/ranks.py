@@ -42,3 +42,37 @@ def conformal_width(df: DataFrame, keys: list[str], value: str, confidence: floa
     """(keys, n, half_width): the ceil((n+1)c)-th smallest |value|, the largest when that rank reaches n."""
     a = df.select(*keys, F.abs(value).alias("_a"))
     return order_stat(a, keys, "_a", conformal_rank(confidence)).withColumnRenamed("stat", "half_width")
+
+
+def ranges(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+    """Add `_r`: the number of approximate quantiles of the group below the value, so ranges follow the value and hold about equal numbers of rows."""
+    at = [i / parts for i in range(1, parts)]
+    splits = df.groupBy(*keys).agg(F.percentile_approx(value, at, 1000).alias("_s"))
+    return df.join(splits, keys).withColumn("_r", F.size(F.filter("_s", lambda s: s < C(value)))).drop("_s")
+
+
+def ecdf(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+    """(keys, v, c, below, n): each distinct non-null value with its count, the rows below it and the size of its group.
+
+    Equal values collapse before the shuffle. A group is then cut at approximate quantiles into ranges of about equal
+    numbers of distinct values; only one count per range travels along the group, and a window orders one range at a time.
+    """
+    c = cut(df.where(C(value).isNotNull()).groupBy(*keys, C(value).alias("v")).agg(F.count("*").alias("c")))
+    r = ranges(c, keys, "v", parts).join(c.groupBy(*keys).agg(F.sum("c").alias("n")), keys)
+    totals = r.groupBy(*keys, "_r").agg(F.sum("c").alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(UP, -1)
+    carry = totals.select(*keys, "_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))  # at most `parts` rows a group
+    within = Window.partitionBy(*keys, "_r").orderBy("v").rowsBetween(UP, 0)
+    r = r.withColumn("_u", F.sum("c").over(within) - C("c"))
+    return r.join(carry, [*keys, "_r"]).select(*keys, "v", "c", (C("_b") + C("_u")).alias("below"), "n")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """(keys, name ...): exact interpolated percentiles of groups of any size, all in one pass over the distribution."""
+    e, out = ecdf(df, keys, value), []
+    for name, p in names.items():
+        rank = (C("n") - 1) * p
+        of = lambda k: F.min(F.when(C("below") + C("c") > k, C("v")))  # noqa: E731, B023
+        low, high = of(F.floor(rank)), of(F.ceil(rank))
+        out.append((low + (high - low) * (F.max(rank) - F.floor(F.max(rank)))).alias(name))
+    return e.groupBy(*keys).agg(*out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -9,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import norm_cdf, norm_pdf
-from ..functions.ranks import conformal_rank, conformal_width
+from ..functions.orderstat import OrderTree
+from ..functions.ranks import conformal_rank, conformal_width, ecdf, percentiles
 from ..functions.span import BARS as S
-from ..functions.span import UP, Span, ratio
+from ..functions.span import UP, ratio
 from ..session import cut
-from .ledger import winkler
+from .ledger import winkler, with_earlier
+from .replay import origins, replay_records, replay_summary
 
 C = F.col
 
@@ -89,27 +92,45 @@ def cqr_offsets(rows: DataFrame, keys: list[str], confidence: float) -> DataFram
     return conformal_width(s, keys, "s", confidence).select(*keys, "n", C("half_width").alias("offset"))
 
 
-def adaptive_conformal(residuals: DataFrame, confidence: float) -> DataFrame:
+ONLINE_STATE = "symbol string, gamma double, hits long, steps long, half_width double, seen array<double>"
+
+
+def adaptive_state(residuals: DataFrame, confidence: float, state: DataFrame | None = None) -> DataFrame:
     """Online level per symbol: the width at each step is an order statistic of all residuals so far.
 
-    Path dependent, so each symbol's bar-bounded residuals fold in one grouped task.
+    Path dependent, so each symbol's bar-bounded residuals go through one grouped task; a step costs the logarithm of the
+    number of residuals. The result is the state after the last step: stored and given back with later residuals, it goes
+    on as if it had seen the whole series.
     """
-    def fold(pdf):
-        import bisect
-        import math
-        a = pdf.sort_values("ts")["residual"].abs().to_numpy()
-        gamma, seen, hit, width = 0.0, [], 0, 0.0
-        for i, r in enumerate(a):
-            bisect.insort(seen, r)
+    import numpy as np
+
+    def fold(key, new, old):
+        gamma, hit, steps, width, seen = 0.0, 0, 0, 0.0, np.zeros(0)
+        if len(old):
+            r = old.iloc[0]
+            gamma, hit, steps, width, seen = float(r["gamma"]), int(r["hits"]), int(r["steps"]), float(r["half_width"]), np.asarray(r["seen"], float)
+        a = new.sort_values("ts")["residual"].abs().to_numpy()
+        tree = OrderTree(np.concatenate([seen, a]))
+        tree.fill(seen)
+        for r, place in zip(a.tolist(), tree.places(a), strict=True):
+            tree.insert(place)
             level = min(0.99, max(0.5, confidence - gamma))
-            rank = math.ceil((len(seen) + 1) * level)
-            width = r if i == 0 else seen[-1] if rank >= len(seen) else seen[max(rank - 1, 0)]
+            rank = math.ceil((tree.size + 1) * level)
+            width = tree.select(min(max(rank, 1), tree.size))
             ok = r <= width
             hit += ok
+            steps += 1
             gamma += ONLINE_STEP * (float(ok) - confidence)
-        return pd.DataFrame([(pdf["symbol"].iloc[0], float(width), float(gamma), hit / len(a), len(a))], columns=["symbol", "half_width", "gamma", "coverage", "steps"])
+        return pd.DataFrame([(key[0], gamma, hit, steps, width, np.sort(np.concatenate([seen, a])))], columns=["symbol", "gamma", "hits", "steps", "half_width", "seen"])
 
-    return residuals.select("symbol", "ts", "residual").groupBy("symbol").applyInPandas(fold, "symbol string, half_width double, gamma double, coverage double, steps long")
+    rows = residuals.select("symbol", "ts", "residual")
+    old = rows.sparkSession.createDataFrame([], ONLINE_STATE) if state is None else state
+    return rows.groupBy("symbol").cogroup(old.groupBy("symbol")).applyInPandas(fold, ONLINE_STATE)
+
+
+def adaptive_conformal(residuals: DataFrame, confidence: float, state: DataFrame | None = None) -> DataFrame:
+    """(symbol, half_width, gamma, coverage, steps) after the last residual."""
+    return adaptive_state(residuals, confidence, state).select("symbol", "half_width", "gamma", (C("hits") / C("steps")).alias("coverage"), "steps")
 
 
 def mondrian_conformal(rows: DataFrame, group: str, value: str, confidence: float, min_group: int) -> DataFrame:
@@ -148,9 +169,10 @@ def published_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     a, m, lo, hi = C("actual_price"), C("forecast_median"), C("forecast_low"), C("forecast_high")
     up, pu = F.signum(a - C("origin_price")), F.signum(m - C("origin_price"))
     hit_up, hit_dn = F.avg(F.when(up > 0, (pu > 0).cast("double"))), F.avg(F.when(up < 0, (pu < 0).cast("double")))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(a.between(lo, hi).cast("double")).alias("coverage"), F.avg(winkler(a, lo, hi, C("confidence_level"))).alias("winkler"), F.avg(F.abs(a - m)).alias("mae"),
-                                   F.sqrt(F.avg((a - m) * (a - m))).alias("rmse"), (F.avg(F.abs(a - m) / a) * 100).alias("mae_pct"), F.percentile(F.abs(a - m), F.lit(0.5)).alias("median_ae"),
+    g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(a.between(lo, hi).cast("double")).alias("coverage"), F.avg(winkler(a, lo, hi, C("confidence_level"))).alias("winkler"), F.avg(F.abs(a - m)).alias("mae"),
+                                   F.sqrt(F.avg((a - m) * (a - m))).alias("rmse"), (F.avg(F.abs(a - m) / a) * 100).alias("mae_pct"),
                                    ((F.coalesce(hit_up, hit_dn) + F.coalesce(hit_dn, hit_up)) / 2).alias("balanced_direction"), F.avg(hi - lo).alias("mean_width"))
+    return g.join(percentiles(rows.select(*keys, F.abs(a - m).alias("_e")), keys, "_e", {"median_ae": 0.5}), keys, "left")
 
 
 def point_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,7 +180,8 @@ def point_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     a, p, o = C("actual_price"), C("forecast_median"), C("origin_price")
     e = p - a
     g = rows.groupBy(*keys).agg(F.sum(e * e).alias("sse"), (F.var_pop(a) * F.count("*")).alias("sst"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.avg(F.abs(e) / F.abs(a)) * 100).alias("mape"),
-                                (F.avg((F.signum(a - o) == F.signum(p - o)).cast("double")) * 100).alias("direction_pct"), F.avg(e).alias("bias"), *[F.percentile(F.abs(e), F.lit(x)).alias(n) for n, x in (("median_ae", 0.5), ("p80", 0.8), ("p95", 0.95))])
+                                (F.avg((F.signum(a - o) == F.signum(p - o)).cast("double")) * 100).alias("direction_pct"), F.avg(e).alias("bias"))
+    g = g.join(percentiles(rows.select(*keys, F.abs(e).alias("_e")), keys, "_e", {"median_ae": 0.5, "p80": 0.8, "p95": 0.95}), keys, "left")
     return g.withColumn("r2", 1 - ratio("sse", "sst"))
 
 
@@ -181,23 +204,19 @@ def crps_ensemble(y: Column, members: Column) -> Column:
     return own - spread
 
 
-def pit_ks(rows: DataFrame, keys: list[str], span: Span) -> DataFrame:
+def pit_ks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Kolmogorov distance of the clipped PIT to uniform; the p-value is the asymptotic series."""
     w = F.when(C("forecast_high") > C("forecast_low"), C("forecast_high") - C("forecast_low")).otherwise(1.0)
     d = rows.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (C("actual_price") - C("forecast_low")) / w)).alias("x"))
-    # Equal values collapse first, so ranks come from counts per distinct value.
-    c = d.groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    o = Window.partitionBy(*keys).orderBy("x").rowsBetween(UP, 0)
-    c = c.select("*", F.sum("c").over(o).alias("hi"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
-    g = c.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.greatest(C("hi") / C("n") - C("x"), C("x") - (C("hi") - C("c")) / C("n"))).alias("ks"))
+    e = ecdf(d, keys, "x")
+    g = e.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.greatest((C("below") + C("c")) / C("n") - C("v"), C("v") - C("below") / C("n"))).alias("ks"))
     lam = C("ks") * F.sqrt(C("n").cast("double"))
     p = reduce(lambda a, b: a + b, [2 * (-1.0) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 21)])
     return g.withColumn("p_value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
 
 
 def mase(rows: DataFrame, season: int) -> DataFrame:
-    s = Span(("symbol",), ("target_date",))
-    d = rows.withColumn("_b", F.abs(C("actual_price") - s.lag("actual_price", season)))
+    d = with_earlier(rows, ["symbol"], {"_e": season}).withColumn("_b", F.abs(C("actual_price") - C("_e")))
     g = d.groupBy("symbol").agg(F.avg(F.abs(C("actual_price") - C("forecast_median"))).alias("mae"), F.avg("_b").alias("base"))
     return g.select("symbol", F.when(C("base") > 0, C("mae") / C("base")).otherwise(float("inf")).alias("mase"))
 
@@ -251,7 +270,7 @@ def tier_distribution(rows: DataFrame, confidence: float, event: Column | None =
     parts += [F.when(count(cond) >= min_n, F.avg(F.when(cond, hit))).alias(name) for name, cond in (("event_coverage", event), ("non_event_coverage", ~event))]
     by_regime = rows.groupBy("tier", "regime").agg(F.count("*").alias("n"), F.avg(hit).alias("c")).where(C("n") >= min_n)
     worst = by_regime.groupBy("tier").agg(F.min("c").alias("worst_regime_coverage"))
-    pit = pit_ks(rows, ["tier"], Span(("tier",), ("id",))).select("tier", C("ks").alias("pit_ks"), C("p_value").alias("pit_p_value"))
+    pit = pit_ks(rows, ["tier"]).select("tier", C("ks").alias("pit_ks"), C("p_value").alias("pit_p_value"))
     return rows.groupBy("tier").agg(*parts).join(pit, "tier").join(worst, "tier", "left")
 
 
@@ -290,26 +309,14 @@ def w1():
     return Window.partitionBy(F.lit(0)).orderBy("ts")
 
 
-def walk_forward_origins(bars: DataFrame, horizon: int, step: int = 1, min_train: int = 40) -> DataFrame:
-    """Every `step`-th origin per symbol, the last always among them."""
-    d = bars.select("symbol", "ts", "close", (S.rn() - 1).alias("i"), S.size().alias("n")).where((C("i") >= min_train) & (C("i") < C("n") - horizon))
-    return d.where(((C("i") - min_train) % step == 0) | (C("i") == C("n") - horizon - 1))
-
-
-def range_replay(bars: DataFrame, horizon: int, band: float, cost_bps: float = 10.0) -> DataFrame:
-    """At each origin: coverage, path containment, direction and a next-open trade held h bars; summary per symbol."""
-    f = S.rows(1, horizon)
-    d = with_baselines(bars, horizon).join(bars.select("symbol", "ts", "open", "high", "low"), ["symbol", "ts"])
-    d = d.select("symbol", "ts", "close", "damped_drift", S.lead("close", horizon).alias("actual"), F.max("high").over(f).alias("mx"), F.min("low").over(f).alias("mn"), S.lead("open").alias("entry"))
-    o = walk_forward_origins(bars, horizon).select("symbol", "ts")
-    d = d.join(o, ["symbol", "ts"], "left_semi")
-    lo, hi = C("damped_drift") * (1 - band), C("damped_drift") * (1 + band)
-    side = F.signum(C("damped_drift") - C("close"))
-    trade = side * (C("actual") / C("entry") - 1) - cost_bps / 10_000
-    d = d.select("symbol", C("actual").between(lo, hi).alias("cov"), ((C("mx") <= hi) & (C("mn") >= lo)).alias("path"), F.when((side != 0) & (C("actual") != C("close")), (side == F.signum(C("actual") - C("close"))).cast("double")).alias("dir"),
-                 F.abs(C("actual") - C("damped_drift")).alias("e"), F.abs(C("actual") - C("close")).alias("b"), trade.alias("t"))
-    g = d.groupBy("symbol").agg(F.count("*").alias("origins"), F.avg(C("cov").cast("double")).alias("coverage"), F.avg(C("path").cast("double")).alias("path_containment"), F.avg("dir").alias("direction"), F.avg("e").alias("mae"), F.avg("b").alias("naive_mae"), F.avg("t").alias("mean_trade"))
-    return g.withColumn("mase", ratio("mae", "naive_mae"))
+walk_forward_origins = origins
+
+
+def range_replay(bars: DataFrame, horizon: int, band: float, abstain: Column | None = None) -> DataFrame:
+    """Replay of the damped drift with a fixed band at every origin; it abstains where `abstain` holds."""
+    f = with_baselines(bars, horizon).join(origins(bars, horizon).select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+    m = C("damped_drift") if abstain is None else F.when(~abstain, C("damped_drift"))
+    return replay_summary(replay_records(bars, f.select("symbol", "ts", (m * (1 - band)).alias("low"), m.alias("median"), (m * (1 + band)).alias("high")), horizon))
 
 
 def naive_beat_gate(metrics: DataFrame, floor_pct: float = 0.0, min_samples: int = 8, nominal: float = 0.8, tol: float = 0.15, usable_min: float = 0.6) -> DataFrame:

@@ -30,14 +30,15 @@ def by_timeframe(table: dict, default: int) -> Column:
 def settle_forward_asof(pending: DataFrame, bars: DataFrame, now: Column) -> DataFrame:
     """Settle each due target on the first trusted bar at or after it, else defer inside grace, else give a reason.
 
-    Forward as-of: a tagged union read in descending time carries the next bar back to each target.
-    bars(symbol, ts, close, provider, is_stale, is_demo).
+    A bar stands for the days back to its predecessor, as far as the tolerance reaches, so the forward as-of is an equal
+    join on symbol and day and the ledger of a symbol is never ordered or held in one place. Bars are one per symbol and
+    day: bars(symbol, ts, close, provider, is_stale, is_demo).
     """
     due = pending.where(C("target_date").isNotNull() & (C("target_date") <= now))
-    b = bars.select("symbol", C("ts").alias("_t"), F.struct("ts", "close", "provider", "is_stale", "is_demo").alias("_b"), F.lit(0).alias("_side"))
-    u = due.select("*", C("target_date").alias("_t"), F.lit(1).alias("_side")).unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    d = u.withColumn("_n", F.last("_b", True).over(w)).where("_side = 1")
+    b = bars.select("symbol", "ts", F.struct("ts", "close", "provider", "is_stale", "is_demo").alias("_n"), Span().lag("ts").alias("_p"))
+    since = F.greatest(F.date_add("_p", 1), F.date_sub("ts", max(HISTORY_DEFAULT, *HISTORY_TOLERANCE.values())))
+    days = b.where("_p is null or _p < ts").select("symbol", "_n", F.explode(F.sequence(since, C("ts"), F.expr("INTERVAL 1 DAY"))).alias("target_date"))
+    d = due.join(days, ["symbol", "target_date"], "left")
     gap = F.datediff("_n.ts", "target_date")
     near = C("_n").isNotNull() & (gap <= by_timeframe(HISTORY_TOLERANCE, HISTORY_DEFAULT))
     bad_price = ~(C("_n.close") > 0) | F.isnan("_n.close")
@@ -51,12 +52,13 @@ def settle_forward_asof(pending: DataFrame, bars: DataFrame, now: Column) -> Dat
 
 
 def settle_quote_fallback(settled: DataFrame, quotes: DataFrame, now: Column) -> DataFrame:
-    """For absent targets, a trusted fresh quote after the target settles instead."""
-    q = quotes.select("symbol", C("price").alias("_p"), C("ts").alias("_qt"), C("provider").alias("_pr"), C("is_stale").alias("_st"), C("is_demo").alias("_dm"))
+    """For absent targets, a trusted fresh quote after the target settles instead: the newest one of all providers, the later name on a tie."""
+    trusted = ~C("is_stale") & ~C("is_demo") & ~F.lower(F.trim("provider")).isin("", "unknown") & (C("price") > 0)
+    q = quotes.where(F.coalesce(trusted, F.lit(False))).groupBy("symbol").agg(F.max_by(F.struct(C("price").alias("_p"), C("ts").alias("_qt")), F.struct("ts", "provider")).alias("q")).select("symbol", "q.*")
     d = settled.join(q, "symbol", "left")
     tol = by_timeframe(QUOTE_TOLERANCE_HOURS, 1) * 3600.0
     n, tgt, qt = now.cast("timestamp").cast("double"), C("target_date").cast("timestamp").cast("double"), C("_qt").cast("timestamp").cast("double")
-    ok = ((C("reason") == "target_data_absent") & (n - tgt <= tol) & ~C("_st") & ~C("_dm") & ~F.lower(F.trim("_pr")).isin("", "unknown") & (C("_p") > 0) & (qt >= tgt) & (n - qt <= tol))
+    ok = ((C("reason") == "target_data_absent") & (n - tgt <= tol) & (qt >= tgt) & (n - qt <= tol))
     ok = F.coalesce(ok, F.lit(False))
     return d.select(*[c for c in settled.columns if c not in ("status", "reason", "settled_price", "observed_at")], F.when(ok, "settled").otherwise(C("status")).alias("status"),
                     F.when(~ok, C("reason")).alias("reason"), F.when(ok, C("_p")).otherwise(C("settled_price")).alias("settled_price"), F.when(ok, "quote").when(C("status") == "settled", "history").alias("method"))
@@ -96,23 +98,28 @@ def interval_quality(settled: DataFrame, tol: float = 0.05) -> DataFrame:
 MIN_SETTLED, GAP_LIMIT, MASE_LIMIT, DIRECTION_LIMIT = 6, 0.10, 1.0, 0.45
 
 
+def with_earlier(rows: DataFrame, keys: list[str], names: dict[str, int]) -> DataFrame:
+    """Add the actual price so many outcomes earlier; the outcomes of a key are ordered day by day, not as a whole."""
+    return chunks.lags(rows, keys, C("target_date"), ["target_date", "id"], {o: ("actual_price", k) for o, k in names.items()})
+
+
 def group_drift(settled: DataFrame, window: int = 20) -> DataFrame:
     """Rolling coverage gap, MASE and direction per (symbol, timeframe, horizon) with drift rules."""
-    keys = ["symbol", "timeframe", "horizon"]
-    s = Span(keys, ("target_date", "id"))
-    d = settled.select("*", s.lag("actual_price").alias("p1"), s.lag("actual_price", 2).alias("p2"), s.rn_desc().alias("_d"))
+    keys, order = ["symbol", "timeframe", "horizon"], ["target_date", "id"]
+    d = with_earlier(settled, keys, {"p1": 1, "p2": 2})
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])  # Spark keeps the first rows of each key before it shuffles
+    last = settled.select(*keys, *order, "coverage_hit", "confidence_level").withColumn("_d", F.row_number().over(newest)).where(C("_d") <= window)
+    last = last.groupBy(*keys).agg(F.avg(C("coverage_hit").cast("double")).alias("rolling_coverage"), F.avg("confidence_level").alias("nominal_coverage"))
     a, m = C("actual_price"), C("forecast_median")
     side = F.signum(a - C("p1"))
     model = F.when(C("forecast_high") > C("forecast_low"), F.signum(m - (C("forecast_low") + C("forecast_high")) / 2))
     prior = F.signum(C("p1") - C("p2"))
     known = (side != 0) & (model != 0)
     nknown = (side != 0) & (prior != 0)
-    recent = C("_d") <= window
     g = d.groupBy(*keys).agg(
-        F.count("*").alias("settled_samples"), F.avg(F.when(recent, C("coverage_hit").cast("double"))).alias("rolling_coverage"), F.avg(F.when(recent, C("confidence_level"))).alias("nominal_coverage"),
-        F.sum(F.abs(a - m)).alias("me"), F.sum(F.abs(a - C("p1"))).alias("ne"), F.avg(F.when(known, (side == model).cast("double"))).alias("directional_accuracy"),
+        F.count("*").alias("settled_samples"), F.sum(F.abs(a - m)).alias("me"), F.sum(F.abs(a - C("p1"))).alias("ne"), F.avg(F.when(known, (side == model).cast("double"))).alias("directional_accuracy"),
         F.avg(F.when(nknown, (side == prior).cast("double"))).alias("naive_directional_accuracy"))
-    g = g.withColumn("coverage_gap", C("rolling_coverage") - C("nominal_coverage")).withColumn("mase", F.when(C("ne") > 0, C("me") / C("ne")))
+    g = g.join(last, keys).withColumn("coverage_gap", C("rolling_coverage") - C("nominal_coverage")).withColumn("mase", F.when(C("ne") > 0, C("me") / C("ne")))
     enough = C("settled_samples") >= MIN_SETTLED
     r1, r2 = enough & (C("coverage_gap") < -GAP_LIMIT), enough & F.coalesce(C("mase") >= MASE_LIMIT, F.lit(False))
     r3 = enough & F.coalesce(C("directional_accuracy") < DIRECTION_LIMIT, F.lit(False)) & (C("settled_samples") >= 10)
@@ -152,8 +159,7 @@ def pinball(y: Column, q: Column, level: float) -> Column:
 
 
 def next_day_summary(settled: DataFrame) -> DataFrame:
-    s = Span(("symbol",), ("target_date", "id"))
-    d = settled.where((C("horizon") == 1) & (C("timeframe") == "1D")).withColumn("p1", s.lag("actual_price"))
+    d = with_earlier(settled.where((C("horizon") == 1) & (C("timeframe") == "1D")), ["symbol"], {"p1": 1})
     a = C("actual_price")
     pb = (pinball(a, C("forecast_low"), 0.1) + pinball(a, C("forecast_median"), 0.5) + pinball(a, C("forecast_high"), 0.9)) / 3
     return d.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(C("coverage_hit").cast("double")).alias("coverage"), F.avg("winkler").alias("mean_winkler"), F.avg(pb).alias("mean_pinball"),
@@ -161,8 +167,7 @@ def next_day_summary(settled: DataFrame) -> DataFrame:
 
 
 def _score(df: DataFrame, prefix: str) -> DataFrame:
-    s = Span(("symbol",), ("target_date", "id"))
-    d = df.withColumn("p1", s.lag("actual_price"))
+    d = with_earlier(df, ["symbol"], {"p1": 1})
     return d.groupBy("symbol").agg(F.count("*").alias(f"{prefix}_n"), F.avg(C("coverage_hit").cast("double")).alias(f"{prefix}_cov"), F.avg("winkler").alias(f"{prefix}_wink"),
                                    (F.avg(F.abs(C("actual_price") - C("forecast_median"))) / F.avg(F.abs(C("actual_price") - C("p1")))).alias(f"{prefix}_mase"))
 

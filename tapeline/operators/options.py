@@ -197,45 +197,70 @@ def term_structure(futures: DataFrame, spots: DataFrame) -> DataFrame:
 
 # ---- books ---------------------------------------------------------------------------
 
-def leg_payoff(s: Column) -> Column:
-    sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0)
-    v = F.when(C("type") == "call", F.greatest(F.lit(0.0), s - C("strike")) - C("premium")).when(C("type") == "put", F.greatest(F.lit(0.0), C("strike") - s) - C("premium")).otherwise(s - C("strike"))
-    return sign * v * C("contracts")
+def signed() -> Column:
+    return F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
 
 
-def _book_curve(legs: DataFrame, points: int, span_pct: float, value) -> DataFrame:
-    """P&L per (book, grid point): each leg expands to the fixed grid and is summed straight back (map-side combined)."""
-    c = legs.groupBy("book_id").agg(F.avg("strike").alias("centre"))
-    d = legs.join(c, "book_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    d = value(d.withColumn("x", C("centre") * (1 - span_pct + 2 * span_pct * C("i") / (points - 1))))
-    return d.groupBy("book_id", "i").agg(F.first("x").alias("x"), F.sum("_pnl").alias("pnl"))
+def sweep(points: DataFrame, base: DataFrame) -> DataFrame:
+    """Add `value` at each point of a piecewise-linear curve per book.
 
+    points(book_id, x, bend) may repeat an x; bend is the change of slope there. base(book_id, at_zero, slope) is the value
+    and slope at a price of zero. One pass along the sorted points: a point costs the same however many legs there are.
+    """
+    p = points.groupBy("book_id", "x").agg(F.sum("bend").alias("bend"))  # legs of one strike are one point
+    along = Window.partitionBy("book_id").orderBy("x").rowsBetween(UP, 0)
+    d = p.join(base, "book_id").select("*", F.sum("bend").over(along).alias("_d"), F.sum(C("bend") * C("x")).over(along).alias("_k"))
+    return d.withColumn("value", C("at_zero") + C("slope") * C("x") + C("_d") * C("x") - C("_k")).drop("_d", "_k")
 
-def _curve_summary(curve: DataFrame) -> DataFrame:
-    sp = Span(("book_id",), ("i",))
-    d = curve.select("*", sp.lead("pnl").alias("n"), sp.lead("x").alias("nx"))
-    cross = F.when((C("pnl") * C("n") < 0), C("x") - C("pnl") * (C("nx") - C("x")) / (C("n") - C("pnl"))).when((C("pnl") == 0) & C("n").isNotNull(), C("x"))
-    d = d.withColumn("be", cross)
-    return d.groupBy("book_id").agg(F.max("pnl").alias("max_profit"), F.min("pnl").alias("max_loss"), F.count("be").alias("breakevens"), F.min("be").alias("first_breakeven"), F.max("be").alias("last_breakeven"))
 
+def crossings() -> Column:
+    """Price at which the straight line from this point to the next is zero, if it is."""
+    along = Window.partitionBy("book_id").orderBy("x")
+    n, nx = F.lead("value").over(along), F.lead("x").over(along)
+    return F.when(C("value") == 0, C("x")).when(C("value") * n < 0, C("x") - C("value") * (nx - C("x")) / (n - C("value")))
 
-def payoff_grid(legs: DataFrame, points: int = 41, span_pct: float = 0.5) -> DataFrame:
-    """Expiry payoff curve summary with break-evens, extremes and tail slopes for every book."""
-    sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
-    tails = legs.groupBy("book_id").agg(F.sum(F.when(C("type") == "put", 0.0).otherwise(sign)).alias("up_slope"), F.sum(F.when(C("type") == "put", -sign).when(C("type") == "call", 0.0).otherwise(sign)).alias("down_slope"))
-    return _curve_summary(_book_curve(legs, points, span_pct, lambda d: d.withColumn("_pnl", leg_payoff(C("x"))))).join(tails, "book_id")
 
+def payoff_grid(legs: DataFrame, span_pct: float = 0.5) -> DataFrame:
+    """Expiry payoff of every book: extremes, break-evens and tail slopes, all exact.
 
-def calendar_spread_grid(legs: DataFrame, near_days: int, far_days: int, vol: float, points: int = 41) -> DataFrame:
-    """Near legs at intrinsic, far legs at model value over a +-20% grid, for every calendar book."""
-    def value(d):
-        call = C("type") == "call"
-        intrinsic = F.greatest(F.lit(0.0), F.when(call, C("x") - C("strike")).otherwise(C("strike") - C("x")))
-        near = d.where("leg = 'near'").withColumn("price", intrinsic)
-        far = with_greeks(d.where("leg <> 'near'"), C("x"), C("strike"), F.lit(far_days - near_days), F.lit(vol), call)
-        sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
-        return near.unionByName(far).withColumn("_pnl", sign * (C("price") - C("premium")))
-    return _curve_summary(_book_curve(legs, points, 0.2, value))
+    The curve bends at strikes only, so it is swept along them; no grid. Extremes are those of all prices from zero on, null
+    where the upper tail makes them unbounded; break-evens are those within `span_pct` of the mean strike.
+    """
+    opt, q = C("type").isin("call", "put"), signed()
+    at_zero = F.when(C("type") == "call", -C("premium")).when(C("type") == "put", C("strike") - C("premium")).otherwise(-C("strike"))
+    base = legs.groupBy("book_id").agg(F.sum(q * at_zero).alias("at_zero"), F.sum(F.when(C("type") == "put", -q).when(C("type") == "call", 0.0).otherwise(q)).alias("slope"),
+                                       F.sum(F.when(C("type") == "put", 0.0).otherwise(q)).alias("up_slope"), F.avg("strike").alias("centre"))
+    lo, hi = C("centre") * (1 - span_pct), C("centre") * (1 + span_pct)
+    ends = base.select("book_id", F.explode(F.array(F.lit(0.0), lo, hi)).alias("x"), F.lit(0.0).alias("bend"))
+    kinks = legs.where(opt).select("book_id", C("strike").alias("x"), q.alias("bend"))
+    d = sweep(kinks.unionByName(ends), base).withColumn("be", crossings())
+    inside = C("be").between(lo, hi)
+    g = d.groupBy("book_id").agg(F.first("up_slope").alias("up_slope"), F.first("slope").alias("down_slope"), F.max("value").alias("best"), F.min("value").alias("worst"),
+                                 F.count(F.when(inside, C("be"))).alias("breakevens"), F.min(F.when(inside, C("be"))).alias("first_breakeven"), F.max(F.when(inside, C("be"))).alias("last_breakeven"))
+    return g.withColumn("max_profit", F.when(C("up_slope") <= 1e-9, C("best"))).withColumn("max_loss", F.when(C("up_slope") >= -1e-9, C("worst"))).drop("best", "worst")
+
+
+def calendar_spread_grid(legs: DataFrame, near_days: int, far_days: int, vol: float, points: int = 41, span_pct: float = 0.2) -> DataFrame:
+    """Near legs at intrinsic, far legs at model value over a grid around the mean strike, for every calendar book.
+
+    Near legs are swept along strikes and grid points. Only the far ones, after legs of one strike and type became one,
+    meet the grid: a model value bends everywhere.
+    """
+    q, call = signed(), C("type") == "call"
+    near = C("leg") == "near"
+    base = legs.groupBy("book_id").agg(F.sum(q * (F.when(near & ~call, C("strike")).otherwise(0.0) - C("premium"))).alias("at_zero"), F.sum(F.when(near & ~call, -q).otherwise(0.0)).alias("slope"), F.avg("strike").alias("centre"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: C("centre") * (1 - span_pct + 2 * span_pct * i / (points - 1)))
+    grid = base.select("book_id", F.explode(at).alias("x"))
+    kinks = legs.where(near).select("book_id", C("strike").alias("x"), q.alias("bend"), F.lit(False).alias("on_grid"))
+    both = kinks.unionByName(grid.select("book_id", "x", F.lit(0.0).alias("bend"), F.lit(True).alias("on_grid")))
+    on_grid = both.groupBy("book_id", "x").agg(F.max("on_grid").alias("on_grid"))
+    low = sweep(both, base).join(on_grid.where("on_grid"), ["book_id", "x"]).select("book_id", "x", "value")
+    far = legs.where(~near).groupBy("book_id", "type", "strike").agg(F.sum(q).alias("q"))
+    high = with_greeks(far.join(grid, "book_id"), C("x"), C("strike"), F.lit(far_days - near_days), F.lit(vol), call).select("book_id", "x", (C("q") * C("price")).alias("value"))
+    d = low.unionByName(high).groupBy("book_id", "x").agg(F.sum("value").alias("value")).withColumn("be", crossings())
+    last = Window.partitionBy("book_id").orderBy(F.desc("x"))
+    d = d.withColumn("be", F.when(F.row_number().over(last) > 1, C("be")))
+    return d.groupBy("book_id").agg(F.max("value").alias("max_profit"), F.min("value").alias("max_loss"), F.count("be").alias("breakevens"), F.min("be").alias("first_breakeven"), F.max("be").alias("last_breakeven"))
 
 
 def strategy_legs(spots: DataFrame, template: DataFrame, step: float, days: int, vol: float) -> DataFrame:
@@ -248,11 +273,12 @@ def scenario_margin(legs: DataFrame, spots: DataFrame, vol: float, days: int) ->
     """Worst loss of every book over the spot x vol scan, floored by short premium."""
     sh = F.explode(F.array(*[F.struct(F.lit(s).alias("shock"), F.lit(v).alias("vrel")) for s in SPOT_SHOCKS for v in VOL_SHOCKS]))
     opt = C("type").isin("call", "put")
-    d = legs.withColumnRenamed("premium", "paid").join(spots, "book_id").withColumn("sc", sh).withColumn("s", C("spot") * (1 + C("sc.shock") / 100))
+    # Legs of one strike and type are one before they meet the scenarios; futures do not depend on their strike.
+    one = legs.groupBy("book_id", "type", F.when(opt, C("strike")).otherwise(0.0).alias("strike")).agg(F.sum(signed()).alias("q"), F.sum(signed() * C("premium")).alias("paid"))
+    d = one.join(spots, "book_id").withColumn("sc", sh).withColumn("s", C("spot") * (1 + C("sc.shock") / 100))
     o = with_greeks(d.where(opt), C("s"), C("strike"), F.lit(days), F.greatest(F.lit(1e-4), vol * (1 + C("sc.vrel"))), C("type") == CALL)
     d = o.unionByName(d.where(~opt).withColumn("price", C("s")))
-    sign = F.when(C("side") == "buy", 1.0).otherwise(-1.0) * C("contracts")
-    p = d.groupBy("book_id", "sc").agg(F.sum(sign * (C("price") - C("paid"))).alias("value"))
+    p = d.groupBy("book_id", "sc").agg(F.sum(C("q") * C("price") - C("paid")).alias("value"))
     g = p.groupBy("book_id").agg(F.max(F.when((C("sc.shock") == 0) & (C("sc.vrel") == 0), C("value"))).alias("base_value"), F.min("value").alias("worst"))
     short = legs.groupBy("book_id").agg(F.sum(F.when((C("side") == "sell") & opt, C("premium") * C("contracts")).otherwise(0.0)).alias("short_premium"))
     return g.join(short, "book_id").withColumn("total_margin", F.greatest(C("base_value") - C("worst"), C("short_premium"), F.lit(0.0)))

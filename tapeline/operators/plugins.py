@@ -8,16 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-C = F.col
-RANGE_SCHEMA = "symbol string, low double, median double, high double"
+from .replay import origins, plugin_forecasts, replay_records
 
+C = F.col
 
-def forecaster_plugin(bars: DataFrame, fn: Callable[[str, pd.DataFrame], tuple[float, float, float]]) -> DataFrame:
-    """fn(symbol, history) -> (low, median, high), run per symbol on executors."""
-    def call(key, pdf):
-        return pd.DataFrame([(key[0], *map(float, fn(key[0], pdf.sort_values("ts"))))], columns=["symbol", "low", "median", "high"])
 
-    return bars.select("symbol", "ts", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(call, RANGE_SCHEMA)
+def forecaster_plugin(bars: DataFrame, fn: Callable[[str, pd.DataFrame], tuple[float, float, float] | None], horizon: int, most: int | None = 24) -> DataFrame:
+    """Walk-forward replay of fn(symbol, history) -> (low, median, high) or None: one scored row per origin, see `replay`."""
+    return replay_records(bars, plugin_forecasts(bars, fn, origins(bars, horizon, most=most)), horizon)
 
 
 def evaluator_plugin(train: DataFrame, test: DataFrame, key: str, fn: Callable[[pd.DataFrame, pd.DataFrame], float]) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chunks
 from ..functions.ewm import ewm
+from ..functions.ranks import ranges
 from ..functions.span import BARS as S
-from ..functions.span import Span, ratio
+from ..functions.span import UP, Span, ratio
 
 C = F.col
 DAYS = 252
@@ -47,8 +48,9 @@ def performance_metrics(df: DataFrame, value: str = "close", span: Span = S, rf:
         F.stddev_samp("ret").alias("sd"), F.avg(ex).alias("ex"), F.avg(F.when(ex < 0, ex * ex).when(ex >= 0, 0.0)).alias("down2"), F.min("dd").alias("mdd"),
         F.count_if(C("ret") > 0).alias("positive"), F.count_if(C("ret") < 0).alias("negative"),
         F.coalesce(F.sum(F.when(C("ret") > 0, C("ret"))), F.lit(0.0)).alias("gains"), F.coalesce(-F.sum(F.when(C("ret") < 0, C("ret"))), F.lit(0.0)).alias("losses"),
-        F.percentile("ret", F.lit(0.05)).alias("q"), F.collect_list("ret").alias("_all"))
-    tail = F.filter("_all", lambda r: r <= C("q") + 1e-15)
+        F.percentile("ret", F.lit(0.05)).alias("q"))
+    tail = d.join(g.select(*keys, "q"), keys).where(C("ret") <= C("q") + 1e-15).groupBy(*keys).agg(F.avg("ret").alias("_tail"))
+    g = g.join(tail, keys, "left")
     years = F.greatest(C("n") / periods, F.lit(1 / periods))
     ann = F.pow(C("v1") / C("v0"), 1 / years) - 1
     down = F.sqrt("down2") * math.sqrt(periods)
@@ -61,7 +63,7 @@ def performance_metrics(df: DataFrame, value: str = "close", span: Span = S, rf:
         F.when(mdd > 0, ann / mdd).otherwise(0.0).alias("calmar"), (C("positive") / C("n")).alias("hit_rate"), "positive", "negative",
         F.when(C("losses") > 0, C("gains") / C("losses")).when(C("gains") > 0, 9999.0).otherwise(0.0).alias("profit_factor"),
         F.greatest(F.lit(0.0), -C("q")).alias("var_95"),
-        F.greatest(F.lit(0.0), -F.aggregate(tail, F.lit(0.0), lambda a, r: a + r) / F.size(tail)).alias("cvar_95"))
+        F.greatest(F.lit(0.0), -C("_tail")).alias("cvar_95"))
 
 
 def position_size(proposals: DataFrame, risk_fraction: float = 0.01, max_allocation: float = 0.25) -> DataFrame:
@@ -75,12 +77,13 @@ def position_size(proposals: DataFrame, risk_fraction: float = 0.01, max_allocat
 
 
 def portfolio_valuation(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """positions(user_id, symbol, quantity, average_price) valued at the latest price, else at cost."""
+    """positions(user_id, symbol, quantity, average_price) valued at the latest price, else at cost, with the account's result and return on cost."""
     d = positions.join(prices.select("symbol", "price"), "symbol", "left").withColumn("price", F.coalesce("price", "average_price"))
     d = d.withColumn("market_value", C("quantity") * C("price")).withColumn("unrealized_pnl", (C("price") - C("average_price")) * C("quantity"))
     # The total per user is an aggregate joined back, so a large account is not held in one window task.
-    tot = d.groupBy("user_id").agg(F.sum("market_value").alias("total_value"))
-    return d.join(tot, "user_id").withColumn("allocation_pct", ratio("market_value", "total_value") * 100)
+    tot = d.groupBy("user_id").agg(F.sum("market_value").alias("total_value"), F.sum(C("quantity") * C("average_price")).alias("total_cost"))
+    d = d.join(tot, "user_id").withColumn("allocation_pct", ratio("market_value", "total_value") * 100).withColumn("return_pct", (ratio("price", "average_price") - 1) * 100)
+    return d.withColumn("total_pnl", C("total_value") - C("total_cost")).withColumn("total_return_pct", (ratio("total_value", "total_cost") - 1) * 100)
 
 
 # ---- fills ---------------------------------------------------------------------------
@@ -202,34 +205,34 @@ def average_cost_positions(fills: DataFrame, keys: list[str], order: list[str],
     return folded.unionByName(big)
 
 
-def fifo_matches(fills: DataFrame, keys: list[str], order: list[str], chunk: Column, width: float = 1000.0) -> tuple[DataFrame, DataFrame]:
-    """(lot matches, sells): FIFO by overlapping cumulative-quantity intervals.
+def fifo_matches(fills: DataFrame, keys: list[str], order: list[str], chunk: Column, parts: int = 64) -> DataFrame:
+    """Lot matches, first in first out: each sell with the buys it closes, and its unmatched shares.
 
-    Sells beyond the holding are cut by the reflected running minimum. Intervals meet through
-    quantity buckets, so a busy key joins only neighbouring lots, never all pairs.
+    Every lot ends at a cumulative quantity of its side. Sorted by that end, both sides merge: the stretch up to an end
+    belongs to the next buy and the next sell that reach it. Sells beyond the holding are cut by the reflected running
+    minimum first. A key's quantities are cut at their own quantiles; only the first lots and the last end of a range
+    travel to its neighbours, so a large lot is one row however much it spans.
     """
     f = fills.where((C("shares") > 0) & (C("price") >= 0) & C("side").isin("BUY", "SELL"))
     buy = C("side") == "BUY"
-    f = chunks.lowest_level(f, keys, chunk, order, F.when(buy, C("shares")).otherwise(-C("shares")))
-    short = F.greatest(F.lit(0.0), -C("low")) - F.greatest(F.lit(0.0), -F.coalesce("low_before", F.lit(0.0)))
-    f = f.withColumn("unmatched", F.when(buy, 0.0).otherwise(short)).drop("level", "low", "low_before")
-    f = f.withColumn("eff", F.when(buy, C("shares")).otherwise(C("shares") - C("unmatched")))
-    f = chunks.running(f, [*keys, "side"], chunk, order, {"hi": ("sum", C("eff"))})
-    f = f.withColumn("lo", C("hi") - C("eff")).where((C("eff") > 1e-12) | (C("side") == "SELL"))
-
-    def buckets(d):
-        return d.withColumn("_b", F.explode(F.sequence(F.floor(C("lo") / width), F.floor(C("hi") / width))))
-
-    sells = f.where(~buy)
-    b = buckets(f.where(buy)).select(*keys, "_b", C("lo").alias("blo"), C("hi").alias("bhi"), C("price").alias("buy_price"), C("ts").alias("buy_ts"))
-    s = buckets(sells.where("eff > 1e-12"))
-    lo, hi = F.greatest("lo", "blo"), F.least("hi", "bhi")
-    m = s.join(b, [*keys, "_b"]).where((hi - lo > 1e-12) & (C("_b") == F.floor(lo / width)))
-    return m.withColumn("matched", hi - lo), sells
+    f = chunks.level_and_sides(f, keys, chunk, order, F.when(buy, C("shares")).otherwise(0.0), F.when(buy, 0.0).otherwise(C("shares")))
+    cut_off = F.greatest(F.lit(0.0), -C("low"))
+    short = F.when(buy, 0.0).otherwise(cut_off - F.greatest(F.lit(0.0), -F.coalesce("low_before", F.lit(0.0))))
+    f = f.withColumn("unmatched", short).withColumn("end", F.when(buy, C("ups")).otherwise(C("downs") - cut_off))
+    f = ranges(f.where(buy | (C("shares") - C("unmatched") > 1e-12)), keys, "end", parts)
+    bought, sold = F.struct(C("price").alias("buy_price"), C("ts").alias("buy_ts")), F.struct(*order, "price", "unmatched")
+    down = Window.partitionBy(*keys, "_r").orderBy(F.desc("end"), "side").rowsBetween(UP, 0)
+    back = Window.partitionBy(*keys, "_r").orderBy(F.desc("end"), "side")
+    d = f.select(*keys, "_r", "end", F.last(F.when(buy, bought), True).over(down).alias("b"), F.last(F.when(~buy, sold), True).over(down).alias("s"), F.lead("end").over(back).alias("start"))
+    edge = f.groupBy(*keys, "_r").agg(F.min_by(F.when(buy, bought), F.when(buy, C("end"))).alias("fb"), F.min_by(F.when(~buy, sold), F.when(~buy, C("end"))).alias("fs"), F.max("end").alias("top"))
+    later, sooner = Window.partitionBy(*keys).orderBy(F.desc("_r")).rowsBetween(UP, -1), Window.partitionBy(*keys).orderBy("_r").rowsBetween(UP, -1)
+    edge = edge.select(*keys, "_r", F.last("fb", True).over(later).alias("nb"), F.last("fs", True).over(later).alias("ns"), F.max("top").over(sooner).alias("below"))  # at most `parts` rows a key
+    d = d.join(edge, [*keys, "_r"]).select(*keys, "end", F.coalesce("start", "below", F.lit(0.0)).alias("start"), F.coalesce("b", "nb").alias("b"), F.coalesce("s", "ns").alias("s"))
+    return d.where(C("b").isNotNull() & C("s").isNotNull() & (C("end") - C("start") > 1e-12)).select(*keys, "s.*", "b.*", (C("end") - C("start")).alias("matched"))
 
 
 def fifo_realized_gains(fills: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
-    m, sells = fifo_matches(fills, keys, order, chunk)
+    m = fifo_matches(fills, keys, order, chunk)
     g = m.groupBy(*keys, *order, "price", "unmatched").agg(F.sum("matched").alias("shares_closed"), F.sum(C("matched") * C("buy_price")).alias("cost_basis"), F.min("buy_ts").alias("buy_ts"))
     gain = C("shares_closed") * C("price") - C("cost_basis")
     return g.select(*keys, *order, "buy_ts", "shares_closed", "cost_basis", (C("shares_closed") * C("price")).alias("proceeds"), gain.alias("gain"),

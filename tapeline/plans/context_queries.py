@@ -125,9 +125,10 @@ def _(t):
     return cx.latest_feature_row(cx.instrument_features(t.bars, t.index_bars, 5), t.bars)
 
 
-@query("derivative_membership", "symbol:s has_derivatives:b", "SELECT symbol, symbol IN (SELECT DISTINCT symbol FROM trades WHERE linenumber = 7 AND size > 45) AS has_derivatives FROM instruments", "instruments trades")
+@query("derivative_membership", "symbol:s has_derivatives:b contracts:i", "SELECT i.symbol, count(k) > 0 AS has_derivatives, count(k) AS contracts FROM (SELECT symbol FROM instruments UNION ALL SELECT 'UNLISTED') i LEFT JOIN (SELECT DISTINCT underlying, strike || option_type AS k FROM chain) c ON c.underlying = i.symbol GROUP BY i.symbol", "instruments chain")
 def _(t):
-    return cx.derivative_membership(t.instruments, t.trades.where("linenumber = 7 and size > 45"))
+    unlisted = t.raw("region").where("r_regionkey = 0").select(F.lit("UNLISTED").alias("symbol"))
+    return cx.derivative_membership(t.instruments.select("symbol").unionByName(unlisted), t.chain.select(C("underlying").alias("symbol"), "strike", "option_type"), ["strike", "option_type"])
 
 
 REG = f"""{ATR_CTES}, {ADX_CTES}, {MACD_CTES}, {rsi_ctes(14)}, e20 AS ({ewm_sql('bars', 'close', 2 / 21, 20)}), e50 AS ({ewm_sql('bars', 'close', 2 / 51, 50)}),

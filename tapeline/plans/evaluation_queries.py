@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import norm_cdf_sql
 from ..functions.ranks import conformal_width
-from ..functions.span import Span
 from ..operators import context as cx
 from ..operators import evaluation as ev
+from ..operators import replay as rp
 from ..operators import risk as rk
 from .context_queries import FEAT
 from .indicator_queries import W, fr, full
@@ -169,7 +169,7 @@ def _(t):
        f"""WITH x AS (SELECT tier, greatest(0, least(1, (actual_price - forecast_low) / (forecast_high - forecast_low))) AS x FROM settled), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY x) AS i, count(*) OVER (PARTITION BY tier) AS n FROM x), g AS (SELECT tier, max(n) AS n, max(greatest(i / n - x, x - (i - 1) / n)) AS ks FROM r GROUP BY tier)
        SELECT *, greatest(0, least(1, {' + '.join(f'{2 * (-1) ** (k - 1)} * exp(-2.0 * {k * k} * ks * ks * n)' for k in range(1, 21))})) AS p_value FROM g""", "settled")
 def _(t):
-    return ev.pit_ks(t.settled, ["tier"], Span(("tier",), ("id",)))
+    return ev.pit_ks(t.settled, ["tier"])
 
 
 @query("mase", "symbol:s mase:f6", "SELECT symbol, avg(abs(actual_price - forecast_median)) / avg(abs(actual_price - l)) AS mase FROM (SELECT *, lag(actual_price, 5) OVER (PARTITION BY symbol ORDER BY target_date) AS l FROM settled) GROUP BY symbol", "settled")
@@ -230,23 +230,38 @@ ORI = "ori AS (SELECT symbol, ts FROM (SELECT symbol, ts, row_number() OVER w -
 
 @query("walk_forward_origins", "symbol:s ts:d", f"WITH {ORI} SELECT * FROM ori")
 def _(t):
-    return ev.walk_forward_origins(t.bars, 5)
+    return rp.origins(t.bars, 5)
 
 
-REPLAY = f"""{base(5)}, {ORI}, rp AS (SELECT symbol, ts, bl.close, dd, lead(bl.close, 5) OVER w AS act, max(high) OVER f AS mx, min(low) OVER f AS mn, lead(open) OVER w AS en FROM bl JOIN bars b USING (symbol, ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
-  rq AS (SELECT rp.* FROM rp JOIN ori USING (symbol, ts)), rr AS (SELECT symbol, count(*) AS origins, avg(CAST(act BETWEEN dd * 0.4e0 AND dd * 1.6e0 AS DOUBLE)) AS coverage, avg(CAST(mx <= dd * 1.6e0 AND mn >= dd * 0.4e0 AS DOUBLE)) AS path_containment, avg(CAST(sign(dd - close) = sign(act - close) AS DOUBLE)) FILTER (WHERE dd <> close AND act <> close) AS direction, avg(abs(act - dd)) AS mae, avg(abs(act - close)) AS naive_mae, avg(sign(dd - close) * (act / en - 1) - 0.001e0) AS mean_trade FROM rq GROUP BY symbol)"""
+def replay_sql(forecasts: str, h: int = 5) -> str:
+    """Scored origins `rq` and their summary `rr`, from bars `rb` and a query of (symbol, ts, low, median, high)."""
+    return f"""rb AS (SELECT symbol, ts, close, lead(close, {h}) OVER w AS act, max(high) OVER f AS mx, min(low) OVER f AS mn, lead(open) OVER w AS en, lag(close, {h}) OVER w AS pr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)),
+  rf AS ({forecasts}), rg AS (SELECT rb.*, low, median, high, low IS NOT NULL AND median IS NOT NULL AND high > low AS ok FROM rf JOIN rb USING (symbol, ts)), rh AS (SELECT *, CASE WHEN ok THEN sign(median - close) END AS side, sign(act - close) AS mv, sign(close - pr) AS dr FROM rg),
+  rq AS (SELECT *, CASE WHEN side <> 0 THEN side * (act * (1 - side * 0.00045e0) - en * (1 + side * 0.00045e0)) END AS net FROM rh),
+  re AS (SELECT *, net / en * 100 AS ret, CASE WHEN net IS NOT NULL THEN sum(net) OVER w END AS eq FROM rq WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)), rd AS (SELECT *, max(eq) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pk FROM re),
+  rr AS (SELECT symbol, count(*) AS origins, count(*) FILTER (WHERE ok) AS usable, count(*) FILTER (WHERE NOT ok) AS abstained, avg(CAST(act BETWEEN low AND high AS DOUBLE)) FILTER (WHERE ok) AS coverage, avg(CAST(mx <= high AND mn >= low AS DOUBLE)) FILTER (WHERE ok) AS path_containment,
+    avg(CAST(mv = side AS DOUBLE)) FILTER (WHERE side <> 0) AS direction, avg(CAST(mv = dr AND mv <> 0 AS DOUBLE)) FILTER (WHERE dr <> 0) AS naive_direction, avg(abs(act - median)) FILTER (WHERE ok) AS mae, avg(abs(act - close)) AS naive_mae, count(net) AS trades, count(*) FILTER (WHERE net > 0) AS wins,
+    coalesce(sum(abs(act - en)) FILTER (WHERE net IS NOT NULL), 0) AS gross_pnl, coalesce(sum(net), 0) AS net_pnl, avg(ret) AS mean_return_pct, CASE WHEN count(net) > 1 AND stddev_pop(ret) > 0 THEN avg(ret) / stddev_pop(ret) * sqrt(count(net)) END AS sharpe,
+    CASE WHEN count(eq) > 0 THEN least(0, coalesce(min((eq - pk) / pk * 100) FILTER (WHERE pk > 0), 0)) END AS max_drawdown_pct FROM rd GROUP BY symbol)"""
 
 
-@query("range_replay", "symbol:s origins:i coverage:f6 path_containment:f6 direction:f6 mae:f2 naive_mae:f2 mase:f6 mean_trade:f", f"WITH {REPLAY} SELECT *, mae / naive_mae AS mase FROM rr")
+REPLAY = f"""{base(5)}, {ORI}, {replay_sql("SELECT symbol, ts, CASE WHEN day(ts) <> 13 THEN dd * 0.4e0 END AS low, CASE WHEN day(ts) <> 13 THEN dd END AS median, CASE WHEN day(ts) <> 13 THEN dd * 1.6e0 END AS high FROM bl JOIN ori USING (symbol, ts)")}"""
+REPLAYED = "symbol:s origins:i usable:i abstained:i coverage:f6 path_containment:f6 direction:f6 naive_direction:f6 mae:f2 naive_mae:f2 mase:f6 trades:i wins:i gross_pnl:f2 costs:f2 net_pnl:f2 mean_return_pct:f sharpe:f max_drawdown_pct:f2"
+
+
+def replayed(t):
+    return ev.range_replay(t.bars, 5, 0.6, F.dayofmonth("ts") == 13)
+
+
+@query("range_replay", REPLAYED, f"WITH {REPLAY} SELECT *, mae / naive_mae AS mase, gross_pnl - net_pnl AS costs FROM rr")
 def _(t):
-    return ev.range_replay(t.bars, 5, 0.6)
+    return replayed(t)
 
 
 @query("naive_beat_gate", "symbol:s passed:b reasons:s",
        f"""WITH {REPLAY} SELECT symbol, (1 - mae / naive_mae) * 100 >= 0 AND coverage BETWEEN 0.65 AND 0.95 AS passed, concat_ws(',', CASE WHEN (1 - mae / naive_mae) * 100 < 0 THEN 'improvement' END, CASE WHEN NOT coverage BETWEEN 0.65 AND 0.95 THEN 'coverage' END) AS reasons FROM rr""")
 def _(t):
-    m = ev.range_replay(t.bars, 5, 0.6)
-    return ev.naive_beat_gate(m.select("symbol", ((1 - C("mase")) * 100).alias("improvement_pct"), "coverage", C("origins").alias("usable"), "origins"))
+    return ev.naive_beat_gate(replayed(t).select("symbol", ((1 - C("mase")) * 100).alias("improvement_pct"), "coverage", "usable", "origins"))
 
 
 @query("promotion_gate", "tier:s promoted:b reasons:s",

@@ -8,7 +8,7 @@ from .indicator_queries import W, full
 from .registry import query
 
 C = F.col
-NOW = "2001-11-01"
+NOW = "2001-11-08"
 
 
 def now():
@@ -27,7 +27,7 @@ def _(t):
     return lg.pending_due(pending(t), now()).groupBy("symbol", "state").agg(F.count("*").alias("rows"), F.min("target_date").alias("oldest"))
 
 
-SET = f"""{PEND}, tb AS (SELECT symbol, ts, close, CASE WHEN dayofyear(ts) % 40 = 1 THEN 'unknown' ELSE 'main' END AS provider, dayofyear(ts) % 60 = 2 AS stale FROM bars WHERE NOT (month(ts) = 7 AND day(ts) BETWEEN 5 AND 28) AND ts < DATE '2001-10-10'),
+SET = f"""{PEND}, tb AS (SELECT symbol, ts, close, CASE WHEN dayofyear(ts) % 40 = 1 THEN 'unknown' ELSE 'main' END AS provider, dayofyear(ts) % 60 = 2 OR (month(ts) = 7 AND day(ts) BETWEEN 5 AND 28) AS stale FROM bars),
   st0 AS (SELECT p.*, b.ts AS bts, b.close AS bc, b.provider, b.stale, b.ts - p.target_date AS gap FROM (SELECT * FROM pend WHERE target_date <= DATE '{NOW}') p ASOF LEFT JOIN tb b ON p.symbol = b.symbol AND p.target_date <= b.ts),
   st AS (SELECT *, CASE WHEN bts IS NULL OR gap > 10 THEN 'target_data_absent' WHEN stale THEN 'stale_market_data' WHEN provider = 'unknown' THEN 'unverified_provider' END AS reason FROM st0),
   sx AS (SELECT *, CASE WHEN reason IS NULL THEN 'settled' WHEN reason = 'target_data_absent' AND DATE '{NOW}' - target_date < 0.25 THEN 'deferred' ELSE 'unverifiable' END AS status FROM st)"""
@@ -35,8 +35,8 @@ SET = f"""{PEND}, tb AS (SELECT symbol, ts, close, CASE WHEN dayofyear(ts) % 40
 
 def trusted_bars(t):
     d = F.dayofyear("ts")
-    b = t.bars.where(~((F.month("ts") == 7) & F.dayofmonth("ts").between(5, 28)) & (C("ts") < F.lit("2001-10-10").cast("date")))
-    return b.select("symbol", "ts", "close", F.when(d % 40 == 1, "unknown").otherwise("main").alias("provider"), (d % 60 == 2).alias("is_stale"), F.lit(False).alias("is_demo"))
+    stale = (d % 60 == 2) | ((F.month("ts") == 7) & F.dayofmonth("ts").between(5, 28))
+    return t.bars.select("symbol", "ts", "close", F.when(d % 40 == 1, "unknown").otherwise("main").alias("provider"), stale.alias("is_stale"), F.lit(False).alias("is_demo"))
 
 
 @query("settle_forward_asof", "symbol:s id:i status:s reason:s settled_price:f observed_at:d", f"WITH {SET} SELECT symbol, id, status, reason, CASE WHEN reason IS NULL THEN bc END AS settled_price, CASE WHEN reason IS NULL THEN bts END AS observed_at FROM sx", "ledger")
@@ -45,10 +45,13 @@ def _(t):
 
 
 @query("settle_quote_fallback", "symbol:s id:i status:s reason:s settled_price:f method:s",
-       f"""WITH {SET}, q AS (SELECT symbol, max(price) AS p FROM quotes WHERE provider = 'S1' GROUP BY symbol), z AS (SELECT sx.*, coalesce(reason = 'target_data_absent' AND DATE '{NOW}' - target_date <= 2 AND DATE '2001-10-31' >= target_date AND p > 0, false) AS ok, p FROM sx LEFT JOIN q USING (symbol))
+       f"""WITH {SET}, q AS (SELECT symbol, arg_max(price, (qd, provider)) AS p, max(qd) AS qd FROM (SELECT symbol, provider, price, CASE provider WHEN 'S2' THEN DATE '2001-11-06' ELSE DATE '2001-11-07' END AS qd FROM quotes WHERE provider <> 'S0' AND NOT (provider = 'S1' AND symbol LIKE '%3')) GROUP BY symbol),
+       z AS (SELECT sx.*, coalesce(reason = 'target_data_absent' AND DATE '{NOW}' - target_date <= 2 AND qd >= target_date AND DATE '{NOW}' - qd <= 2 AND p > 0, false) AS ok, p FROM sx LEFT JOIN q USING (symbol))
        SELECT symbol, id, CASE WHEN ok THEN 'settled' ELSE status END AS status, CASE WHEN NOT ok THEN reason END AS reason, CASE WHEN ok THEN p WHEN reason IS NULL THEN bc END AS settled_price, CASE WHEN ok THEN 'quote' WHEN status = 'settled' THEN 'history' END AS method FROM z""", "ledger quotes")
 def _(t):
-    q = t.quotes.where("provider = 'S1'").select("symbol", "price", F.lit("2001-10-31").cast("date").alias("ts"), "provider", F.lit(False).alias("is_stale"), F.lit(False).alias("is_demo"))
+    """All providers: S0 delivers stale quotes, S1 demo ones for some symbols, S2 a day earlier."""
+    p = C("provider")
+    q = t.quotes.select("symbol", "price", F.when(p == "S2", "2001-11-06").otherwise("2001-11-07").cast("date").alias("ts"), "provider", (p == "S0").alias("is_stale"), ((p == "S1") & C("symbol").endswith("3")).alias("is_demo"))
     return lg.settle_quote_fallback(lg.settle_forward_asof(pending(t), trusted_bars(t), now()), q, now())
 
 

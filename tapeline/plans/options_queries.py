@@ -183,7 +183,11 @@ PAY = f"{SGN} * CASE type WHEN 'call' THEN greatest(0, x - strike) - premium WHE
 
 
 @query("payoff_grid", "book_id:i max_profit:f2 max_loss:f2 breakevens:i first_breakeven:f2 last_breakeven:f2 up_slope:f down_slope:f",
-       f"""WITH lg AS (SELECT * REPLACE (strike + 7e0 AS strike) FROM legs), {curve_sql(0.5, 41, PAY)}, tl AS (SELECT book_id, sum(CASE type WHEN 'put' THEN 0 ELSE {SGN} END) AS up_slope, sum(CASE type WHEN 'put' THEN -({SGN}) WHEN 'call' THEN 0 ELSE {SGN} END) AS down_slope FROM lg GROUP BY book_id) SELECT * FROM cs JOIN tl USING (book_id)""", "legs")
+       f"""WITH lg AS (SELECT * REPLACE (strike + 7e0 AS strike) FROM legs), tl AS (SELECT book_id, avg(strike) AS centre, sum(CASE type WHEN 'put' THEN 0 ELSE {SGN} END) AS up_slope, sum(CASE type WHEN 'put' THEN -({SGN}) WHEN 'call' THEN 0 ELSE {SGN} END) AS down_slope FROM lg GROUP BY book_id),
+       px AS (SELECT DISTINCT book_id, x FROM (SELECT book_id, unnest([0e0, centre * 0.5e0, centre * 1.5e0]) AS x FROM tl UNION ALL SELECT book_id, strike FROM lg WHERE type <> 'future')), cv AS (SELECT book_id, x, sum({PAY}) AS v FROM px JOIN lg USING (book_id) GROUP BY book_id, x),
+       cl AS (SELECT *, lead(v) OVER w AS n, lead(x) OVER w AS nx FROM cv WINDOW w AS (PARTITION BY book_id ORDER BY x)), cb AS (SELECT *, CASE WHEN v = 0 THEN x WHEN v * n < 0 THEN x - v * (nx - x) / (n - v) END AS be FROM cl),
+       cs AS (SELECT book_id, max(v) AS hi, min(v) AS lo, count(be) FILTER (WHERE be BETWEEN centre * 0.5e0 AND centre * 1.5e0) AS breakevens, min(be) FILTER (WHERE be BETWEEN centre * 0.5e0 AND centre * 1.5e0) AS first_breakeven, max(be) FILTER (WHERE be BETWEEN centre * 0.5e0 AND centre * 1.5e0) AS last_breakeven FROM cb JOIN tl USING (book_id) GROUP BY book_id)
+       SELECT *, CASE WHEN up_slope <= 1e-9 THEN hi END AS max_profit, CASE WHEN up_slope >= -1e-9 THEN lo END AS max_loss FROM cs JOIN tl USING (book_id)""", "legs")
 def _(t):
     return op.payoff_grid(t.legs.withColumn("strike", C("strike") + 7.0))
 

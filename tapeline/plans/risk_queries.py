@@ -76,12 +76,14 @@ def positions(t):
     return held.where("quantity > 0").select("user_id", "symbol", "quantity", "average_price")
 
 
-@query("portfolio_valuation", "user_id:i symbol:s market_value:f2 unrealized_pnl:f2 allocation_pct:f",
-       f"""WITH RECURSIVE {POS}, v AS (SELECT pos.*, coalesce(c, average_price) AS price FROM pos LEFT JOIN (SELECT symbol, arg_max(close, ts) AS c FROM bars WHERE symbol <> 'Brand#7' GROUP BY symbol) USING (symbol))
-       SELECT user_id, symbol, quantity * price AS market_value, (price - average_price) * quantity AS unrealized_pnl, quantity * price / sum(quantity * price) OVER (PARTITION BY user_id) * 100 AS allocation_pct FROM v""", "transactions bars")
+@query("portfolio_valuation", "user_id:i symbol:s market_value:f2 unrealized_pnl:f2 allocation_pct:f return_pct:f total_pnl:f2 total_return_pct:f",
+       f"""WITH RECURSIVE {POS}, v AS (SELECT pos.*, coalesce(c, average_price) AS price FROM (FROM pos UNION ALL SELECT c_custkey, 'UNLISTED', 10e0, 1000 + c_acctbal / 100 FROM customer) pos LEFT JOIN (SELECT symbol, arg_max(close, ts) AS c FROM bars GROUP BY symbol) USING (symbol)),
+       u AS (SELECT *, sum(quantity * price) OVER (PARTITION BY user_id) AS tv, sum(quantity * average_price) OVER (PARTITION BY user_id) AS tc FROM v)
+       SELECT user_id, symbol, quantity * price AS market_value, (price - average_price) * quantity AS unrealized_pnl, quantity * price / tv * 100 AS allocation_pct, (price / average_price - 1) * 100 AS return_pct, tv - tc AS total_pnl, (tv / tc - 1) * 100 AS total_return_pct FROM u""", "transactions bars")
 def _(t):
-    last = t.bars.where("symbol <> 'Brand#7'").groupBy("symbol").agg(F.max_by("close", "ts").alias("price"))
-    return rk.portfolio_valuation(positions(t), last)
+    last = t.bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("price"))
+    unlisted = t.raw("customer").select(C("c_custkey").alias("user_id"), F.lit("UNLISTED").alias("symbol"), F.lit(10.0).alias("quantity"), (1000 + C("c_acctbal") / 100).alias("average_price"))
+    return rk.portfolio_valuation(positions(t).unionByName(unlisted), last)
 
 
 @query("average_cost_positions", "user_id:i symbol:s fills:i accepted:i quantity:f average_price:f",

@@ -6,11 +6,15 @@ from ..operators import context as cx
 from ..operators import plugins as pg
 from ..operators.indicators import change
 from ..operators.ledger import headline_sentiment
+from ..session import shared_path
+from ..sources.keyed_store import KeyedStore
+from ..streaming import health, late
 from ..streaming import ticks as st
-from .indicator_queries import W, full
+from .evaluation_queries import replay_sql
+from .indicator_queries import W
 from .ledger_queries import SENT
 from .registry import query
-from .session_queries import bucket_sql
+from .session_queries import bucket_sql, cal_sql, full_calendar
 
 C = F.col
 
@@ -53,9 +57,12 @@ def _(t):
     return st.drain(st.stream_dedupe(twice, "1 hour"), "dedupe").groupBy("symbol").agg(F.count("*").alias("rows"), F.sum("price").alias("price_sum"))
 
 
-@query("stale_symbol_detect", "symbol:s last_ts:t silent_seconds:f", "SELECT symbol, p AS last_ts, (epoch_us(ts) - epoch_us(p)) / 1e6 AS silent_seconds FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM ticks) WHERE epoch_us(ts) - epoch_us(p) > 3600e6", "ticks")
+@query("stale_symbol_detect", "symbol:s last_ts:t reported_at:t state:s silent_seconds:f",
+       """WITH g AS (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM ticks), e AS (SELECT symbol, max(ts) AS p FROM ticks GROUP BY symbol), f AS (SELECT * FROM g WHERE epoch_us(ts) - epoch_us(p) > 900000000)
+       SELECT symbol, p AS last_ts, p + INTERVAL 15 MINUTE AS reported_at, 'stale' AS state, NULL::DOUBLE AS silent_seconds FROM f UNION ALL SELECT symbol, p, ts, 'resumed', (epoch_us(ts) - epoch_us(p)) / 1e6 FROM f
+       UNION ALL SELECT symbol, p, p + INTERVAL 15 MINUTE, 'stale', NULL FROM e WHERE p + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM ticks)""", "ticks")
 def _(t):
-    return st.drain(st.stale_symbols(stream(t), 3600), "stale")
+    return st.drain(health.stale_symbols(stream(t), 900, "2 minutes"), "stale")
 
 
 RULES = [(1, "click", "ABOVE", 60.0), (2, "click", "BELOW", 20.0), (3, "error", "ABOVE", 100.0), (4, "view", "BELOW", 50.0)]
@@ -69,11 +76,13 @@ def _(t):
     return st.drain(st.alert_stream(stream(t), r, 7200), "alerts")
 
 
-@query("session_activity", "symbol:s session_start:t session_end:t ticks:i",
-       f"""WITH g AS (SELECT symbol, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-       SELECT symbol, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS ticks FROM s GROUP BY symbol, k HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""", "ticks")
+@query("session_activity", "symbol:s session_date:d phase:s session_start:t session_end:t ticks:i",
+       f"""WITH {cal_sql('events', 'ts', [2024])}, l AS (SELECT symbol, ts, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS session_date, epoch_us(ts + INTERVAL 330 MINUTE) % 86400000000 AS us FROM ticks),
+       p AS (SELECT l.symbol, l.ts, session_date, CASE WHEN cal.is_session IS NULL THEN 'unknown' WHEN NOT cal.is_session THEN 'no_session' WHEN us < 33300000000 THEN 'pre' WHEN us <= 55800000000 THEN 'regular' ELSE 'post' END AS phase FROM l LEFT JOIN cal ON cal.ts = session_date),
+       g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM p WINDOW w AS (PARTITION BY symbol, session_date, phase ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY symbol, session_date, phase ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+       SELECT symbol, session_date, phase, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS ticks FROM s GROUP BY symbol, session_date, phase, k HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""", "ticks")
 def _(t):
-    return st.drain(st.session_activity(stream(t), "30 minutes", "1 hour"), "sessions")
+    return st.drain(st.session_activity(stream(t), full_calendar(t, "events", "ts", [2024]), "30 minutes", "1 hour"), "sessions")
 
 
 @query("settlement_stream", "id:i matches:i first_price:f",
@@ -85,29 +94,49 @@ def _(t):
     return d.groupBy("id").agg(F.count("tick_ts").alias("matches"), F.min_by("tick_price", "tick_ts").alias("first_price"))
 
 
-@query("sentiment_ingest", "symbol:s avg_score:f6 headlines:i", f"WITH {SENT} SELECT symbol, avg(score) AS avg_score, count(*) AS headlines FROM snt GROUP BY symbol", "headlines")
+@query("sentiment_ingest", "symbol:s window_start:t avg_score:f6 headlines:i",
+       f"WITH {SENT} SELECT symbol, time_bucket(INTERVAL 7 DAY, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 90), TIMESTAMP '2024-01-01') AS window_start, avg(score) AS avg_score, count(*) AS headlines FROM snt GROUP BY ALL", "headlines")
 def _(t):
     d = t.spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{t.dir}/documents*.parquet")
-    h = d.select("doc_id", F.concat(F.lit("Brand#"), (C("doc_id") % 25 + 1).cast("string")).alias("symbol"), C("text").alias("title"))
-    s = headline_sentiment(h, "title").groupBy("symbol").agg(F.avg("score").alias("avg_score"), F.count("*").alias("headlines"), F.max("doc_id").alias("version"))
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((C("doc_id") % 90).cast("int"))
+    h = d.select("doc_id", F.concat(F.lit("Brand#"), (C("doc_id") % 25 + 1).cast("string")).alias("symbol"), C("text").alias("title"), at.alias("ts"))
+    base = shared_path(t.spark, "sentiment")
+    store = KeyedStore(t.spark, f"{base}/store", "symbol string, window_start timestamp, avg_score double, headlines long", ["symbol", "window_start"], ["headlines"])
+    snapshots = st.sentiment_windows(headline_sentiment(h, "title"), "7 days", "90 days")
+    st.upsert_stream(snapshots, store, f"{base}/ckpt")
+    return store.read()
 
-    return st.latest_snapshots(st.drain(s, "sentiment", "update"), ["symbol"], "version")
 
+ARRIVE = "ar AS (SELECT symbol, ts, event_id, CAST(floor(epoch(ts + CASE WHEN event_id % 4 = 0 THEN INTERVAL 3 HOUR WHEN event_id % 7 = 3 THEN INTERVAL 40 HOUR ELSE INTERVAL 0 HOUR END) / 432000) AS BIGINT) AS b FROM ticks)"
 
-@query("late_data_policy", "symbol:s state:s rows:i", "SELECT symbol, CASE WHEN epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(ts) > 21600e6 THEN 'final' ELSE 'deferred' END AS state, count(*) AS rows FROM ticks GROUP BY ALL", "ticks")
+
+@query("late_data_policy", "symbol:s route:s rows:i first_ts:t last_ts:t",
+       f"""WITH {ARRIVE}, m AS (SELECT b, max(ts) AS newest FROM ar GROUP BY b), f AS (SELECT b, max(newest) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS front FROM m),
+       r AS (SELECT symbol, ts, CASE WHEN front IS NULL OR ts >= front THEN 'on_time' WHEN epoch_us(front) - epoch_us(ts) <= 21600000000 THEN 'deferred' ELSE 'late' END AS route FROM ar JOIN f USING (b))
+       SELECT symbol, route, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts FROM r GROUP BY symbol, route""", "ticks")
 def _(t):
-    at = F.lit("2024-01-30 00:00:00").cast("timestamp")
-    d = st.drain(st.late_data_policy(stream(t).select("symbol", "ts"), "ts", at), "late")
-    return d.groupBy("symbol", "state").agg(F.count("*").alias("rows"))
+    k = C("event_id")
+    delay = F.when(k % 4 == 0, 3).when(k % 7 == 3, 40).otherwise(0)
+    arrivals = t.ticks.select("symbol", "ts", "event_id", F.floor((C("ts").cast("double") + delay * 3600) / 432000).alias("b"))
+    base, schema = shared_path(t.spark, "late"), "symbol string, ts timestamp, event_id long"
+    router = late.LateRouter(f"{base}/out", "ts")
+    days = [r["b"] for r in arrivals.select("b").distinct().orderBy("b").collect()]  # one for every five days of the stream
+    late.arrive([arrivals.where(C("b") == b).drop("b") for b in days], f"{base}/in", lambda spark: spark.readStream.schema(schema).parquet(f"{base}/in"), router, f"{base}/ckpt")
+    return router.read(t.spark, schema).groupBy("symbol", "route").agg(F.count("*").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+THIN = "(SELECT symbol, ts FROM (SELECT symbol, ts, i, n, greatest(1, CAST(ceil((n - 45) / 24e0) AS BIGINT)) AS st FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars)) WHERE i >= 40 AND i < n - 5 AND ((i - 40) % st = 0 OR i = n - 6))"
 
 
-@query("forecaster_plugin", "symbol:s low:f median:f high:f", f"SELECT symbol, m - 2 * s AS low, m AS median, m + 2 * s AS high FROM (SELECT symbol, {full(20, 'avg(close)')} AS m, {full(20, 'stddev_pop(close)')} AS s, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM bars) WHERE d = 1")
+@query("forecaster_plugin", "symbol:s ts:d low:f median:f high:f usable:b coverage_hit:b direction:i net_pnl:f",
+       f"""WITH m AS (SELECT symbol, ts, avg(close) OVER w AS m, stddev_pop(close) OVER w AS s FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)), {replay_sql(f"SELECT symbol, ts, CASE WHEN s / m <= 1.7 THEN m - 2 * s END AS low, CASE WHEN s / m <= 1.7 THEN m END AS median, CASE WHEN s / m <= 1.7 THEN m + 2 * s END AS high FROM m JOIN {THIN} USING (symbol, ts)")}
+       SELECT symbol, ts, low, median, high, ok AS usable, CASE WHEN ok THEN act BETWEEN low AND high END AS coverage_hit, side AS direction, net AS net_pnl FROM rq""")
 def _(t):
-    def fn(symbol, h):
-        c = h["close"].tail(20)
+    def fn(symbol, history):
+        c = history["close"].iloc[-20:]
         m, s = c.mean(), c.std(ddof=0)
-        return m - 2 * s, m, m + 2 * s
-    return pg.forecaster_plugin(t.bars, fn)
+        return None if s / m > 1.7 else (m - 2 * s, m, m + 2 * s)
+    return pg.forecaster_plugin(t.bars, fn, 5)
 
 
 @query("evaluator_plugin", "fold:s metric:f train_rows:i test_rows:i", "SELECT a.symbol AS fold, avg(abs(b.close - a.m)) AS metric, any_value(a.n) AS train_rows, count(*) AS test_rows FROM (SELECT symbol, avg(close) AS m, count(*) AS n FROM bars WHERE year(ts) < 2001 GROUP BY symbol) a JOIN bars b ON a.symbol = b.symbol AND year(b.ts) >= 2001 GROUP BY a.symbol")
@@ -116,9 +145,10 @@ def _(t):
     return pg.evaluator_plugin(b.where("y < 2001"), b.where("y >= 2001"), "symbol", lambda a, c: (c["close"] - a["close"].mean()).abs().mean())
 
 
-@query("history_loader_plugin", "symbol:s close:f change_pct:f", f"SELECT i.symbol, close, change_pct FROM instruments i LEFT JOIN (SELECT symbol, close, (close / lag(close) OVER w - 1) * 100 AS change_pct, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM bars {W}) x ON x.symbol = i.symbol AND d = 1 AND i.symbol <> 'Brand#2'", "bars instruments")
+@query("history_loader_plugin", "symbol:s close:f change_pct:f", f"SELECT i.symbol, close, change_pct FROM (SELECT symbol FROM instruments UNION ALL SELECT 'UNLISTED') i LEFT JOIN (SELECT symbol, close, (close / lag(close) OVER w - 1) * 100 AS change_pct, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS d FROM bars {W}) x ON x.symbol = i.symbol AND d = 1", "bars instruments")
 def _(t):
-    return pg.history_loader_plugin(t.instruments, t.bars.where("symbol <> 'Brand#2'"), cx.symbol_snapshot)
+    unlisted = t.raw("region").where("r_regionkey = 0").select(F.lit("UNLISTED").alias("symbol"))
+    return pg.history_loader_plugin(t.instruments.select("symbol").unionByName(unlisted), t.bars, cx.symbol_snapshot)
 
 
 @query("feature_adapter", "feature:s score:f6 admitted:b",

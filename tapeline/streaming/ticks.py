@@ -1,18 +1,18 @@
-"""Structured Streaming counterparts: quotes, bars, sessions, alerts, settlement and late data."""
+"""Structured Streaming counterparts: quotes, bars, sessions, alerts and settlement."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.span import ratio
+from ..operators.sessions import CLOSE_MIN, OPEN_MIN, ZONE
 from ..session import shared_path
-from ..sources.ohlcv import latest_by_key
+from ..sources.keyed_store import KeyedStore
 
 C = F.col
-GRACE_SECONDS, GRACE_CAP = 21600, 172800
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -62,23 +62,6 @@ def stream_dedupe(ticks: DataFrame, delay: str) -> DataFrame:
     return ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "ts"])
 
 
-def stale_symbols(ticks: DataFrame, limit_seconds: float) -> DataFrame:
-    """A row whenever a symbol stays silent longer than the limit, across batches."""
-    def step(key, pdfs, state: GroupState):
-        last = state.get[0] if state.exists else None
-        ts = pd.concat(list(pdfs))["us"].sort_values().to_numpy()
-        rows = []
-        for v in ts:
-            if last is not None and v - last > limit_seconds * 1e6:
-                rows.append((key[0], int(last), (v - last) / 1e6))
-            last = int(v) if last is None else max(last, int(v))  # a late tick does not end a silence
-        state.update((last,))
-        yield pd.DataFrame(rows, columns=["symbol", "last_us", "silent_seconds"])
-
-    return ticks.select("symbol", F.unix_micros("ts").alias("us")).groupBy("symbol").applyInPandasWithState(
-        step, "symbol string, last_us long, silent_seconds double", "last long", "append", GroupStateTimeout.NoTimeout).select("symbol", F.timestamp_micros("last_us").alias("last_ts"), "silent_seconds")
-
-
 def alert_stream(ticks: DataFrame, rules: DataFrame, cooldown: int = 900) -> DataFrame:
     """Threshold alerts; each alert remembers its last trigger and stays silent for the cooldown."""
     hit = F.when(C("condition") == "ABOVE", C("price") >= C("threshold")).otherwise(C("price") <= C("threshold"))
@@ -99,9 +82,28 @@ def alert_stream(ticks: DataFrame, rules: DataFrame, cooldown: int = 900) -> Dat
         "alert_id", "event_id", "price", F.timestamp_micros("us").alias("ts"))
 
 
-def session_activity(ticks: DataFrame, gap: str, delay: str) -> DataFrame:
-    g = ticks.withWatermark("ts", delay).groupBy("symbol", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("ticks"))
-    return g.select("symbol", C("w.start").alias("session_start"), C("w.end").alias("session_end"), "ticks")
+def session_phases(calendar: DataFrame) -> DataFrame:
+    """Intervals (session_date, phase, from_us, to_us) of the local day: pre, regular and post on session days, no_session on others."""
+    day, open_us, close_us = 86_400_000_000, OPEN_MIN * 60_000_000, CLOSE_MIN * 60_000_000 + 1  # the closing instant belongs to the session
+    part = lambda name, a, b: F.struct(F.lit(name).alias("phase"), F.lit(a).cast("bigint").alias("from_us"), F.lit(b).cast("bigint").alias("to_us"))
+    phases = F.when(C("is_session"), F.array(part("pre", 0, open_us), part("regular", open_us, close_us), part("post", close_us, day))).otherwise(F.array(part("no_session", 0, day)))
+    return calendar.select(C("ts").alias("session_date"), F.explode(phases).alias("p")).select("session_date", "p.*")
+
+
+def with_session(ticks: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Add session_date and phase: a stream-static interval join, on the local day and the time within it. Days outside the calendar are `unknown`."""
+    local = F.from_utc_timestamp("ts", ZONE)
+    t = ticks.withColumn("_day", F.to_date(local)).withColumn("_us", F.unix_micros(local) - F.unix_micros(F.to_timestamp("_day")))
+    p = session_phases(calendar)
+    j = t.join(p, (C("_day") == C("session_date")) & (C("_us") >= C("from_us")) & (C("_us") < C("to_us")), "left")
+    return j.select(*ticks.columns, C("_day").alias("session_date"), F.coalesce("phase", F.lit("unknown")).alias("phase"))
+
+
+def session_activity(ticks: DataFrame, calendar: DataFrame, gap: str, delay: str) -> DataFrame:
+    """Gap sessions of a symbol within each calendar session and phase, with their tick counts."""
+    d = with_session(ticks.withWatermark("ts", delay), calendar)
+    g = d.groupBy("symbol", "session_date", "phase", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("ticks"))
+    return g.select("symbol", "session_date", "phase", C("w.start").alias("session_start"), C("w.end").alias("session_end"), "ticks")
 
 
 def settlement_stream(forecasts: DataFrame, ticks: DataFrame, tolerance: str, delay: str) -> DataFrame:
@@ -112,12 +114,15 @@ def settlement_stream(forecasts: DataFrame, ticks: DataFrame, tolerance: str, de
     return f.join(t, cond, "leftOuter").select("symbol", "id", "target", "tick_ts", "tick_price")
 
 
-def latest_snapshots(stored: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Upsert view over a store that update-mode batches append to: newest version, then newest batch, per key."""
-    return latest_by_key(stored, keys, [version, "batch_id"])
+def sentiment_windows(scored: DataFrame, width: str, delay: str) -> DataFrame:
+    """Average score and headlines per symbol and window, updated as headlines come in."""
+    g = scored.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width, startTime="4 days").alias("w")).agg(F.avg("score").alias("avg_score"), F.count("*").alias("headlines"))
+    return g.select("symbol", C("w.start").alias("window_start"), "avg_score", "headlines")
+
 
+def upsert_stream(updates: DataFrame, store: KeyedStore, checkpoint: str) -> None:
+    """Run an update-mode stream over what is available now into a keyed store; a batch that runs again changes nothing."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(batch, batch_id)
 
-def late_data_policy(df: DataFrame, ts: str, now: Column, grace: int = GRACE_SECONDS) -> DataFrame:
-    """Rows older than the grace period (at most the cap) are final; the rest may still be completed."""
-    age = now.cast("double") - C(ts).cast("double")
-    return df.withColumn("state", F.when(age > min(max(0, grace), GRACE_CAP), "final").otherwise("deferred"))
+    updates.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").foreachBatch(each).start().awaitTermination()
