@@ -34,7 +34,7 @@ SUMS = "lang string, source string, peer string, value bigint"
 SCALE = 1_000_000_000  # a fixed value of the contract, as are the next two
 PRIOR = 5
 LEAST_DOCS = 30
-BLOCK_ENTRIES = 1_000_000
+BLOCK_ENTRIES = 100_000
 TILE = 1000  # groups whose accumulators a task makes
 HELD = 300_000  # distinct (lang, source, term) that a task holds before it passes them on
 PAIRS_AT_ONCE = 1 << 21

@@ -22,6 +22,7 @@ from .common import in_fold, parts
 
 C = F.col
 PASSAGE = 64
+AT_ONCE = 1024  # passages whose words are looked up together
 BUCKETS, VECTOR, HIDDEN, GATE = 4096, 12, 24, 16
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # 0 small letters, 1 capitals, 2 digits, 3 first and 4 further bytes beyond ASCII, 5 control, then a class for each mark
@@ -54,9 +55,9 @@ def word_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Bags:
     """Passages of some documents: each passage's words (as rows of the distinct words), and each document's passages."""
 
-    def __init__(self, texts: list[list[list[bytes]]]):
-        """texts: for each document its passages, at least one; a passage may be empty."""
-        own, passages = _Numbers(), [p for t in texts for p in t]
+    def __init__(self, texts: list[list[bytes]] | list[list[list[bytes]]]):
+        """texts: for each document its passages, at least one, as words or as bytes that hold them; a passage may be empty."""
+        own, passages = _Numbers(), [p.split() if isinstance(p, bytes) else p for t in texts for p in t]
         self.words = [np.fromiter(map(own.__getitem__, p), np.int64, len(p)) for p in passages]
         self.shape, self.bucket = word_rows(list(own))
         self.size = np.array([len(p) for p in passages], np.int64)
@@ -69,10 +70,11 @@ class Bags:
     def means(self, rows: np.ndarray) -> np.ndarray:
         """The mean over each passage of a row for each distinct word; 0 for a passage without words."""
         out = np.zeros((len(self.size), rows.shape[1]))
-        full = np.flatnonzero(self.size)
-        if len(full):
-            at = np.cumsum(self.size) - self.size
-            out[full] = np.add.reduceat(rows[self.word], at[full], axis=0) / self.size[full, None]
+        full, ends = np.flatnonzero(self.size), np.cumsum(self.size)
+        for i in range(0, len(full), AT_ONCE):  # a text of any length takes no more work space
+            k = full[i : i + AT_ONCE]
+            first = ends[k[0]] - self.size[k[0]]
+            out[k] = np.add.reduceat(rows[self.word[first : ends[k[-1]]]], ends[k] - self.size[k] - first, axis=0) / self.size[k, None]
         return out
 
 
@@ -138,10 +140,12 @@ def start(stats: np.ndarray, share: float, seed: int = 1) -> Model:
     return Model(stats.mean(axis=0), np.maximum(stats.std(axis=0), 0.05), params)
 
 
-def fit(texts: list[list[list[bytes]]], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.005, decay: float = 1e-4, seed: int = 1) -> Model:
+def fit(texts: list[list[bytes]], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.005, decay: float = 1e-4, seed: int = 1) -> Model:
     """A model of bags of passages and their labels 0 or 1, of which both occur."""
-    bags = Bags(texts)
-    stats = np.concatenate([bags.means(bags.shape), bags.extra], axis=1)
+    bags = [Bags(texts[i : i + 256]) for i in range(0, len(texts), 256)]
+    stats = np.concatenate([np.concatenate([b.means(b.shape), b.extra], axis=1) for b in bags])
+    first = np.cumsum([0, *map(len, texts)])
+    del bags
     model, rng = start(stats, float(np.clip(y.mean(), 0.01, 0.99)), seed), np.random.default_rng(seed + 1)
     m, v, n = [np.zeros_like(p) for p in model.params], [np.zeros_like(p) for p in model.params], 0
     for _ in range(epochs):
@@ -149,7 +153,7 @@ def fit(texts: list[list[list[bytes]]], y: np.ndarray, epochs: int = 8, batch: i
         for i in range(0, len(order), batch):
             at = order[i : i + batch]
             part = Bags([texts[k] for k in at.tolist()])
-            rows = np.concatenate([np.arange(bags.first[k], bags.first[k + 1]) for k in at.tolist()])
+            rows = np.concatenate([np.arange(first[k], first[k + 1]) for k in at.tolist()])
             _, grads = model.gradients(part, stats[rows], y[at])
             n += 1
             for q, g, mm, vv in zip(model.params, grads, m, v, strict=True):
@@ -160,7 +164,7 @@ def fit(texts: list[list[list[bytes]]], y: np.ndarray, epochs: int = 8, batch: i
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_part: int = 0, texts: int = 6000, passages: int = 8) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_part: int = 0, texts: int = 4000, passages: int = 8) -> Model | float:
     """Learn from labelled documents whose crc32(doc_id) modulo `parts` is not `held_part`.
 
     The sample is bounded: about `texts` labelled documents, picked by a hash of doc_id, with up to `passages` passages
@@ -180,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_part: int = 0
     y = np.array([r["quality"] for r in sample], float)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 0.5
-    return fit([[p.split() for p in bytes(r["passages"]).split(b"\n")] for r in sample], y)
+    return fit([bytes(r["passages"]).split(b"\n") for r in sample], y)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held_part: int = 0, **bounds) -> DataFrame:
