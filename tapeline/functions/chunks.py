@@ -97,6 +97,12 @@ def level_and_sides(df: DataFrame, keys: list[str], chunk: Column, order: list[s
     return d.select(*keep, (F.col("_iu") + F.col("_u")).alias("ups"), (F.col("_id") + F.col("_d")).alias("downs"), F.least("_in_low", base + F.col("_low")).alias("low"), F.least("_in_low", base + F.col("_prev")).alias("low_before"))
 
 
+def lowest_level(df: DataFrame, keys: list[str], chunk: Column, order: list[str], change: Column) -> DataFrame:
+    """Add `level` (running sum of `change`), `low` (its minimum so far) and `low_before` (the same before the row)."""
+    d = level_and_sides(df, keys, chunk, order, F.greatest(change, F.lit(0.0)), F.greatest(-change, F.lit(0.0)))
+    return d.select(*df.columns, (F.col("ups") - F.col("downs")).alias("level"), "low", "low_before")
+
+
 def three_pass(df: DataFrame, keys: list[str], chunk: Column, cols: list[str], summarise, summary: str, step, state: str, walk, out: str) -> DataFrame:
     """Sequential state machine over chunked keys.
 
