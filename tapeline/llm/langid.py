@@ -126,11 +126,34 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, batch:
     return net
 
 
-def train(docs: DataFrame, parts: int = 3, held_part: int = 1, texts: int = 800, windows: int = 4) -> Network | None:
+# First and last code points of some scripts beyond Latin, for windows that are in no learned language.
+SCRIPTS = ((0x370, 0x3FF), (0x400, 0x4FF), (0x530, 0x58F), (0x590, 0x5FF), (0x600, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x10A0, 0x10FF), (0x1200, 0x137F), (0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def no_language(x: np.ndarray, seed: int = 2) -> np.ndarray:
+    """Windows without a language, one from each given window: its letters in random order, random letters in their place, or words of another script."""
+    rng, out = np.random.default_rng(seed), x.copy()
+    for i, row in enumerate(out):
+        letters = np.flatnonzero((row >= 97) & (row <= 122))
+        if i % 3 == 0:
+            row[letters] = rng.permutation(row[letters])
+        elif i % 3 == 1:
+            row[letters] = rng.integers(97, 123, len(letters))
+        else:
+            low, high = SCRIPTS[int(rng.integers(len(SCRIPTS)))]
+            words = ["".join(c for c in map(chr, rng.integers(low, high + 1, int(rng.integers(1, 11)))) if c.isalpha()) for _ in range(60)]
+            data = " ".join(words).lower().encode()[: len(row)]
+            row[:] = 0
+            row[: len(data)] = np.frombuffer(data, np.uint8)
+    return out
+
+
+def train(docs: DataFrame, parts: int = 3, held_part: int = 1, texts: int = 800, windows: int = 4, unknown: bool = False) -> Network | None:
     """Learn from text and lang of documents whose crc32(doc_id) modulo `parts` is not `held_part`.
 
     The sample is bounded: of each language about `texts` texts, picked by a hash of doc_id, with up to `windows` windows
-    spread over each text. None without a labelled text.
+    spread over each text. None without a labelled text. With `unknown` the network also learns, from a window made of
+    every fourth one of the sample, what is in no language.
     """
     known = docs.select(C("doc_id").cast("bigint").alias("doc_id"), C("text").cast("string").alias("text"), C("lang").cast("string").alias("lang"))
     known = known.where(~in_fold("doc_id", parts, held_part) & C("doc_id").isNotNull() & C("lang").isNotNull() & F.coalesce(F.length("text") > 0, F.lit(False)))
@@ -151,7 +174,11 @@ def train(docs: DataFrame, parts: int = 3, held_part: int = 1, texts: int = 800,
         return None
     langs = sorted({r["lang"] for r in sample})
     x = np.stack([np.frombuffer(r["window"], np.uint8) for r in sample])
-    return fit(x, np.array([langs.index(r["lang"]) for r in sample]), langs)
+    y = np.array([langs.index(r["lang"]) for r in sample])
+    if unknown:
+        none = no_language(x[::4])
+        x, y, langs = np.concatenate([x, none]), np.concatenate([y, np.full(len(none), len(langs))]), [*langs, UNKNOWN]
+    return fit(x, y, langs)
 
 
 def prediction_column(docs: DataFrame, network: Network | None):
@@ -180,7 +207,14 @@ def identify(docs: DataFrame, parts: int = 3, held_part: int = 1, **bounds) -> D
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.3, **bounds) -> DataFrame:
-    """The documents with a language of a score of at least `least`, with the columns they came with."""
-    p = prediction_column(docs, train(docs, **bounds))(C("text").cast("string"))
-    return docs.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
+def drop_unknown(docs: DataFrame, limit: float = 0.5, least_chars: int = 64, **bounds) -> DataFrame:
+    """The documents in a learned language, with the columns they came with.
+
+    Null texts and texts without a letter go, and so do texts of which the network says with a probability above `limit`
+    that they are in no language: letters without the order of words, or another script. A text under `least_chars`
+    characters says too little for that and stays. Without any labelled text all go; repeated rows share their fate; an
+    empty table stays empty.
+    """
+    p = prediction_column(docs, train(docs, unknown=True, **bounds))(C("text").cast("string"))
+    unsure = (p["score"] <= limit) | (F.length("text") < least_chars)
+    return docs.where((p["lang_pred"] != UNKNOWN) | ((p["score"] > 0) & unsure))

@@ -176,15 +176,61 @@ def test_queries_equal_sql(spark, name):
 
 @needs_tables
 def test_pipeline_equals_brute_force(spark):
-    """Every stage on the rows that its predecessor kept, decided again by the scoring operators and by all pairs."""
-    from test_groups import brute_groups
+    """Every stage on the rows that its predecessor kept: texts scored one by one, near copies by five-word Jaccard similarity in the order of doc_id."""
+    from test_nearcopies import one_by_one
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     toxic = {r["doc_id"] for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
     first = docs.where(~docs["doc_id"].isin(list(toxic) or [-1]))
-    known = {r["doc_id"] for r in langid.identify(first).where("lang_pred <> 'und' and score >= 0.3").collect()}
+    network = langid.train(first, unknown=True)
+    tables = network.tables()
+    text = {r["doc_id"]: r["text"] or "" for r in first.collect()}
+    said = {r["doc_id"]: network.predict(r["text"], tables) for r in first.collect()}
+    known = {d for d, (lang, p) in said.items() if lang != "und" or 0 < p and (p <= 0.5 or len(text[d]) < 64)}
     left = [(r["doc_id"], r["text"]) for r in first.collect() if r["doc_id"] in known]
-    kept = {d for d, _, c in brute_groups(left) if d == c}
+    kept = {left[i][0] for i in one_by_one(left)}
     got = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in got.collect()} == kept and 0 < len(kept) < len(left) < docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "simhash_near_dedup", "best_fit_packing"]
+
+
+def spoken(spark, n=240):
+    """Texts of two languages, some labelled."""
+    rng, out = random.Random(6), []
+    stems = {"aa": ["the", "and", "ing", "tion", "er", "th", "ou"], "bb": ["der", "ung", "sch", "ein", "keit", "ich", "zu"]}
+    for i in range(n):
+        lang = rng.choice(["aa", "bb"])
+        text = " ".join("".join(rng.choices(stems[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(20, 200)))
+        out.append((i, text, lang if i % 5 else None, "s", 1, "own", 7, 3, "own"))
+    return spark.createDataFrame(out, SCHEMA)
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    clean, rng = spoken(spark), random.Random(7)
+    shuffled = ["".join(rng.sample(t, len(t))) for t in (r["text"] for r in clean.limit(8).collect())]
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(80)) for _ in range(8)]
+    greek = [" ".join("".join(chr(rng.randint(0x3B1, 0x3C9)) for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(4)]
+    thai = [" ".join("".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(4)]
+    none = [None, "", "12 34", "..."]
+    rows = [(1000 + i, t, "aa", "s", 1, "own", 7, 3, "own") for i, t in enumerate([*shuffled, *letters, *greek, *thai, *none])]
+    both = clean.unionByName(spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows], SCHEMA))
+    kept = langid.drop_unknown(both)
+    left = {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == both.columns
+    assert len([i for i in range(240) if i in left]) >= 238 and len([i for i in left if i >= 1000]) <= 1
+    assert langid.drop_unknown(clean.limit(0)).count() == 0 and langid.drop_unknown(clean.withColumn("lang", clean["lang"].substr(9, 1)).where("lang is null")).count() == 0
+
+
+def test_filters_of_empty_and_awkward_tables(spark):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.drop_toxic(awkward(spark).limit(0), labels).count() == 0
+    assert toxicity.drop_toxic(awkward(spark), labels).count() == awkward(spark).count()  # nothing toxic is known
+
+
+def test_network_gradient_descends(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(97, 101, (120, 64)).astype(np.uint8)
+    x[:60, ::2] = 120
+    y = np.repeat([0, 1], 60)
+    net = langid.fit(x, y, ["a", "b"], epochs=12)
+    assert (net.probabilities(x, net.tables()).argmax(axis=1) == y).mean() > 0.97
