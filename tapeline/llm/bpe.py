@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ChunkEncoder, pick, spans, texts_of
+from .common import ChunkEncoder, parts, pick, spans, texts_of
 
 # The word pattern of the byte-level pre-tokenizer: a fixed value of the vocabulary's format.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,13 +47,57 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = (raw(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
-        self.longest: dict[bytes, int] = {}  # of the tokens that end in these three bytes
-        for b in self.ids:
-            self.longest[b[-3:]] = max(self.longest.get(b[-3:], 2), len(b))
-        self.reach = max(map(len, self.ids))
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.compatible: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self._suffixes()
+        self.flat = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
+        numbers = np.array(sorted(self.bytes_of), np.int64)
+        self.size_of = np.zeros(int(numbers[-1]) + 1, np.int64)
+        self.size_of[numbers] = [len(self.bytes_of[i]) for i in numbers.tolist()]
+        self.at = np.cumsum(self.size_of) - self.size_of
+
+    def _suffixes(self) -> None:
+        """An automaton over the tokens' bytes: `ending[state]` are the tokens (id, length) that end there, longest first."""
+        self.goto: dict[int, int] = {}
+        parent, byte, own = [0], [0], [None]
+        for data, token in self.ids.items():
+            state = 0
+            for b in data:
+                to = self.goto.get(state << 8 | b)
+                if to is None:
+                    to = self.goto[state << 8 | b] = len(parent)
+                    parent.append(state)
+                    byte.append(b)
+                    own.append(None)
+                state = to
+            own[state] = (token, len(data))
+        depth = [0] * len(parent)
+        for state in range(1, len(parent)):
+            depth[state] = depth[parent[state]] + 1
+        self.fail, self.ending = [0] * len(parent), [()] * len(parent)
+        self.step: dict[int, int] = {}  # transitions taken so far, failures resolved
+        for state in np.argsort(depth, kind="stable").tolist()[1:]:
+            if parent[state]:
+                self.fail[state] = self.next(self.fail[parent[state]], byte[state])
+            rest = self.ending[self.fail[state]]
+            self.ending[state] = (own[state], *rest) if own[state] else rest
+
+    def next(self, state: int, byte: int) -> int:
+        key = state << 8 | byte
+        if (found := self.step.get(key)) is None:
+            at = state
+            while (found := self.goto.get(at << 8 | byte)) is None and at:
+                at = self.fail[at]
+            if len(self.step) > 500_000:
+                self.step.clear()
+            found = self.step[key] = found or 0
+        return found
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens one after the other."""
+        size = self.size_of[ids]
+        return self.flat[np.arange(int(size.sum())) + np.repeat(self.at[ids] - (np.cumsum(size) - size), size)]
 
     def merge(self, data: bytes) -> list[int]:
         """The merges, lowest rank first, on a short piece; used only on pairs of tokens."""
@@ -77,52 +123,45 @@ class Vocabulary:
 
 
 class Trie:
-    """Distinct words as a trie: first child, next sibling and byte of each node."""
+    """Distinct words as a trie, kept as its depth-first order: sorted, a word leaves the path of its predecessor where their common prefix ends."""
 
     def __init__(self, words):
-        self.child, self.sibling, self.byte, self.ends = [0], [0], [0], {}
-        arcs: dict[int, int] = {}
-        for w in words:
-            node = 0
-            for b in w:
-                key = node << 8 | b
-                if (to := arcs.get(key)) is None:
-                    to = arcs[key] = len(self.child)
-                    self.child.append(0)
-                    self.sibling.append(self.child[node])
-                    self.byte.append(b)
-                    self.child[node] = to
-                node = to
-            self.ends[node] = w
+        self.words = sorted(words)
 
     def encode(self, v: Vocabulary) -> dict[bytes, bytes]:
         """Every word's ids as little-endian 32-bit integers."""
-        out, bytes_of = {}, v.bytes_of
-        path, last = bytearray(), []  # bytes and last tokens from the root to the node at hand
-        stack = [(self.child[0], 0)] if self.child[0] else []
-        ids, longest, fits = v.ids, v.longest, v.fits
-        while stack:
-            node, depth = stack.pop()
-            if self.sibling[node]:
-                stack.append((self.sibling[node], depth))
-            del path[depth:], last[depth:]
-            path.append(self.byte[node])
-            end = depth + 1
-            data = bytes(path[-v.reach :])
-            off = end - len(data)
-            for start in range(max(0, end - longest.get(data[-3:], 2)), end):
-                token = ids.get(data[start - off :])
-                if token is not None and (v.is_whole(token) if start == 0 else fits(last[start - 1], token)):
-                    last.append(token)
-                    break
-            if node in self.ends:
-                tokens, at = [], end
-                while at:
-                    tokens.append(last[at - 1])
-                    at -= len(bytes_of[tokens[-1]])
-                out[self.ends[node]] = np.array(tokens[::-1], "<u4").tobytes()
-            if self.child[node]:
-                stack.append((self.child[node], end))
+        out, sizes = {}, v.size_of.tolist()
+        last, states, before = [], [0], b""  # last token and automaton state of every prefix on the path
+        step, ending, compatible = v.step, v.ending, v.compatible
+        for word in self.words:
+            n, most = 0, min(len(before), len(word))
+            if before[:most] == word[:most]:
+                n = most
+            else:
+                while before[n] == word[n]:
+                    n += 1
+            del last[n:], states[n + 1 :]
+            state = states[n]
+            for end in range(n, len(word)):
+                found = step.get(state << 8 | word[end])
+                state = v.next(state, word[end]) if found is None else found
+                states.append(state)
+                for token, length in ending[state]:
+                    if length <= end:
+                        left = last[end - length]
+                        fits = compatible.get(left << 32 | token)
+                        if fits or fits is None and v.fits(left, token):
+                            last.append(token)
+                            break
+                    elif v.is_whole(token):
+                        last.append(token)
+                        break
+            before, at, tokens = word, len(word), []
+            while at:
+                tokens.append(last[at - 1])
+                at -= sizes[tokens[-1]]
+            tokens.reverse()
+            out[word] = array("I", tokens).tobytes()
         return out
 
 
@@ -134,25 +173,27 @@ class TrieTokenizer:
         self.words = regex.compile(WORDS)
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.known: dict[bytes, bytes] = {}  # words encoded lately; a bounded cache
-        self.chunks = ChunkEncoder(self._encode_new, self._encode_whole, keep_space=True, special=special, limit=400_000)
-
-    def _pieces(self, text: str):
-        """Words as bytes and special tokens as ids, in order."""
-        for i, part in enumerate(self.special.split(text) if self.special and "<" in text else [text]):
-            if i % 2:
-                yield self.vocabulary.special[part]
-            else:
-                for w in self.words.findall(part):
-                    yield w.encode()
+        self.known: dict[str, bytes] = {}  # words encoded lately; a bounded cache
+        self.chunks = ChunkEncoder(self._encode_new, self._encode_whole, keep_space=True, special=special, limit=300_000)
 
     def _encode_new(self, chunks: list[str]) -> list[bytes]:
-        pieces = [list(self._pieces(c)) for c in chunks]
-        if len(self.known) > 400_000:
+        """Words that were not met lately go into one trie; special tokens stand as they are."""
+        find, special = self.words.findall, self.special
+        parts = [[c] if special is None or "<" not in c else special.split(c) for c in chunks]
+        words = [find(p[0]) for p in parts]
+        more = {i: [find(x) if k % 2 == 0 else x for k, x in enumerate(p)] for i, p in enumerate(parts) if len(p) > 1}
+        if len(self.known) > 300_000:
             self.known = {}
         known = self.known
-        known |= Trie({p for ps in pieces for p in ps if isinstance(p, bytes)} - known.keys()).encode(self.vocabulary)
-        return [b"".join(known[p] if isinstance(p, bytes) else p.to_bytes(4, "little") for p in ps) for ps in pieces]
+        new = set(itertools.chain.from_iterable(words)).union(*(w for p in more.values() for w in p[::2])) - known.keys()
+        of = {w.encode(): w for w in new}
+        for data, ids in Trie(of).encode(self.vocabulary).items():
+            known[of[data]] = ids
+        get, token = known.__getitem__, self.vocabulary.special
+        out = [b"".join(map(get, w)) for w in words]
+        for i, p in more.items():
+            out[i] = b"".join(token[x].to_bytes(4, "little") if k % 2 else b"".join(map(get, x)) for k, x in enumerate(p))
+        return out
 
     def _encode_whole(self, text: str) -> bytes:
         return self._encode_new([text])[0]
@@ -164,7 +205,13 @@ class TrieTokenizer:
         return out
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, encoded: list[bytes]) -> list[str]:
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        data, size = self.vocabulary.decode(ids).tobytes(), self.vocabulary.size_of[ids]
+        ends = np.append(0, np.cumsum(size))[np.cumsum([0, *(len(e) // 4 for e in encoded)])].tolist()
+        return [data[i:j].decode("utf-8", "replace") for i, j in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -182,11 +229,9 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         tokenizer = tokenizer_of(vocabulary)
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for i, j in spans(texts):
-                encoded = tokenizer.encode(texts[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(encoded, pa.binary()), pa.array([tokenizer.decode(e) for e in encoded])], ["doc_id", "ids", "decoded"])
+        for batch in parts(batches):
+            encoded = tokenizer.encode(texts_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoded, pa.binary()), pa.array(tokenizer.decode_all(encoded), pa.string())], ["doc_id", "ids", "decoded"])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, ids binary, decoded string")
 
@@ -196,12 +241,10 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         tokenizer = tokenizer_of(vocabulary)
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch)
-            for i, j in spans(texts):
-                encoded = tokenizer.encode(texts[i:j])
-                digest = [hashlib.sha256(e).hexdigest() for e in encoded]
-                back = [hashlib.sha256(tokenizer.decode(e).encode()).hexdigest() for e in encoded]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(e) // 4 for e in encoded], pa.int64()), pa.array(digest), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in parts(batches):
+            encoded = tokenizer.encode(texts_of(batch))
+            digest = [hashlib.sha256(e).hexdigest() for e in encoded]
+            back = [hashlib.sha256(t.encode()).hexdigest() for t in tokenizer.decode_all(encoded)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(e) // 4 for e in encoded], pa.int64()), pa.array(digest), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
