@@ -112,3 +112,23 @@ class ChunkEncoder:
             except KeyError:
                 out.append(self.encode_whole(text))
         return out
+
+
+class Learned(dict):
+    """What `learn` says of each key, asked once while the key stays in use: of two generations the older one goes when the newer is full. Keys longer than `longest` are not kept."""
+
+    def __init__(self, learn, limit: int, longest: int = 64):
+        super().__init__()
+        self.learn, self.limit, self.longest, self.old = learn, limit, longest, {}
+
+    def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.learn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

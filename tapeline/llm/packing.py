@@ -2,10 +2,10 @@
 
 Pieces are cut and counted on Spark; the driver only sees the histogram of piece lengths, which has at most `size` rows.
 On it the configuration linear program (which multisets of lengths fill a sequence, and how often each is used) is
-solved by multiplicative weights: a length's weight falls as it gets covered, and the next configuration is the best
-filling under the weights, a knapsack solved by dynamic programming. The solution is rounded down, the rest is solved
-again, and the last few thousand pieces are placed best fit, longest first. The plan maps the k-th piece of a length to
-its sequence and offset, so every piece is placed on its own, wherever it lies.
+solved by multiplicative weights: a length's price falls as it gets covered, and the next configurations are the best
+fillings under the prices, a knapsack solved by dynamic programming. Uses are rounded down to whole numbers at every step
+and the rest is priced again; what fits no configuration any more is placed best fit, longest first. The plan maps the
+k-th piece of a length to its sequence and offset, so every piece is placed on its own, wherever it lies.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,59 +26,106 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut
-from .bpe import byte_names
-from .common import ChunkEncoder, parts, pick, texts_of
+from .bpe import WORDS, byte_names
+from .common import Learned, parts, pick, texts_of
 
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks without the apostrophe, which may begin a word
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
-@functools.lru_cache(maxsize=2)
-def encoder_of(path: str, keep_space: bool, kind: str = "I") -> ChunkEncoder:
-    """The library's encoder behind a cache of chunks, one per worker process; ids as 32-bit integers or, with `kind` "H", 16-bit ones."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
-    lower = "Lowercase" in [n.get("type") for n in ((data.get("normalizer") or {}).get("normalizers") or [])]
-    model, byte_name, tails = tokenizer.model, {b: c for c, b in byte_names().items()}, ".,;:!?"
-    tokens_of = model.tokenize
-    ids_of = lambda word: array(kind, [t.id for t in tokens_of(word)]).tobytes()
-    tail_ids = {c: ids_of(c) for c in tails}
-
-    lead = byte_name[32] if keep_space else ""
-
-    def new(chunks):
-        """A chunk of Latin letters alone is one word to any of these tokenizers: it goes to the library's model as it is."""
-        out, rest = [], []
-        for c in chunks:
-            c = c if keep_space else c.decode()
-            tail = tail_ids.get(c[-1:])
-            body = c[1:] if keep_space else c
-            if tail:
-                body = body[:-1]
-            if not body.isalpha() or keep_space and c[0] != " ":
-                word = None
-            elif body.isascii():
-                word = lead + body if not lower or body.islower() else None
-            elif max(body) < "\u0250" and (not lower or body.lower() == body):
-                word = lead + body.encode().decode("latin-1").translate(byte_name)
-            else:
-                word = None
-            if word:
-                ids = array(kind, [t.id for t in tokens_of(word)]).tobytes()
-                out.append(ids + tail if tail else ids)
+CACHED = 250_000  # chunks of a generation; with half as many words all generations and their overhead take about 180 MB
+
+
+class LibraryEncoder:
+    """The library's encoder behind a cache of chunks, ids as 32-bit integers or, with `kind` "H", 16-bit ones.
+
+    With `keep_space` (byte-level) texts are cut before spaces, and a chunk after the first is encoded with its space; a text
+    in which a cut would part what belongs together (a space before more white space or a special token) goes to the
+    library whole. Without, texts are cut at white space, which that kind of tokenizer drops. A chunk of Latin letters, with
+    or without marks at its end, is one word, or a word and a run of marks, to any of these tokenizers: they go to the
+    library's model as they are. Other byte-level chunks go there word by word, everything else through the whole chain.
+    """
+
+    def __init__(self, path: str, keep_space: bool, kind: str = "I", cached: int = CACHED):
+        self.tokenizer, self.kind, self.keep_space = Tokenizer.from_file(path), kind, keep_space
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.lower = "Lowercase" in [n.get("type") for n in ((data.get("normalizer") or {}).get("normalizers") or [])]
+        self.tokens_of, self.byte_name = self.tokenizer.model.tokenize, {b: c for c, b in byte_names().items()}
+        self.lead = self.byte_name[32] if keep_space else ""
+        self.words = Learned(self.word, cached // 2)
+        self.heads, self.chunks = Learned(self.head if keep_space else self.whole, 20_000), Learned(self.spaced if keep_space else self.plain, cached)
+        self.pattern = regex.compile(WORDS)
+
+    @property
+    def limit(self) -> int:
+        """Chunks of a generation."""
+        return self.chunks.limit
+
+    @limit.setter
+    def limit(self, value: int) -> None:
+        self.chunks.limit = self.words.limit = value
+
+    def word(self, word: str) -> bytes:
+        return array(self.kind, [t.id for t in self.tokens_of(word)]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def letters(self, chunk: str) -> bytes | None:
+        """Ids of Latin letters with a run of ASCII marks behind them; None for any other chunk."""
+        body = chunk.rstrip(MARKS)
+        if not body.isalpha():
+            return None
+        if body.isascii():
+            if self.lower and not body.islower():
+                return None
+            word = self.lead + body
+        elif max(body) < "\u0250" and (not self.lower or body.lower() == body):
+            word = self.lead + body.encode().decode("latin-1").translate(self.byte_name)
+        else:
+            return None
+        return self.words[word] if len(body) == len(chunk) else self.words[word] + self.words[chunk[len(body) :]]
+
+    def head(self, text: str) -> bytes:
+        """A chunk as it stands: its words by the byte-level pattern, each to the model; one with a special token goes to the library."""
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        words, name = self.words, self.byte_name
+        return b"".join([words[w.encode().decode("latin-1").translate(name)] for w in self.pattern.findall(text)])
+
+    def spaced(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk.startswith(self.special):
+            raise KeyError(chunk)
+        return self.letters(chunk) or self.head(" " + chunk)
+
+    def plain(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        return self.letters(text) or self.whole(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        get, out = self.chunks.__getitem__, []
+        for text in texts:
+            if self.keep_space:
+                chunks = iter(text.split(" "))
+                head = self.heads[next(chunks)]
+                try:
+                    out.append(head + b"".join(map(get, chunks)))
+                except KeyError:
+                    out.append(self.whole(text))
             else:
-                rest.append((len(out), c))
-                out.append(None)
-        for i in range(0, len(rest), 4_000):
-            part = rest[i : i + 4_000]
-            for (k, _), e in zip(part, tokenizer.encode_batch_fast([c for _, c in part], add_special_tokens=False), strict=True):
-                out[k] = array(kind, e.ids).tobytes()
+                data = text.encode()
+                out.append(b"".join(map(get, (data.lower() if self.lower else data).split())))
         return out
 
-    return ChunkEncoder(new, lambda t: new([t])[0], keep_space, special, lower)
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, keep_space: bool, kind: str = "I") -> LibraryEncoder:
+    """One per worker process, so that what it has learned serves later tasks."""
+    return LibraryEncoder(path, keep_space, kind)
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> DataFrame:
@@ -103,42 +151,42 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> Data
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, PIECES)
 
 
+class Pricing:
+    """Bounded knapsack by dynamic programming: the most valuable filling of every room, none of a length more often than it is left."""
+
+    def __init__(self, lengths: list[int], gain: np.ndarray, left: list[int], size: int):
+        self.lengths, n = lengths, len(lengths)
+        best, took, last = np.zeros(size + 1), np.zeros((n, size + 1), np.int16), np.full((n + 1, size + 1), -1, np.int16)
+        for j, (length, value, many) in enumerate(zip(lengths, gain.tolist(), left, strict=True)):
+            last[j + 1], before = last[j], best
+            for c in range(1, min(many, size // length) + 1):
+                new = before[: size + 1 - c * length] + c * value
+                better = new > best[c * length :]
+                if not better.any():
+                    break
+                best = best.copy() if best is before else best
+                best[c * length :][better] = new[better]
+                took[j, c * length :][better], last[j + 1, c * length :][better] = c, j
+        self.took, self.last = took.tolist(), last.tolist()  # copies of a length, and the greatest length in a filling of those up to it
+
+    def filling(self, room: int) -> dict[int, int]:
+        """The best filling: index of each length and how often it is in."""
+        out, j = {}, len(self.lengths)
+        while (k := self.last[j][room]) >= 0:
+            out[k] = self.took[k][room]
+            room, j = room - out[k] * self.lengths[k], k
+        return out
+
+    def around(self, first: int, size: int) -> dict[int, int]:
+        """The best configuration that holds the length `first`."""
+        out = self.filling(size - self.lengths[first])
+        out[first] = out.get(first, 0) + 1
+        return out
+
+
 def best_filling(lengths: np.ndarray, gain: np.ndarray, size: int) -> dict[int, int]:
-    """The multiset of lengths of at most `size` in all with the greatest sum of gains: unbounded knapsack."""
-    best, took = np.zeros(size + 1), np.full(size + 1, -1, np.int64)
-    for room in range(1, size + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        best[room] = best[room - 1]
-        if n:
-            value = best[room - lengths[:n]] + gain[:n]
-            k = int(value.argmax())
-            if value[k] > best[room]:
-                best[room], took[room] = value[k], k
-    out, room = {}, size
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            out[int(took[room])] = out.get(int(took[room]), 0) + 1
-            room -= int(lengths[took[room]])
-    return out
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int, eps: float = 0.1) -> list[tuple[dict[int, int], float]]:
-    """Configurations with how often each is used: the covering program by multiplicative weights."""
-    need, covered, use = counts.astype(float), np.zeros(len(counts)), {}
-    for _ in range(rounds):
-        weight = np.exp(-covered / eps + covered.min() / eps)
-        fill = best_filling(lengths, weight / need, size)
-        k, a = np.fromiter(fill, np.int64), np.fromiter(fill.values(), float)
-        step = float((need[k] / a).min()) * eps  # a tenth of the scarcest length at a time
-        covered[k] += step * a / need[k]
-        key = tuple(sorted(fill.items()))
-        use[key] = use.get(key, 0.0) + step
-        if covered.min() >= 1:
-            break
-    scale = 1 / max(1.0, float((covered * need * lengths).sum() / (need * lengths).sum()))
-    return [(dict(k), x * scale) for k, x in use.items()]
+    """The multiset of lengths of at most `size` in all with the greatest sum of gains, any length as often as it fits."""
+    return Pricing(lengths.tolist(), gain, [size] * len(lengths), size).filling(size)
 
 
 @dataclass
@@ -149,6 +197,10 @@ class Plan:
     sequences: int = 0
     rows: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
     placed: dict[int, int] = field(default_factory=dict)
+    by_program: int = 0  # short pieces that the program placed
+
+    def copy(self) -> Plan:
+        return Plan(self.size, self.sequences, list(self.rows), dict(self.placed))
 
     def use(self, fill: list[tuple[int, int]], times: int) -> None:
         offset = 0
@@ -163,25 +215,53 @@ class Plan:
         return [np.array(c, np.int64) for c in zip(*sorted(self.rows), strict=True)] if self.rows else [np.zeros(0, np.int64)] * 6
 
 
-def solve(histogram: dict[int, int], size: int, rounds: int = 600, small: int = 4_000) -> Plan:
-    """A plan for the histogram. The number of rows depends on `size` and `rounds` alone, not on the number of pieces."""
+def program(plan: Plan, rest: dict[int, int], steps: int = 12, rate: float = 0.002, tilt: float = 0.1) -> dict[int, int]:
+    """Cover the lengths by configurations; what fits none any more is given back.
+
+    Multiplicative weights: the price of a token starts a little higher in long pieces, which keeps the short ones that fit
+    anywhere for later, and falls by exp(-rate x share covered) as a length gets covered. A phase prices once, by one knapsack, and reads off
+    the best configuration around each length; it is used as often, in whole numbers, as covers a `steps`-th of the
+    scarcest length in it. Then the rest is priced anew.
+    """
+    need = dict(rest)
+    while rest:
+        lengths = sorted(rest)
+        sizes, many = np.array(lengths, float), [rest[n] for n in lengths]
+        share = np.array(many) / np.array([need[n] for n in lengths])
+        pricing = Pricing(lengths, sizes * (1 + tilt * sizes / plan.size) * np.exp(rate * (share - 1)), many, plan.size)
+        quota = [-(-need[n] // steps) for n in lengths]
+        for first in range(len(lengths) - 1, -1, -1):
+            if quota[first] <= 0 or not many[first]:
+                continue
+            fill = pricing.around(first, plan.size)
+            times = min(many[k] // a for k, a in fill.items())
+            if times:
+                times = min(times, max(1, min(quota[k] // a for k, a in fill.items())))
+                plan.use([(lengths[k], a) for k, a in fill.items()], times)
+                for k, a in fill.items():
+                    many[k] -= a * times
+                    quota[k] -= a * times
+        left = {n: c for n, c in zip(lengths, many, strict=True) if c}
+        if left == rest:
+            break
+        rest = left
+    return rest
+
+
+def solve(histogram: dict[int, int], size: int) -> Plan:
+    """A plan for the histogram. The number of its rows is bounded by `size` and the phases, which grow with the logarithm of the counts.
+
+    Best fit takes what the program left. Best fit for everything replaces both only where it needs fewer sequences.
+    """
     plan, rest = Plan(size), {n: c for n, c in histogram.items() if c and n < size}
     if histogram.get(size):
         plan.use([(size, 1)], histogram[size])
-    while sum(rest.values()) > small:
-        before, lengths = sum(rest.values()), np.array(sorted(rest), np.int64)
-        for fill, x in sorted(fractional(lengths, np.array([rest[n] for n in lengths.tolist()]), size, rounds), key=lambda f: -f[1]):
-            items = [(int(lengths[k]), a) for k, a in fill.items()]
-            times = min([int(x), *(rest[n] // a for n, a in items)])
-            if times:
-                plan.use(items, times)
-                for n, a in items:
-                    rest[n] -= a * times
-        rest = {n: c for n, c in rest.items() if c}
-        if sum(rest.values()) > 0.9 * before:
-            break
-    best_fit(plan, rest)
-    return plan
+    plain = plan.copy()
+    left = program(plan, rest)
+    plan.by_program = sum(rest.values()) - sum(left.values())
+    best_fit(plan, left)
+    best_fit(plain, rest)
+    return min(plan, plain, key=lambda p: p.sequences)
 
 
 def best_fit(plan: Plan, rest: dict[int, int]) -> None:

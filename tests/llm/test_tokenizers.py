@@ -1,6 +1,7 @@
 """Encoders, packing and token files against the tokenizers library."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -104,6 +105,21 @@ def test_configuration_program_is_near_its_bound():
     assert check_plan([]) == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables absent")
+@pytest.mark.parametrize("times", [1, 10, 47])
+def test_program_places_the_pieces_of_the_tables(times):
+    """On real lengths: nine tenths of the short pieces by the program, and never more sequences than best fit alone."""
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    lengths = Counter(n for d in packing.encoder_of(BYTE, True).encode([t or "" for t in texts]) for n in [1024] * ((len(d) // 4 + 1) // 1024) + [(len(d) // 4 + 1) % 1024] if n)
+    lengths = {n: c * times for n, c in lengths.items()}
+    plan, plain = packing.solve(lengths, 1024), packing.Plan(1024)
+    packing.best_fit(plain, lengths)
+    short = sum(c for n, c in lengths.items() if n < 1024)
+    assert plan.by_program >= 0.9 * short and plan.sequences <= plain.sequences
+    assert check_plan([n for n, c in lengths.items() for _ in range(c)]) == plan.sequences
+
+
 def test_best_filling_is_a_knapsack_optimum():
     lengths, gain = np.array([3, 5, 7]), np.array([1.0, 2.0, 3.1])
     fill = packing.best_filling(lengths, gain, 12)
