@@ -19,7 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ChunkEncoder, parts, pick, spans, texts_of
+from .common import encode_column, parts, pick, pieces_of
+
+BLOCK = 8 << 20  # bytes of text whose chunks are told apart together
 
 # The word pattern of the byte-level pre-tokenizer: a fixed value of the vocabulary's format.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -174,7 +176,7 @@ class TrieTokenizer:
         special = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.known: dict[str, bytes] = {}  # words encoded lately; a bounded cache
-        self.chunks = ChunkEncoder(self._encode_new, self._encode_whole, keep_space=True, special=special, limit=300_000)
+        self.starts = tuple(special)
 
     def _encode_new(self, chunks: list[str]) -> list[bytes]:
         """Words that were not met lately go into one trie; special tokens stand as they are."""
@@ -195,14 +197,17 @@ class TrieTokenizer:
             out[i] = b"".join(token[x].to_bytes(4, "little") if k % 2 else b"".join(map(get, x)) for k, x in enumerate(p))
         return out
 
-    def _encode_whole(self, text: str) -> bytes:
-        return self._encode_new([text])[0]
+    def _spaced(self, chunks: list[str]) -> list[bytes | None]:
+        """Chunks with a space before them; None for those before which a text must not be cut."""
+        cut = [bool(c) and not c[0].isspace() and not c.startswith(self.starts) for c in chunks]
+        ids = iter(self._encode_new([" " + c for c, ok in zip(chunks, cut) if ok]))
+        return [next(ids) if ok else None for ok in cut]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return encode_column(texts, self._spaced, self._encode_new, lambda text: self._encode_new([text])[0])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i, j in spans(texts):
-            out += self.chunks.encode(texts[i:j])
-        return out
+        return pieces_of(*self.encode_column(pa.array(texts, pa.string())))
 
     def decode(self, ids: bytes) -> str:
         return self.decode_all([ids])[0]
@@ -229,8 +234,8 @@ def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         tokenizer = tokenizer_of(vocabulary)
-        for batch in parts(batches):
-            encoded = tokenizer.encode(texts_of(batch))
+        for batch in parts(batches, BLOCK):
+            encoded = pieces_of(*tokenizer.encode_column(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoded, pa.binary()), pa.array(tokenizer.decode_all(encoded), pa.string())], ["doc_id", "ids", "decoded"])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, ids binary, decoded string")
@@ -241,8 +246,8 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         tokenizer = tokenizer_of(vocabulary)
-        for batch in parts(batches):
-            encoded = tokenizer.encode(texts_of(batch))
+        for batch in parts(batches, BLOCK):
+            encoded = pieces_of(*tokenizer.encode_column(batch.column("text")))
             digest = [hashlib.sha256(e).hexdigest() for e in encoded]
             back = [hashlib.sha256(t.encode()).hexdigest() for t in tokenizer.decode_all(encoded)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(e) // 4 for e in encoded], pa.int64()), pa.array(digest), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

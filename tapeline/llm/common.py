@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,56 +63,42 @@ def parts(batches, limit: int = 1 << 21, name: str = "text"):
             yield batch.slice(i)
 
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk, asking `encode_new` once for each chunk not seen lately.
+def encode_column(texts: pa.Array, many, head=None, whole=None, lower=False, kind="<u4") -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, null as empty, one after the other, and where each text's begin (with the end of the last).
 
-    `encode_new(list of chunks) -> list of bytes`. With `keep_space`, texts are cut before spaces and a chunk after the
-    first is encoded with its space; a text in which a space is followed by more white space or a special token (where a
-    cut would part what belongs together) goes whole to `encode_whole(text) -> bytes`. Without, texts are cut at white
-    space, which is dropped; `lower` says that the tokenizer ignores the case of A-Z. The cache is cleared when it passes
-    `limit` chunks or `limit_bytes`.
+    Arrow cuts the texts into chunks and numbers the distinct ones; `many(chunks) -> list of bytes` encodes each of these
+    once, and numpy lays the ids out in the order of the texts. Without `head`, texts are cut at ASCII white space, which is
+    dropped (A-Z small before with `lower`). With it they are cut before spaces: `many` encodes chunks with the space before
+    them and says None of one before which a text must not be cut, `head(chunks)` encodes first chunks as they stand, and
+    `whole(text)` a text that can't be cut.
     """
-
-    def __init__(self, encode_new, encode_whole=None, keep_space=False, special=(), lower=False, limit=800_000, limit_bytes=64 << 20):
-        self.encode_new, self.encode_whole, self.keep_space = encode_new, encode_whole, keep_space
-        self.special, self.lower, self.limit, self.limit_bytes = tuple(special), lower, limit, limit_bytes
-        self.cache: dict[str | bytes, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.held = 0
-
-    def _learn(self, cache, new, prefix=""):
-        new = list(new)
-        for chunk, ids in zip(new, self.encode_new([prefix + c for c in new] if prefix else new), strict=True):
-            cache[chunk] = ids
-            self.held += len(chunk) + len(ids)
-
-    def _split(self, text):
-        if self.keep_space:
-            return text.split(" ")
-        data = text.encode()
-        return (data.lower() if self.lower else data).split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        if len(self.cache) + len(self.heads) > self.limit or self.held > self.limit_bytes:
-            self.cache, self.heads, self.held = {}, {}, 0
-        seen: set = set()
-        for c in split:
-            seen.update(c[1:] if self.keep_space else c)
-        new = seen - self.cache.keys()
-        if not self.keep_space:
-            self._learn(self.cache, new)
-            return [b"".join(map(self.cache.__getitem__, c)) for c in split]
-        # chunks before which a text can't be cut stay out of the cache, so that their texts are found below
-        self._learn(self.cache, [c for c in new if c and not c[0].isspace() and not c.startswith(self.special)], " ")
-        self._learn(self.heads, {c[0] for c in split} - self.heads.keys())
-        get, out = self.cache.__getitem__, []
-        for text, c in zip(texts, split, strict=True):
-            try:
-                out.append(self.heads[c[0]] + b"".join(map(get, c[1:])))
-            except KeyError:
-                out.append(self.encode_whole(text))
-        return out
+    texts, n = pc.fill_null(texts, ""), len(texts)
+    lists = pc.split_pattern(texts, " ") if head else pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    offsets, numbered = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
+    chunks, codes = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = many(chunks)
+    if head:
+        uncut = np.fromiter((x is None for x in ids), bool, len(ids))[codes]
+        uncut[offsets[:-1]] = False
+        uncut = np.unique(np.searchsorted(offsets, np.flatnonzero(uncut), side="right") - 1)
+        first = head([chunks[c] for c in codes[offsets[:-1]].tolist()])
+        codes[offsets[:-1]] = len(ids) + np.arange(n)
+        for i in uncut.tolist():
+            first[i] = whole(texts[i].as_py())
+            codes[offsets[i] + 1 : offsets[i + 1]] = len(ids) + n
+        ids = [x or b"" for x in ids] + first + [b""]
+    flat = np.frombuffer(b"".join(ids), kind)
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+    at, many_of = np.cumsum(size) - size, size[codes]
+    ends = np.cumsum(many_of)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(at[codes] - (ends - many_of), many_of)], np.append(0, ends)[offsets]
+
+
+def pieces_of(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """What `encode_column` gives, as bytes for each text."""
+    data, width = ids.tobytes(), ids.itemsize
+    return [data[width * i : width * j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 class Learned(dict):

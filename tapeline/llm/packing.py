@@ -26,24 +26,25 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut
-from .bpe import WORDS, byte_names
-from .common import Learned, parts, pick, texts_of
+from .bpe import BLOCK, WORDS, byte_names
+from .common import Learned, encode_column, parts, pick, pieces_of
 
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks without the apostrophe, which may begin a word
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
-CACHED = 250_000  # chunks of a generation; with half as many words all generations and their overhead take about 180 MB
+CACHED = 250_000  # words of a generation; two generations of keys, ids and their overhead take about 100 MB
 
 
 class LibraryEncoder:
-    """The library's encoder behind a cache of chunks, ids as 32-bit integers or, with `kind` "H", 16-bit ones.
+    """The library's ids, chunk by chunk: 32-bit integers or, with `kind` "H", 16-bit ones.
 
     With `keep_space` (byte-level) texts are cut before spaces, and a chunk after the first is encoded with its space; a text
     in which a cut would part what belongs together (a space before more white space or a special token) goes to the
-    library whole. Without, texts are cut at white space, which that kind of tokenizer drops. A chunk of Latin letters, with
-    or without marks at its end, is one word, or a word and a run of marks, to any of these tokenizers: they go to the
-    library's model as they are. Other byte-level chunks go there word by word, everything else through the whole chain.
+    library whole. Without, texts are cut at white space, which that kind of tokenizer drops. Each distinct chunk of a block
+    of texts is encoded once. A chunk of Latin letters, with or without marks at its end, is one word, or a word and a run of
+    marks, to any of these tokenizers: words go to the library's model as they are and are remembered for later blocks. Other byte-level chunks go
+    there word by word, everything else through the whole chain.
     """
 
     def __init__(self, path: str, keep_space: bool, kind: str = "I", cached: int = CACHED):
@@ -56,18 +57,17 @@ class LibraryEncoder:
         self.lower = "Lowercase" in [n.get("type") for n in ((data.get("normalizer") or {}).get("normalizers") or [])]
         self.tokens_of, self.byte_name = self.tokenizer.model.tokenize, {b: c for c, b in byte_names().items()}
         self.lead = self.byte_name[32] if keep_space else ""
-        self.words = Learned(self.word, cached // 2)
-        self.heads, self.chunks = Learned(self.head if keep_space else self.whole, 20_000), Learned(self.spaced if keep_space else self.plain, cached)
+        self.words = Learned(self.word, cached)
         self.pattern = regex.compile(WORDS)
 
     @property
     def limit(self) -> int:
-        """Chunks of a generation."""
-        return self.chunks.limit
+        """Words of a generation."""
+        return self.words.limit
 
     @limit.setter
     def limit(self, value: int) -> None:
-        self.chunks.limit = self.words.limit = value
+        self.words.limit = value
 
     def word(self, word: str) -> bytes:
         return array(self.kind, [t.id for t in self.tokens_of(word)]).tobytes()
@@ -91,35 +91,29 @@ class LibraryEncoder:
         return self.words[word] if len(body) == len(chunk) else self.words[word] + self.words[chunk[len(body) :]]
 
     def head(self, text: str) -> bytes:
-        """A chunk as it stands: its words by the byte-level pattern, each to the model; one with a special token goes to the library."""
+        """A byte-level chunk as it stands: its words, each to the model; one with a special token goes to the library."""
         if any(s in text for s in self.special):
             return self.whole(text)
         words, name = self.words, self.byte_name
         return b"".join([words[w.encode().decode("latin-1").translate(name)] for w in self.pattern.findall(text)])
 
-    def spaced(self, chunk: str) -> bytes:
+    def spaced(self, chunk: str) -> bytes | None:
+        """A chunk after a space; None if a text must not be cut before it."""
         if not chunk or chunk[0].isspace() or chunk.startswith(self.special):
-            raise KeyError(chunk)
+            return None
         return self.letters(chunk) or self.head(" " + chunk)
 
-    def plain(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        return self.letters(text) or self.whole(text)
+    def plain(self, chunk: str) -> bytes:
+        return (self.letters(chunk) or self.whole(chunk)) if chunk else b""
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        kind = f"<u{array(self.kind).itemsize}"
+        if self.keep_space:
+            return encode_column(texts, lambda c: [self.spaced(x) for x in c], lambda c: [self.head(x) for x in c], self.whole, kind=kind)
+        return encode_column(texts, lambda c: [self.plain(x) for x in c], lower=self.lower, kind=kind)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, out = self.chunks.__getitem__, []
-        for text in texts:
-            if self.keep_space:
-                chunks = iter(text.split(" "))
-                head = self.heads[next(chunks)]
-                try:
-                    out.append(head + b"".join(map(get, chunks)))
-                except KeyError:
-                    out.append(self.whole(text))
-            else:
-                data = text.encode()
-                out.append(b"".join(map(get, (data.lower() if self.lower else data).split())))
-        return out
+        return pieces_of(*self.encode_column(pa.array(texts, pa.string())))
 
 
 @functools.lru_cache(maxsize=1)
@@ -134,11 +128,13 @@ def cut_pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int) -> Data
     def run(batches):
         encoder, part = encoder_of(vocabulary, True), TaskContext.get().partitionId()
         end, nth = end_id.to_bytes(4, "little"), np.zeros(size + 1, np.int64)
-        for batch in parts(batches):
+        for batch in parts(batches, BLOCK):
             rows = []
-            for doc, data in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch)), strict=True):
-                data += end
-                n, at, piece = len(data) // 4, 0, 0
+            ids, ends = encoder.encode_column(batch.column("text"))
+            whole, ends = memoryview(ids.tobytes()), ends.tolist()
+            for doc, i, j in zip(batch.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                data = bytes(whole[4 * i : 4 * j]) + end
+                n, at, piece = j - i + 1, 0, 0
                 while at < n:
                     length = (n - at) % size or size if at == 0 and n > size else min(size, n - at)
                     rows.append((doc, piece, at, length, zlib.crc32(data[4 * at : 4 * (at + length)]), part, int(nth[length])))

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import cut
-from .common import parts, pick, texts_of
+from .common import parts, pick
+from .bpe import BLOCK
 from .packing import encoder_of
 
 STEP = 256  # ids between checkpoints
@@ -34,13 +35,15 @@ def kind_of(vocabulary: str) -> str:
 def tokenise(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned integers of the kind of `kind_of`), the end id last."""
     width = int(kind_of(vocabulary)[-1])
-    end = end_id.to_bytes(width, "little")
 
     def run(batches):
         encoder = encoder_of(vocabulary, False, "H" if width == 2 else "I")
-        for batch in parts(batches):
-            encoded = [e + end for e in encoder.encode(texts_of(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoded, pa.binary())], ["doc_id", "ids"])
+        for batch in parts(batches, BLOCK):
+            ids, ends = encoder.encode_column(batch.column("text"))
+            data = np.insert(ids, ends[1:], end_id).astype(f"<u{width}")  # the end id after each text
+            offsets = ((ends + np.arange(len(ends))) * width).astype(np.int32)
+            encoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), encoded], ["doc_id", "ids"])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, ids binary")
 
