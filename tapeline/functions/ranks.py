@@ -48,7 +48,7 @@ def ranges(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataF
     """Add `_r`: the number of approximate quantiles of the group below the value, so ranges follow the value and hold about equal numbers of rows."""
     at = [i / parts for i in range(1, parts)]
     splits = df.groupBy(*keys).agg(F.percentile_approx(value, at, 1000).alias("_s"))
-    return df.join(splits, keys).withColumn("_r", F.size(F.filter("_s", lambda s: s < C(value)))).drop("_s")
+    return df.join(splits, keys).withColumn("_r", F.coalesce(F.size(F.filter("_s", lambda s: s < C(value))), F.lit(0))).drop("_s")
 
 
 def ecdf(df: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:

@@ -379,8 +379,21 @@ def pooled_ridge(panel: DataFrame, features: list[str], target: str, ridge: floa
     return g.mapInPandas(solve, "term string, standardised double, raw double")
 
 
-def leave_instrument_out(panel: DataFrame, features: list[str], target: str, ridge: float = 1.0) -> DataFrame:
-    """Skill on each held-out symbol; its fold's moments are the totals minus its own (no refit scan)."""
+# Sessions up to which an instrument counts as newly listed, and the median turnover below which it is illiquid.
+NEWLY_LISTED_SESSIONS, ILLIQUID_TURNOVER = 120, 1.0e7
+
+
+def cohorts(panel: DataFrame, illiquid: float = ILLIQUID_TURNOVER) -> DataFrame:
+    """(symbol, cohort) by the sessions and turnover at the last row of each instrument."""
+    last = panel.groupBy("symbol").agg(F.max_by(F.struct("sessions_available", F.expm1("liquidity_log_turnover").alias("turnover")), "ts").alias("r"))
+    return last.select("symbol", F.when(C("r.sessions_available") <= NEWLY_LISTED_SESSIONS, "newly_listed").when(C("r.turnover") < illiquid, "illiquid").otherwise("established").alias("cohort"))
+
+
+def leave_instrument_out(panel: DataFrame, features: list[str], target: str, ridge: float = 1.0, groups: DataFrame | None = None) -> DataFrame:
+    """Error and skill on each held-out symbol; its fold's moments are the totals minus its own (no refit scan).
+
+    With `groups` (symbol, cohort) each fold also carries its cohort and the error and skill of all folds of it.
+    """
     k = len(features)
     own = gram(panel, features, target, ["symbol"])
     names = [c for c in own.columns if c != "symbol"]
@@ -397,10 +410,17 @@ def leave_instrument_out(panel: DataFrame, features: list[str], target: str, rid
                 q = np.array([[r[f"q_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
                 s = np.array([r[f"s_{i}"] for i in range(k + 1)])
                 sse = q[k, k] - 2 * (raw @ q[:k, k] + icpt * s[k]) + raw @ q[:k, :k] @ raw + 2 * icpt * raw @ s[:k] + r["n"] * icpt**2
-                out.append((r["symbol"], int(r["n"]), float(np.sqrt(max(sse, 0) / r["n"])), float(1 - np.sqrt(max(sse, 0) / q[k, k]))))
-            yield pd.DataFrame(out, columns=["symbol", "rows", "rmse", "skill"])
+                out.append((r["symbol"], int(r["n"]), float(max(sse, 0)), float(q[k, k])))
+            yield pd.DataFrame(out, columns=["symbol", "rows", "sse", "base"])
 
-    return d.mapInPandas(solve, "symbol string, rows long, rmse double, skill double")
+    f = d.mapInPandas(solve, "symbol string, rows long, sse double, base double")
+    skill = lambda sse, base: 1 - F.sqrt(sse / base)
+    f = f.withColumn("rmse", F.sqrt(C("sse") / C("rows"))).withColumn("skill", skill(C("sse"), C("base")))
+    if groups is None:
+        return f.drop("sse", "base")
+    f = f.join(groups, "symbol")
+    by = f.groupBy("cohort").agg(F.count("*").alias("cohort_folds"), F.sqrt(F.sum("sse") / F.sum("rows")).alias("cohort_rmse"), skill(F.sum("sse"), F.sum("base")).alias("cohort_skill"))
+    return f.join(by, "cohort").drop("sse", "base")
 
 
 def forward_time_validation(panel: DataFrame, features: list[str], target: str, fractions: tuple[float, ...], embargo: int, ridge: float = 1.0) -> DataFrame:
@@ -440,13 +460,14 @@ def shrinkage_weights(rows: DataFrame, half: float = 250.0) -> DataFrame:
 
 
 def model_ranking(scores: DataFrame, baseline: str) -> DataFrame:
-    """Rank by (rmse, mae, -direction, -r2); inverse-RMSE weights over those beating the baseline."""
+    """Rank by (rmse, mae, -direction, -r2); inverse-RMSE weights over those beating the baseline, or over all models if none does."""
     w = Window.partitionBy("symbol")
     d = scores.withColumn("rank", F.row_number().over(w.orderBy("rmse", "mae", F.desc("direction"), F.desc("r2"), "model")))
     d = d.withColumn("_b", F.max(F.when(C("model") == baseline, C("rmse"))).over(w))
-    inv = F.when((C("rmse") < C("_b")) & (C("model") != baseline), 1 / C("rmse"))
-    d = d.withColumn("_i", inv)
-    return d.withColumn("weight", F.coalesce(C("_i") / F.sum("_i").over(w), F.lit(0.0))).drop("_b", "_i")
+    model = C("model") != baseline
+    d = d.withColumn("_beats", model & (C("_b") > 0) & (C("rmse") < C("_b"))).withColumn("_any", F.max("_beats").over(w))
+    d = d.withColumn("_i", F.when(model & (C("_beats") | ~F.coalesce("_any", F.lit(False))), 1 / F.greatest("rmse", F.lit(1e-9))))
+    return d.withColumn("weight", F.coalesce(C("_i") / F.sum("_i").over(w), F.lit(0.0))).drop("_b", "_beats", "_any", "_i")
 
 
 def fold_assign(bars: DataFrame, folds: int, gap: int = 1) -> DataFrame:
@@ -478,13 +499,15 @@ def volatility_classes(rows: DataFrame, value: str, is_train: Column) -> DataFra
 
 
 def classification_metrics(rows: DataFrame, keys: list[str], classes: list) -> DataFrame:
-    """Accuracy, balanced accuracy and weighted F1 from the confusion counts."""
+    """Accuracy, balanced accuracy, weighted F1 and the confusion matrix, a row of counts by predicted class for each actual class of `classes`."""
     m = rows.groupBy(*keys, "actual", "predicted").agg(F.count("*").alias("c"))
     tp = F.sum(F.when(C("actual") == C("predicted"), C("c")))
     a = m.groupBy(*keys, C("actual").alias("k")).agg(F.sum("c").alias("support"), F.coalesce(tp, F.lit(0)).alias("tp"))
     p = m.groupBy(*keys, C("predicted").alias("k")).agg(F.sum("c").alias("called"))
     j = a.join(p, [*keys, "k"], "left").withColumn("f1", 2 * C("tp") / (C("support") + F.coalesce("called", F.lit(0))))
-    return j.groupBy(*keys).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(C("tp") / C("support")).alias("balanced_accuracy"), (F.sum(C("f1") * C("support")) / F.sum("support")).alias("weighted_f1"))
+    g = j.groupBy(*keys).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(C("tp") / C("support")).alias("balanced_accuracy"), (F.sum(C("f1") * C("support")) / F.sum("support")).alias("weighted_f1"))
+    cell = lambda x, y: F.coalesce(F.sum(F.when((C("actual") == x) & (C("predicted") == y), C("c"))), F.lit(0))
+    return g.join(m.groupBy(*keys).agg(F.array(*[F.array(*[cell(x, y) for y in classes]) for x in classes]).alias("confusion")), keys)
 
 
 def regime_tilt_eval(rows: DataFrame, multiplier: Column, min_n: int = 5) -> DataFrame:
@@ -495,6 +518,11 @@ def regime_tilt_eval(rows: DataFrame, multiplier: Column, min_n: int = 5) -> Dat
     return g.withColumn("moved", C("tilted_coverage") > C("base_coverage"))
 
 
-def backtest_rows(predictions: DataFrame, models: list[str]) -> DataFrame:
-    """predictions(symbol, target_date, fold, actual, model, value) to complete wide rows."""
-    return predictions.groupBy("symbol", "target_date", "fold", "actual").pivot("model", models).agg(F.first("value")).dropna(subset=models)
+def backtest_rows(predictions: DataFrame, models: list[str], weights: DataFrame | None = None) -> DataFrame:
+    """predictions(symbol, target_date, fold, actual, model, value) to complete wide rows; with weights (symbol, model, weight) also their consensus."""
+    wide = predictions.groupBy("symbol", "target_date", "fold", "actual").pivot("model", models).agg(F.first("value")).dropna(subset=models)
+    if weights is None:
+        return wide
+    w = weights.groupBy("symbol").agg(*[F.sum(F.when(C("model") == m, C("weight"))).alias(f"_w_{m}") for m in models])
+    total = reduce(lambda x, y: x + y, [F.coalesce(f"_w_{m}", F.lit(0.0)) * C(m) for m in models])
+    return wide.join(w, "symbol").withColumn("consensus", total).drop(*[f"_w_{m}" for m in models])

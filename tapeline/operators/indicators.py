@@ -252,6 +252,17 @@ def panel(bars: DataFrame) -> DataFrame:
     return d.select("*", *[c.alias(k) for k, c in out.items()]).drop("_vsd", "_nr", "_g1", "_g2")
 
 
+def regime_inputs(bars: DataFrame) -> DataFrame:
+    """What a regime label reads: EMA 20/50, SMA 20/50, RSI 14, MACD histogram, ATR percent and ADX, with two smoothing passes in all."""
+    d = _dm(_gains_losses(bars.select("symbol", "ts", "open", "high", "low", "close", "volume")))
+    specs = {f"ema_{n}": ("close", span_alpha(n), n) for n in (20, 50)} | {"_g_14": ("_gain", 1 / 14, 14), "_s_14": ("_loss", 1 / 14, 14), "_f": ("close", span_alpha(12), 12), "_sl": ("close", span_alpha(26), 26),
+                                                                          "_t": ("_tr", 1 / 14, 14), "_p": ("_pdm", 1 / 14, 14), "_m": ("_mdm", 1 / 14, 14)}
+    d = _di(ewm(d, specs)).withColumn("macd", C("_f") - C("_sl"))
+    d = ewm(d, {"macd_signal": ("macd", span_alpha(9), 9), "adx": ("_dx", 1 / 14, 14)})
+    return d.select("symbol", "ts", "close", "ema_20", "ema_50", _rsi_value(14).alias("rsi_14"), (C("macd") - C("macd_signal")).alias("macd_histogram"), "adx",
+                    (ratio("_t", "close") * 100).alias("atr_pct"), sma(20).alias("sma_20"), sma(50).alias("sma_50"))
+
+
 def core_panel(bars: DataFrame) -> DataFrame:
     """The subset read by the last-bar signals: SMA 20/50, EMA 20, RSI 14, MACD."""
     d = with_macd(with_rsi(with_ema(bars, (20,)), (14,)))

@@ -27,23 +27,50 @@ def chain_normalise(raw: DataFrame) -> DataFrame:
     return d.where((C("strike") > 0) & (C("open_interest") >= 0) & C("option_type").isin("call", "put"))
 
 
-def chain_validate(raw: DataFrame, as_of: Column, stale_seconds: float = 900.0, wide_pct: float = 20.0) -> DataFrame:
-    """(underlying, code, rows): defect counts of each chain."""
+# Defect codes by severity.
+CHAIN_ERRORS = ("INVALID_STRIKE", "INVALID_OPEN_INTEREST", "INVALID_OPTION_TYPE", "INSUFFICIENT_OI_EVIDENCE", "INVALID_QUOTE", "CROSSED_MARKET", "INVALID_VOLUME", "FUTURE_QUOTE_TIME")
+CHAIN_WARNINGS = ("ZERO_OPEN_INTEREST", "WIDE_SPREAD", "LAST_OUTSIDE_MARKET", "STALE_QUOTE")
+
+
+def chain_defects(raw: DataFrame, as_of: Column, stale_seconds: float, wide_pct: float) -> DataFrame:
+    """One row per chain: rows under each defect code, usable rows and the sides they are on."""
     k, oi = finite(C("strike")), finite(C("open_interest"))
-    kind = F.lower(F.trim("option_type")).isin("call", "put")
-    ok = F.coalesce((k > 0) & (oi >= 0) & kind, F.lit(False))
+    kind = F.lower(F.trim("option_type"))
+    ok = F.coalesce((k > 0) & (oi >= 0) & kind.isin("call", "put"), F.lit(False))
     b, a = finite(C("bid")), finite(C("ask"))
     supplied = C("bid").isNotNull() | C("ask").isNotNull()
     quote = ok & F.coalesce((b >= 0) & (a > 0), F.lit(False))
     open_q = quote & (b <= a)
     age = as_of.cast("double") - C("quote_ts").cast("double")
     rules = {
-        "INVALID_STRIKE": ~F.coalesce(k > 0, F.lit(False)), "INVALID_OPEN_INTEREST": ~F.coalesce(oi >= 0, F.lit(False)), "INVALID_OPTION_TYPE": ~F.coalesce(kind, F.lit(False)),
+        "INVALID_STRIKE": ~F.coalesce(k > 0, F.lit(False)), "INVALID_OPEN_INTEREST": ~F.coalesce(oi >= 0, F.lit(False)), "INVALID_OPTION_TYPE": ~F.coalesce(kind.isin("call", "put"), F.lit(False)),
         "ZERO_OPEN_INTEREST": ok & (oi == 0), "INVALID_QUOTE": supplied & ~F.coalesce((b >= 0) & (a > 0), F.lit(False)), "CROSSED_MARKET": quote & (b > a),
         "WIDE_SPREAD": open_q & ((a - b) / ((a + b) / 2) * 100 > wide_pct), "LAST_OUTSIDE_MARKET": open_q & ((C("last") < b) | (C("last") > a)), "INVALID_VOLUME": C("volume") < 0,
         "STALE_QUOTE": age > stale_seconds, "FUTURE_QUOTE_TIME": age < -60}
-    g = raw.groupBy("underlying").agg(*[F.count_if(F.coalesce(r, F.lit(False))).alias(n) for n, r in rules.items()])
-    return g.unpivot(["underlying"], list(rules), "code", "rows")
+    g = raw.groupBy("underlying").agg(*[F.count_if(F.coalesce(r, F.lit(False))).alias(n) for n, r in rules.items()], F.count("*").alias("input_rows"), F.count_if(ok).alias("valid_rows"),
+                                      F.count_if(ok & (kind == "call")).alias("_calls"), F.count_if(ok & (kind == "put")).alias("_puts"), F.sum(F.when(ok, oi)).alias("_oi"), F.count("quote_ts").alias("_timed"), F.count_if(quote).alias("_quoted"))
+    return g.withColumn("INSUFFICIENT_OI_EVIDENCE", F.when((C("valid_rows") > 0) & (C("_oi") == 0), C("valid_rows")).otherwise(0))
+
+
+def chain_validate(raw: DataFrame, as_of: Column, stale_seconds: float = 900.0, wide_pct: float = 20.0) -> DataFrame:
+    """(underlying, code, rows): defect counts of each chain."""
+    codes = [c for c in (*CHAIN_ERRORS, *CHAIN_WARNINGS) if c != "INSUFFICIENT_OI_EVIDENCE"]
+    return chain_defects(raw, as_of, stale_seconds, wide_pct).unpivot(["underlying"], codes, "code", "rows")
+
+
+def chain_evidence(raw: DataFrame, as_of: Column, stale_seconds: float = 900.0, wide_pct: float = 20.0) -> DataFrame:
+    """The evidence of each chain: usable rows, whether open interest and market data hold, staleness, and a grade.
+
+    The grade is low with any error or stale quote, limited with any other warning, else moderate.
+    """
+    g = chain_defects(raw, as_of, stale_seconds, wide_pct)
+    seen = lambda codes: reduce(lambda x, y: x | y, [C(c) > 0 for c in codes])
+    listed = lambda codes: F.concat_ws(",", *[F.when(C(c) > 0, F.lit(c)) for c in codes])
+    market = seen(("INVALID_QUOTE", "CROSSED_MARKET", "FUTURE_QUOTE_TIME"))
+    grade = F.when(seen(CHAIN_ERRORS) | (C("STALE_QUOTE") > 0), "low").when(seen(CHAIN_WARNINGS), "limited").otherwise("moderate")
+    return g.select("underlying", "input_rows", "valid_rows", ((C("valid_rows") > 0) & (C("_calls") > 0) & (C("_puts") > 0) & ~seen(CHAIN_ERRORS[:4])).alias("oi_data_valid"),
+                    F.when((C("_timed") > 0) | (C("_quoted") > 0) | market, ~market).alias("market_data_valid"), F.when(C("_timed") > 0, C("STALE_QUOTE") > 0).alias("is_stale"),
+                    listed(CHAIN_ERRORS).alias("errors"), listed(CHAIN_WARNINGS).alias("warnings"), grade.alias("evidence_quality"))
 
 
 def pain_curve(chain: DataFrame, key: str = "underlying") -> DataFrame:
@@ -94,6 +121,50 @@ def oi_movers(chain: DataFrame, k: int = 5) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(C("rank") <= k)
 
 
+# Distance limits of the pin score and of its search, in percent of spot.
+TIGHT_PIN, LOOSE_PIN, PIN_BAND = 1.0, 3.0, 30.0
+
+
+def oi_landmarks(chain: DataFrame, spots: DataFrame) -> DataFrame:
+    """Per underlying: put-call ratio and its change, walls, support below and resistance above spot, and the risk of a pin.
+
+    Support is the strike below spot with the most puts, resistance the one above with the fewest calls; on a tie the lower
+    strike. A pin is scored by the nearer of max pain and the strike with most open interest, within a band around spot.
+    """
+    def side(kind, c):
+        return F.sum(F.when(C("option_type") == kind, C(c)))
+
+    oi, old = "open_interest", "previous_open_interest"
+    g = chain.groupBy("underlying", "strike").agg(*[F.coalesce(side(k, oi), F.lit(0.0)).alias(f"{k}_oi") for k in ("call", "put")], *[side(k, old).alias(f"{k}_old") for k in ("call", "put")])
+    d = g.join(spots, "underlying").withColumn("gap", F.abs(C("strike") - C("spot")))
+    near = F.coalesce(C("gap") <= C("spot") * PIN_BAND / 100, F.lit(False))
+    most = lambda cond, value: F.max_by(F.when(cond, C("strike")), F.when(cond, F.struct(value, -C("strike"))))
+    every = F.lit(True)
+    t = d.groupBy("underlying").agg(
+        F.first("spot").alias("spot"), F.sum("call_oi").alias("call_oi"), F.sum("put_oi").alias("put_oi"), F.coalesce(F.sum("call_old"), F.lit(0.0)).alias("_call_old"), F.coalesce(F.sum("put_old"), F.lit(0.0)).alias("_put_old"),
+        most(every, C("call_oi")).alias("call_wall"), most(every, C("put_oi")).alias("put_wall"), most(C("strike") < C("spot"), C("put_oi")).alias("support"), most(C("strike") > C("spot"), -C("call_oi")).alias("resistance"),
+        most(near, C("call_oi") + C("put_oi")).alias("max_oi_strike"), most(near, -C("gap")).alias("nearest_strike"))
+    pain = max_pain(chain.join(spots, "underlying").where(F.abs(C("strike") - C("spot")) <= C("spot") * PIN_BAND / 100)).select("underlying", C("max_pain").alias("pin_max_pain"))
+    away = lambda c: F.abs(C(c) - C("spot")) / C("spot") * 100
+    t = t.join(pain, "underlying", "left").withColumn("pcr", F.when(C("call_oi") > 0, C("put_oi") / C("call_oi"))).withColumn("pin_distance_pct", F.least(away("pin_max_pain"), away("max_oi_strike")))
+    change = F.when((C("_call_old") > 0) & (C("_put_old") > 0), C("pcr") - C("_put_old") / C("_call_old"))
+    level = F.when(C("pin_distance_pct") <= TIGHT_PIN, "high").when(C("pin_distance_pct") <= LOOSE_PIN, "moderate").when(C("pin_distance_pct").isNotNull(), "low")
+    return t.withColumn("pcr_change", change).withColumn("pin_level", level).drop("_call_old", "_put_old")
+
+
+def oi_expiry_matrix(chain: DataFrame) -> DataFrame:
+    """(underlying, strike, expiry): open interest and change per side for chains of more than one expiry, with the number of their expiries.
+
+    Long form: one row for each cell of the strike x expiry matrix, whatever the number of expiries.
+    """
+    kind = lambda k, c: F.sum(F.when(C("option_type") == k, c))
+    change = C("open_interest") - C("previous_open_interest")
+    cells = chain.where("expiry is not null").groupBy("underlying", "strike", "expiry").agg(
+        *[kind(k, C("open_interest")).alias(f"{k}_oi") for k in ("call", "put")], *[kind(k, change).alias(f"{k}_change") for k in ("call", "put")])
+    many = cells.groupBy("underlying").agg(F.count_distinct("expiry").alias("expiries")).where("expiries > 1")
+    return cells.join(many, "underlying")
+
+
 def atm_iv(rows: DataFrame) -> DataFrame:
     """rows(underlying, spot, strike, ce_iv, pe_iv): mean usable IV at the strike nearest spot within 5%."""
     ok = lambda c: F.when(C(c).between(IV_MIN, IV_MAX), C(c))
@@ -102,12 +173,23 @@ def atm_iv(rows: DataFrame) -> DataFrame:
     return d.groupBy("underlying").agg(F.min_by(F.struct("strike", "iv", "sides"), F.struct(F.abs(C("strike") - C("spot")), "strike")).alias("r")).select("underlying", "r.*")
 
 
+# The model range is tighter below this share of the one-sigma band, wider above this share of the two-sigma band.
+NARROW, WIDE = 0.80, 1.00
+
+
+def scenario_half_width(reference: Column, days: Column, realized: Column, implied: Column) -> Column:
+    """Half width of the expiry-bounded scenario interval: the mean of realised and implied volatility over 1 to 365 days."""
+    horizon = F.least(F.greatest(days, F.lit(1)), F.lit(365))
+    return reference * (realized + F.coalesce(implied, realized)) / 2 * F.sqrt(horizon / 365.0)
+
+
 def expected_move(rows: DataFrame) -> DataFrame:
-    """rows(underlying, spot, iv, days, model_width_pct): 1 and 2 sigma bands with the model-vs-implied flag."""
-    d = rows.withColumn("sigma", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("move", C("spot") * C("iv") * F.sqrt(C("days") / 252.0) * C("sigma"))
-    implied = 2 * C("move") / C("sigma") / C("spot") * 100
-    r = C("model_width_pct") / implied
-    return d.select("underlying", "sigma", "move", (C("spot") - C("move")).alias("low"), (C("spot") + C("move")).alias("high"), F.when(r < 0.8, "model_narrower").when(r > 1.0, "model_wider").otherwise("aligned").alias("flag"))
+    """rows(underlying, spot, iv, days, model_width_pct, realized): 1 and 2 sigma bands, how the model range compares with them, and the scenario interval to expiry."""
+    one = C("spot") * C("iv") * F.sqrt(C("days") / 252.0)
+    d = rows.withColumn("sigma", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("move", one * C("sigma"))
+    width, half = C("model_width_pct") / 100 * C("spot"), scenario_half_width(C("spot"), C("days"), C("realized"), C("iv"))
+    flag = F.when(width < NARROW * 2 * one, "model_tighter_than_implied").when(width > WIDE * 4 * one, "model_wider_than_implied").otherwise("aligned")
+    return d.select("underlying", "sigma", "move", (C("spot") - C("move")).alias("low"), (C("spot") + C("move")).alias("high"), flag.alias("flag"), F.greatest(F.lit(0.01), C("spot") - half).alias("scenario_low"), (C("spot") + half).alias("scenario_high"))
 
 
 def chain_reprice(rows: DataFrame) -> DataFrame:

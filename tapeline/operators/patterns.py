@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.span import BARS as S
+from ..session import cut
 
 C = F.col
 
@@ -78,7 +79,8 @@ def breakout_levels(bars: DataFrame, lookback: int = 60) -> DataFrame:
 
 
 def breakout(bars: DataFrame) -> DataFrame:
-    """All patterns of a symbol with its breakout, ranked by quality."""
+    """All patterns of a symbol with its breakout, ranked by quality; the bars are made once for all of them."""
+    bars = cut(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"))
     b = breakout_levels(bars)
     up = C("status") == "Bullish breakout"
     brk = b.where("status <> 'None'").select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chunks
 from ..functions.span import BARS as S
 from ..functions.span import Span, ratio
+from ..session import cut
 from ..sources.ohlcv import FIELDS, finite
 
 C = F.col
@@ -141,6 +142,8 @@ def action_maps(bars: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def adjust_all_actions(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """Bars with every accepted action after them applied; the bars are read for reference prices and for the result, so they are made once."""
+    bars = cut(bars)
     d = bars.join(action_maps(bars, actions), "symbol", "left").withColumn("_m", F.filter("maps", lambda m: m["ex_date"] > C("ts")))
 
     def price(c):
@@ -401,9 +404,23 @@ REDACTIONS = {
 }
 
 
+# What a text must hold for a rule to apply, looked for in the text or, for the first group, in its lower case: a plain search that spares most texts the patterns.
+NEEDLES = {"bearer": (["bearer"], []), "session": ([], ["_session="]), "jwt": ([], ["eyJ"]), "oauth_secret": ([], ["GOCSPX-"]),
+           "json_value": (["token", "api_key", "apikey", "secret", "password", "passwd", "pwd", "authorization", "jwks", "jwt"], []),
+           "assignment": (["token", "api_key", "apikey", "client_secret", "password", "passwd", "authorization"], [])}
+
+
 def redact_text(df: DataFrame, column: str) -> DataFrame:
-    """Mask secrets in a text column and count the hits of each rule, in order."""
-    d = df
+    """Mask secrets in a text column and count the hits of each rule, in order.
+
+    The session rule masks any cookie whose name ends in _session, so more than one product's own. Masks hold no needle, so
+    one look at the text as it came serves all rules.
+    """
+    d = df.withColumn("_low", F.lower(column))
+    for name, (folded, plain) in NEEDLES.items():
+        found = [C("_low").contains(x) for x in folded] + [C(column).contains(x) for x in plain]
+        d = d.withColumn(f"_has_{name}", F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False)))
     for name, (pattern, repl) in REDACTIONS.items():
-        d = d.withColumn(f"n_{name}", F.regexp_count(C(column), F.lit(pattern))).withColumn(column, F.regexp_replace(C(column), pattern, repl))
-    return d
+        has = C(f"_has_{name}")
+        d = d.withColumn(f"n_{name}", F.when(has, F.regexp_count(C(column), F.lit(pattern))).when(C(column).isNotNull(), 0)).withColumn(column, F.when(has, F.regexp_replace(C(column), pattern, repl)).otherwise(C(column)))
+    return d.drop("_low", *[f"_has_{n}" for n in NEEDLES])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,29 +181,134 @@ def average_cost_fills(fills: DataFrame, keys: list[str], order: list[str], chun
                     F.coalesce(ratio("cost", "quantity"), F.lit(0.0)).alias("average_price"))
 
 
-def average_cost_positions(fills: DataFrame, keys: list[str], order: list[str], chunk: Column, small: int = 50_000) -> DataFrame:
+def _by_group(batches, keys: list[str], cols: list[str]):
+    """(key values, rows) of consecutive rows with equal keys, a row at a time, from batches sorted by them."""
+    for batch in batches:
+        yield from zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), zip(*(batch.column(c).to_pylist() for c in cols), strict=True), strict=True)
+
+
+def average_cost_positions(fills: DataFrame, keys: list[str], order: list[str], chunk: Column, limit: int = 100_000) -> DataFrame:
     """Holding and weighted average cost per key; a sell above the holding is rejected.
 
-    Keys with few fills fold inside the JVM; a key above `small` fills takes the chunked scan.
+    The fills of a key, in order, are cut into stretches of about `limit` of them at the borders of `chunk`; most keys are one
+    stretch. A stretch is folded row by row as its sorted rows stream through a task: the holding, and the cost as an
+    affine function of the cost before it. Stretches after the first start from a holding that the stretches before them
+    map there, each summed up as a few linear pieces.
     """
-    n = fills.groupBy(*keys).agg(F.count("*").alias("fills"))
-    sized = fills.join(n, keys)
-    item = F.struct(*order, "shares", "price", (C("side") == "BUY").alias("buy"))
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("a"), F.lit(0).cast("bigint").alias("ok"))
-
-    def step(s, x):
-        left = s["q"] - x["shares"]
-        fits = s["q"] + 1e-9 >= x["shares"]
-        q = F.when(x["buy"], s["q"] + x["shares"]).when(~fits, s["q"]).when(left <= 1e-9, 0.0).otherwise(left)
-        a = F.when(x["buy"], (s["q"] * s["a"] + x["shares"] * x["price"]) / (s["q"] + x["shares"])).when(fits & (left <= 1e-9), 0.0).otherwise(s["a"])
-        return F.struct(q.alias("q"), a.alias("a"), (s["ok"] + F.when(x["buy"] | fits, 1).otherwise(0)).alias("ok"))
-
-    folded = sized.where(C("fills") <= small).groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("r"), F.first("fills").alias("fills"))
-    folded = folded.select(*keys, "fills", C("r.ok").alias("accepted"), C("r.q").alias("quantity"), C("r.a").alias("average_price"))
-    big = average_cost_fills(sized.where(C("fills") > small).drop("fills"), keys, order, chunk)
-    big = big.groupBy(*keys).agg(F.count("*").alias("fills"), F.count_if("accepted").alias("accepted"),
-                                 F.max_by(F.struct("quantity", "average_price"), F.struct(*order)).alias("r")).select(*keys, "fills", "accepted", "r.*")
-    return folded.unionByName(big)
+    limit = max(1, limit)
+    d = fills.select(*keys, *order, C("shares").cast("double").alias("shares"), C("price").cast("double").alias("price"), (C("side") == "BUY").alias("buy"), chunk.alias("_unit"))
+    units = d.groupBy(*keys, "_unit").agg(F.count("*").alias("_n"))
+    whole, along = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_unit").rowsBetween(UP, 0)
+    units = units.select("*", F.sum("_n").over(whole).alias("_all"), F.sum("_n").over(along).alias("_upto")).where(C("_all") > limit)
+    units = units.withColumn("_at", F.floor((C("_upto") - C("_n")) / limit))
+    long = units.select(*keys, "_unit", (F.dense_rank().over(Window.partitionBy(*keys).orderBy("_at")) - 1).alias("_part"))
+    rows = d.join(long, [*keys, "_unit"], "left").withColumn("_part", F.coalesce("_part", F.lit(0))).drop("_unit")
+    group, kinds = [*keys, "_part"], {k: d.schema[k].dataType.simpleString() for k in keys}
+    head = "".join(f"{k} {t}, " for k, t in kinds.items()) + "_part int, "
+
+    def streamed(frame, fold, schema):
+        names = [f.strip().split(" ")[0] for f in schema.split(",")]
+        inputs = [c for c in ("shares", "price", "buy", "start") if c in frame.columns]
+        types = pa_types(frame.sparkSession, schema)
+
+        def run(batches):
+            out, at, state = [], None, None
+            for key, row in _by_group(batches, group, inputs):
+                if key != at:
+                    if at is not None:
+                        out += [(*at, *r) for r in fold.result(state)]
+                    at, state = key, fold.start(row)
+                    if len(out) > 10_000:
+                        yield to_batch(out, names, types)
+                        out = []
+                state = fold.add(state, row)
+            if at is not None:
+                out += [(*at, *r) for r in fold.result(state)]
+            if out:
+                yield to_batch(out, names, types)
+
+        return frame.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+    last = long.groupBy(*keys).agg(F.max("_part").alias("_last"))
+    maps = streamed(rows.join(last, keys).where(C("_part") < C("_last")).drop("_last"), HoldingMap, head + "lo double, shift double")
+
+    def carry(key, pdf):
+        out, q = [], 0.0
+        for part, p in sorted(pdf.groupby("_part"), key=lambda x: x[0]):
+            p = p.sort_values("lo")
+            q = max(0.0, q + float(p["shift"].iloc[int(p["lo"].searchsorted(q, side="right")) - 1]))
+            out.append((*key, int(part) + 1, q))
+        return pd.DataFrame(out, columns=[*group, "start"])
+
+    started = maps.groupBy(*keys).applyInPandas(carry, head + "start double")  # a few pieces for every `limit` fills
+    held = streamed(rows.join(started, group, "left").withColumn("start", F.coalesce("start", F.lit(0.0))), HoldingFold, head + "fills long, accepted long, quantity double, scale double, added double")
+    each = F.array_sort(F.collect_list(F.struct("_part", "scale", "added")))
+    g = held.groupBy(*keys).agg(F.sum("fills").alias("fills"), F.sum("accepted").alias("accepted"), F.max_by("quantity", "_part").alias("quantity"), F.aggregate(each, F.lit(0.0), lambda c, x: x["scale"] * c + x["added"]).alias("_cost"))
+    return g.select(*keys, "fills", "accepted", "quantity", F.coalesce(ratio("_cost", "quantity"), F.lit(0.0)).alias("average_price"))
+
+
+class HoldingFold:
+    """Holding, counts and the cost as scale x cost before + added, from a known holding."""
+
+    @staticmethod
+    def start(row):
+        return [0, 0, row[3], 1.0, 0.0]
+
+    @staticmethod
+    def add(state, row):
+        shares, price, buy, _ = row
+        state[0] += 1
+        q = state[2]
+        if buy:
+            state[1] += 1
+            state[2] = q + shares
+            if q <= 0:
+                state[3], state[4] = 0.0, 0.0
+            state[4] += shares * price
+        elif q + 1e-9 >= shares:
+            state[1] += 1
+            left = 0.0 if q - shares <= 1e-9 else q - shares
+            keep = left / q if q > 0 else 0.0
+            state[2], state[3], state[4] = left, state[3] * keep, state[4] * keep
+        return state
+
+    @staticmethod
+    def result(state):
+        return [tuple(state)]
+
+
+class HoldingMap:
+    """The holding after a stretch as a function of the one before it: from each `lo` on, that plus `shift`."""
+
+    @staticmethod
+    def start(row):
+        return [(0.0, 0.0)]
+
+    @staticmethod
+    def add(pieces, row):
+        shares, _, buy = row
+        if buy:
+            return [(lo, shift + shares) for lo, shift in pieces]
+        out = []
+        for k, (lo, shift) in enumerate(pieces):
+            border, high = shares - 1e-9 - shift, pieces[k + 1][0] if k + 1 < len(pieces) else math.inf
+            for at, new in ((lo, shift if border > lo else shift - shares), (border, shift - shares) if lo < border < high else (lo, None)):
+                if new is not None and (not out or out[-1][1] != new):
+                    out.append((at, new))
+        return out
+
+    @staticmethod
+    def result(pieces):
+        return pieces
+
+
+def pa_types(spark, schema: str):
+    from pyspark.sql.pandas.types import to_arrow_type
+    return [to_arrow_type(f.dataType) for f in spark.createDataFrame([], schema).schema.fields]
+
+
+def to_batch(rows: list[tuple], names: list[str], types) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def fifo_matches(fills: DataFrame, keys: list[str], order: list[str], chunk: Column, parts: int = 64) -> DataFrame:

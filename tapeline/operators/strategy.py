@@ -13,6 +13,7 @@ from ..functions.ewm import ewm, span_alpha
 from ..functions.pricing import price as option_price
 from ..functions.span import BARS as S
 from ..functions.span import Span, ratio
+from ..session import cut
 from .indicators import change, true_range, with_macd
 
 C = F.col
@@ -84,7 +85,7 @@ def screen_status(metrics: DataFrame, rules: list[dict]) -> DataFrame:
 
 def run_screen(bars: DataFrame, rules: list[dict], sort_by: str | None, descending: bool, limit: int) -> tuple[DataFrame, DataFrame]:
     """(matches, exclusions). Sorting takes the top rows per partition first (TakeOrderedAndProject)."""
-    m = screen_status(screen_metrics(bars), rules)
+    m = cut(screen_status(screen_metrics(bars), rules))  # a row for each symbol, read for matches and exclusions
     hits = m.where("matched")
     if sort_by:
         order = [F.desc_nulls_first(sort_by) if descending else F.asc_nulls_last(sort_by), C("symbol")]
@@ -275,8 +276,8 @@ def forward_scorecard(events: DataFrame) -> DataFrame:
     """Closed trades, win rate, compounded return and drawdown per forward test."""
     t = pair_signals(events, ("test_id", "symbol")).withColumn("ret", C("exit_price") / C("entry_price") - 1)
     closed = t.where("exit_at is not null")
-    d = chunks.running(closed, ["test_id"], C("symbol"), ["symbol", "entry_at"], {"logeq": ("sum", F.log1p("ret"))})
-    d = chunks.running(d, ["test_id"], C("symbol"), ["symbol", "entry_at"], {"peak": ("max", F.greatest(C("logeq"), F.lit(0.0)))})
+    d = chunks.lowest_level(closed, ["test_id"], C("symbol"), ["symbol", "entry_at"], -F.log1p("ret"))  # the equity upside down: its low is the peak
+    d = d.withColumn("logeq", -C("level")).withColumn("peak", F.greatest(-C("low"), F.lit(0.0)))
     g = d.groupBy("test_id").agg(
         F.count("*").alias("closed_trades"), F.count_if(C("ret") > 0).alias("wins"), (F.count_if(C("ret") > 0) / F.count("*") * 100).alias("win_rate_pct"), (F.avg("ret") * 100).alias("avg_return_pct"),
         (F.max("ret") * 100).alias("best_return_pct"), (F.min("ret") * 100).alias("worst_return_pct"), (F.min(F.exp(C("logeq") - C("peak")) - 1) * 100).alias("max_drawdown_pct"), F.sum(F.log1p("ret")).alias("log_compounded"))

@@ -288,12 +288,14 @@ def _(t):
     return ev.pooled_ridge(panel(t), TWO, "target")
 
 
-@query("leave_instrument_out", "symbol:s rows:i rmse:f6 skill:f6",
+@query("leave_instrument_out", "symbol:s rows:i rmse:f6 skill:f6 cohort:s cohort_folds:i cohort_rmse:f6 cohort_skill:f6",
        f"""WITH {FEAT}, s AS (SELECT DISTINCT symbol AS h FROM feat), mo AS (SELECT h, count(*) AS n, avg(momentum_5) AS m1, avg(volatility_20) AS m2, avg(target) AS my, var_pop(momentum_5) AS a, var_pop(volatility_20) AS b, covar_pop(momentum_5, volatility_20) AS c, covar_pop(momentum_5, target) AS y1, covar_pop(volatility_20, target) AS y2 FROM s JOIN feat ON feat.symbol <> h GROUP BY h),
        sd AS (SELECT *, 1 + 1e0 / n AS d, c / sqrt(a * b) AS r, y1 / sqrt(a) AS b1, y2 / sqrt(b) AS b2 FROM mo), be AS (SELECT *, (b1 * d - r * b2) / (d * d - r * r) / sqrt(a) AS w1, (d * b2 - r * b1) / (d * d - r * r) / sqrt(b) AS w2 FROM sd), co AS (SELECT *, my - w1 * m1 - w2 * m2 AS ic FROM be)
-       SELECT symbol, count(*) AS rows, sqrt(avg(pow(target - w1 * momentum_5 - w2 * volatility_20 - ic, 2))) AS rmse, 1 - sqrt(sum(pow(target - w1 * momentum_5 - w2 * volatility_20 - ic, 2)) / sum(target * target)) AS skill FROM feat JOIN co ON h = symbol GROUP BY symbol""", "bars index_bars")
+       , fo AS (SELECT symbol, count(*) AS rows, sum(pow(target - w1 * momentum_5 - w2 * volatility_20 - ic, 2)) AS sse, sum(target * target) AS base, CASE WHEN arg_max(exp(liquidity_log_turnover) - 1, ts) < 150000 THEN 'illiquid' ELSE 'established' END AS cohort FROM feat JOIN co ON h = symbol GROUP BY symbol)
+       SELECT symbol, rows, sqrt(sse / rows) AS rmse, 1 - sqrt(sse / base) AS skill, cohort, count(*) OVER c AS cohort_folds, sqrt(sum(sse) OVER c / sum(rows) OVER c) AS cohort_rmse, 1 - sqrt(sum(sse) OVER c / sum(base) OVER c) AS cohort_skill FROM fo WINDOW c AS (PARTITION BY cohort)""", "bars index_bars")
 def _(t):
-    return ev.leave_instrument_out(panel(t), TWO, "target")
+    p = panel(t)
+    return ev.leave_instrument_out(p, TWO, "target", groups=ev.cohorts(p, 150_000.0))
 
 
 @query("forward_time_validation", "fraction:f6 train_rows:i test_rows:i rmse:f6 skill:f6",
@@ -319,7 +321,7 @@ SCORES = """sc AS (SELECT symbol, m AS model, sqrt(avg(e * e)) AS rmse, avg(abs(
 
 
 @query("model_ranking", "symbol:s model:s rank:i rmse:f2 weight:f6",
-       f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rmse, mae, model) AS rank, max(CASE WHEN model = 'base' THEN rmse END) OVER (PARTITION BY symbol) AS b FROM sc), i AS (SELECT *, CASE WHEN rmse < b AND model <> 'base' THEN 1 / rmse END AS iv FROM r) SELECT symbol, model, rank, rmse, coalesce(iv / sum(iv) OVER (PARTITION BY symbol), 0) AS weight FROM i""", "settled")
+       f"""WITH {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rmse, mae, model) AS rank, max(CASE WHEN model = 'base' THEN rmse END) OVER (PARTITION BY symbol) AS b FROM sc), q AS (SELECT *, max(CAST(rmse < b AND model <> 'base' AS INT)) OVER (PARTITION BY symbol) AS beaten FROM r), i AS (SELECT *, CASE WHEN model <> 'base' AND (rmse < b OR beaten = 0) THEN 1 / rmse END AS iv FROM q) SELECT symbol, model, rank, rmse, coalesce(iv / sum(iv) OVER (PARTITION BY symbol), 0) AS weight FROM i""", "settled")
 def _(t):
     a = C("actual_price")
     e = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), x.alias("e")) for m, x in (("base", a - C("forecast_median")), ("high", a - C("forecast_high")), ("mid", a - (C("forecast_low") + C("forecast_median")) / 2))]))
@@ -354,12 +356,13 @@ def _(t):
     return vol_rows(t)
 
 
-@query("classification_metrics", "symbol:s n:i accuracy:f6 balanced_accuracy:f6 weighted_f1:f6",
-       f"""WITH {VC}, p AS (SELECT symbol, k AS a, lag(k) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM vc), c AS (SELECT symbol, cls, count(*) FILTER (WHERE a = cls) AS sup, count(*) FILTER (WHERE p = cls) AS cal, count(*) FILTER (WHERE a = cls AND p = cls) AS tp FROM p CROSS JOIN (SELECT unnest([0, 1, 2]) AS cls) WHERE p IS NOT NULL GROUP BY symbol, cls)
-       SELECT symbol, sum(sup) AS n, sum(tp) / sum(sup) AS accuracy, avg(tp / sup) AS balanced_accuracy, sum(2 * tp / (sup + cal) * sup) / sum(sup) AS weighted_f1 FROM c GROUP BY symbol""")
+@query("classification_metrics", "symbol:s n:i accuracy:f6 balanced_accuracy:f6 weighted_f1:f6 confusion:s",
+       f"""WITH {VC}, p AS (SELECT symbol, k AS a, lag(k) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM vc), c AS (SELECT symbol, cls, count(*) FILTER (WHERE a = cls) AS sup, count(*) FILTER (WHERE p = cls) AS cal, count(*) FILTER (WHERE a = cls AND p = cls) AS tp FROM p CROSS JOIN (SELECT unnest([0, 1, 2]) AS cls) WHERE p IS NOT NULL GROUP BY symbol, cls),
+       x AS (SELECT symbol, concat_ws(' ', {', '.join(f"count(*) FILTER (WHERE a = {i} AND p = {j})" for i in range(3) for j in range(3))}) AS confusion FROM p WHERE p IS NOT NULL GROUP BY symbol)
+       SELECT symbol, sum(sup) AS n, sum(tp) / sum(sup) AS accuracy, avg(tp / sup) AS balanced_accuracy, sum(2 * tp / (sup + cal) * sup) / sum(sup) AS weighted_f1, any_value(confusion) AS confusion FROM c JOIN x USING (symbol) GROUP BY symbol""")
 def _(t):
     d = vol_rows(t).select("symbol", C("vol_class").alias("actual"), ev.S.lag("vol_class").alias("predicted")).where("predicted is not null")
-    return ev.classification_metrics(d, ["symbol"], [0, 1, 2])
+    return ev.classification_metrics(d, ["symbol"], [0, 1, 2]).withColumn("confusion", F.concat_ws(" ", F.transform(F.flatten("confusion"), lambda x: x.cast("string"))))
 
 
 @query("regime_tilt_eval", "regime:s n:i base_coverage:f6 tilted_coverage:f6 moved:b",
@@ -368,10 +371,15 @@ def _(t):
     return ev.regime_tilt_eval(t.settled, F.when(C("regime") == "calm", 0.93).when(C("regime") == "stressed", 1.4).otherwise(1.0))
 
 
-@query("backtest_rows", "symbol:s target_date:d fold:i actual:f persistence:f drift:f",
-       f"WITH {base(1)} SELECT symbol, ts AS target_date, k % 5 AS fold, act AS actual, ps AS persistence, dd AS drift FROM wf WHERE day(ts) <> 9")
+@query("backtest_rows", "symbol:s target_date:d fold:i actual:f persistence:f drift:f consensus:f",
+       f"""WITH {base(1)}, e AS (SELECT symbol, sqrt(avg(pow(act - ps, 2))) AS rp, sqrt(avg(pow(act - dd, 2))) AS rd, sqrt(avg(pow(act - (ps + dd) / 2, 2))) AS rb FROM wf GROUP BY symbol), w AS (SELECT symbol, CASE WHEN rp < rb OR NOT (rp < rb OR rd < rb) THEN 1 / rp ELSE 0 END AS ip, CASE WHEN rd < rb OR NOT (rp < rb OR rd < rb) THEN 1 / rd ELSE 0 END AS id FROM e)
+       SELECT symbol, ts AS target_date, k % 5 AS fold, act AS actual, ps AS persistence, dd AS drift, (ip * ps + id * dd) / (ip + id) AS consensus FROM wf JOIN w USING (symbol) WHERE day(ts) <> 9""")
 def _(t):
+    """Two models, weighed against the mean of both as the baseline."""
     r = ev.walk_forward_residuals(t.bars, 1).select("*", (ev.S.rn() % 5).alias("fold"))
     base_ = ["symbol", C("ts").alias("target_date"), "fold", "actual"]
     p = r.select(*base_, F.lit("persistence").alias("model"), C("persistence").alias("value")).unionByName(r.where(F.dayofmonth("ts") != 9).select(*base_, F.lit("drift").alias("model"), C("damped_drift").alias("value")))
-    return ev.backtest_rows(p, ["persistence", "drift"])
+    e = {"persistence": C("base_residual"), "drift": C("residual"), "mean": C("actual") - (C("persistence") + C("damped_drift")) / 2}
+    each = r.select("symbol", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), x.alias("e")) for m, x in e.items()])).alias("x")).select("symbol", "x.*")
+    scores = each.groupBy("symbol", "model").agg(F.sqrt(F.avg(C("e") * C("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae")).withColumn("direction", F.lit(0)).withColumn("r2", F.lit(0))
+    return ev.backtest_rows(p, ["persistence", "drift"], ev.model_ranking(scores, "mean"))

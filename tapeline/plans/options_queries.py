@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import greeks_sql
 from ..operators import options as op
+from ..operators import risk as rk
 from .quality_queries import BURST
 from .registry import query
 
@@ -34,6 +35,27 @@ def _(t):
     return op.chain_validate(raw, F.lit("2001-12-01").cast("timestamp"))
 
 
+EV_ERR = ("INVALID_STRIKE", "INVALID_OPEN_INTEREST", "INVALID_OPTION_TYPE", "INSUFFICIENT_OI_EVIDENCE", "INVALID_QUOTE", "CROSSED_MARKET", "INVALID_VOLUME", "FUTURE_QUOTE_TIME")
+EV_WARN = ("ZERO_OPEN_INTEREST", "WIDE_SPREAD", "LAST_OUTSIDE_MARKET", "STALE_QUOTE")
+
+
+@query("chain_evidence", "underlying:s input_rows:i valid_rows:i oi_data_valid:b market_data_valid:b is_stale:b errors:s warnings:s evidence_quality:s",
+       f"""WITH r AS (SELECT symbol || '-' || linenumber AS u, linenumber AS n, CASE WHEN linenumber = 2 THEN -5 ELSE size * 50e0 END AS k, CASE WHEN linenumber = 3 THEN 'fut' WHEN linestatus = 'O' THEN 'call' ELSE 'put' END AS ty, CASE WHEN linenumber = 4 THEN -1 WHEN linenumber = 1 THEN 0 ELSE qty END AS oi, 5 + discount * 100 AS b,
+         CASE WHEN linenumber = 5 THEN 4 + discount * 100 WHEN linenumber = 6 THEN 20 + discount * 100 ELSE 5.5e0 + discount * 100 END AS a, epoch(TIMESTAMP '2001-12-01 00:00:00') - epoch(CASE WHEN linenumber >= 6 THEN TIMESTAMP '2001-11-30 23:59:00' ELSE shipdate END) AS age FROM trades),
+       v AS (SELECT *, k > 0 AND oi >= 0 AND ty IN ('call', 'put') AS ok FROM r), g AS (SELECT u, count(*) AS input_rows, count(*) FILTER (WHERE ok) AS valid_rows, count(*) FILTER (WHERE ok AND ty = 'call') AS cs, count(*) FILTER (WHERE ok AND ty = 'put') AS ps,
+         count(*) FILTER (WHERE k <= 0) AS INVALID_STRIKE, count(*) FILTER (WHERE oi < 0) AS INVALID_OPEN_INTEREST, count(*) FILTER (WHERE ty = 'fut') AS INVALID_OPTION_TYPE, CASE WHEN count(*) FILTER (WHERE ok) > 0 AND sum(oi) FILTER (WHERE ok) = 0 THEN 1 ELSE 0 END AS INSUFFICIENT_OI_EVIDENCE, 0 AS INVALID_QUOTE, count(*) FILTER (WHERE ok AND b > a) AS CROSSED_MARKET, 0 AS INVALID_VOLUME, count(*) FILTER (WHERE age < -60) AS FUTURE_QUOTE_TIME,
+         count(*) FILTER (WHERE ok AND oi = 0) AS ZERO_OPEN_INTEREST, count(*) FILTER (WHERE ok AND b <= a AND (a - b) / ((a + b) / 2) * 100 > 20) AS WIDE_SPREAD, 0 AS LAST_OUTSIDE_MARKET, count(*) FILTER (WHERE age > 900) AS STALE_QUOTE FROM v GROUP BY u),
+       h AS (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {c} > 0 THEN '{c}' END" for c in EV_ERR)}) AS errors, concat_ws(',', {', '.join(f"CASE WHEN {c} > 0 THEN '{c}' END" for c in EV_WARN)}) AS warnings FROM g)
+       SELECT u AS underlying, input_rows, valid_rows, valid_rows > 0 AND cs > 0 AND ps > 0 AND INVALID_STRIKE + INVALID_OPEN_INTEREST + INVALID_OPTION_TYPE + INSUFFICIENT_OI_EVIDENCE = 0 AS oi_data_valid, INVALID_QUOTE + CROSSED_MARKET + FUTURE_QUOTE_TIME = 0 AS market_data_valid, STALE_QUOTE > 0 AS is_stale, errors, warnings,
+         CASE WHEN errors <> '' OR STALE_QUOTE > 0 THEN 'low' WHEN warnings <> '' THEN 'limited' ELSE 'moderate' END AS evidence_quality FROM h""", "trades")
+def _(t):
+    """A chain for each symbol and line number, each number with a defect of its own."""
+    n, q = C("linenumber"), 5 + C("discount") * 100
+    raw = t.trades.select(F.concat("symbol", F.lit("-"), n.cast("string")).alias("underlying"), F.when(n == 2, -5.0).otherwise(C("size") * 50.0).alias("strike"), F.when(n == 3, "fut").when(C("linestatus") == "O", "call").otherwise("put").alias("option_type"), F.when(n == 4, -1.0).when(n == 1, 0.0).otherwise(C("qty")).alias("open_interest"), q.alias("bid"),
+                          F.when(n == 5, q - 1).when(n == 6, q + 15).otherwise(q + 0.5).alias("ask"), (q + 0.25).alias("_mid"), C("qty").alias("volume"), F.when(n >= 6, F.lit("2001-11-30 23:59:00").cast("timestamp")).otherwise(C("shipdate")).alias("quote_ts"))
+    return op.chain_evidence(raw.withColumn("last", F.when(C("bid") <= C("ask"), C("_mid"))).drop("_mid"), F.lit("2001-12-01").cast("timestamp"))
+
+
 PAIN = "pn AS (SELECT s.underlying, s.strike, sum(greatest(0, CASE c.option_type WHEN 'call' THEN s.strike - c.strike ELSE c.strike - s.strike END) * c.open_interest) AS payout FROM (SELECT DISTINCT underlying, strike FROM chain) s JOIN chain c USING (underlying) GROUP BY s.underlying, s.strike), mp AS (SELECT underlying, arg_min(strike, (round(payout, 6), strike)) AS max_pain, min(payout) AS min_payout FROM pn GROUP BY underlying)"
 
 
@@ -62,6 +84,29 @@ def _(t):
     return op.oi_movers(t.chain.select("underlying", "strike", "option_type", (C("previous_open_interest") * 2).alias("open_interest"), C("open_interest").alias("previous_open_interest")))
 
 
+HEAT = "og AS (SELECT underlying, strike, coalesce(sum(open_interest) FILTER (WHERE option_type = 'call'), 0) AS co, coalesce(sum(open_interest) FILTER (WHERE option_type = 'put'), 0) AS po, sum(previous_open_interest) FILTER (WHERE option_type = 'call') AS cp, sum(previous_open_interest) FILTER (WHERE option_type = 'put') AS pp FROM chain GROUP BY underlying, strike)"
+MIDSPOT = "ms AS (SELECT underlying, avg(strike) + 10 AS spot FROM chain GROUP BY underlying)"
+
+
+@query("oi_landmarks", "underlying:s spot:f2 call_oi:f2 put_oi:f2 pcr:f6 pcr_change:f6 call_wall:f2 put_wall:f2 support:f2 resistance:f2 max_oi_strike:f2 nearest_strike:f2 pin_max_pain:f2 pin_distance_pct:f pin_level:s",
+       f"""WITH {HEAT}, {MIDSPOT}, d AS (SELECT og.*, spot, abs(strike - spot) AS gap FROM og JOIN ms USING (underlying)), c AS (SELECT * FROM d WHERE gap <= spot * 0.3e0),
+       pn AS (SELECT s.underlying, s.strike, sum(greatest(0, s.strike - c.strike) * c.co + greatest(0, c.strike - s.strike) * c.po) AS cost FROM c s JOIN c USING (underlying) GROUP BY s.underlying, s.strike), mp AS (SELECT underlying, arg_min(strike, (round(cost, 6), strike)) AS pin_max_pain FROM pn GROUP BY underlying),
+       t AS (SELECT underlying, any_value(spot) AS spot, sum(co) AS call_oi, sum(po) AS put_oi, sum(po) / sum(co) AS pcr, sum(po) / sum(co) - sum(pp) / sum(cp) AS pcr_change, arg_max(strike, (co, -strike)) AS call_wall, arg_max(strike, (po, -strike)) AS put_wall, arg_max(strike, (po, -strike)) FILTER (WHERE strike < spot) AS support, arg_min(strike, (co, strike)) FILTER (WHERE strike > spot) AS resistance,
+         arg_max(strike, (co + po, -strike)) FILTER (WHERE gap <= spot * 0.3e0) AS max_oi_strike, arg_min(strike, (gap, strike)) FILTER (WHERE gap <= spot * 0.3e0) AS nearest_strike FROM d GROUP BY underlying),
+       z AS (SELECT t.*, pin_max_pain, least(abs(pin_max_pain - spot), abs(max_oi_strike - spot)) / spot * 100 AS pin_distance_pct FROM t LEFT JOIN mp USING (underlying)) SELECT *, CASE WHEN pin_distance_pct <= 1 THEN 'high' WHEN pin_distance_pct <= 3 THEN 'moderate' WHEN pin_distance_pct IS NOT NULL THEN 'low' END AS pin_level FROM z""", "chain")
+def _(t):
+    return op.oi_landmarks(t.chain, t.chain.groupBy("underlying").agg((F.avg("strike") + 10).alias("spot")))
+
+
+@query("oi_expiry_matrix", "underlying:s strike:f2 expiry:d expiries:i call_oi:f2 put_oi:f2 call_change:f2 put_change:f2",
+       """WITH x AS (SELECT symbol AS underlying, CAST(size AS DOUBLE) * 50 AS strike, linestatus = 'O' AS cl, DATE '2001-12-01' + 30 * linenumber AS expiry, qty, CASE WHEN returnflag <> 'N' THEN qty ELSE 0 END AS old FROM trades), e AS (SELECT underlying, count(DISTINCT expiry) AS expiries FROM x GROUP BY underlying HAVING count(DISTINCT expiry) > 1)
+       SELECT underlying, strike, expiry, any_value(expiries) AS expiries, sum(qty) FILTER (WHERE cl) AS call_oi, sum(qty) FILTER (WHERE NOT cl) AS put_oi, sum(qty - old) FILTER (WHERE cl) AS call_change, sum(qty - old) FILTER (WHERE NOT cl) AS put_change FROM x JOIN e USING (underlying) GROUP BY underlying, strike, expiry""", "trades")
+def _(t):
+    d = F.date_add(F.lit("2001-12-01").cast("date"), C("linenumber") * 30)
+    rows = t.trades.select(C("symbol").alias("underlying"), (C("size").cast("double") * 50).alias("strike"), F.when(C("linestatus") == "O", "call").otherwise("put").alias("option_type"), d.alias("expiry"), C("qty").alias("open_interest"), F.when(C("returnflag") != "N", C("qty")).otherwise(0.0).alias("previous_open_interest"))
+    return op.oi_expiry_matrix(rows)
+
+
 IVR = "ivr AS (SELECT underlying, strike, spot, max(bid / 20) FILTER (WHERE option_type = 'call') AS ce, max(ask / 20) FILTER (WHERE option_type = 'put') AS pe FROM chain JOIN (SELECT underlying, avg(strike) AS spot FROM chain GROUP BY underlying) USING (underlying) GROUP BY ALL)"
 ATM = f"{IVR}, am AS (SELECT underlying, arg_min(strike, (abs(strike - spot), strike)) AS strike, arg_min((coalesce(ce, pe) + coalesce(pe, ce)) / 2, (abs(strike - spot), strike)) AS iv, arg_min(CAST(ce IS NOT NULL AS INT) + CAST(pe IS NOT NULL AS INT), (abs(strike - spot), strike)) AS sides, any_value(spot) AS spot FROM ivr WHERE abs(strike - spot) / spot <= 0.05 GROUP BY underlying)"
 
@@ -76,11 +121,17 @@ def _(t):
     return op.atm_iv(iv_rows(t))
 
 
-@query("expected_move", "underlying:s sigma:i move:f low:f high:f flag:s",
-       f"""WITH {ATM}, x AS (SELECT *, spot * iv * sqrt(20 / 252e0) * s AS move, s AS sigma, 12 / (2 * iv * sqrt(20 / 252e0) * 100) AS r FROM am CROSS JOIN (SELECT unnest([1, 2]) AS s)) SELECT underlying, sigma, move, spot - move AS low, spot + move AS high, CASE WHEN r < 0.8 THEN 'model_narrower' WHEN r > 1 THEN 'model_wider' ELSE 'aligned' END AS flag FROM x""", "chain")
+RVOL = "rv AS (SELECT symbol AS underlying, stddev_samp(lr) * sqrt(252) AS rvol FROM (SELECT symbol, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS lr FROM bars) GROUP BY symbol)"
+
+
+@query("expected_move", "underlying:s sigma:i move:f low:f high:f flag:s scenario_low:f2 scenario_high:f2",
+       f"""WITH {ATM}, {RVOL}, y AS (SELECT am.*, rvol, spot * iv * sqrt(20 / 252e0) AS one, spot * (CAST(substr(underlying, 7) AS INT) * 8) / 100 AS width, spot * (rvol + iv) / 2 * sqrt(20 / 365e0) AS half FROM am JOIN rv USING (underlying)), x AS (SELECT *, one * s AS move, s AS sigma FROM y CROSS JOIN (SELECT unnest([1, 2]) AS s))
+       SELECT underlying, sigma, move, spot - move AS low, spot + move AS high, CASE WHEN width < 0.8e0 * 2 * one THEN 'model_tighter_than_implied' WHEN width > 4 * one THEN 'model_wider_than_implied' ELSE 'aligned' END AS flag, greatest(0.01, spot - half) AS scenario_low, spot + half AS scenario_high FROM x""", "chain bars")
 def _(t):
     m = t.chain.groupBy("underlying").agg(F.avg("strike").alias("spot"))
-    return op.expected_move(op.atm_iv(iv_rows(t)).join(m, "underlying").select("underlying", "spot", "iv", F.lit(20).alias("days"), F.lit(12.0).alias("model_width_pct")))
+    rv = rk.with_log_return(t.bars).groupBy(C("symbol").alias("underlying")).agg((F.stddev_samp("lr") * 252**0.5).alias("realized"))
+    width = F.substring("underlying", 7, 4).cast("int") * 8.0
+    return op.expected_move(op.atm_iv(iv_rows(t)).join(m, "underlying").join(rv, "underlying").select("underlying", "spot", "iv", F.lit(20).alias("days"), width.alias("model_width_pct"), "realized"))
 
 
 CH = "ch AS (SELECT underlying, strike, option_type, spot, 30 + CAST(strike AS BIGINT) % 60 AS days, 0.15e0 + bid / 100 AS vol, greatest(ask, 0.5e0) AS premium FROM chain JOIN spot USING (underlying))"
