@@ -148,12 +148,23 @@ def no_language(x: np.ndarray, seed: int = 2) -> np.ndarray:
     return out
 
 
+def with_codes(x: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Copies of windows in which a key, number or name of random letters and digits covers some bytes: that alone makes no text foreign."""
+    rng, out = np.random.default_rng(seed), x.copy()
+    signs = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    for row in out:
+        n, used = int(rng.integers(8, 41)), max(1, int((row != 0).sum()))
+        at = int(rng.integers(0, max(1, used - n)))
+        row[at : at + n] = rng.choice(signs, len(row[at : at + n]))
+    return out
+
+
 def train(docs: DataFrame, parts: int = 3, held_part: int = 1, texts: int = 800, windows: int = 4, unknown: bool = False) -> Network | None:
     """Learn from text and lang of documents whose crc32(doc_id) modulo `parts` is not `held_part`.
 
     The sample is bounded: of each language about `texts` texts, picked by a hash of doc_id, with up to `windows` windows
     spread over each text. None without a labelled text. With `unknown` the network also learns, from a window made of
-    every fourth one of the sample, what is in no language.
+    every fourth one of the sample, what is in no language, and from every third that a code in a text is no sign of it.
     """
     known = docs.select(C("doc_id").cast("bigint").alias("doc_id"), C("text").cast("string").alias("text"), C("lang").cast("string").alias("lang"))
     known = known.where(~in_fold("doc_id", parts, held_part) & C("doc_id").isNotNull() & C("lang").isNotNull() & F.coalesce(F.length("text") > 0, F.lit(False)))
@@ -177,7 +188,7 @@ def train(docs: DataFrame, parts: int = 3, held_part: int = 1, texts: int = 800,
     y = np.array([langs.index(r["lang"]) for r in sample])
     if unknown:
         none = no_language(x[::4])
-        x, y, langs = np.concatenate([x, none]), np.concatenate([y, np.full(len(none), len(langs))]), [*langs, UNKNOWN]
+        x, y, langs = np.concatenate([x, with_codes(x[::3]), none]), np.concatenate([y, y[::3], np.full(len(none), len(langs))]), [*langs, UNKNOWN]
     return fit(x, y, langs)
 
 
@@ -207,7 +218,7 @@ def identify(docs: DataFrame, parts: int = 3, held_part: int = 1, **bounds) -> D
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def drop_unknown(docs: DataFrame, limit: float = 0.5, least_chars: int = 64, **bounds) -> DataFrame:
+def drop_unknown(docs: DataFrame, limit: float = 0.6, least_chars: int = 128, **bounds) -> DataFrame:
     """The documents in a learned language, with the columns they came with.
 
     Null texts and texts without a letter go, and so do texts of which the network says with a probability above `limit`

@@ -186,7 +186,7 @@ def test_pipeline_equals_brute_force(spark):
     tables = network.tables()
     text = {r["doc_id"]: r["text"] or "" for r in first.collect()}
     said = {r["doc_id"]: network.predict(r["text"], tables) for r in first.collect()}
-    known = {d for d, (lang, p) in said.items() if lang != "und" or 0 < p and (p <= 0.5 or len(text[d]) < 64)}
+    known = {d for d, (lang, p) in said.items() if lang != "und" or 0 < p and (p <= 0.6 or len(text[d]) < 128)}
     left = [(r["doc_id"], r["text"]) for r in first.collect() if r["doc_id"] in known]
     kept = {left[i][0] for i in one_by_one(left)}
     got = corpus_pipeline.run(spark, SF)
