@@ -294,7 +294,8 @@ def best_fit(plan: Plan, rest: dict[int, int]) -> None:
 def pack(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    A null text counts as empty, so it is one piece that holds the end id alone. Repeated rows are packed each on their
+    A null text counts as empty, so it is one piece that holds the end id alone; a text of any length is encoded whole by one
+    task and cut into pieces. Repeated rows are packed each on their
     own, ties between pieces of a length are broken by their place in the table, a null doc_id is kept, an empty table
     gives an empty result, and other columns are ignored.
     """

@@ -109,7 +109,8 @@ def rows_of(docs: DataFrame, prints: DataFrame, kept: DataFrame, of) -> DataFram
 def keep_first(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """The documents without all but the one with the smallest doc_id of each group, with the columns they came with.
 
-    Rows that share a doc_id are told apart by their fingerprints; of equal ones a single row stays. No text is compared:
+    Rows that share a doc_id are told apart by their fingerprints; of equal ones a single row stays. Null and empty texts are
+    one group; an empty table stays empty. No text is compared:
     `nearcopies.drop_near_copies` is the filter for a corpus.
     """
     of = fingerprint_column(width, seed)

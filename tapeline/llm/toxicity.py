@@ -127,6 +127,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds) -> DataFrame:
-    """The documents that score below the threshold, with the columns they came with."""
+    """The documents that score below the threshold, with the columns they came with.
+
+    A null text scores as an empty one; repeated rows share their fate; without a known toxic text all stay; an empty table
+    stays empty.
+    """
     of = score_column(docs, train(docs, labels, **bounds))
     return docs.where(of(C("text").cast("string")) < threshold)
