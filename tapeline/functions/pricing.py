@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mathx import norm_cdf, norm_cdf_sql, norm_pdf
+from .mathx import norm_cdf, norm_cdf_array, norm_cdf_sql, norm_pdf
 
 RATE = 0.065
 
@@ -49,6 +50,16 @@ def with_greeks(df: DataFrame, spot: Column, strike: Column, days: Column, vol:
     return d.select(*keep, *[out[n].alias(n) for n in names])
 
 
+def price_array(spot, strike, days: float, vol, call, rate: float = RATE) -> np.ndarray:
+    """The same price for numpy arrays inside tasks; NaN where it has none."""
+    t = days / 365.0
+    rt = np.sqrt(t)
+    with np.errstate(all="ignore"):
+        d1 = (np.log(spot / strike) + (rate + 0.5 * vol * vol) * t) / (vol * rt)
+        s = np.where(call, 1.0, -1.0)
+        return s * (spot * norm_cdf_array(s * d1) - strike * np.exp(-rate * t) * norm_cdf_array(s * (d1 - vol * rt)))
+
+
 def greeks_sql(spot: str, strike: str, days: str, vol: str, call: str, rate: str = repr(RATE)) -> dict[str, str]:
     t = f"({days}/365e0)"
     d1 = f"((ln({spot}/{strike})+({rate}+0.5e0*{vol}*{vol})*{t})/({vol}*sqrt({t})))"

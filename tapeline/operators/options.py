@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunks
-from ..functions.pricing import RATE, price, with_greeks
+from ..functions.pricing import RATE, price, price_array, with_greeks
 from ..functions.span import UP, Span, ratio
 from ..sources.ohlcv import finite
 
@@ -322,27 +324,44 @@ def payoff_grid(legs: DataFrame, span_pct: float = 0.5) -> DataFrame:
     return g.withColumn("max_profit", F.when(C("up_slope") <= 1e-9, C("best"))).withColumn("max_loss", F.when(C("up_slope") >= -1e-9, C("worst"))).drop("best", "worst")
 
 
+def lists(values: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists, NaN as null."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, pa.array(values.ravel(), mask=np.isnan(values).ravel()))
+
+
+def columns_of(*arrays: pa.Array) -> list[np.ndarray]:
+    """Arrays as columns of doubles that spread over the points of a matrix."""
+    return [a.cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None] for a in arrays]
+
+
 def calendar_spread_grid(legs: DataFrame, near_days: int, far_days: int, vol: float, points: int = 41, span_pct: float = 0.2) -> DataFrame:
     """Near legs at intrinsic, far legs at model value over a grid around the mean strike, for every calendar book.
 
-    Near legs are swept along strikes and grid points. Only the far ones, after legs of one strike and type became one,
-    meet the grid: a model value bends everywhere.
+    Legs of one strike and type become one before they meet the grid. A leg's values at all points are one list and a
+    book's are one row, so points never travel.
     """
-    q, call = signed(), C("type") == "call"
-    near = C("leg") == "near"
-    base = legs.groupBy("book_id").agg(F.sum(q * (F.when(near & ~call, C("strike")).otherwise(0.0) - C("premium"))).alias("at_zero"), F.sum(F.when(near & ~call, -q).otherwise(0.0)).alias("slope"), F.avg("strike").alias("centre"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: C("centre") * (1 - span_pct + 2 * span_pct * i / (points - 1)))
-    grid = base.select("book_id", F.explode(at).alias("x"))
-    kinks = legs.where(near).select("book_id", C("strike").alias("x"), q.alias("bend"), F.lit(False).alias("on_grid"))
-    both = kinks.unionByName(grid.select("book_id", "x", F.lit(0.0).alias("bend"), F.lit(True).alias("on_grid")))
-    on_grid = both.groupBy("book_id", "x").agg(F.max("on_grid").alias("on_grid"))
-    low = sweep(both, base).join(on_grid.where("on_grid"), ["book_id", "x"]).select("book_id", "x", "value")
-    far = legs.where(~near).groupBy("book_id", "type", "strike").agg(F.sum(q).alias("q"))
-    high = with_greeks(far.join(grid, "book_id"), C("x"), C("strike"), F.lit(far_days - near_days), F.lit(vol), call).select("book_id", "x", (C("q") * C("price")).alias("value"))
-    d = low.unionByName(high).groupBy("book_id", "x").agg(F.sum("value").alias("value")).withColumn("be", crossings())
-    last = Window.partitionBy("book_id").orderBy(F.desc("x"))
-    d = d.withColumn("be", F.when(F.row_number().over(last) > 1, C("be")))
-    return d.groupBy("book_id").agg(F.max("value").alias("max_profit"), F.min("value").alias("max_loss"), F.count("be").alias("breakevens"), F.min("be").alias("first_breakeven"), F.max("be").alias("last_breakeven"))
+    q, call, near = signed(), C("type") == "call", C("leg") == "near"
+    step = lambda i: 1 - span_pct + 2 * span_pct * i / (points - 1)
+
+    @F.arrow_udf("array<double>")
+    def over_grid(centre: pa.Array, strike: pa.Array, q: pa.Array, near: pa.Array, call: pa.Array) -> pa.Array:
+        c, k, q, near, call = columns_of(centre, strike, q, near, call)
+        x, call, floor = c * step(np.arange(points)), call == 1, np.nan_to_num(k)
+        intrinsic = np.maximum(0.0, np.where(call, x - floor, floor - x))
+        return lists(q * np.where(near == 1, intrinsic, np.where(near == 0, price_array(x, k, far_days - near_days, vol, call), np.nan)))
+
+    base = legs.groupBy("book_id").agg(F.sum(q * C("premium")).alias("paid"), F.avg("strike").alias("centre"), F.count_if(~near).alias("far"))
+    one = legs.groupBy("book_id", near.alias("near"), call.alias("call"), "strike").agg(F.sum(q).alias("q"))
+    d = one.join(base.where("centre is not null or far > 0"), "book_id")
+    d = d.select("book_id", "centre", "paid", over_grid("centre", "strike", "q", "near", "call").alias("v"))
+    v = [F.coalesce(F.sum(C("v")[i]), F.lit(0.0)) - F.first("paid") for i in range(points)]
+    g = d.groupBy("book_id").agg(F.first("centre").alias("centre"), F.array(*v).alias("v"))
+    at = lambda i: C("centre") * step(i)
+    d = g.select("book_id", "centre", F.posexplode(F.arrays_zip("v", F.slice("v", 2, points - 1).alias("n")))).select("book_id", "col.*", at(C("pos")).alias("x"), at(C("pos") + 1).alias("nx"))
+    cross = F.when(C("v") == 0, C("x")).when(C("v") * C("n") < 0, C("x") - C("v") * (C("nx") - C("x")) / (C("n") - C("v")))
+    d = d.withColumn("be", F.when(C("n").isNotNull(), cross))
+    return d.groupBy("book_id").agg(F.max("v").alias("max_profit"), F.min("v").alias("max_loss"), F.count("be").alias("breakevens"), F.min("be").alias("first_breakeven"), F.max("be").alias("last_breakeven"))
 
 
 def strategy_legs(spots: DataFrame, template: DataFrame, step: float, days: int, vol: float) -> DataFrame:
@@ -352,18 +371,27 @@ def strategy_legs(spots: DataFrame, template: DataFrame, step: float, days: int,
 
 
 def scenario_margin(legs: DataFrame, spots: DataFrame, vol: float, days: int) -> DataFrame:
-    """Worst loss of every book over the spot x vol scan, floored by short premium."""
-    sh = F.explode(F.array(*[F.struct(F.lit(s).alias("shock"), F.lit(v).alias("vrel")) for s in SPOT_SHOCKS for v in VOL_SHOCKS]))
+    """Worst loss of every book over the spot x vol scan, floored by short premium.
+
+    A leg's values in all scenarios are one list and a book's are one row, so scenarios never travel.
+    """
+    scan = [(s, v) for s in SPOT_SHOCKS for v in VOL_SHOCKS]
     opt = C("type").isin("call", "put")
+
+    @F.arrow_udf("array<double>")
+    def over_scan(spot: pa.Array, strike: pa.Array, q: pa.Array, paid: pa.Array, option: pa.Array, call: pa.Array) -> pa.Array:
+        spot, k, q, paid, option, call = columns_of(spot, strike, q, paid, option, call)
+        shock, vrel = np.array(scan).T
+        s, vols = spot * (1 + shock / 100), np.maximum(1e-4, vol * (1 + vrel))
+        return lists(q * np.where(option == 1, price_array(s, k, days, vols, call == 1), s) - paid)
+
     # Legs of one strike and type are one before they meet the scenarios; futures do not depend on their strike.
-    one = legs.groupBy("book_id", "type", F.when(opt, C("strike")).otherwise(0.0).alias("strike")).agg(F.sum(signed()).alias("q"), F.sum(signed() * C("premium")).alias("paid"))
-    d = one.join(spots, "book_id").withColumn("sc", sh).withColumn("s", C("spot") * (1 + C("sc.shock") / 100))
-    o = with_greeks(d.where(opt), C("s"), C("strike"), F.lit(days), F.greatest(F.lit(1e-4), vol * (1 + C("sc.vrel"))), C("type") == CALL)
-    d = o.unionByName(d.where(~opt).withColumn("price", C("s")))
-    p = d.groupBy("book_id", "sc").agg(F.sum(C("q") * C("price") - C("paid")).alias("value"))
-    g = p.groupBy("book_id").agg(F.max(F.when((C("sc.shock") == 0) & (C("sc.vrel") == 0), C("value"))).alias("base_value"), F.min("value").alias("worst"))
-    short = legs.groupBy("book_id").agg(F.sum(F.when((C("side") == "sell") & opt, C("premium") * C("contracts")).otherwise(0.0)).alias("short_premium"))
-    return g.join(short, "book_id").withColumn("total_margin", F.greatest(C("base_value") - C("worst"), C("short_premium"), F.lit(0.0)))
+    one = legs.where("type is not null").groupBy("book_id", opt.alias("option"), (C("type") == CALL).alias("call"), F.when(opt, C("strike")).otherwise(0.0).alias("strike")).agg(
+        F.sum(signed()).alias("q"), F.sum(signed() * C("premium")).alias("paid"), F.sum(F.when((C("side") == "sell") & opt, C("premium") * C("contracts")).otherwise(0.0)).alias("short"))
+    d = one.join(spots, "book_id").select("book_id", "short", over_scan("spot", "strike", "q", "paid", "option", "call").alias("v"))
+    v = [F.sum(C("v")[i]) for i in range(len(scan))]
+    g = d.groupBy("book_id").agg(v[scan.index((0.0, 0.0))].alias("base_value"), F.least(*v).alias("worst"), F.sum("short").alias("short_premium"))
+    return g.withColumn("total_margin", F.greatest(C("base_value") - C("worst"), C("short_premium"), F.lit(0.0)))
 
 
 def bracket_trigger_scan(orders: DataFrame, bars: DataFrame, band: float, horizon_days: int) -> DataFrame:

@@ -131,3 +131,25 @@ def test_consensus_falls_back_to_all_models(spark):
     scores = scores.withColumns({c: F.lit(0) for c in ("mae", "direction", "r2")})
     got = {(r["symbol"], r["model"]): round(r["weight"], 9) for r in ev.model_ranking(scores, "base").collect()}
     assert got == {("A", "base"): 0, ("A", "x"): round(2 / 3, 9), ("A", "y"): round(1 / 3, 9), ("B", "base"): 0, ("B", "x"): 1, ("B", "y"): 0}
+
+
+def test_grid_points_and_scenarios_stay_in_one_row(spark):
+    legs = spark.createDataFrame([(1, "near", "call", "sell", 100.0, 4.0, 2), (1, "far", "call", "buy", 110.0, 5.0, 1), (1, "far", "call", "buy", 110.0, 6.0, 1), (2, "near", "put", "buy", 90.0, 3.0, 1)],
+                                 "book_id int, leg string, type string, side string, strike double, premium double, contracts int")
+    spread = op.calendar_spread_grid(legs, 30, 60, 0.3)
+    margin = op.scenario_margin(legs, legs.groupBy("book_id").agg(F.avg("strike").alias("spot")), 0.3, 30)
+    for d in (spread, margin):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "explode(" not in plan.replace("posexplode(", "")
+    got = {r["book_id"]: r for r in spread.collect()}
+    value = lambda x, k, days: op.price(F.lit(x), F.lit(k), F.lit(days), F.lit(0.3), F.lit(True))
+    centre = (100 + 110 + 110) / 3
+    xs = [centre * (0.8 + 0.4 * i / 40) for i in range(41)]
+    far = spark.range(1).select(*[value(x, 110.0, 30).alias(f"v{i}") for i, x in enumerate(xs)]).first()
+    want = [2 * v - 2 * max(0.0, x - 100) + 8 - 11 for x, v in zip(xs, far, strict=True)]
+    assert abs(got[1]["max_profit"] - max(want)) < 1e-9 and abs(got[1]["max_loss"] - min(want)) < 1e-9
+    assert got[1]["breakevens"] == sum(a * b < 0 for a, b in zip(want, want[1:]))
+    assert abs(got[2]["max_profit"] - (18 - 3)) < 1e-9 and got[2]["max_loss"] == -3
+    scan = {r["book_id"]: r for r in margin.collect()}
+    base = spark.range(1).select((2 * value(centre, 110.0, 30) - 2 * value(centre, 100.0, 30) - 3).alias("v")).first()["v"]
+    assert abs(scan[1]["base_value"] - base) < 1e-9 and scan[1]["short_premium"] == 8 and scan[1]["worst"] <= base
