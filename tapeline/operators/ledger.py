@@ -270,21 +270,23 @@ def sentiment_label(score: Column) -> Column:
 
 
 def headline_sentiment(df: DataFrame, text: str) -> DataFrame:
-    """Adds tokens count, score in [-1, 1] and label, with higher-order functions over the token array."""
-    words = [F.array(*[F.lit(w) for w in ws]) for ws in (POSITIVE_WORDS, NEGATIVE_WORDS, NEGATIONS, INTENSIFIERS)]
-    pos, neg, no, very = words
-    d = df.withColumn("_t", F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)), F.lower))
-
-    def value(tok, i):
-        base = F.when(F.array_contains(pos, tok), 1.0).when(F.array_contains(neg, tok), -1.0).otherwise(0.0)
-        before = F.slice("_t", F.greatest(F.lit(1), i - 1), F.least(i, F.lit(2)))
-        flip = F.when((i > 0) & F.arrays_overlap(before, no), -1.0).otherwise(1.0)
-        boost = F.when((i > 0) & F.array_contains(very, F.try_element_at("_t", F.greatest(i, F.lit(1)))), 1.5).otherwise(1.0)
-        return F.when(base != 0, base * flip * boost).otherwise(0.0)
-
-    raw = F.aggregate(F.transform("_t", value), F.lit(0.0), lambda a, v: a + v)
+    """Adds tokens count, score in [-1, 1] and label, with higher-order functions over the token array.
+
+    A token is looked up once among all scored words; only those few are weighed with the two tokens before them.
+    """
+    low = lambda i: F.lower(F.try_element_at("_t", i))
+    d = df.withColumn("_t", F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0)))
+    d = d.withColumn("_at", F.filter(F.transform("_t", lambda tok, i: F.when(F.lower(tok).isin(*POSITIVE_WORDS, *NEGATIVE_WORDS), i + 1)), lambda i: i.isNotNull()))
+
+    def value(i):
+        base = F.when(low(i).isin(*POSITIVE_WORDS), 1.0).otherwise(-1.0)
+        one, two = (F.when(i > k, low(F.greatest(i - k, F.lit(1)))) for k in (1, 2))
+        no = F.coalesce(one.isin(*NEGATIONS), F.lit(False)) | F.coalesce(two.isin(*NEGATIONS), F.lit(False))
+        return base * F.when(no, -1.0).otherwise(1.0) * F.when(one.isin(*INTENSIFIERS), 1.5).otherwise(1.0)
+
+    raw = F.aggregate(F.transform("_at", value), F.lit(0.0), lambda a, v: a + v)
     n = F.size("_t")
-    d = d.withColumn("tokens", n).withColumn("score", F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw / F.sqrt(n.cast("double"))))).otherwise(0.0)).drop("_t")
+    d = d.withColumn("tokens", n).withColumn("score", F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw / F.sqrt(n.cast("double"))))).otherwise(0.0)).drop("_t", "_at")
     return d.withColumn("label", sentiment_label(C("score")))
 
 
