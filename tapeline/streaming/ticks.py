@@ -107,10 +107,18 @@ def session_activity(ticks: DataFrame, calendar: DataFrame, gap: str, delay: str
 
 
 def settlement_stream(forecasts: DataFrame, ticks: DataFrame, tolerance: str, delay: str) -> DataFrame:
-    """Forecasts(symbol, id, target) joined to ticks inside the tolerance; unmatched ones come out once the watermark passes."""
-    f = forecasts.withWatermark("target", delay)
+    """Forecasts(symbol, id, target) joined to ticks inside the tolerance; unmatched ones come out once the watermark passes.
+
+    Time is cut into slots as long as the tolerance. A forecast is in one slot, a tick goes to the two slots it can settle,
+    so a row meets the rows of its symbol and slot only and no pair is met twice.
+    """
+    span = F.expr(f"INTERVAL {tolerance}")
+    width = forecasts.sparkSession.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + span)).first()[0]
+    slot = lambda at: F.floor(F.unix_micros(at) / F.lit(max(1, width)))
+    f = forecasts.withWatermark("target", delay).withColumn("slot", slot(C("target")))
     t = ticks.select(C("symbol").alias("tick_symbol"), C("ts").alias("tick_ts"), C("price").alias("tick_price")).withWatermark("tick_ts", delay)
-    cond = (C("symbol") == C("tick_symbol")) & (C("tick_ts") >= C("target")) & (C("tick_ts") <= C("target") + F.expr(f"INTERVAL {tolerance}"))
+    t = t.select("*", F.explode(F.array_distinct(F.array(slot(C("tick_ts") - span), slot(C("tick_ts"))))).alias("tick_slot"))
+    cond = (C("symbol") == C("tick_symbol")) & (C("slot") == C("tick_slot")) & (C("tick_ts") >= C("target")) & (C("tick_ts") <= C("target") + span)
     return f.join(t, cond, "leftOuter").select("symbol", "id", "target", "tick_ts", "tick_price")
 
 

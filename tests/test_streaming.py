@@ -117,3 +117,16 @@ def test_phases_of_a_session_day(spark):
     got = {r["symbol"]: (r["session_date"].day, r["phase"]) for r in ticks.with_session(spark.createDataFrame(rows, "symbol string, ts timestamp"), cal).collect()}
     assert got == {"h": (1, "no_session"), "pre": (2, "pre"), "open": (2, "regular"), "close": (2, "regular"), "post": (2, "post"), "sat": (6, "no_session"), "out": (9, "unknown")}
     assert ticks.session_phases(cal).groupBy("session_date").agg(F.sum(F.col("to_us") - F.col("from_us")).alias("n")).where("n <> 86400000000").count() == 0
+
+
+def test_settlement_meets_only_rows_of_a_slot(spark):
+    path = shared_path(spark, "ticks")
+    rows = [("A", at(m), float(m)) for m in range(0, 1000, 7)] + [("B", at(500), 1.0)]
+    spark.createDataFrame(rows, "symbol string, ts timestamp, price double").coalesce(1).write.parquet(path)
+    t = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(path)
+    f = t.select("symbol", F.col("price").alias("id"), (F.col("ts") + F.expr("INTERVAL 60 MINUTES")).alias("target"))
+    joined = ticks.settlement_stream(f, t, "2 HOURS", "1 hour")
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "tick_slot" in next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+    got = sorted((r["symbol"], r["id"], r["tick_price"]) for r in ticks.drain(joined, "settle").collect() if r["tick_ts"] is not None)
+    assert got == [("A", float(a), float(b)) for a in range(0, 1000, 7) for b in range(0, 1000, 7) if 60 <= b - a <= 180]
