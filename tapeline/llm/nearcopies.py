@@ -1,9 +1,11 @@
 """Near copies by the similarity of their word shingles, for filtering a corpus.
 
-Texts are sets of five-word shingles. MinHash bands find candidates: two sets with Jaccard similarity s share one of
-`bands` keys of `rows` minima with probability 1 - (1 - s^rows)^bands, 0.994 at s = 0.8. A set counts a shingle once,
-so texts that repeat one line meet only if their other lines agree as well. A document goes only if its exact Jaccard
-similarity to a document that stays is high enough; the outcome is that of going through the documents by doc_id.
+Candidates come from SimHash groups: the fingerprints of `simhash`, linked at two or fewer differing bits; each text
+meets the first one of its group. Texts that are near by words but not within two bits are found by MinHash bands over
+sets of five-word shingles: two sets with Jaccard similarity s share one of `bands` keys of `rows` minima with
+probability 1 - (1 - s^rows)^bands, 0.994 at s = 0.8. A set counts a shingle once, so texts that repeat one line meet
+there only if their other lines agree as well. A document goes only if its exact Jaccard similarity to a document that
+stays is high enough; the outcome is that of going through the documents by doc_id.
 
 In each round the documents of a key are compared with its first CENTRES ones alone, so that a key of n near copies
 costs about n comparisons; what is not near to any of those that stay goes on to the next round without them.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import parts, pick
-from .simhash import rows_of
+from .simhash import fingerprint, group, rows_of
 
 C = F.col
 BLOCK = 1 << 9  # shingles hashed by all functions at a time
@@ -82,20 +84,29 @@ def set_id_column(width: int):
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, text, fp (the identity of the shingle set) and its band keys."""
+    """doc_id, text, fp (the identity of the shingle set), its band keys and the SimHash fingerprint of the text."""
 
     def run(batches):
         by = factors(bands, rows, seed)
         for batch in parts(batches):
-            fp, keys = [], []
+            fp, keys, prints = [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text, width)
                 fp.append(set_id(found))
                 keys.append(band_keys(found, by, rows))
-            columns = [batch.column("doc_id"), batch.column("text"), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "fp", "keys"])
+                prints.append(fingerprint(text))
+            columns = [batch.column("doc_id"), batch.column("text"), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "fp", "keys", "print"])
 
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, text string, fp bigint, keys array<bigint>")
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, text string, fp bigint, keys array<bigint>, print bigint")
+
+
+def simhash_pairs(prints: DataFrame, first: DataFrame) -> DataFrame:
+    """fp, low: the sets of each SimHash group with the set that comes first in it."""
+    groups = group(prints.select("doc_id", C("print").alias("fp"))).select(C("fp").alias("print"), F.coalesce("component_id", "fp").alias("group"))
+    member = prints.select("fp", "print").join(groups, "print").select("fp", "group").distinct().join(first.select("fp", place()), "fp")
+    low = member.groupBy("group").agg(F.min("place").alias("place")).select("group", C("place.fp").alias("low"))
+    return member.join(low, "group").where("fp <> low").select("fp", "low").distinct()
 
 
 def compare(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -116,18 +127,29 @@ def compare(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return pairs.join(texts, "fp").join(lows, "low").select("fp", "low", "text", "low_text").mapInArrow(run, "fp bigint, low bigint, near boolean")
 
 
+def place():
+    return F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "fp").alias("place")
+
+
+def candidates(member: DataFrame) -> DataFrame:
+    """fp, low: each set with the first CENTRES ones of its keys that come before it, a pair once however many keys it has."""
+    centres = member.where(C("rank") <= CENTRES).groupBy("key").agg(F.collect_list(F.struct(C("fp").alias("low"), C("rank").alias("ahead"))).alias("centres"))
+    before = F.transform(F.filter("centres", lambda c: c["ahead"] < C("rank")), lambda c: c["low"])
+    lows = member.where("rank > 1").join(centres, "key").select("fp", before.alias("lows")).groupBy("fp").agg(F.collect_set("lows").alias("lows"))
+    return lows.select("fp", F.explode(F.array_distinct(F.flatten("lows"))).alias("low"))
+
+
 def removed(prints: DataFrame, first: DataFrame, width: int, least: float) -> list[DataFrame]:
     """Tables of the sets (fp) that are near to a set that stays and comes before them, by the smallest doc_id."""
-    place = F.struct(F.coalesce("first", F.lit(LAST)).alias("first"), "fp")
-    member = first.select("fp", place.alias("place"), F.explode("keys").alias("key"))
+    paired = simhash_pairs(prints, first).select(F.explode(F.array("fp", "low")).alias("fp"), F.xxhash64("fp", "low").alias("key"))
+    member = first.select("fp", F.explode("keys").alias("key")).unionByName(paired).join(first.select("fp", place()), "fp")
     met = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rank = F.row_number().over(W.partitionBy("key").orderBy("place"))
     member = cut(member.join(met, "key").withColumn("rank", rank))
     texts = cut(prints.join(member.select("fp").distinct(), "fp").groupBy("fp").agg(F.first("text").alias("text")))
     tested, gone = None, []
     while not member.isEmpty():
-        centres = member.where(C("rank") <= CENTRES).select("key", C("fp").alias("low"), C("rank").alias("ahead"))
-        pairs = member.join(centres, "key").where("ahead < rank").select("fp", "low").distinct()
+        pairs = candidates(member)
         new = cut(compare(pairs if tested is None else pairs.join(tested, ["fp", "low"], "left_anti"), texts, width, least))
         tested = new if tested is None else tested.unionByName(new)
         alive = member.groupBy("fp").agg(F.max("rank").alias("rank"))  # a set of which all that come before it have been tested is free

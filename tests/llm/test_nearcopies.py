@@ -61,3 +61,14 @@ def test_texts_with_one_dominant_shingle_stay(spark):
     assert len({simhash.fingerprint(t) for t in texts}) == 1
     texts += [texts[3] + " more", "x " * 200 + texts[5]]
     assert sorted(r["doc_id"] for r in stage(spark, documents(spark, texts)).collect()) == one_by_one(list(enumerate(texts))) == list(range(20))
+
+
+def test_simhash_groups_find_candidates(spark):
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(3000)) for _ in range(3)]
+    texts = base + [t + " end" for t in base] + [" ".join(["same"] * 50 + [f"z{i}"]) for i in range(3)]
+    docs = documents(spark, texts)
+    assert simhash.fingerprint(texts[6]) == simhash.fingerprint(texts[7])
+    got = sorted(r["doc_id"] for r in nearcopies.drop_near_copies(docs, bands=0).collect())  # no MinHash key at all
+    near = [i for i in range(3) if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[i + 3])).bit_count() <= 2]
+    assert near and got == [i for i in one_by_one(list(enumerate(texts))) if i < 3 or i > 5] + [i + 3 for i in range(3) if i not in near]
