@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,47 @@ def parts(batches, limit: int = 1 << 21, name: str = "text"):
             yield batch.slice(i)
 
 
+P1, P2, P3, P4, P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed by xxh64
+
+
+def turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return h << np.uint64(bits) | h >> np.uint64(64 - bits)
+
+
+def xxh64_many(raw: bytes, at: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """xxh64 of the pieces raw[at : at + size], those below 32 bytes by numpy, all at once."""
+    data = np.frombuffer(raw + bytes(8), np.uint8)
+    lane = lambda kind: np.ndarray(len(raw) + 1, kind, data, strides=(1,))
+    by8, by4, by1 = lane("<u8"), lane("<u4"), data
+    h = size.astype(np.uint64) + np.uint64(seed) + P5
+    for k in range(0, 24, 8):
+        i = np.flatnonzero(size >= k + 8)
+        h[i] = turned(h[i] ^ turned(by8[at[i] + k] * P2, 31) * P1, 27) * P1 + P4
+    i = np.flatnonzero(size & 4)
+    h[i] = turned(h[i] ^ by4[at[i] + (size[i] & ~7)].astype(np.uint64) * P1, 23) * P2 + P3
+    for k in range(3):
+        i = np.flatnonzero(size & 3 > k)
+        h[i] = turned(h[i] ^ by1[at[i] + (size[i] & ~3) + k].astype(np.uint64) * P5, 11) * P1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i] + size[i]], seed)
+    return h
+
+
+class Words:
+    """The words of some texts, one after the other: A-Z small, parted by ASCII white space, null as empty."""
+
+    def __init__(self, texts: list[str | None]):
+        words = [(t or "").encode().lower().split() for t in texts]
+        self.raw = b" ".join([b" ".join(w) for w in words if w])
+        self.count = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.cumsum(self.count) - self.count  # the number of each text's first word
+        gaps = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 32)
+        self.begin, self.end = (np.append(0, gaps + 1), np.append(gaps, len(self.raw))) if self.raw else (gaps, gaps)
+
+
 def encode_column(texts: pa.Array, many, head=None, whole=None, lower=False, kind="<u4") -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, null as empty, one after the other, and where each text's begin (with the end of the last).
 

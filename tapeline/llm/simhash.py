@@ -1,7 +1,7 @@
 """SimHash fingerprints and near-duplicate groups by meet-in-the-middle ball hashing.
 
-Two fingerprints within an even radius r have a variant within r/2 of both. Every distinct fingerprint emits all its
-variants within r/2 and the variants are shuffled. All fingerprints that meet at a variant lie within r of each other,
+Two fingerprints within an even radius r have a variant within r/2 of both. Every distinct fingerprint that shares enough
+of its bits with another one emits all its variants within r/2 and the variants are shuffled. All fingerprints that meet at a variant lie within r of each other,
 so linking each of them to the smallest one keeps every group together without emitting its pairs; a variant gathers at
 most as many distinct fingerprints as a ball of r/2 holds (65 for r = 2).
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import pick
+from .common import Words, pick, xxh64_many
 from .components import components
 
 C = F.col
@@ -43,6 +43,29 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(bits.view("<i8")[0])
 
 
+def fingerprints(words: Words, width: int = 3, seed: int = 42) -> np.ndarray:
+    """`fingerprint` of many texts at once, signed."""
+    out, full = np.zeros(len(words.count), np.int64), np.flatnonzero(words.count)
+    if not len(full):
+        return out
+    count, first = words.count[full], words.first[full]
+    many = np.maximum(1, count - width + 1)
+    ends = np.cumsum(many)
+    begin = np.arange(ends[-1]) + np.repeat(first - (ends - many), many)
+    last = np.minimum(begin + width, np.repeat(first + count, many)) - 1
+    at = words.begin[begin]
+    h = xxh64_many(words.raw, at, words.end[last] - at, seed)
+    parts = -(-many // 255)  # a byte counts 255 shingles at most
+    at_part = np.cumsum(parts) - parts
+    cuts = np.repeat(ends - many, parts) + 255 * (np.arange(parts.sum()) - np.repeat(at_part, parts))
+    ones = np.empty((len(full), 8, 8), np.int64)
+    for bit in range(8):
+        sums = np.add.reduceat(h >> np.uint64(bit) & np.uint64(0x0101010101010101), cuts)
+        ones[:, :, bit] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), at_part, axis=0, dtype=np.int64)
+    out[full] = np.packbits(ones.reshape(-1, 64) * 2 > many[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+    return out
+
+
 def fingerprint_column(width: int = 3, seed: int = 42):
     @F.pandas_udf("bigint")
     def of(text: pd.Series) -> pd.Series:
@@ -59,10 +82,21 @@ def variants(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def close(prints: DataFrame, radius: int) -> DataFrame:
+    """The distinct fingerprints that share two blocks of bits with another one. Of radius + 2 blocks two fingerprints within the radius share two at least, so no other fingerprint has a link."""
+    ends = [64 * i // (radius + 2) for i in range(radius + 3)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+    masks = [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(blocks, 2))]
+    keys = F.array(*[F.xxhash64(F.lit(n), C("fp").bitwiseAND(F.lit(m).cast("bigint"))) for n, m in enumerate(masks)])
+    met = prints.select("fp", F.explode(keys).alias("key"))
+    shared = met.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key")
+    return met.join(shared, "key", "left_semi").select("fp").distinct()
+
+
 def link(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of column `fp`: linear in their number, with the same components as all links."""
     masks = F.array(*[F.lit(m).cast("bigint") for m in variants(radius)])
-    met = prints.select("fp", F.explode(masks).alias("mask")).select("fp", C("fp").bitwiseXOR(C("mask")).alias("variant"))
+    met = close(prints, radius).select("fp", F.explode(masks).alias("mask")).select("fp", C("fp").bitwiseXOR(C("mask")).alias("variant"))
     low = F.min("fp").over(W.partitionBy("variant"))
     pairs = met.select(C("fp").alias("a"), low.alias("b")).where(C("a") != C("b"))
     return pairs.where(F.bit_count(C("a").bitwiseXOR(C("b"))) <= radius).distinct()
@@ -97,7 +131,7 @@ def rows_of(docs: DataFrame, prints: DataFrame, kept: DataFrame, of) -> DataFram
     """The rows of documents that `kept` names by distinct (doc_id, fp); `prints` has both of every row, `of` makes a text's fp."""
     same = lambda *keys: [docs[k].eqNullSafe(C(f"kept.{k}")) for k in keys]
     repeated = cut(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    single = docs.join(kept.select("doc_id").distinct().alias("kept"), same("doc_id"), "left_semi")
+    single = docs.join(kept.select("doc_id").distinct().hint("shuffle_hash").alias("kept"), same("doc_id"), "left_semi")  # no sort of texts
     if repeated.isEmpty():
         return single
     fp = "fp_" + "_".join(docs.columns)  # a name that no column has

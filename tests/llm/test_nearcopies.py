@@ -3,10 +3,12 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
+import xxhash
 from helpers import SCHEMA, awkward, documents
 
-from tapeline.llm import nearcopies, simhash
+from tapeline.llm import common, nearcopies, simhash
 
 
 def shingle_set(text, width=5):
@@ -72,3 +74,34 @@ def test_simhash_groups_find_candidates(spark):
     got = sorted(r["doc_id"] for r in nearcopies.drop_near_copies(docs, bands=0).collect())  # no MinHash key at all
     near = [i for i in range(3) if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[i + 3])).bit_count() <= 2]
     assert near and got == [i for i in one_by_one(list(enumerate(texts))) if i < 3 or i > 5] + [i + 3 for i in range(3) if i not in near]
+
+
+def test_sketches_of_many_texts_equal_those_of_each(spark):
+    rng = random.Random(6)
+    texts = [None, "", " ", "a", "A  B\tc\x0bd\x1ce é Ü", "x" * 31, "x" * 32 + " y", "x " * 700, "\x00 \x00 b"]
+    texts += [" ".join("".join(rng.choices("abcé", k=rng.randint(1, 40))) for _ in range(rng.randint(1, 600))) for _ in range(60)]
+    for some in (texts, [None], []):
+        words = common.Words(some)
+        assert simhash.fingerprints(words).tolist() == [simhash.fingerprint(t) for t in some]
+        assert all(map(np.array_equal, nearcopies.shingle_sets(some, words), map(nearcopies.shingles, some)))
+        assert common.xxh64_many(words.raw, words.begin, words.end - words.begin, 7).tolist() == [xxhash.xxh64_intdigest(w, 7) for t in some for w in (t or "").encode().lower().split()]
+
+
+def test_only_fingerprints_that_share_blocks_emit_variants(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(300)]
+    near = {b ^ (1 << i) ^ (1 << j) for b in base[:100] for i, j in [rng.sample(range(64), 2)]}
+    signed = [p - (1 << 64) if p >> 63 else p for p in {*base, *near}]
+    prints = spark.createDataFrame([(p,) for p in signed], "fp bigint")
+    kept = {r["fp"] & (1 << 64) - 1 for r in simhash.close(prints, 2).collect()}
+    assert near | {*base[:100]} <= kept and len(kept) < 210
+    assert len(simhash.link(prints).collect()) == 100
+
+
+def test_unlike_texts_of_a_key_take_few_rounds(spark, monkeypatch):
+    rng, rounds, of = random.Random(8), [], nearcopies.candidates
+    monkeypatch.setattr(nearcopies, "candidates", lambda *a: rounds.append(1) or of(*a))
+    texts = [" ".join([f"a{i}" for i in range(60)] + [f"w{rng.randrange(5000)}" for _ in range(40)]) for _ in range(100)]
+    got = nearcopies.drop_near_copies(documents(spark, [*texts, texts[70] + " end"]), bands=6, rows=1)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(100))
+    assert 2 <= len(rounds) <= 5
