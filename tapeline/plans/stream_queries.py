@@ -90,8 +90,8 @@ def _(t):
        WHERE k.ts IS NOT NULL OR f.ts + INTERVAL 3 HOUR < {CLOSED} GROUP BY f.event_id""", "ticks")
 def _(t):
     f = stream(t).select("symbol", C("event_id").alias("id"), (C("ts") + F.expr("INTERVAL 1 HOUR")).alias("target"))
-    d = st.drain(st.settlement_stream(f, stream(t), "2 HOURS", "1 hour"), "settle")
-    return d.groupBy("id").agg(F.count("tick_ts").alias("matches"), F.min_by("tick_price", "tick_ts").alias("first_price"))
+    d = st.drain(st.settlement_stream(f, stream(t), "2 HOURS", "1 hour", summary=True), "settle")
+    return d.groupBy("id").agg(F.sum("matches").alias("matches"), F.min_by("tick_price", "tick_ts").alias("first_price"))
 
 
 @query("sentiment_ingest", "symbol:s window_start:t avg_score:f6 headlines:i",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,11 +109,12 @@ def session_activity(ticks: DataFrame, calendar: DataFrame, gap: str, delay: str
     return g.select("symbol", "session_date", "phase", C("w.start").alias("session_start"), C("w.end").alias("session_end"), "ticks")
 
 
-def settlement_stream(forecasts: DataFrame, ticks: DataFrame, tolerance: str, delay: str) -> DataFrame:
+def settlement_stream(forecasts: DataFrame, ticks: DataFrame, tolerance: str, delay: str, summary: bool = False) -> DataFrame:
     """Forecasts(symbol, id, target) joined to ticks inside the tolerance; unmatched ones come out once the watermark passes.
 
     Time is cut into slots as long as the tolerance. A forecast is in one slot, a tick goes to the two slots it can settle,
-    so a row meets the rows of its symbol and slot only and no pair is met twice.
+    so a row meets the rows of its symbol and slot only and no pair is met twice. With `summary` the pairs are not written
+    out: in each batch a forecast with new ticks gives one row, with their number (matches) and its first tick so far.
     """
     span = F.expr(f"INTERVAL {tolerance}")
     width = forecasts.sparkSession.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + span)).first()[0]
@@ -118,10 +122,65 @@ def settlement_stream(forecasts: DataFrame, ticks: DataFrame, tolerance: str, de
     f = forecasts.withWatermark("target", delay).withColumn("slot", slot(C("target")))
     t = ticks.select(C("symbol").alias("tick_symbol"), C("ts").alias("tick_ts"), C("price").alias("tick_price")).withWatermark("tick_ts", delay)
     t = t.select("*", F.explode(F.array_distinct(F.array(slot(C("tick_ts") - span), slot(C("tick_ts"))))).alias("tick_slot"))
+    if summary:
+        return settled(f, t, width)
     cond = (C("symbol") == C("tick_symbol")) & (C("slot") == C("tick_slot")) & (C("tick_ts") >= C("target")) & (C("tick_ts") <= C("target") + span)
     return f.join(t, cond, "leftOuter").select("symbol", "id", "target", "tick_ts", "tick_price")
 
 
+def settled(f: DataFrame, t: DataFrame, width: int) -> DataFrame:
+    """The outer join of `settlement_stream` as counts: sorted ticks of a symbol and slot are searched for both ends of a forecast's tolerance.
+
+    symbol, id (a number or text), target, matches, tick_ts and tick_price of the first tick; of several at that time the
+    one with the lowest price. State holds the forecasts and ticks of a slot until the watermark has passed what can settle it.
+    """
+    kind = dict(f.dtypes)["id"]
+    side = lambda at, price, forecast: (at.alias("at"), F.unix_micros(at).alias("us"), price.cast("double").alias("price"), price.isNotNull().alias("known"), F.lit(forecast).alias("forecast"))
+    a = f.where("target is not null").select("symbol", "slot", F.coalesce("id", F.lit(0).cast(kind)).alias("id"), C("id").isNull().alias("none"), *side(C("target"), F.lit(None).cast("double"), True))
+    b = t.where("tick_symbol is not null and tick_ts is not null").select(C("tick_symbol").alias("symbol"), C("tick_slot").alias("slot"), F.lit(0).cast(kind).alias("id"), F.lit(False).alias("none"), *side(C("tick_ts"), C("tick_price"), False))
+
+    def step(key, pdfs, state: GroupState):
+        new = [x for x in pdfs if len(x)] if not state.hasTimedOut else []
+        # targets, ids, nulls among them, matches told (-1: told that there are none); times, prices, whether known
+        held = pickle.loads(state.get[0]) if state.exists else None
+        open_, tick = held or ([np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, bool), np.zeros(0, np.int64)], [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)])
+        if new:
+            rows = pd.concat(new)
+            more, seen = rows[rows["forecast"]], rows[~rows["forecast"]]
+            open_ = [np.concatenate([o, x.to_numpy(o.dtype)]) for o, x in zip(open_, (more["us"], more["id"], more["none"], more["us"] * 0), strict=True)]
+            tick = [np.concatenate([o, x.to_numpy(o.dtype)]) for o, x in zip(tick, (seen["us"], seen["price"], seen["known"]), strict=True)]
+            order = np.lexsort((tick[1], ~tick[2], tick[0]))
+            tick = [x[order] for x in tick]
+        target, ids, none, told = open_
+        start = np.searchsorted(tick[0], target, "left")
+        count = np.searchsorted(tick[0], target + width, "right") - start
+        now = state.getCurrentWatermarkMs()
+        past = target + width < now * 1000
+        out = (count > told) & (told >= 0) | past & (count == 0) & (told == 0)
+        first = np.minimum(start, max(0, len(tick[0]) - 1))[out]
+        met = count[out] > 0
+        at, price, known = (x[first] if len(x) else np.zeros(len(first), x.dtype) for x in tick)
+        result = pd.DataFrame({"symbol": [key[0]] * len(met), "id": ids[out], "none": none[out], "target_us": target[out], "matches": (count - told)[out], "first_us": at, "price": price, "known": known & met})
+        close = ((int(key[1]) + 1) * max(1, width) + width) // 1000
+        if now > close:
+            if state.exists:
+                state.remove()
+        else:
+            told = np.where(past & (count == 0), -1, count)
+            open_ = [x[~past] for x in (target, ids, none, told)]
+            waiting = open_[0][open_[3] == 0]
+            state.update((pickle.dumps((open_, tick)),))
+            state.setTimeoutTimestamp(max(now + 1, min(close, int(waiting.min() + width) // 1000 if len(waiting) else close)))
+        if len(result):
+            yield result
+
+    rows = a.unionByName(b).groupBy("symbol", "slot").applyInPandasWithState(
+        step, f"symbol string, id {kind}, none boolean, target_us long, matches long, first_us long, price double, known boolean", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    met = C("matches") > 0
+    return rows.select("symbol", F.when(~C("none"), C("id")).alias("id"), F.timestamp_micros("target_us").alias("target"), "matches",
+                       F.when(met, F.timestamp_micros("first_us")).alias("tick_ts"), F.when(met & C("known"), F.coalesce("price", F.lit(float("nan")))).alias("tick_price"))
+
+
 def sentiment_windows(scored: DataFrame, width: str, delay: str) -> DataFrame:
     """Average score and headlines per symbol and window, updated as headlines come in."""
     g = scored.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width, startTime="4 days").alias("w")).agg(F.avg("score").alias("avg_score"), F.count("*").alias("headlines"))

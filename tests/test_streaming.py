@@ -130,3 +130,28 @@ def test_settlement_meets_only_rows_of_a_slot(spark):
     assert "tick_slot" in next(line for line in plan.splitlines() if "Join LeftOuter" in line)
     got = sorted((r["symbol"], r["id"], r["tick_price"]) for r in ticks.drain(joined, "settle").collect() if r["tick_ts"] is not None)
     assert got == [("A", float(a), float(b)) for a in range(0, 1000, 7) for b in range(0, 1000, 7) if 60 <= b - a <= 180]
+
+
+def test_settlement_summary_counts_what_the_pairs_are(spark):
+    schema = "symbol string, ts timestamp, price double"
+    batches = [[("A", at(m), float(m)) for m in range(0, 700, 7)] + [("A", at(70), 1.0), ("A", at(203), None), ("B", at(90), None), (None, at(10), 2.0), (None, at(100), 3.0), ("A", None, 4.0)],
+               [("A", at(m), float(m)) for m in range(640, 1000, 9)] + [("B", at(980), 5.0)], [("A", at(2000), 6.0)]]
+    for per_batch in (1, None):
+        got = {}
+        for summary in (False, True):
+            path, base = shared_path(spark, "ticks"), shared_path(spark, "settle")
+            for rows in batches:  # a run for each: state is kept from one to the next
+                spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+                if per_batch is None and rows is not batches[-1]:
+                    continue
+                t = spark.readStream.schema(schema).parquet(path)
+                f = t.select("symbol", F.when(F.col("price") != 63, F.col("price")).alias("id"), (F.col("ts") + F.expr("INTERVAL 60 MINUTES")).alias("target"))
+                s = ticks.settlement_stream(f, t, "2 HOURS", "1 hour", summary=summary)
+                s.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{base}/out").start().awaitTermination()
+            d = spark.read.parquet(f"{base}/out")
+            matches = F.sum("matches") if summary else F.count("tick_ts")
+            first = F.min(F.when(F.col("tick_ts").isNotNull(), F.struct("tick_ts", F.col("tick_price").isNull().alias("none"), "tick_price")))
+            got[summary] = sorted(map(repr, d.groupBy("symbol", "id", "target").agg(matches.alias("matches"), first.alias("first")).collect()))
+            if summary and per_batch is None:
+                assert d.count() <= sum(map(len, batches))  # no pairs
+        assert got[True] == got[False] and len(got[True]) > 100
